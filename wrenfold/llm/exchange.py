@@ -101,9 +101,9 @@ def merged(judge: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) ->
     return work
 
 
-def shards_of(docs: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
+def shards_of(docs: DataFrame, shard_bytes: int, total_bytes: int | None = None) -> tuple[DataFrame, int]:
     """``docs`` with a ``shard``: consecutive ranges of ``doc_id`` of about ``shard_bytes`` stored bytes each, and their number.  Rows without an id are in shard 0; equal ids share a shard."""
-    want = max(1, -(-input_bytes(docs) // shard_bytes))
+    want = max(1, -(-(total_bytes or input_bytes(docs)) // shard_bytes))
     cuts: list[float] = []
     if want > 1:
         cuts = sorted({*docs.approxQuantile("doc_id", [i / want for i in range(1, want)], 0.2 / want)})
@@ -123,6 +123,6 @@ def _place(ids, edges: np.ndarray):  # noqa: ANN001, ANN202
     return pd.Series(np.where(np.isnan(x), 0, np.searchsorted(edges, np.nan_to_num(x), "right")).astype(np.int32))
 
 
-def part_bits(shards: int, keys_per_shard_mb: float = 8, part_mb: float = 24) -> int:
+def part_bits(shards: int, keys_per_shard_mb: float = 8, part_mb: float = 12) -> int:
     """Bits so that an owner merges about ``part_mb`` MB of keys, when each shard holds ``keys_per_shard_mb``."""
     return max(0, int(np.ceil(np.log2(max(1.0, shards * keys_per_shard_mb / part_mb)))))

@@ -97,7 +97,7 @@ def find_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tupl
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: int = 1 << 22) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: int = 1 << 19) -> np.ndarray:
     """A 64-bit hash of each word: differences of the prefix sums of a byte polynomial, brought to a common power."""
     out = np.empty(len(starts), _U64)
     lo = 0

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wrenfold.llm import exchange, textops
+from wrenfold.llm.storage import input_bytes
 
 RESULT = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
@@ -67,9 +68,9 @@ def kept_texts(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends:
     return out[mask], sums[offsets]
 
 
-def dedup_windows(docs: DataFrame, width: int = 20, shard_bytes: int = 6 << 20, with_text: bool = False) -> DataFrame:
+def dedup_windows(docs: DataFrame, width: int = 20, shard_bytes: int = 4 << 20, with_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256, n_intervals (maximal removed runs) and, ``with_text``, the kept words."""
-    cut, shards = exchange.shards_of(docs.select(F.col("doc_id").cast("long"), "text"), shard_bytes)
+    cut, shards = exchange.shards_of(docs.select(F.col("doc_id").cast("long"), "text"), shard_bytes, input_bytes(docs))
     cut = cut.repartition(shards, "shard")
     bits = exchange.part_bits(shards)
 
