@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,6 +26,9 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of ``df``; it only sizes partitions, never results."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def input_bytes(df: DataFrame, text: str = "text") -> int:
+    """Catalyst's estimate of the size of ``df``, or where it has none half of the bytes of ``text``; it only sizes partitions, never results."""
+    found = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if found < 1 << 56:
+        return found
+    return int(df.agg(F.coalesce(F.sum(F.octet_length(text) + 16), F.lit(0))).first()[0]) // 2
