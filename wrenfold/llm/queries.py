@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wrenfold.llm import decontaminate, packing, sharding, suffixdedup, windowdedup
+from wrenfold.llm import decontaminate, ngramjoin, packing, sharding, suffixdedup, windowdedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,12 +31,16 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.dedup_substrings(_table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.join_documents(_table(spark, sf_dir, "documents"))
+
+
 def op10_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windowdedup.dedup_windows(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_benchmark_decontamination, op3_best_fit_sharding, op4_best_fit_packing, op5_suffix_array_dedup, op10_window_dedup)
+    f.__name__: f for f in (op1_benchmark_decontamination, op3_best_fit_sharding, op4_best_fit_packing, op5_suffix_array_dedup, op7_ngram_jaccard_join, op10_window_dedup)
 }
 
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
