@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wrenfold.llm import decontaminate, ngramjoin, packing, sharding, suffixdedup, windowdedup
+from wrenfold.llm import decontaminate, licenses, merkle, ngramjoin, ogg, packing, sharding, suffixdedup, toxicity, windowdedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,11 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return merkle.audit(pages, merkle.aged_replica(pages))
+
+
 def op3_best_fit_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), shards=24)
 
@@ -31,16 +36,32 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.dedup_substrings(_table(spark, sf_dir, "documents"))
 
 
+def op6_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ogg.media_columns(_table(spark, sf_dir, "documents"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.join_documents(_table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.recognise(_table(spark, sf_dir, "documents"))
+
+
 def op10_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windowdedup.dedup_windows(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_benchmark_decontamination, op3_best_fit_sharding, op4_best_fit_packing, op5_suffix_array_dedup, op7_ngram_jaccard_join, op10_window_dedup)
+    f.__name__: f
+    for f in (
+        op1_benchmark_decontamination, op2_warc_fixity, op3_best_fit_sharding, op4_best_fit_packing, op5_suffix_array_dedup,
+        op6_ogg_media, op7_ngram_jaccard_join, op8_toxicity, op9_license_rules, op10_window_dedup,
+    )
 }
 
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -48,6 +69,7 @@ _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 _WORD = r"'[^\x20\x09-\x0D]+'"
 
 ORACLE_SQL: dict[str, str] = {
+    "op9_license_rules": licenses.oracle_sql(),
     "op1_benchmark_decontamination": f"""
 WITH item AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_ASCII_LOWER}, {_ALNUM}) AS ws FROM benchmark),
 win AS (SELECT DISTINCT item, least(len(ws), 13) AS n, array_to_string(ws[i:i + least(len(ws), 13) - 1], ' ') AS w
