@@ -25,6 +25,8 @@ there; extra columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -34,7 +36,7 @@ from wrenfold.llm import exchange, textops
 from wrenfold.llm.components import components
 from wrenfold.llm.storage import input_bytes, stored
 
-SETS = "rid long, doc_id long, n_shingles long, s1 long, s2 long, alone int, grams array<long>"
+SETS = "rid long, doc_id long, digest binary, n_shingles long, s1 long, s2 long, alone int, grams array<long>"
 _U = np.uint64
 
 
@@ -65,6 +67,12 @@ def _few(words: np.ndarray) -> int:
     return int(textops.mix(np.array([out ^ 0x5DEECE66D], _U))[0])
 
 
+def _digests(table: pa.Table) -> list[bytes]:
+    data, offsets = textops.buffers(table["text"])
+    raw = memoryview(data)
+    return [hashlib.md5(raw[a:b]).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+
+
 def frequency_class(documents: np.ndarray) -> np.ndarray:
     """0 for one document, else 1 + two steps per doubling (at most 127)."""
     return np.where(documents <= 1, 0, 1 + np.floor(2 * np.log2(np.maximum(documents, 1)))).astype(np.uint8)
@@ -111,7 +119,7 @@ def candidate_sets(docs: DataFrame, width: int, percent: int, shard_bytes: int)
         sizes = np.where(may, n - alone, 0)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(gram[order]), mask=pa.array(~may))
         return pa.table({
-            "rid": pa.array((np.int64(shard) << 32) + np.arange(table.num_rows)), "doc_id": table["doc_id"], "n_shingles": n.astype(np.int64), "s1": s1.view(np.int64), "s2": s2.view(np.int64),
+            "rid": pa.array((np.int64(shard) << 32) + np.arange(table.num_rows)), "doc_id": table["doc_id"], "digest": pa.array(_digests(table), pa.binary()), "n_shingles": n.astype(np.int64), "s1": s1.view(np.int64), "s2": s2.view(np.int64),
             "alone": pa.array(alone, pa.int32()), "grams": lists,
         })
 
@@ -165,8 +173,8 @@ def jaccard_links(sets: DataFrame, percent: int, fragments: int = 8) -> DataFram
     return components(found.union(links(second)))
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85, shard_bytes: int = 4 << 20) -> DataFrame:
-    """One row per document: rid (a row id), doc_id, n_shingles, component_id."""
+def _members(docs: DataFrame, width: int, percent: int, shard_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """All rows with their sets' sizes; and those that can have links, with the root of their component."""
     rows = stored(candidate_sets(docs, width, percent, shard_bytes), "sets")
     may = rows.filter(F.col("grams").isNotNull())
     same = ["n_shingles", "s1", "s2"]
@@ -174,14 +182,29 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85, shard_by
     sets = may.join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi")
     labels = jaccard_links(sets, percent)
     root = classes.join(labels.toDF("rep", "label"), "rep", "left").select(*same, F.coalesce("label", "rep").alias("root"))
-    member = may.drop("grams").join(root, same)
+    return rows.filter(F.col("grams").isNull()), may.drop("grams").join(root, same)
+
+
+def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85, shard_bytes: int = 4 << 20) -> DataFrame:
+    """One row per document: rid (a row id), doc_id, n_shingles, component_id."""
+    single, member = _members(docs, width, percent, shard_bytes)
     least = member.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     joined = member.join(least, "root").select("rid", "doc_id", "n_shingles", "component_id")
-    single = rows.filter(F.col("grams").isNull()).select("rid", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return joined.unionByName(single)
+    return joined.unionByName(single.select("rid", "doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def join_documents(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     return near_duplicates(docs, width, percent).drop("rid")
 
 
+def keep_one(docs: DataFrame, width: int = 4, percent: int = 85, shard_bytes: int = 4 << 20) -> DataFrame:
+    """``docs`` with one document of each component: the one of least ``doc_id`` (of several rows with it, one)."""
+    _, member = _members(docs, width, percent, shard_bytes)
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
+    marked = member.groupBy("root").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    group = member.join(marked, "root").select("doc_id", "digest", (F.col("rid") == F.col("first.rid")).alias("stays"))
+    group = stored(group.groupBy("doc_id", "digest").agg(F.max("stays").alias("stays")), "groups")
+    key = (F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))) & (F.unhex(F.md5(F.coalesce("text", F.lit("")))) == F.col("_digest"))
+    seen = docs.join(group.toDF("_id", "_digest", "_stays"), key, "left")
+    once = seen.filter("_stays").dropDuplicates(["_id", "_digest"])
+    return seen.filter("_stays IS NULL").unionByName(once).select(docs.columns)
