@@ -1 +1,3 @@
+"""Importing this package registers all queries."""
 
+from wrenfold.operators import filters  # noqa: F401
