@@ -1,3 +1,3 @@
 """Importing this package registers all queries."""
 
-from wrenfold.operators import filters  # noqa: F401
+from wrenfold.operators import aggregates, filters, joins, retrieval  # noqa: F401
