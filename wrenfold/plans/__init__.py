@@ -1,3 +1,3 @@
 """Importing this package registers all queries."""
 
-from wrenfold.operators import aggregates, filters, joins, retrieval, scalars, workflow  # noqa: F401
+from wrenfold.operators import aggregates, costs, filters, joins, media, retrieval, scalars, workflow  # noqa: F401
