@@ -35,3 +35,24 @@ def money(column: Column, scale: int = 6) -> Column:
 def prop(column: str = "props") -> Column:
     """The one number that ``events.props`` carries."""
     return F.get_json_object(column, "$.k").cast("long")
+
+
+def exact_quantile(df: DataFrame, key: str, value: str, q: float, name: str, buckets: int = 4096) -> DataFrame:
+    """(key, name): the interpolated quantile of each key, without gathering a key's values in one task.
+
+    Values are counted in equal-width buckets per key; only the buckets that hold the wanted ranks are looked
+    into, and there equal values are counted first.
+    """
+    v = df.select(key, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
+    stats = v.groupBy(key).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    place = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(buckets - 1), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets))).otherwise(0)
+    placed = v.join(stats, key).withColumn("_b", place)
+    w = Window.partitionBy(key)
+    counts = placed.groupBy(key, "_b", "_n").agg(F.count(F.lit(1)).alias("_c"))  # at most ``buckets`` rows per key
+    counts = counts.withColumn("_before", F.sum("_c").over(w.orderBy("_b")) - F.col("_c")).withColumn("_r", F.lit(q) * (F.col("_n") - 1))
+    wanted = counts.filter("_before <= ceil(_r) AND _before + _c > floor(_r)").select(key, "_b", "_before", "_r")
+    near = placed.join(wanted, [key, "_b"]).groupBy(key, "_r", "_v").agg(F.min("_before").alias("_before"), F.count(F.lit(1)).alias("_c"))
+    near = near.withColumn("_end", F.min("_before").over(w) + F.sum("_c").over(w.orderBy("_v")))
+    at = lambda r: F.min(F.when(F.col("_end") > r, F.col("_v")))
+    found = near.groupBy(key, "_r").agg(at(F.floor("_r")).alias("_a"), at(F.ceil("_r")).alias("_z"))
+    return found.select(key, (F.col("_a") + (F.col("_z") - F.col("_a")) * (F.col("_r") - F.floor("_r"))).alias(name))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wrenfold.functions.rows import as_of, count_if, money, newest, prop, table
+from wrenfold.functions.rows import as_of, count_if, exact_quantile, money, newest, prop, table
 from wrenfold.registry import query
 
 
@@ -112,8 +112,7 @@ def curator_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("a16_quantile_scaling", """WITH q AS (SELECT l_returnflag, quantile_cont(l_extendedprice, 0.95) AS p95 FROM lineitem GROUP BY 1) SELECT l_orderkey, l_linenumber, round(least(1.0, l_extendedprice / p95), 6) AS level FROM lineitem JOIN q USING (l_returnflag)""")
 def quantile_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice")
-    q = li.groupBy("l_returnflag").agg(F.percentile("l_extendedprice", 0.95).alias("p95"))  # one row per flag
-    return li.join(q, "l_returnflag").select("l_orderkey", "l_linenumber", F.round(F.least(F.lit(1.0), F.col("l_extendedprice") / F.col("p95")), 6).alias("level"))
+    return li.join(exact_quantile(li, "l_returnflag", "l_extendedprice", 0.95, "p95"), "l_returnflag").select("l_orderkey", "l_linenumber", F.round(F.least(F.lit(1.0), F.col("l_extendedprice") / F.col("p95")), 6).alias("level"))
 
 
 @query("a17_mean_over_patches", """SELECT label, i AS position, round(avg(v), 6) AS mean FROM (SELECT label, unnest(range(0, 64)) AS i, unnest(embedding) AS v FROM (SELECT label, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings)) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY label ORDER BY avg(v) DESC, i) <= 3""")
