@@ -129,15 +129,17 @@ def fit(rows: list, counterfactual: float = 1.0, decay: float = 1e-3, least_gain
     base = (y.sum() + 1) / (len(y) + 2)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(base / (1 - base))))
-    lists = [np.frombuffer(r.present, np.int32) for r in rows]
-    flat = np.concatenate(lists).astype(np.int64)
-    doc = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    count = np.bincount(flat, minlength=1 << FEATURE_BITS)
-    known = np.flatnonzero(_gain(np.bincount(flat, y[doc], minlength=1 << FEATURE_BITS), count, y.sum(), len(y)) >= least_gain)
-    slot = np.full(1 << FEATURE_BITS, -1)
+    flat = np.concatenate([np.frombuffer(r.present, np.int32) for r in rows])
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r.present) // 4 for r in rows])
+    count, a = np.bincount(flat, minlength=1 << FEATURE_BITS), np.bincount(flat[y[doc] > 0], minlength=1 << FEATURE_BITS)
+    seen = np.flatnonzero(count)
+    known = seen[_gain(a[seen], count[seen], y.sum(), len(y)) >= least_gain]
+    count = count[known]
+    slot = np.full(1 << FEATURE_BITS, -1, np.int32)
     slot[known] = np.arange(len(known))
     keep = slot[flat] >= 0
     col, doc = slot[flat[keep]], doc[keep]
+    del flat, keep, a, seen
     swap_col, swap_row, sign, swaps = [], [], [], 0
     for r in rows:
         for gone, come in zip(r.gone, r.come, strict=True):
@@ -156,7 +158,7 @@ def fit(rows: list, counterfactual: float = 1.0, decay: float = 1e-3, least_gain
     for t in range(1, steps + 1):
         z = np.bincount(doc, w[col], minlength=n) + w[k]
         err = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / n
-        grad = np.append(np.bincount(col, err[doc], minlength=k) + 2 * decay / n * w[:k] * count[known], err.sum())
+        grad = np.append(np.bincount(col, err[doc], minlength=k) + 2 * decay / n * w[:k] * count, err.sum())
         if swaps:
             change = np.bincount(swap_row, sign * w[swap_col], minlength=swaps)
             grad[:k] += 2 * counterfactual / swaps * np.bincount(swap_col, sign * change[swap_row], minlength=k)
@@ -170,7 +172,7 @@ def held_out(doc_id="doc_id"):  # noqa: ANN001, ANN201
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 12288, **options: float) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 8192, **options: float) -> Model:
     one = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("t")).filter("id IS NOT NULL AND t IS NOT NULL").filter(~held_out("id"))
     one = one.groupBy("id").agg(F.max("t").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(one), F.col("doc_id") == F.col("id"))  # at most ``sample`` rows are broadcast
@@ -200,5 +202,5 @@ def score_documents(docs: DataFrame, model: Model, keep: bool = False, threshold
     return rows.mapInArrow(work, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample: int = 12288) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, sample: int = 8192) -> DataFrame:
     return score_documents(docs, train(docs, labels, sample))
