@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wrenfold.llm import textops
-from wrenfold.llm.storage import stored
+from wrenfold.llm.storage import free_name, stored
 
 FIELDS = [
     T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()),
@@ -180,11 +180,12 @@ def _cleaned(texts: pa.Array, hit: np.ndarray, first: np.ndarray) -> list[str |
     return out
 
 
-def scan_by_join(docs: DataFrame, benchmark: DataFrame, width: int, clean: str | None = None, keep: str = "_row") -> DataFrame:
+def scan_by_join(docs: DataFrame, benchmark: DataFrame, width: int, clean: str | None = None) -> DataFrame:
     """The same for a benchmark too large to broadcast: windows of both sides meet by hash in a shuffle, and the matches alone return to the documents.
 
     A match is verified by a second, independent 64-bit hash.  Only the lengths that items have are made for documents.
     """
+    keep = free_name(docs, "_row")
     rows = stored(docs.withColumn(keep, F.monotonically_increasing_id()), "decontaminate-docs")
     short = benchmark.mapInArrow(_lengths(width), "n int").distinct()
     lengths = sorted(r.n for r in short.collect())  # at most ``width`` values

@@ -123,6 +123,11 @@ def _place(ids, edges: np.ndarray):  # noqa: ANN001, ANN202
     return pd.Series(np.where(np.isnan(x), 0, np.searchsorted(edges, np.nan_to_num(x), "right")).astype(np.int32))
 
 
+def growth(total_bytes: int) -> float:
+    """How much larger than by default shards and parts are made for so large an input (1 below 8 GB, 16 at most): shards times parts lists cross the network, so both grow with the root of the input."""
+    return min(16.0, max(1.0, (total_bytes / (8 << 30)) ** 0.5))
+
+
 def part_bits(shards: int, keys_per_shard_mb: float = 8, part_mb: float = 12) -> int:
     """Bits so that an owner merges about ``part_mb`` MB of keys, when each shard holds ``keys_per_shard_mb``."""
     return max(0, int(np.ceil(np.log2(max(1.0, shards * keys_per_shard_mb / part_mb)))))

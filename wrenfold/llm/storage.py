@@ -32,3 +32,11 @@ def input_bytes(df: DataFrame, text: str = "text") -> int:
     if found < 1 << 56:
         return found
     return int(df.agg(F.coalesce(F.sum(F.octet_length(text) + 16), F.lit(0))).first()[0]) // 2
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """``base``, with underscores before it until no column of ``df`` is called that."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base = "_" + base
+    return base

@@ -16,6 +16,7 @@ import numpy as np
 #: Positions and ranks take 21 bits each.
 MOST = (1 << 21) - 2
 _U = np.uint64
+_LOW = _U((1 << 21) - 1)
 
 
 def suffix_array(text: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -28,7 +29,7 @@ def suffix_array(text: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.nda
     for j in range(4):
         key = (key << _U(9)) | np.where(left > j, padded[j : j + n] + 1, 0).astype(_U)
     key = np.sort((key << _U(21)) | np.arange(n, dtype=_U))
-    sa = (key & _U(MOST + 1)).astype(np.int64)
+    sa = (key & _LOW).astype(np.int64)
     head = np.ones(n, bool)
     head[1:] = (key[1:] >> _U(21)) != (key[:-1] >> _U(21))
     where = np.maximum.accumulate(np.where(head, np.arange(n), 0))
@@ -49,7 +50,7 @@ def suffix_array(text: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.nda
         ahead = np.zeros(len(i), np.int64)
         ahead[more] = rank[i[more] + done] + 1
         key = np.sort((rank[i].astype(_U) << _U(42)) | (ahead.astype(_U) << _U(21)) | i.astype(_U))
-        i = (key & _U(MOST + 1)).astype(np.int64)
+        i = (key & _LOW).astype(np.int64)
         sa[at] = i
         head = np.ones(len(i), bool)
         head[1:] = (key[1:] >> _U(21)) != (key[:-1] >> _U(21))

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wrenfold.llm import exchange, suffixarray, textops
-from wrenfold.llm.storage import input_bytes
+from wrenfold.llm.storage import free_name, input_bytes
 
 GRAM = 32
 HOT = 4096
@@ -161,8 +161,9 @@ def _distinct(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[
 def repeated_bytes(docs: DataFrame, width: int = 200, shard_bytes: int = 4 << 20, bin_bytes: int = 3 << 20, with_text: bool = False) -> DataFrame:
     """One row per distinct text: grp (its MD5), n_bytes, n_removed, n_spans, kept_sha256 and, ``with_text``, kept."""
     total = input_bytes(docs)
-    shards = max(1, -(-total // shard_bytes))
-    bits = exchange.part_bits(shards, keys_per_shard_mb=1)
+    wide = exchange.growth(total)
+    shards = max(1, -(-total // int(shard_bytes * wide)))
+    bits = exchange.part_bits(shards, wide, 12 * wide)
     bins = 1 << max(0, math.ceil(math.log2(max(1, total / bin_bytes))))
 
     def deal(batches):  # noqa: ANN001, ANN202
@@ -409,6 +410,7 @@ def dedup_substrings(docs: DataFrame, width: int = 200) -> DataFrame:
 
 def cut_documents(docs: DataFrame, width: int = 200) -> DataFrame:
     """``docs`` with what repeats cut out of ``text``; a text that loses nothing stays as it is."""
-    cuts = repeated_bytes(docs, width, with_text=True).filter("n_removed > 0").select(F.col("grp").alias("_grp"), F.col("kept").alias("_kept"))
-    keyed = docs.withColumn("_grp", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
-    return keyed.join(cuts, "_grp", "left").withColumn("text", F.coalesce("_kept", "text")).select(docs.columns)
+    grp, kept = free_name(docs, "_grp"), free_name(docs, "_kept")
+    cuts = repeated_bytes(docs, width, with_text=True).filter("n_removed > 0").select(F.col("grp").alias(grp), F.col("kept").alias(kept))
+    keyed = docs.withColumn(grp, F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    return keyed.join(cuts, grp, "left").withColumn("text", F.coalesce(kept, "text")).select(docs.columns)

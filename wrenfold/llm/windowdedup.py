@@ -70,9 +70,11 @@ def kept_texts(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends:
 
 def dedup_windows(docs: DataFrame, width: int = 20, shard_bytes: int = 4 << 20, with_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256, n_intervals (maximal removed runs) and, ``with_text``, the kept words."""
-    cut, shards = exchange.shards_of(docs.select(F.col("doc_id").cast("long"), "text"), shard_bytes, input_bytes(docs))
+    total = input_bytes(docs)
+    wide = exchange.growth(total)
+    cut, shards = exchange.shards_of(docs.select(F.col("doc_id").cast("long"), "text"), int(shard_bytes * wide), total)
     cut = cut.repartition(shards, "shard")
-    bits = exchange.part_bits(shards)
+    bits = exchange.part_bits(shards, 8 * wide, 12 * wide)
 
     def send(table: pa.Table) -> pa.Table:
         *_, hashes, inside = _windows(table, width)
