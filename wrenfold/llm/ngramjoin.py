@@ -8,8 +8,8 @@ as one; none: empty, never linked).  Documents link when 100 * intersection >= `
    with fewer shingles that others have is alone; it leaves here, with nothing but its size.
 2. Equal sets become one representative.
 3. The global n-gram order is (frequency class, hash), rarest first.  Linked sets share an n-gram of their
-   prefixes in that order; only such pairs are candidates, and only if their sizes and numbers of unique
-   n-grams leave room for a link.
+   prefixes in that order; only such pairs are candidates, and only if their sizes and the places of that
+   n-gram in both leave room for a link (all before it is in one of the two only).
 4. Vertical partitioning: the order is cut into fragments of even load; each set is cut into segments.  The
    overlap of a candidate pair is counted in each fragment by itself and summed per pair.
 5. Candidates come in two passes.  First each member of a prefix group is compared with the group's pivot,
@@ -128,9 +128,9 @@ def candidate_sets(docs: DataFrame, width: int, percent: int, shard_bytes: int)
     return cut.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(sets, SETS)
 
 
-def _room(percent: int, n1: str, u1: str, n2: str, u2: str) -> Column:
-    """Whether two sets of so many n-grams, so many of them in no other set, can link."""
-    most = f"least({n1} - {u1}, {n2} - {u2})"
+def _room(percent: int, n1: str, p1: str, n2: str, p2: str) -> Column:
+    """Whether sets of n1 and n2 n-grams can link if the first that they share is at place p1 of the one and p2 of the other."""
+    most = f"least({n1} - {p1}, {n2} - {p2})"
     return F.expr(f"100 * {most} >= {percent} * ({n1} + {n2} - {most})")
 
 
@@ -152,23 +152,23 @@ def jaccard_links(sets: DataFrame, percent: int, fragments: int = 8) -> DataFram
     segments = sets.select("rid", "grams", F.explode(cuts).alias("c")).select("rid", "c.fragment", F.expr("filter(grams, g -> g >= c.lo AND g < c.hi)").alias("grams")).filter("size(grams) > 0")
     segments = stored(segments, "segments")
     prefix = F.expr(f"n - ((n * {percent} + 99) div 100) + 1 - u").cast("int")
-    heads = sets.select("rid", "n", "u", F.explode(F.slice("grams", F.lit(1), F.greatest(prefix, F.lit(0)))).alias("gram"))
-    groups = heads.groupBy("gram").agg(F.min(F.struct("u", "rid", "n")).alias("p"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    heads = stored(heads.join(groups, "gram").select("gram", "rid", "n", "u", F.col("p.rid").alias("pr"), F.col("p.n").alias("pn"), F.col("p.u").alias("pu"), "size").filter("rid <> pr"), "heads")
+    heads = sets.select("rid", "n", "u", F.posexplode(F.slice("grams", F.lit(1), F.greatest(prefix, F.lit(0)))).alias("k", "gram")).select("rid", "n", (F.col("u") + F.col("k")).alias("at"), "gram")
+    groups = heads.groupBy("gram").agg(F.min(F.struct("at", "rid", "n")).alias("p"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    heads = stored(heads.join(groups, "gram").select("gram", "rid", "n", "at", F.col("p.rid").alias("pr"), F.col("p.n").alias("pn"), F.col("p.at").alias("pat"), "size").filter("rid <> pr"), "heads")
     sizes = sets.select("rid", "n")
 
     def links(pairs: DataFrame) -> DataFrame:
         both = overlaps(pairs, segments).join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
         return both.filter(f"100 * overlap >= {percent} * (na + nb - overlap)").select("a", "b")
 
-    first = stored(heads.filter(_room(percent, "n", "u", "pn", "pu")).select(F.least("rid", "pr").alias("a"), F.greatest("rid", "pr").alias("b")).distinct(), "pairs")
+    first = stored(heads.filter(_room(percent, "n", "at", "pn", "pat")).select(F.least("rid", "pr").alias("a"), F.greatest("rid", "pr").alias("b")).distinct(), "pairs")
     found = stored(links(first), "links")
     labels = components(found)
     rest = heads.filter("size > 2").join(labels.toDF("rid", "label"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
     mixed = rest.groupBy("gram").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 <> l2").select("gram")
-    rest = stored(rest.join(mixed, "gram").select("gram", "rid", "n", "u", "label"), "rest")
-    x, y = rest.toDF("gram", "a", "na", "ua", "la"), rest.toDF("gram", "b", "nb", "ub", "lb")
-    meet = x.join(y, (x.gram == y.gram) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _room(percent, "na", "ua", "nb", "ub"))
+    rest = stored(rest.join(mixed, "gram").select("gram", "rid", "n", "at", "label"), "rest")
+    x, y = rest.toDF("gram", "a", "na", "ata", "la"), rest.toDF("gram", "b", "nb", "atb", "lb")
+    meet = x.join(y, (x.gram == y.gram) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _room(percent, "na", "ata", "nb", "atb"))
     second = meet.select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
     return components(found.union(links(second)))
 
