@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from wrenfold.llm import exchange, textops
 from wrenfold.llm.components import components
-from wrenfold.llm.storage import input_bytes, stored
+from wrenfold.llm.storage import free_name, input_bytes, stored
 
 SETS = "rid long, doc_id long, digest binary, n_shingles long, s1 long, s2 long, alone int, grams array<long>"
 _U = np.uint64
@@ -81,10 +81,11 @@ def frequency_class(documents: np.ndarray) -> np.ndarray:
 def candidate_sets(docs: DataFrame, width: int, percent: int, shard_bytes: int) -> DataFrame:
     """A row for each document; ``grams``, in the global order, only where a link is possible."""
     total = input_bytes(docs)
-    cut, shards = exchange.shards_of(docs.select(F.col("doc_id").cast("long"), "text"), shard_bytes, total)
+    wide = exchange.growth(total)
+    cut, shards = exchange.shards_of(docs.select(F.col("doc_id").cast("long"), "text"), int(shard_bytes * wide), total)
     cut = cut.repartition(shards, "shard")
     drop = max(0, 64 - (max(1, total).bit_length() + 13))  # of so few bits one in some thousand shingles seems shared by chance, which rules nothing out
-    bits = exchange.part_bits(shards)
+    bits = exchange.part_bits(shards, 8 * wide, 12 * wide)
 
     def send(table: pa.Table) -> pa.Table:
         _, _, key = shingle_sets(table, width, drop)
@@ -204,7 +205,8 @@ def keep_one(docs: DataFrame, width: int = 4, percent: int = 85, shard_bytes: in
     marked = member.groupBy("root").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     group = member.join(marked, "root").select("doc_id", "digest", (F.col("rid") == F.col("first.rid")).alias("stays"))
     group = stored(group.groupBy("doc_id", "digest").agg(F.max("stays").alias("stays")), "groups")
-    key = (F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))) & (F.unhex(F.md5(F.coalesce("text", F.lit("")))) == F.col("_digest"))
-    seen = docs.join(group.toDF("_id", "_digest", "_stays"), key, "left")
-    once = seen.filter("_stays").dropDuplicates(["_id", "_digest"])
-    return seen.filter("_stays IS NULL").unionByName(once).select(docs.columns)
+    own, digest, stays = (free_name(docs, c) for c in ("_id", "_digest", "_stays"))
+    key = (F.col("doc_id").cast("long").eqNullSafe(F.col(own))) & (F.unhex(F.md5(F.coalesce("text", F.lit("")))) == F.col(digest))
+    seen = docs.join(group.toDF(own, digest, stays), key, "left")
+    once = seen.filter(F.col(stays)).dropDuplicates([own, digest])
+    return seen.filter(F.col(stays).isNull()).unionByName(once).select(docs.columns)
