@@ -35,11 +35,6 @@ FIELDS = [
 BLOCK = 2 << 20
 
 
-def contaminated(n_hit: int, n_words: int) -> bool:
-    """At least a twentieth of the words is hit."""
-    return n_hit > 0 and 20 * n_hit >= n_words
-
-
 class Windows:
     """The distinct windows of a benchmark: for each length the sorted hashes, the words to verify a hit with, and the items that hold it."""
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -110,19 +111,13 @@ def shards_of(docs: DataFrame, shard_bytes: int, total_bytes: int | None = None)
     edges = np.array(cuts, dtype=np.float64)
 
     @F.pandas_udf(T.IntegerType())
-    def shard(ids):  # noqa: ANN001, ANN202
-        return ids.astype("float64").map(lambda x: 0 if x != x else int(np.searchsorted(edges, x, "right"))) if not len(edges) else _place(ids, edges)
+    def shard(ids: pd.Series) -> pd.Series:
+        x = ids.astype("float64").to_numpy()
+        return pd.Series(np.where(np.isnan(x), 0, np.searchsorted(edges, np.nan_to_num(x), "right")).astype(np.int32))
 
     return docs.withColumn("shard", shard("doc_id") if len(edges) else F.lit(0)), len(edges) + 1
 
 
-def _place(ids, edges: np.ndarray):  # noqa: ANN001, ANN202
-    import pandas as pd
-
-    x = ids.astype("float64").to_numpy()
-    return pd.Series(np.where(np.isnan(x), 0, np.searchsorted(edges, np.nan_to_num(x), "right")).astype(np.int32))
-
-
 def growth(total_bytes: int) -> float:
     """How much larger than by default shards and parts are made for so large an input (1 below 8 GB, 16 at most): shards times parts lists cross the network, so both grow with the root of the input."""
     return min(16.0, max(1.0, (total_bytes / (8 << 30)) ** 0.5))
