@@ -85,7 +85,7 @@ def rolling_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.withColumn("over_cap", F.col("tokens") > 100)
 
 
-@query("a13_statement_summary", """SELECT l_suppkey, count(*) AS line_count, count(*) FILTER (WHERE l_partkey % 11 = 0) AS no_code, sum(CAST(l_quantity AS BIGINT)) AS qty, sum(CAST(l_extendedprice AS DECIMAL(18,6))) AS amount, min(date_trunc('month', l_shipdate))::DATE AS first_period, max(date_trunc('month', l_shipdate))::DATE AS last_period,
+@query("a13_statement_summary", """SELECT l_suppkey, count(*) AS line_count, count(*) FILTER (WHERE l_partkey % 11 = 0) AS no_code, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS qty, sum(CAST(l_extendedprice AS DECIMAL(18,6))) AS amount, min(date_trunc('month', l_shipdate))::DATE AS first_period, max(date_trunc('month', l_shipdate))::DATE AS last_period,
 CASE WHEN count(DISTINCT l_linestatus) = 1 THEN min(l_linestatus) ELSE 'MIXED' END AS currency, count(DISTINCT l_returnflag) AS stores FROM lineitem GROUP BY 1""")
 def statement_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(
@@ -104,7 +104,7 @@ def audience_valuation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", "total", "valued", "unvalued")
 
 
-@query("a15_curator_rollup", """SELECT l_suppkey AS curator, array_to_string(list_sort(list(DISTINCT l_partkey)), ',') AS matched, sum(l_linenumber) AS tracks, count(*) AS n FROM lineitem WHERE l_quantity > 45 GROUP BY 1""")
+@query("a15_curator_rollup", """SELECT l_suppkey AS curator, array_to_string(list_sort(list(DISTINCT l_partkey)), ',') AS matched, CAST(sum(l_linenumber) AS BIGINT) AS tracks, count(*) AS n FROM lineitem WHERE l_quantity > 45 GROUP BY 1""")
 def curator_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").filter("l_quantity > 45").groupBy(F.col("l_suppkey").alias("curator")).agg(F.array_join(F.transform(F.array_sort(F.collect_set("l_partkey")), lambda k: k.cast("string")), ",").alias("matched"), F.sum("l_linenumber").alias("tracks"), F.count(F.lit(1)).alias("n"))
 
