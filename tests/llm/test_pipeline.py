@@ -41,6 +41,18 @@ def test_one_of_each_group(stages):  # noqa: ANN001, ANN201
     assert sorted(i for i, _ in pairs(stages[2])) == sorted({c for _, _, c in links})
 
 
+def test_near_copies_at_five_words(spark):  # noqa: ANN001, ANN201
+    words = [f"w{k}" for k in range(300)]
+    edit = lambda at, n: [f"x{k}" if k in at else w for k, w in enumerate(words[:n])]
+    texts = [words[:186], edit({30, 75, 120, 165}, 186), [f"y{w}" for w in words[:100]], [f"y{w}" for w in words[:122]], [f"z{w}" for w in words[:50]], [f"z{w}" for w in words[:70]]]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    want = sorted({c for _, _, c in brute_links(rows, 5, 80)})
+    assert want == [0, 2, 4, 5]
+    assert len({c for _, _, c in brute_links(rows)}) == 6
+    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), DATA)
+    assert sorted(r.doc_id for r in got.collect()) == want
+
+
 def test_repeats_go(stages):  # noqa: ANN001, ANN201
     want = {r[0]: r[1] - r[2] for r in brute_bytes(pairs(stages[2]), 200)}
     got = dict(pairs(stages[3]))
