@@ -339,6 +339,27 @@ def test_token_ids():  # noqa: ANN201
         assert [ids[a:b].tolist() for a, b in zip(cuts, cuts[1:], strict=False)] == want
 
 
+def test_added_tokens(spark):  # noqa: ANN001, ANN201
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from wrenfold.llm.tokens import PieceEncoder
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, enc = Tokenizer.from_file(path), PieceEncoder(path)
+    end, rng = "<|endoftext|>", random.Random(3)
+    parts = [end, end, " ", "  ", "\n", "a", "'s", "'", "é", "<|endof", "text|>", "1", ""]
+    batches = [["a <|endoftext|> b", "", end, end * 3, "x<|endof", "text|>y", f"it{end}'s"]]
+    batches += [["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(30)] for _ in range(40)]
+    for texts in batches:
+        ids, cuts = enc.encode(np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), np.cumsum([0, *map(len, texts)]))
+        assert [ids[a:b].tolist() for a, b in zip(cuts, cuts[1:], strict=False)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    texts = batches[0]
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, keep_ids=True).collect()}
+    assert got == {k: [*tok.encode(t, add_special_tokens=False).ids, 1] for k, t in enumerate(texts)}
+    assert got[0] == [64, 220, 50256, 275, 1]
+
+
 def test_ogg(spark, docs, empty):  # noqa: ANN001, ANN201
     def slow(data: bytes) -> int:
         c = 0

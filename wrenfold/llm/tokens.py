@@ -2,13 +2,15 @@
 
 The split of a text into pieces (contractions, letters, numbers, other signs, white space) is computed
 for all characters at once; each distinct piece is then encoded by the ``tokenizers`` library and its ids
-are kept in a direct-mapped table of bounded size.  Pieces are told apart by 64-bit hashes.  The ids equal
+are kept in a direct-mapped table of bounded size.  Pieces are told apart by 64-bit hashes.  Texts are first
+cut at the added tokens of the file, which have ids of their own.  The ids equal
 ``Tokenizer.encode(text, add_special_tokens=False)`` of a byte-level BPE without normaliser.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 
 import numpy as np
@@ -93,7 +95,11 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in added.values()):
+            raise ValueError("an added token that is not matched as it stands")
+        self.added = {t.content: i for i, t in added.items()}
+        self.added_at = re.compile("|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.model = self.tokenizer.model
         self.signs = byte_signs()
         self.mask = np.uint64((1 << slot_bits) - 1)
@@ -129,6 +135,25 @@ class PieceEncoder:
 
     def encode(self, chars: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows and their n + 1 offsets; ``chars`` are code points."""
+        cuts = np.asarray(cuts, np.int64)
+        text = chars.tobytes().decode("utf-32-le")
+        if self.added_at is None or not self.added_at.search(text):
+            return self._encode_rows(chars, cuts)
+        found = [m for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False) for m in self.added_at.finditer(text, a, b)]
+        starts, ends = (np.array([m.span()[k] for m in found], np.int64) for k in (0, 1))
+        own = np.array([self.added[m.group()] for m in found], np.uint32)
+        inside = np.zeros(len(chars) + 1, np.int64)
+        np.add.at(inside, starts, 1)
+        np.add.at(inside, ends, -1)
+        inside = np.cumsum(inside)[:-1]
+        ahead = np.concatenate(([0], np.cumsum(inside == 0)))  # of what is left without them
+        ids, at = self._encode_rows(chars[inside == 0], np.sort(ahead[np.concatenate((cuts, starts))]))
+        edges = np.sort(np.concatenate((cuts, starts)))  # no added token is empty or crosses a cut: same order as ahead of it
+        places = at[np.searchsorted(edges, starts, "right") - 1]
+        return np.insert(ids, places, own), at[np.searchsorted(edges, cuts)] + np.searchsorted(starts, cuts)
+
+    def _encode_rows(self, chars: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``encode`` for rows without added tokens."""
         if not len(chars):
             return np.zeros(0, np.uint32), np.zeros(len(cuts), np.int64)
         if self.used > self.pool_limit:
