@@ -13,6 +13,7 @@ from tests.conftest import DATA
 from wrenfold.functions import signal
 from wrenfold.functions import text as X
 from wrenfold.operators import retrieval
+from wrenfold.operators.media import sequence_order
 from wrenfold.plans import guards
 from wrenfold.sources import files, sinks
 from wrenfold.sources.paged import PagedJson
@@ -142,3 +143,22 @@ def test_stream_sends_once(spark, tmp_path):  # noqa: ANN001, ANN201
     handle(batch, 99)
     handle(batch, 99)  # the same batch again
     assert len(sent) == n + 1
+
+
+def test_sequence_order_keeps_all_parts(spark):  # noqa: ANN001, ANN201
+    parts = {r.p_partkey: r.p_brand for r in spark.read.parquet(f"{DATA}/part.parquet").collect()}
+    got = sequence_order(spark, DATA).collect()
+    assert sorted((r.p_partkey, r.p_brand) for r in got) == sorted(parts.items())
+    assert len({(r.p_brand, r.edit, r.position) for r in got}) == len(got)
+    assert max(r.position for r in got) < 24
+
+
+def test_sequence_order_of_many_parts(spark, tmp_path):  # noqa: ANN001, ANN201
+    spark.createDataFrame([("b", k, k * 7 % 50 + 1) for k in range(60)], "p_brand string, p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = sorted(((r.edit, r.position, r.p_partkey, r.cost) for r in sequence_order(spark, str(tmp_path)).collect()))
+    want = []
+    for edit in range(3):
+        keys = np.arange(24 * edit, min(60, 24 * edit + 24))
+        order, cost = signal.order_sequence(((keys * 7 % 50) // 10 + 1).astype(float), np.linspace(1, 5, len(keys)), 6000)
+        want += [(edit, i, int(k), cost) for i, k in enumerate(keys[order])]
+    assert got == want

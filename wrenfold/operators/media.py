@@ -165,15 +165,17 @@ def overlay_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("m14_sequence_order")
 def sequence_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each brand's parts by key, in edits of 24 clips; all edits are ordered."""
+
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("p_partkey").head(24)
+        pdf = pdf.sort_values("p_partkey")
         levels = (pdf["p_size"].to_numpy() - 1) // 10 + 1
-        order, cost = signal.order_sequence(levels.astype(float), np.linspace(1, 5, len(levels)), 2000)
-        return pd.DataFrame({"p_brand": pdf["p_brand"].iloc[0], "position": range(len(order)), "p_partkey": pdf["p_partkey"].to_numpy()[order], "cost": cost})
+        order, cost = signal.order_sequence(levels.astype(float), np.linspace(1, 5, len(levels)))
+        return pd.DataFrame({"p_brand": pdf["p_brand"].iloc[0], "edit": pdf["edit"].iloc[0], "position": range(len(order)), "p_partkey": pdf["p_partkey"].to_numpy()[order], "cost": cost})
 
     rank = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
-    first = table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_size").withColumn("rn", rank).filter("rn <= 24").drop("rn")  # an edit has two dozen clips
-    return first.groupBy("p_brand").applyInPandas(work, "p_brand string, position int, p_partkey long, cost double")
+    parts = table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_size").withColumn("edit", F.floor((rank - 1) / 24).cast("int"))  # an edit has two dozen clips
+    return parts.groupBy("p_brand", "edit").applyInPandas(work, "p_brand string, edit int, position int, p_partkey long, cost double")
 
 
 @query("m15_rule_checks", """SELECT l_orderkey, 'gap' AS rule, count(*) AS violations FROM (SELECT l_orderkey, l_linenumber - lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS d FROM lineitem) WHERE d > 1 GROUP BY 1
