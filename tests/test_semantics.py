@@ -162,3 +162,11 @@ def test_sequence_order_of_many_parts(spark, tmp_path):  # noqa: ANN001, ANN201
         order, cost = signal.order_sequence(((keys * 7 % 50) // 10 + 1).astype(float), np.linspace(1, 5, len(keys)), 6000)
         want += [(edit, i, int(k), cost) for i, k in enumerate(keys[order])]
     assert got == want
+
+
+def test_captions_time_whole_turns(spark, tmp_path):  # noqa: ANN001, ANN201
+    turns = [(1, t, f"a{t} " + "long\n word " * 20) for t in (0, 1, 59, 60, 61, 3600, 400000)]
+    spark.createDataFrame(turns, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted((r.idx, r.start_s, r.word) for r in files.captions(spark, str(tmp_path)).collect())
+    words = [(float(t), w) for _, t, text in turns for w in text.split()]
+    assert got == [(i, t, w) for i, (t, w) in enumerate(words)]

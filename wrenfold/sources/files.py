@@ -187,9 +187,11 @@ def timed_words(text: str) -> list[tuple[float, str]]:
 def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as rolling cues: each line is shown once more in the cue after it."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    line = F.substring(F.regexp_replace("text", r"\s+", " "), 1, 60)
-    cue = F.concat(F.lit("00:00:"), F.lpad(F.col("turn").cast("string"), 2, "0"), F.lit(".000 --> 00:01:00.000\n"), F.coalesce(F.concat(F.lag(line).over(w), F.lit("\n")), F.lit("")), line)
-    rows = table(spark, sf_dir, "conversations").filter("turn < 60").select("conv_id", "turn", cue.alias("cue"))
+    line = F.regexp_replace("text", r"\s+", " ")
+    stamp = lambda s: F.format_string("%02d:%02d:%02d.000", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)
+    at = F.col("turn").cast("long")
+    cue = F.concat(stamp(at), F.lit(" --> "), stamp(at + 1), F.lit("\n"), F.coalesce(F.concat(F.lag(line).over(w), F.lit("\n")), F.lit("")), line)
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", cue.alias("cue"))
     vtt = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "cue"))).alias("cues")).select("conv_id", F.concat(F.lit("WEBVTT\n\n"), F.array_join(F.transform("cues", lambda c: c["cue"]), "\n\n")).alias("vtt"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
