@@ -454,6 +454,16 @@ def test_licenses(spark, docs, empty):  # noqa: ANN001, ANN201
     assert licenses.recognise(docs).count() == len(ROWS)
 
 
+def test_licenses_in_padding_and_joined(spark):  # noqa: ANN001, ANN201
+    gpl = """This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version %d of the License, or
+    (at your option) any later version."""
+    rows = [(1, "/" + "*" * 5000 + " MIT License " + "*" * 5000 + "/"), (2, " " * 9000 + "Licensed under CC BY-NC 4.0"), (3, gpl % 3), (4, gpl % 2), (5, gpl.replace(",", ";", 1) % 3)]
+    got = {r.doc_id: (r.licences, r.left_over) for r in licenses.recognise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("MIT", ""), 2: ("CC-BY-NC-4.0", ""), 3: ("GPL-3.0-or-later", ""), 4: ("GPL-2.0-or-later", ""), 5: ("GPL-3.0-or-later", "")}
+
+
 def test_warc_audit(spark):  # noqa: ANN001, ANN201
     rows = [(None, None, None), (None, "u", "x"), (1, "a", "b"), (1, "a", "b"), (1, "a", "c"), (2, None, "z")] + [(5, "q", str(k)) for k in range(700)] + [(k, "r", "t" * k) for k in range(10, 600)]
     a = spark.createDataFrame([(*r, "s") for r in rows], "page_id long, url string, html string, slot string")

@@ -57,6 +57,12 @@ SENTENCES = {
     "all rights reserved": "Reserved",
 }
 
+# Sentences as the GPL's own notice joins them, by a comma.  ``oracle_sql`` is without them.
+JOINED_SENTENCES = {
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "GPL3termsLater",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "GPL2termsLater",
+}
+
 # Fixed values: (licence, identifiers that follow each other), tried in this order.
 RULES = (
     ("MIT", ("MITtitle", "MITgrant", "MITnotice")),
@@ -80,6 +86,10 @@ RULES = (
     ("CC-BY-NC-4.0", ("CCBYNC4ref",)),
     ("MPL-2.0", ("MPL2ref",)),
 )
+JOINED_RULES = (
+    ("GPL-3.0-or-later", ("FreeSoftware", "GPL3termsLater")),
+    ("GPL-2.0-or-later", ("FreeSoftware", "GPL2termsLater")),
+)
 #: Licences whose texts may not go into a training set that is to be shared freely.
 RESTRICTED = ("CC-BY-NC-4.0",)
 
@@ -91,13 +101,13 @@ def normalised(sentence: Column) -> Column:
 def identifiers(text: Column) -> Column:
     """The identifiers of known sentences, in text order."""
     marked = F.regexp_replace(F.coalesce(text, F.lit("")), LINE_BEFORE_CAPITAL, LINE_MARK)
-    table = F.create_map(*[F.lit(x) for kv in SENTENCES.items() for x in kv])
-    named = F.transform(F.split(marked, SENTENCE_END), lambda s: F.when(F.length(s).between(*_span()), F.element_at(table, normalised(s))))
+    table = F.create_map(*[F.lit(x) for kv in (SENTENCES | JOINED_SENTENCES).items() for x in kv])
+    named = F.transform(F.split(marked, SENTENCE_END), lambda s: F.element_at(table, normalised(s)))
     return F.filter(named, lambda x: x.isNotNull())
 
 
 def _span() -> tuple[int, int]:
-    """No shorter and no very much longer sentence can normalise to a known one."""
+    """The lengths that ``oracle_sql`` looks at: it leaves out known sentences in long padding."""
     return min(map(len, SENTENCES)), 4 * max(map(len, SENTENCES))
 
 
@@ -105,11 +115,12 @@ def recognise(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_sentences (known ones), identifiers, licences (sorted, comma-joined), left_over, restricted."""
     ids = docs.select(F.col("doc_id").cast("long"), identifiers(F.col("text")).alias("ids"))
     rows = ids.select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", ",").alias("identifiers"), F.concat(F.lit(" "), F.array_join("ids", "  "), F.lit(" ")).alias("seq0"))
-    for k, (_, run) in enumerate(RULES):
+    rules = JOINED_RULES + RULES
+    for k, (_, run) in enumerate(rules):
         rows = rows.withColumn(f"seq{k + 1}", F.replace(F.col(f"seq{k}"), F.lit(_run(run)), F.lit("|")))
-    found = F.array(*[F.when(F.col(f"seq{k}") != F.col(f"seq{k + 1}"), F.lit(name)) for k, (name, _) in enumerate(RULES)])
+    found = F.array(*[F.when(F.col(f"seq{k}") != F.col(f"seq{k + 1}"), F.lit(name)) for k, (name, _) in enumerate(rules)])
     licences = F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull())))
-    rest = F.col(f"seq{len(RULES)}")
+    rest = F.col(f"seq{len(rules)}")
     left = F.regexp_replace(F.trim(F.replace(rest, F.lit("|"), F.lit(" "))), " +", ",")
     return rows.select(
         "doc_id", "n_sentences", "identifiers", F.array_join(licences, ",").alias("licences"), left.alias("left_over"), F.arrays_overlap(licences, F.array(*map(F.lit, RESTRICTED))).alias("restricted")
