@@ -427,6 +427,25 @@ def test_toxicity(spark, docs, empty):  # noqa: ANN001, ANN201
     assert kept.columns == docs.columns
 
 
+def test_all_swaps_count():  # noqa: ANN201
+    def swaps(text: bytes) -> collections.Counter:
+        out: collections.Counter = collections.Counter()
+        for sentence in re.split(rb"[.!?\n]", text):
+            words = [(m.start(), m.end()) for m in re.finditer(rb"[0-9a-z\x80-\xff]+", sentence)]
+            for a, b in words:
+                for other in toxicity._OTHERS.get(sentence[a:b], ()):
+                    x, y = toxicity._of(sentence), toxicity._of(sentence[:a] + other + sentence[b:])
+                    out[np.setdiff1d(x, y).tobytes(), np.setdiff1d(y, x).tobytes()] += 1
+        return out
+
+    text = low("The old man and the young woman, Muslims or Jews. All MUSLIMS welcome! all muslims welcome? Muslimsmuslims.\nwhite, whitewash and the white; Frauen und Männer\nWomen women and men_and boys 1men").encode() * 3
+    got = toxicity.counterfactuals(text)
+    assert got == swaps(text)
+    assert sum(got.values()) > 100
+    late = toxicity.counterfactuals(b"black. " * 5 + b"deaf.")
+    assert sum(late.values()) == 5 * 6 + 3
+
+
 MIT = """The MIT License
 
 Permission is hereby granted, free of charge, to any person obtaining a copy

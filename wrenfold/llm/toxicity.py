@@ -1,8 +1,8 @@
 """A counterfactual-regularised toxicity classifier.
 
 Logistic regression on the presence of words and word beginnings (hashed).  Labelled sentences that mention
-an identity term are copied with the term swapped for others of its kind, and the training loss penalises the
-squared change of the logit, so that a mention of a group does not itself raise a score.
+an identity term are copied with the term swapped for others of its kind (all mentions of all sentences; equal
+copies count by their number), and the training loss penalises the squared change of the logit, so that a mention of a group does not itself raise a score.
 
 The model is fitted on the driver, on at most ``sample`` labelled documents (those with the least hash of
 their id), each sent as hashed feature numbers; scoring runs over all documents, whole texts, in one pass.
@@ -15,6 +15,9 @@ gives an empty result.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,6 +44,8 @@ IDENTITY_TERMS = (
     ("frauen", "männer"), ("mujeres", "hombres"), ("femmes", "hommes"),
 )
 _OTHERS = {t.encode(): [o.encode() for o in kind if o != t] for kind in IDENTITY_TERMS for t in kind}
+_MENTION = re.compile(rb"(?<![0-9a-z\x80-\xff])(?:" + b"|".join(_OTHERS) + rb")(?![0-9a-z\x80-\xff])")
+_STOP = re.compile(rb"[.\n!?]")
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -64,33 +69,38 @@ def _of(text: bytes) -> np.ndarray:
     return np.unique(features(data, np.array([0, len(data)]))[0].astype(np.int32)) if len(data) else np.zeros(0, np.int32)
 
 
-def counterfactuals(text: bytes, most: int = 8) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(features that a swap takes away, features that it adds) for the sentences of a lower-cased text that mention identity terms."""
-    out: list[tuple[np.ndarray, np.ndarray]] = []
-    for sentence in text.replace(b"\n", b".").replace(b"!", b".").replace(b"?", b".").split(b"."):
+_TERM_FEATURES = {t: _of(t) for t in _OTHERS}
+
+
+def counterfactuals(text: bytes) -> Counter[tuple[bytes, bytes]]:
+    """(features that a swap takes away, features that it adds), as int32 bytes, and their number, for all sentences of a lower-cased text that mention identity terms."""
+    out: Counter[tuple[bytes, bytes]] = Counter()
+    for sentence, copies in Counter(s for s in _STOP.split(text) if _MENTION.search(s)).items():
         data = np.frombuffer(sentence, np.uint8)
-        starts, ends, _ = textops.find_words(data, np.array([0, len(data)]), textops.ALNUM_OR_HIGH)
-        words = [sentence[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        for i, w in enumerate(words):
-            for other in _OTHERS.get(w, ()):
-                if len(out) == most:
-                    return out
-                a, b = _of(sentence), _of(b" ".join([*words[:i], other, *words[i + 1 :]]))
-                out.append((np.setdiff1d(a, b), np.setdiff1d(b, a)))
+        has, count = np.unique(features(data, np.array([0, len(data)]))[0].astype(np.int32), return_counts=True)
+        once = has[count == 1]
+        for w, mentions in Counter(_MENTION.findall(sentence)).items():
+            own = _TERM_FEATURES[w]
+            for other in _OTHERS[w]:
+                new = _TERM_FEATURES[other]
+                gone = np.setdiff1d(np.intersect1d(own, once), new)
+                out[gone.tobytes(), np.setdiff1d(new, has).tobytes()] += copies * mentions
     return out
 
 
 def _sampled(batches):  # noqa: ANN001, ANN202
     for batch in batches:
-        rows = {"y": [], "present": [], "gone": [], "come": []}
+        rows = {"y": [], "present": [], "gone": [], "come": [], "times": []}
         for y, text in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist(), strict=True):
             raw = textops.LOWER[np.frombuffer((text or "").encode(), np.uint8)].tobytes()
             pairs = counterfactuals(raw)
             rows["y"].append(y)
             rows["present"].append(_of(raw).tobytes())
-            rows["gone"].append([a.tobytes() for a, _ in pairs])
-            rows["come"].append([b.tobytes() for _, b in pairs])
-        yield pa.RecordBatch.from_pydict({"y": pa.array(rows["y"], pa.int32()), "present": pa.array(rows["present"], pa.binary()), "gone": pa.array(rows["gone"], pa.list_(pa.binary())), "come": pa.array(rows["come"], pa.list_(pa.binary()))})
+            rows["gone"].append([a for a, _ in pairs])
+            rows["come"].append([b for _, b in pairs])
+            rows["times"].append([*pairs.values()])
+        kinds = {"y": pa.int32(), "present": pa.binary(), "gone": pa.list_(pa.binary()), "come": pa.list_(pa.binary()), "times": pa.list_(pa.int64())}
+        yield pa.RecordBatch.from_pydict({c: pa.array(rows[c], kind) for c, kind in kinds.items()})
 
 
 class Model:
@@ -140,17 +150,21 @@ def fit(rows: list, counterfactual: float = 1.0, decay: float = 1e-3, least_gain
     keep = slot[flat] >= 0
     col, doc = slot[flat[keep]], doc[keep]
     del flat, keep, a, seen
-    swap_col, swap_row, sign, swaps = [], [], [], 0
+    distinct: Counter[tuple[bytes, bytes]] = Counter()
     for r in rows:
-        for gone, come in zip(r.gone, r.come, strict=True):
-            for blob, s in ((gone, 1.0), (come, -1.0)):
-                c = slot[np.frombuffer(blob, np.int32)]
-                c = c[c >= 0]
-                swap_col.append(c)
-                swap_row.append(np.full(len(c), swaps))
-                sign.append(np.full(len(c), s))
-            swaps += 1
+        for gone, come, times in zip(r.gone, r.come, r.times, strict=True):
+            distinct[bytes(gone), bytes(come)] += times
+    swap_col, swap_row, sign, swaps = [], [], [], len(distinct)
+    weight = np.array([*distinct.values()], np.float64)
+    for i, pair in enumerate(distinct):
+        for blob, s in zip(pair, (1.0, -1.0), strict=True):
+            c = slot[np.frombuffer(blob, np.int32)]
+            c = c[c >= 0]
+            swap_col.append(c)
+            swap_row.append(np.full(len(c), i))
+            sign.append(np.full(len(c), s))
     if swaps:
+        weight /= weight.sum()
         swap_col, swap_row, sign = np.concatenate(swap_col), np.concatenate(swap_row), np.concatenate(sign)
     n, k = len(y), len(known)
     w, bias, m, v = np.zeros(k + 1), float(np.log(base / (1 - base))), np.zeros(k + 1), np.zeros(k + 1)
@@ -161,7 +175,7 @@ def fit(rows: list, counterfactual: float = 1.0, decay: float = 1e-3, least_gain
         grad = np.append(np.bincount(col, err[doc], minlength=k) + 2 * decay / n * w[:k] * count, err.sum())
         if swaps:
             change = np.bincount(swap_row, sign * w[swap_col], minlength=swaps)
-            grad[:k] += 2 * counterfactual / swaps * np.bincount(swap_col, sign * change[swap_row], minlength=k)
+            grad[:k] += 2 * counterfactual * np.bincount(swap_col, sign * (weight * change)[swap_row], minlength=k)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return Model(known, w[:k], float(w[k]))
@@ -176,7 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8192, **options: flo
     one = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("t")).filter("id IS NOT NULL AND t IS NOT NULL").filter(~held_out("id"))
     one = one.groupBy("id").agg(F.max("t").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(one), F.col("doc_id") == F.col("id"))  # at most ``sample`` rows are broadcast
-    return fit(rows.select("y", "text").mapInArrow(_sampled, "y int, present binary, gone array<binary>, come array<binary>").collect(), **options)
+    return fit(rows.select("y", "text").mapInArrow(_sampled, "y int, present binary, gone array<binary>, come array<binary>, times array<bigint>").collect(), **options)
 
 
 def score_documents(docs: DataFrame, model: Model, keep: bool = False, threshold: float = 0.5) -> DataFrame:
