@@ -15,17 +15,16 @@ any other; extra columns are ignored; an empty table gives no pieces.
 
 from __future__ import annotations
 
-import math
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wrenfold.llm import textops
+from wrenfold.llm import ranks, textops
 from wrenfold.llm.storage import stored
 
 BLOCK = 1 << 20
@@ -153,22 +152,15 @@ def _pieces(doc_ids: pa.Array, tokens: np.ndarray, cuts: np.ndarray, end_id: int
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 2048, keep_ids: bool = False, rows_per_salt: int = 1 << 18) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids)."""
     spark = docs.sparkSession
-    salted = tokenized(docs, tokenizer_path, end_id, capacity, keep_ids).withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(1 << 16)))
-    pieces = stored(salted, "pieces")
-    total = pieces.count()
-    salts = 1 << max(3, math.ceil(math.log2(max(1, total / rows_per_salt))))
-    pieces = pieces.withColumn("salt", (F.col("salt") % salts).cast("int"))
-    counts = pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))  # at most capacity * salts rows
-    ahead = counts.withColumn("ahead", F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)))
-    ahead = ahead.select("length", "salt", F.coalesce("ahead", F.lit(0)).alias("ahead"))
-    histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
+    pieces = stored(tokenized(docs, tokenizer_path, end_id, capacity, keep_ids), "pieces")
+    counts = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n"))
+    histogram = {r.length: r.n for r in counts.collect()}  # at most capacity rows
     runs, _ = best_fit_decreasing(histogram, capacity)
     plan = spark.createDataFrame(
         [(r.length, r.first, r.first + r.count, r.window, r.each, r.offset) for r in runs] or [],
         "length long, lo long, hi long, window long, each long, room long",
     )  # runs depend on lengths, not on documents
-    within = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32")
-    ranked = pieces.withColumn("nth", F.row_number().over(within) - 1).join(F.broadcast(ahead), ["length", "salt"]).withColumn("rank", F.col("nth") + F.col("ahead"))
+    ranked = ranks.ranked(pieces, "length", ["doc_id", "start", "ids_crc32"], ranks.salts_for(sum(histogram.values()), rows_per_salt), "rank")
     steps = plan.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "window", "each", "room"))).alias("runs"))
     placed = ranked.join(F.broadcast(steps), "length")
     run = F.expr("filter(runs, r -> r.lo <= rank AND rank < r.hi)[0]")

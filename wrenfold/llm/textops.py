@@ -42,6 +42,7 @@ ALNUM_OR_HIGH[0x30:0x3A] = ALNUM_OR_HIGH[0x61:0x7B] = ALNUM_OR_HIGH[0x80:] = Tru
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], _U64)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -97,21 +98,72 @@ def find_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tupl
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Positions start, start + 1, ... of all stretches, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
+def _blocks(aligned: np.ndarray, at: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position, with zeros from ``ends`` on; ``aligned``: the bytes as 64-bit numbers, one more than they fill."""
+    word, shift = at >> 3, ((at & 7) << 3).astype(_U64)
+    found = aligned[word] >> shift
+    found |= (aligned[word + 1] << _U64(1)) << (_U64(63) - shift)
+    found &= _MASKS[np.minimum(ends - at, 8)]
+    return found
+
+
+def _aligned(data: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(data) >> 3) + 2, _U64)
+    out.view(np.uint8)[: len(data)] = data
+    return out
+
+
+def _mixed(blocks: np.ndarray, place: np.ndarray | int) -> np.ndarray:
+    """Each block mixed with its place in its word, twice: no structure of the bytes carries through a sum of these."""
+    blocks = mix(blocks)
+    blocks += (np.asarray(place).astype(_U64) + _U64(1)) * _U64(WORD_BASE)
+    return mix(blocks)
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    words, size = _aligned(data), ends - starts
+    out = _mixed(_blocks(words, starts, ends), 0)
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        more = (size[long] - 1) >> 3  # blocks behind the first
+        place = ranges(np.ones(len(long), np.int64), more)
+        at = np.repeat(starts[long], more) + 8 * place
+        out[long] += np.add.reduceat(_mixed(_blocks(words, at, np.repeat(ends[long], more)), place), np.cumsum(more) - more)
+    out ^= size.astype(_U64) * _U64(BYTE_BASE)
+    return mix(out)
+
+
+def byte_blocks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words as blocks of eight bytes, the last of each filled with zeros, and the n + 1 places of the words in them."""
+    sizes = (ends - starts + 7) >> 3
+    first = np.concatenate(([0], np.cumsum(sizes)))
+    at = np.repeat(starts - 8 * first[:-1], sizes) + 8 * np.arange(first[-1])
+    return _blocks(_aligned(data), at, np.repeat(ends, sizes)), first
+
+
+def block_hashes(blocks: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """What ``word_hashes`` gives, from ``byte_blocks`` and the words' sizes."""
+    place = np.arange(len(blocks)) - np.repeat(first[:-1], np.diff(first))
+    return mix(np.add.reduceat(_mixed(blocks, place), first[:-1]) ^ (size.astype(_U64) * _U64(BYTE_BASE)))
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: int = 1 << 19) -> np.ndarray:
-    """A 64-bit hash of each word: differences of the prefix sums of a byte polynomial, brought to a common power."""
+    """A 64-bit hash of each word (none is empty), worked in stretches of about ``limit`` bytes."""
     out = np.empty(len(starts), _U64)
     lo = 0
     while lo < len(starts):
         base = int(starts[lo])
         hi = max(lo + 1, int(np.searchsorted(ends, base + limit, "right")))
-        stop = int(ends[hi - 1])
-        sums = np.empty(stop - base + 1, _U64)
-        sums[0] = 0
-        np.cumsum(BYTE_VALUES[data[base:stop]] * powers(BYTE_BASE, stop - base), out=sums[1:])
         s, e = starts[lo:hi] - base, ends[lo:hi] - base
-        out[lo:hi] = (sums[e] - sums[s]) * powers(_INV_BYTE_BASE, stop - base)[s]
+        out[lo:hi] = _hashes(data[base : int(ends[hi - 1])], s, e)
         lo = hi
-    return mix(out)
+    return out
 
 
 def window_hashes(items: np.ndarray, width: int, base: int = WORD_BASE) -> np.ndarray:

@@ -2,8 +2,8 @@
 
 The split of a text into pieces (contractions, letters, numbers, other signs, white space) is computed
 for all characters at once; each distinct piece is then encoded by the ``tokenizers`` library and its ids
-are kept in a direct-mapped table of bounded size.  Pieces are told apart by 64-bit hashes.  Texts are first
-cut at the added tokens of the file, which have ids of their own.  The ids equal
+are kept in a direct-mapped table of bounded size.  Pieces are found by 64-bit hashes and then compared byte by
+byte.  Texts are first cut at the added tokens of the file, which have ids of their own.  The ids equal
 ``Tokenizer.encode(text, add_special_tokens=False)`` of a byte-level BPE without normaliser.
 """
 
@@ -104,34 +104,32 @@ class PieceEncoder:
         self.signs = byte_signs()
         self.mask = np.uint64((1 << slot_bits) - 1)
         self.pool_limit = pool
-        self.values = textops.mix(np.arange(1, 0x110001, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
         self._reset(1 << slot_bits)
 
     def _reset(self, slots: int) -> None:
         self.keys = np.zeros(slots, np.uint64)
-        self.at = np.zeros(slots, np.int32)
-        self.size = np.zeros(slots, np.int32)
-        self.pool = np.zeros(1 << 16, np.uint32)
-        self.used = 0
+        self.at, self.size = np.zeros(slots, np.int32), np.zeros(slots, np.int32)  # ids in the pool
+        self.own, self.length = np.zeros(slots, np.int32), np.zeros(slots, np.int32)  # blocks of the piece, and its bytes
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.blocks, self.blocks_used = np.zeros(1 << 16, np.uint64), 0
 
-    def _encode(self, pieces: list[str]) -> list[list[int]]:
+    def _encode(self, pieces: list[bytes]) -> list[list[int]]:
         """The ids of each piece, by the tokenizer's own merges.  A piece is a whole word to the model, so splitting it again is left out."""
-        raw = [p.encode() for p in pieces]
-        text = self.signs[np.frombuffer(b"".join(raw), np.uint8)].tobytes().decode("utf-32-le")
+        text = self.signs[np.frombuffer(b"".join(pieces), np.uint8)].tobytes().decode("utf-32-le")
         out, at = [], 0
         tokenize = self.model.tokenize
-        for r in raw:
-            out.append([t.id for t in tokenize(text[at : at + len(r)])])
-            at += len(r)
+        for p in pieces:
+            out.append([t.id for t in tokenize(text[at : at + len(p)])])
+            at += len(p)
         return out
 
-    def _keep(self, ids: np.ndarray) -> int:
-        at = self.used
-        while at + len(ids) > len(self.pool):
-            self.pool = np.concatenate((self.pool, np.zeros(len(self.pool), np.uint32)))
-        self.pool[at : at + len(ids)] = ids
-        self.used = at + len(ids)
-        return at
+    @staticmethod
+    def _appended(pool: np.ndarray, used: int, new: np.ndarray) -> np.ndarray:
+        """``pool`` with ``new`` from ``used`` on; it doubles until they fit."""
+        while used + len(new) > len(pool):
+            pool = np.concatenate((pool, np.zeros_like(pool)))
+        pool[used : used + len(new)] = new
+        return pool
 
     def encode(self, chars: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows and their n + 1 offsets; ``chars`` are code points."""
@@ -159,27 +157,50 @@ class PieceEncoder:
         if self.used > self.pool_limit:
             self._reset(len(self.keys))
         starts = piece_starts(chars, cuts)
-        ends = np.append(starts[1:], len(chars))
-        sums = np.empty(len(chars) + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(self.values[chars] * textops.powers(textops.BYTE_BASE, len(chars)), out=sums[1:])
-        hashes = textops.mix((sums[ends] - sums[starts]) * textops.powers(textops._INV_BYTE_BASE, len(chars))[starts])
-        hashes |= np.uint64(1) << np.uint64(63)  # never 0, the empty slot
+        data = np.frombuffer(chars.tobytes().decode("utf-32-le").encode(), np.uint8)
+        lead = starts if len(data) == len(chars) else np.flatnonzero((data & 0xC0) != 0x80)[starts]  # in bytes
+        ends = np.append(lead[1:], len(data))
+        length, (blocks, first) = ends - lead, textops.byte_blocks(data, lead, ends)
+        count = np.diff(first)
+        hashes = textops.block_hashes(blocks, first, length) | (np.uint64(1) << np.uint64(63))  # never 0, the empty slot
         slot = (hashes & self.mask).astype(np.int64)
-        at, size = self.at[slot].astype(np.int64), self.size[slot]
-        miss = np.flatnonzero(self.keys[slot] != hashes)
-        if len(miss):
-            order = miss[np.argsort(hashes[miss], kind="stable")]
-            lead = np.concatenate(([True], hashes[order[1:]] != hashes[order[:-1]]))
-            heads = order[lead]
-            text = chars.tobytes().decode("utf-32-le")
-            found = self._encode([text[a:b] for a, b in zip(starts[heads].tolist(), ends[heads].tolist(), strict=True)])
+        hit = np.flatnonzero((self.keys[slot] == hashes) & (self.length[slot] == length))
+        hit = hit[_same(self.blocks, self.own[slot[hit]], blocks, first[hit], count[hit])]
+        at, size = np.zeros(len(lead), np.int64), np.zeros(len(lead), np.int64)
+        at[hit], size[hit] = self.at[slot[hit]], self.size[slot[hit]]
+        todo = np.ones(len(lead), bool)
+        todo[hit] = False
+        todo, raw = np.flatnonzero(todo), data.tobytes()
+        while len(todo):  # again only for pieces that share a hash with another of this call
+            todo = todo[np.argsort(hashes[todo], kind="stable")]
+            new = np.concatenate(([True], hashes[todo[1:]] != hashes[todo[:-1]]))
+            heads, group = todo[new], np.cumsum(new) - 1
+            found = self._encode([raw[a:b] for a, b in zip(lead[heads].tolist(), ends[heads].tolist(), strict=True)])
             sizes = np.fromiter(map(len, found), np.int64, len(found))
-            base = self._keep(np.fromiter((i for f in found for i in f), np.uint32, int(sizes.sum())))
-            places = base + np.cumsum(sizes) - sizes
-            group = np.cumsum(lead) - 1
-            at[order], size[order] = places[group], sizes[group]
-            self.keys[slot[heads]], self.at[slot[heads]], self.size[slot[heads]] = hashes[heads], places, sizes
+            places = self.used + np.cumsum(sizes) - sizes
+            self.pool = self._appended(self.pool, self.used, np.fromiter((i for f in found for i in f), np.uint32, int(sizes.sum())))
+            own = self.blocks_used + np.cumsum(count[heads]) - count[heads]
+            self.blocks = self._appended(self.blocks, self.blocks_used, blocks[textops.ranges(first[heads], count[heads])])
+            self.used, self.blocks_used = self.used + int(sizes.sum()), self.blocks_used + int(count[heads].sum())
+            s = slot[heads]
+            self.keys[s], self.at[s], self.size[s], self.own[s], self.length[s] = hashes[heads], places, sizes, own, length[heads]
+            mine = length[todo] == length[heads][group]
+            mine[mine] = _same(blocks, first[heads[group[mine]]], blocks, first[todo[mine]], count[todo[mine]])
+            at[todo[mine]], size[todo[mine]] = places[group[mine]], sizes[group[mine]]
+            todo = todo[~mine]
         total = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
         ids = self.pool[np.arange(total[-1]) + np.repeat(at - total[:-1], size)]
         return ids, total[np.searchsorted(starts, cuts)]
+
+
+def _same(x: np.ndarray, x_at: np.ndarray, y: np.ndarray, y_at: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Whether runs of ``count`` blocks (one at least) of x and y are equal."""
+    if not len(count):
+        return np.zeros(0, bool)
+    same = x[x_at] == y[y_at]
+    long = np.flatnonzero(same & (count > 1))
+    if len(long):
+        more = count[long] - 1
+        differ = x[textops.ranges(x_at[long] + 1, more)] != y[textops.ranges(y_at[long] + 1, more)]
+        same[long] = ~np.logical_or.reduceat(differ, np.cumsum(more) - more)
+    return same
