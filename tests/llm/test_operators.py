@@ -69,9 +69,71 @@ def test_text_core():  # noqa: ANN201
     assert (exchange.unpack_sorted(exchange.pack_sorted(keys)) == keys).all()
 
 
+def test_structured_words_differ():  # noqa: ANN201
+    """Words of the Thue-Morse sequence and of its complement collide under every polynomial modulo a power of two."""
+    for doublings in (3, 8, 10, 12):
+        one, two = b"a", b"b"
+        for _ in range(doublings):
+            one, two = one + two, two + one
+        data = np.frombuffer(one + b" " + two + b" " + one, np.uint8)
+        h = textops.word_hashes(data, *textops.find_words(data, np.array([0, len(data)]), textops.NOT_SPACE)[:2])
+        assert h[0] == h[2] != h[1]
+    rng = random.Random(5)
+    words = [bytes(rng.randint(1, 255) for _ in range(rng.randint(1, 70))).replace(b" ", b"x") for _ in range(400)] + [b"a", b"a\0", b"a\0\0", b"aaaaaaaa", b"aaaaaaaa\0"]
+    ends = np.cumsum([len(w) for w in words])
+    h = textops.word_hashes(np.frombuffer(b"".join(words), np.uint8), ends - [len(w) for w in words], ends, 50)
+    assert len({*h.tolist()}) == len({*words})
+
+
+@pytest.mark.parametrize(("fan", "bits"), [(10, 0), (10, 6), (2, 2), (2, 6), (1, 5)])
+def test_key_exchange(spark, fan, bits):  # noqa: ANN001, ANN201
+    """Over any number of levels the answers are those of one table of all keys; rows sent are bounded by shards and levels."""
+    rng = np.random.default_rng(bits)
+    pool = rng.integers(0, 1 << 63, 300).astype(np.uint64) * np.uint64(2)
+    keys = [np.unique(rng.choice(pool, 60)) for _ in range(23)]
+    vals = [rng.integers(-5, 5, len(k)) for k in keys]
+    import pandas as pd
+
+    frames = pd.concat([exchange.sent(s, k, v, bits, fan=fan).to_pandas() for s, (k, v) in enumerate(zip(keys, vals, strict=True))])
+    lists = spark.createDataFrame(frames, exchange.SENT)
+    total, first = collections.Counter(), {}
+    for s, (k, v) in enumerate(zip(keys, vals, strict=True)):
+        for x, n in zip(k.tolist(), v.tolist(), strict=True):
+            total[x] += n
+            first[x] = min(first.get(x, (99, 99)), (n, s))
+    for question, want in ((exchange.of_sum(lambda t: t % 7), lambda s, x, n: total[x] % 7), (exchange.of_first(), lambda s, x, n: int(first[x] != (n, s)))):
+        got = exchange.ask(lists, question, bits, len(keys), fan=fan).toPandas()
+        for s, (k, v) in enumerate(zip(keys, vals, strict=True)):
+            said = exchange.received(exchange.pa.Table.from_pandas(got[got["shard"] == s]))
+            assert said.tolist() == [want(s, x, n) for x, n in zip(k.tolist(), v.tolist(), strict=True)]
+
+
+def test_hot_keys_are_spread(spark):  # noqa: ANN001, ANN201
+    from pyspark.sql import functions as F
+
+    from wrenfold.llm.ranks import spread_join
+
+    rows = spark.range(3000).select("id", F.expr("IF(id % 3 = 0, 7, id)").alias("k"))
+    side = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    for how in ("inner", "left"):
+        got = spread_join(rows, side.filter("k % 2 = 1"), ["k"], "n", how, least=50).select("id", "k", "least")
+        want = rows.join(side.filter("k % 2 = 1"), "k", how).select("id", "k", "least")
+        assert rows_of(got) == rows_of(want)
+
+
+def test_one_text_many_ids(spark):  # noqa: ANN001, ANN201
+    """A third of all rows is one text, most without an id."""
+    rows = [(None if k % 3 else k, "the same words " * 12) for k in range(600)] + [(1000 + k, f"word{k} " * 5) for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(windowdedup.dedup_windows(docs, 20, 9000).drop("n_intervals")) == brute_windows(rows, 20)
+    assert rows_of(suffixdedup.dedup_substrings(docs, 60, 9000, 3000)) == brute_bytes(rows, 60)
+    assert rows_of(ngramjoin.near_duplicates(docs).filter("doc_id < 1000")) == sorted(((k, 3, 0) for k in range(0, 600, 3)), key=repr)
+    assert ngramjoin.keep_one(docs).count() == 51
+
+
 def brute_windows(rows, width):  # noqa: ANN001, ANN201
     seen, out = set(), []
-    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.sha256((r[1] or "").encode()).digest())):
         w = WORD.findall(t or "")
         gone = [False] * len(w)
         for k in range(len(w) - width + 1):
@@ -106,11 +168,7 @@ def brute_bytes(rows, width):  # noqa: ANN001, ANN201
 @pytest.mark.parametrize(("shard_bytes", "hot"), [(1500, 4096), (1 << 30, 4096), (1500, 2)])
 def test_substring_dedup(docs, empty, monkeypatch, shard_bytes, hot):  # noqa: ANN001, ANN201
     monkeypatch.setattr(suffixdedup, "HOT", hot)
-    from pyspark.sql import functions as F
-
-    cuts = suffixdedup.repeated_bytes(docs, 200, shard_bytes, 1500)
-    ids = docs.select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("grp"))
-    assert rows_of(ids.join(cuts, "grp").drop("grp")) == brute_bytes(ROWS, 200)
+    assert rows_of(suffixdedup.dedup_substrings(docs, 200, shard_bytes, 1500)) == brute_bytes(ROWS, 200)
     assert rows_of(suffixdedup.dedup_substrings(empty)) == []
 
 
@@ -183,14 +241,15 @@ def brute_links(rows, width=4, percent=85):  # noqa: ANN001, ANN201
 
 @pytest.mark.parametrize("shard_bytes", [1500, 1 << 30])
 def test_ngram_join(docs, shard_bytes):  # noqa: ANN001, ANN201
-    assert rows_of(ngramjoin.near_duplicates(docs, shard_bytes=shard_bytes).drop("rid")) == brute_links(ROWS)
+    assert rows_of(ngramjoin.near_duplicates(docs, 4, 85, shard_bytes)) == brute_links(ROWS)
+    assert rows_of(ngramjoin.near_duplicates(docs, shard_bytes=shard_bytes)) == brute_links(ROWS, 5, 80)
 
 
 def test_ngram_join_empty_and_keep_one(docs, empty):  # noqa: ANN001, ANN201
-    assert rows_of(ngramjoin.join_documents(empty)) == []
+    assert rows_of(ngramjoin.near_duplicates(empty)) == []
     kept = ngramjoin.keep_one(docs)
     assert kept.columns == docs.columns
-    links = brute_links(ROWS)
+    links = brute_links(ROWS, 5, 80)
     assert kept.count() == sum(n == 0 for _, n, _ in links) + len({c for _, n, c in links if n and c is not None}) + sum(1 for i, n, c in links if n and c is None)
 
 
@@ -339,6 +398,31 @@ def test_token_ids():  # noqa: ANN201
         assert [ids[a:b].tolist() for a, b in zip(cuts, cuts[1:], strict=False)] == want
 
 
+def test_pieces_are_verified(monkeypatch):  # noqa: ANN001, ANN201
+    """Pieces that collide under the hash still get their own ids; structured words do too."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from wrenfold.llm import tokens
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    one, two = "a", "b"
+    for _ in range(12):
+        one, two = one + two, two + one
+    texts = [one, two, f"{two} {one}", "some words and some other words", "wordswordswords wordswordsword"] * 3
+
+    def check() -> None:
+        enc = tokens.PieceEncoder(path, slot_bits=4)
+        for _ in range(2):
+            ids, cuts = enc.encode(np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), np.cumsum([0, *map(len, texts)]))
+            assert [ids[a:b].tolist() for a, b in zip(cuts, cuts[1:], strict=False)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+    check()
+    monkeypatch.setattr(tokens.textops, "block_hashes", lambda blocks, first, size: size.astype(np.uint64))
+    check()
+
+
 def test_added_tokens(spark):  # noqa: ANN001, ANN201
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -37,7 +37,7 @@ def test_toxic_go(spark, stages):  # noqa: ANN001, ANN201
 
 
 def test_one_of_each_group(stages):  # noqa: ANN001, ANN201
-    links = brute_links(pairs(stages[1]))
+    links = brute_links(pairs(stages[1]), 5, 80)
     assert sorted(i for i, _ in pairs(stages[2])) == sorted({c for _, _, c in links})
 
 

@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wrenfold.llm.storage import stored
+from wrenfold.llm.storage import spent, stored
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label) for every node of the undirected links (two long columns): the least node of its component.  No links give no rows."""
     edges = links.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).filter("hi <> lo").distinct()
-    edges, state = _kept(edges)
+    edges, state, path = _kept(edges)
     while state[0]:
         # large star: larger neighbours of a node point to the least one around it
         both = edges.union(edges.select("lo", "hi")).toDF("node", "near")
@@ -24,13 +24,18 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # small star: a node and its smaller neighbours point to the least of them
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(low, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).filter("hi <> lo").union(low).distinct()
-        edges, now = _kept(small)
+        edges, now, path = _kept(small, path)
         if now == state:
             break
         state = now
     return edges.select(F.col("hi").alias("node"), F.col("lo").alias("label")).union(edges.select("lo", "lo").distinct())
 
 
-def _kept(edges: DataFrame) -> tuple[DataFrame, tuple]:
-    edges = stored(edges, "components")
-    return edges, tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
+def _kept(edges: DataFrame, before: str | None = None) -> tuple[DataFrame, tuple, str]:
+    """The edges as a table, their number and checksum, and its place; the table ``before`` it has been read and goes."""
+    with spent(edges.sparkSession) as tables:
+        edges = stored(edges, "components")
+        path = tables.pop()
+        if before:
+            tables.append(before)
+    return edges, tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()), path

@@ -3,9 +3,10 @@
 A document's set: its distinct ``n``-word shingles after lower-casing A-Z (fewer words: the whole sequence
 as one; none: empty, never linked).  Documents link when 100 * intersection >= ``percent`` * union.
 
-1. Shards of documents send their distinct shingles, with numbers of documents, through the key exchange and
-   get the frequency class of each.  A pair that links shares at least ``percent`` of either set, so a document
-   with fewer shingles that others have is alone; it leaves here, with nothing but its size.
+1. Equal texts become one, with their number and least id.  Shards of texts send their distinct shingles, with
+   numbers of texts, through the key exchange and get the frequency class of each.  A pair that links shares at
+   least ``percent`` of either set, so a text with fewer shingles that others have is alone; it leaves here,
+   with nothing but its size.
 2. Equal sets become one representative.
 3. The global n-gram order is (frequency class, hash), rarest first.  Linked sets share an n-gram of their
    prefixes in that order; only such pairs are candidates, and only if their sizes and the places of that
@@ -17,6 +18,8 @@ as one; none: empty, never linked).  Documents link when 100 * intersection >= `
    and weren't compared yet follow.  What a component already joins isn't compared again, so a group of k
    copies costs about k pairs, and no link that would join two components is left out.
 
+A key that many rows share (an n-gram, a pivot, a component, a text) is dealt over salts in every join.
+
 Cases: null and empty texts have n_shingles 0 and stand alone; rows that repeat a document (or an id) are
 documents of their own, linked by their texts; a null id never becomes a component's id unless no other is
 there; extra columns are ignored; an empty table gives an empty result.
@@ -24,9 +27,6 @@ there; extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -34,9 +34,11 @@ from pyspark.sql import functions as F
 
 from wrenfold.llm import exchange, textops
 from wrenfold.llm.components import components
-from wrenfold.llm.storage import free_name, input_bytes, stored
+from wrenfold.llm.ranks import spread_join
+from wrenfold.llm.storage import free_name, stored, text_bytes
 
-SETS = "rid long, doc_id long, digest binary, n_shingles long, s1 long, s2 long, alone int, grams array<long>"
+SETS = "tid long, grp binary, copies long, least long, n_shingles long, s1 long, s2 long, alone int, grams array<long>"
+SET = ["n_shingles", "s1", "s2"]
 _U = np.uint64
 
 
@@ -67,25 +69,17 @@ def _few(words: np.ndarray) -> int:
     return int(textops.mix(np.array([out ^ 0x5DEECE66D], _U))[0])
 
 
-def _digests(table: pa.Table) -> list[bytes]:
-    data, offsets = textops.buffers(table["text"])
-    raw = memoryview(data)
-    return [hashlib.md5(raw[a:b]).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-
-
-def frequency_class(documents: np.ndarray) -> np.ndarray:
-    """0 for one document, else 1 + two steps per doubling (at most 127)."""
-    return np.where(documents <= 1, 0, 1 + np.floor(2 * np.log2(np.maximum(documents, 1)))).astype(np.uint8)
+def frequency_class(texts: np.ndarray) -> np.ndarray:
+    """0 for one text, else 1 + two steps per doubling (at most 127)."""
+    return np.where(texts <= 1, 0, 1 + np.floor(2 * np.log2(np.maximum(texts, 1)))).astype(np.uint8)
 
 
 def candidate_sets(docs: DataFrame, width: int, percent: int, shard_bytes: int) -> DataFrame:
-    """A row for each document; ``grams``, in the global order, only where a link is possible."""
-    total = input_bytes(docs)
-    wide = exchange.growth(total)
-    cut, shards = exchange.shards_of(docs.select(F.col("doc_id").cast("long"), "text"), int(shard_bytes * wide), total)
-    cut = cut.repartition(shards, "shard")
+    """A row for each distinct text; ``grams``, in the global order, only where a link with another text is possible."""
+    total = text_bytes(docs)
+    shards = exchange.shards_for(total, shard_bytes)
+    bits = exchange.bits_for(1.3 * total)  # a shingle in some six bytes
     drop = max(0, 64 - (max(1, total).bit_length() + 13))  # of so few bits one in some thousand shingles seems shared by chance, which rules nothing out
-    bits = exchange.part_bits(shards, 8 * wide, 12 * wide)
 
     def send(table: pa.Table) -> pa.Table:
         _, _, key = shingle_sets(table, width, drop)
@@ -93,14 +87,10 @@ def candidate_sets(docs: DataFrame, width: int, percent: int, shard_bytes: int)
         lead = np.ones(len(key), bool)
         lead[1:] = key[1:] != key[:-1]
         count = np.diff(np.append(np.flatnonzero(lead), len(key)))
-        return exchange.sent(table["shard"][0].as_py(), key[lead], np.minimum(count, 255).astype(np.uint8), bits)
-
-    def classes(group: np.ndarray, lead: np.ndarray, vals: np.ndarray) -> np.ndarray:
-        return frequency_class(np.bincount(group, vals.astype(np.float64)))[group]
+        return exchange.sent(table["shard"][0].as_py(), key[lead], count, bits)
 
     def sets(table: pa.Table, answer: pa.Table) -> pa.Table:
-        if table.num_rows > 1:
-            table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        table = exchange.ordered(table)
         shard = table["shard"][0].as_py() if table.num_rows else 0
         h, r, key = shingle_sets(table, width, drop)
         order = np.argsort(key, kind="stable")
@@ -120,13 +110,13 @@ def candidate_sets(docs: DataFrame, width: int, percent: int, shard_bytes: int)
         sizes = np.where(may, n - alone, 0)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(gram[order]), mask=pa.array(~may))
         return pa.table({
-            "rid": pa.array((np.int64(shard) << 32) + np.arange(table.num_rows)), "doc_id": table["doc_id"], "digest": pa.array(_digests(table), pa.binary()), "n_shingles": n.astype(np.int64), "s1": s1.view(np.int64), "s2": s2.view(np.int64),
+            "tid": pa.array((np.int64(shard) << 32) + np.arange(table.num_rows)), "grp": table["grp"], "copies": table["copies"], "least": table["least"], "n_shingles": n.astype(np.int64), "s1": s1.view(np.int64), "s2": s2.view(np.int64),
             "alone": pa.array(alone, pa.int32()), "grams": lists,
         })
 
-    keys = cut.groupBy("shard").applyInArrow(send, exchange.SENT)
-    answers = keys.groupBy("part").applyInArrow(exchange.merged(classes), exchange.ANSWER)
-    return cut.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(sets, SETS)
+    texts = exchange.dealt(docs, shards)
+    answers = exchange.ask(texts.groupBy("shard").applyInArrow(send, exchange.SENT), exchange.of_sum(frequency_class), bits, shards)
+    return texts.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(sets, SETS)
 
 
 def _room(percent: int, n1: str, p1: str, n2: str, p2: str) -> Column:
@@ -135,12 +125,14 @@ def _room(percent: int, n1: str, p1: str, n2: str, p2: str) -> Column:
     return F.expr(f"100 * {most} >= {percent} * ({n1} + {n2} - {most})")
 
 
-def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
+def overlaps(pairs: DataFrame, segments: DataFrame, fragments: int) -> DataFrame:
     """For pairs (a, b): the overlaps of their segments, counted by fragment and summed per pair."""
-    left = segments.toDF("a", "fragment", "ga")
-    right = segments.toDF("b", "fragment", "gb")
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", F.size(F.array_intersect("ga", "gb")).alias("part"))
-    return partial.groupBy("a", "b").agg(F.sum("part").alias("overlap"))
+    partial = pairs.withColumn("fragment", F.explode(F.array(*map(F.lit, range(fragments)))))
+    for one in ("a", "b"):
+        uses = segments.join(pairs.groupBy(F.col(one).alias("rid")).agg(F.count(F.lit(1)).alias(f"n{one}")), "rid")
+        side = uses.toDF(one, "fragment", f"g{one}", f"n{one}")
+        partial = spread_join(partial, stored(side, "uses"), [one, "fragment"], f"n{one}").drop(f"n{one}")
+    return partial.groupBy("a", "b").agg(F.sum(F.size(F.array_intersect("ga", "gb"))).alias("overlap"))
 
 
 def jaccard_links(sets: DataFrame, percent: int, fragments: int = 8) -> DataFrame:
@@ -155,58 +147,63 @@ def jaccard_links(sets: DataFrame, percent: int, fragments: int = 8) -> DataFram
     prefix = F.expr(f"n - ((n * {percent} + 99) div 100) + 1 - u").cast("int")
     heads = sets.select("rid", "n", "u", F.posexplode(F.slice("grams", F.lit(1), F.greatest(prefix, F.lit(0)))).alias("k", "gram")).select("rid", "n", (F.col("u") + F.col("k")).alias("at"), "gram")
     groups = heads.groupBy("gram").agg(F.min(F.struct("at", "rid", "n")).alias("p"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    heads = stored(heads.join(groups, "gram").select("gram", "rid", "n", "at", F.col("p.rid").alias("pr"), F.col("p.n").alias("pn"), F.col("p.at").alias("pat"), "size").filter("rid <> pr"), "heads")
+    met = spread_join(heads, stored(groups, "groups"), ["gram"], "size")
+    heads = stored(met.select("gram", "rid", "n", "at", F.col("p.rid").alias("pr"), F.col("p.n").alias("pn"), F.col("p.at").alias("pat"), "size").filter("rid <> pr"), "heads")
     sizes = sets.select("rid", "n")
 
     def links(pairs: DataFrame) -> DataFrame:
-        both = overlaps(pairs, segments).join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
+        """Those of the pairs (a, na, b, nb) that link."""
+        both = pairs.join(overlaps(pairs.select("a", "b"), segments, len(edges) - 1), ["a", "b"])
         return both.filter(f"100 * overlap >= {percent} * (na + nb - overlap)").select("a", "b")
 
-    first = stored(heads.filter(_room(percent, "n", "at", "pn", "pat")).select(F.least("rid", "pr").alias("a"), F.greatest("rid", "pr").alias("b")).distinct(), "pairs")
+    def paired(left: str, right: str, n_left: str, n_right: str) -> list[Column]:
+        swap = F.col(left) > F.col(right)
+        return [F.when(swap, F.col(y)).otherwise(F.col(x)).alias(name) for x, y, name in ((left, right, "a"), (n_left, n_right, "na"), (right, left, "b"), (n_right, n_left, "nb"))]
+
+    first = stored(heads.filter(_room(percent, "n", "at", "pn", "pat")).select(*paired("rid", "pr", "n", "pn")).distinct(), "pairs")
     found = stored(links(first), "links")
     labels = components(found)
     rest = heads.filter("size > 2").join(labels.toDF("rid", "label"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
-    mixed = rest.groupBy("gram").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 <> l2").select("gram")
-    rest = stored(rest.join(mixed, "gram").select("gram", "rid", "n", "at", "label"), "rest")
-    x, y = rest.toDF("gram", "a", "na", "ata", "la"), rest.toDF("gram", "b", "nb", "atb", "lb")
-    meet = x.join(y, (x.gram == y.gram) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _room(percent, "na", "ata", "nb", "atb"))
-    second = meet.select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
+    mixed = rest.groupBy("gram").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.count(F.lit(1)).alias("members")).filter("l1 <> l2").select("gram", "members")
+    rest = stored(spread_join(rest.select("gram", "rid", "n", "at", "label"), stored(mixed, "mixed"), ["gram"], "members").withColumn("salts", F.expr("cast(members div 256 + 1 AS int)")).drop("members"), "rest")
+    x = rest.withColumn("salt", F.expr("cast(pmod(xxhash64(rid), salts) AS int)")).drop("salts").toDF("gram", "a", "na", "ata", "la", "salt")
+    y = rest.withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)"))).drop("salts").toDF("gram", "b", "nb", "atb", "lb", "salt")
+    meet = x.join(y, ["gram", "salt"]).filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _room(percent, "na", "ata", "nb", "atb"))
+    second = stored(meet.select("a", "na", "b", "nb").distinct().join(first, ["a", "b"], "left_anti").select("a", "na", "b", "nb"), "pairs")
     return components(found.union(links(second)))
 
 
-def _members(docs: DataFrame, width: int, percent: int, shard_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """All rows with their sets' sizes; and those that can have links, with the root of their component."""
+def _texts(docs: DataFrame, width: int, percent: int, shard_bytes: int) -> DataFrame:
+    """Each distinct text: grp, copies, least, n_shingles, component_id (the least id of its component), texts (distinct ones of the component) and first (whether the component's first row has this text)."""
     rows = stored(candidate_sets(docs, width, percent, shard_bytes), "sets")
     may = rows.filter(F.col("grams").isNotNull())
-    same = ["n_shingles", "s1", "s2"]
-    classes = stored(may.groupBy(*same).agg(F.min("rid").alias("rep")), "classes")
-    sets = may.join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi")
+    order = F.struct(F.col("least").isNull().alias("none"), "least", "tid")
+    classes = stored(may.groupBy(*SET).agg(F.min("tid").alias("rep"), F.min(order).alias("top"), F.count(F.lit(1)).alias("texts")), "classes")
+    sets = may.join(classes.select(F.col("rep").alias("tid")), "tid", "left_semi").withColumnRenamed("tid", "rid")
     labels = jaccard_links(sets, percent)
-    root = classes.join(labels.toDF("rep", "label"), "rep", "left").select(*same, F.coalesce("label", "rep").alias("root"))
-    return rows.filter(F.col("grams").isNull()), may.drop("grams").join(root, same)
-
-
-def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85, shard_bytes: int = 4 << 20) -> DataFrame:
-    """One row per document: rid (a row id), doc_id, n_shingles, component_id."""
-    single, member = _members(docs, width, percent, shard_bytes)
-    least = member.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    joined = member.join(least, "root").select("rid", "doc_id", "n_shingles", "component_id")
-    return joined.unionByName(single.select("rid", "doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-
-
-def join_documents(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
-    return near_duplicates(docs, width, percent).drop("rid")
-
-
-def keep_one(docs: DataFrame, width: int = 4, percent: int = 85, shard_bytes: int = 4 << 20) -> DataFrame:
-    """``docs`` with one document of each component: the one of least ``doc_id`` (of several rows with it, one)."""
-    _, member = _members(docs, width, percent, shard_bytes)
-    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
-    marked = member.groupBy("root").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    group = member.join(marked, "root").select("doc_id", "digest", (F.col("rid") == F.col("first.rid")).alias("stays"))
-    group = stored(group.groupBy("doc_id", "digest").agg(F.max("stays").alias("stays")), "groups")
-    own, digest, stays = (free_name(docs, c) for c in ("_id", "_digest", "_stays"))
-    key = (F.col("doc_id").cast("long").eqNullSafe(F.col(own))) & (F.unhex(F.md5(F.coalesce("text", F.lit("")))) == F.col(digest))
-    seen = docs.join(group.toDF(own, digest, stays), key, "left")
-    once = seen.filter(F.col(stays)).dropDuplicates([own, digest])
+    roots = stored(classes.join(labels.toDF("rep", "label"), "rep", "left").withColumn("root", F.coalesce("label", "rep")).drop("label", "rep"), "roots")
+    whole = roots.groupBy("root").agg(F.count(F.lit(1)).alias("classes"), F.min("top").alias("first"), F.sum("texts").alias("all"))
+    named = spread_join(roots.drop("top"), stored(whole, "roots"), ["root"], "classes").select(*SET, "texts", F.col("first.least").alias("component_id"), F.col("first.tid").alias("first"), "all")
+    keep = ["grp", "copies", "least", "n_shingles"]
+    member = spread_join(may.select("tid", "grp", "copies", "least", *SET), stored(named, "classes"), SET, "texts")
+    member = member.select(*keep, "component_id", F.col("all").alias("texts"), (F.col("tid") == F.col("first")).alias("first"))
+    single = rows.filter(F.col("grams").isNull()).select(*keep, F.col("least").alias("component_id"), F.lit(1).cast("long").alias("texts"), F.lit(True).alias("first"))
+    return stored(member.unionByName(single), "texts")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, shard_bytes: int = 4 << 20) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id."""
+    texts = _texts(docs, width, percent, shard_bytes)
+    ids = docs.select(F.col("doc_id").cast("long"), exchange.digest().alias("grp"))
+    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return spread_join(ids, texts.select("grp", "copies", "n_shingles", "component_id"), ["grp"], "copies").select("doc_id", "n_shingles", own.alias("component_id"))
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, shard_bytes: int = 4 << 20) -> DataFrame:
+    """``docs`` with one document of each component: the one of least ``doc_id`` (of several rows with it, one); documents without words stay."""
+    texts = _texts(docs, width, percent, shard_bytes).filter("n_shingles > 0 AND (copies > 1 OR texts > 1)")
+    grp, copies, stays, least = (free_name(docs, c) for c in ("_grp", "_copies", "_stays", "_least"))
+    marks = texts.select(F.col("grp").alias(grp), F.col("copies").alias(copies), F.col("first").alias(stays), F.col("least").alias(least))
+    seen = spread_join(docs.withColumn(grp, exchange.digest()), marks, [grp], copies, "left")
+    once = seen.filter(F.col(stays) & F.col("doc_id").cast("long").eqNullSafe(F.col(least))).dropDuplicates([grp])
     return seen.filter(F.col(stays).isNull()).unionByName(once).select(docs.columns)

@@ -41,7 +41,7 @@ def op6_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngramjoin.join_documents(_table(spark, sf_dir, "documents"))
+    return ngramjoin.near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Gapless ranks within keys, without collecting a key in one task."""
+"""Gapless ranks within keys and joins on keys, without collecting a key in one task."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wrenfold.llm.storage import free_name
+
 
 def salts_for(rows: int, rows_per_salt: int = 1 << 18) -> int:
     """A power of two, so that one key with all rows still leaves about ``rows_per_salt`` to a task."""
@@ -14,10 +16,30 @@ def salts_for(rows: int, rows_per_salt: int = 1 << 18) -> int:
 
 
 def ranked(df: DataFrame, key: str, order: list[str], salts: int, name: str) -> DataFrame:
-    """``df`` with ``name``: 0, 1, ... within each ``key``.  Rows are numbered within (key, salt) and moved by the counts of lower salts; ``order`` fixes the salt and the order inside it."""
+    """``df`` with ``name``: 0, 1, ... within each ``key``.  Rows are numbered within (key, salt) and moved by the counts of lower salts, which is one row per key and salt; ``order`` fixes the salt and the order inside it."""
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
     counts = salted.groupBy(key, "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(key).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     ahead = counts.select(key, "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"))
     nth = F.row_number().over(Window.partitionBy(key, "_salt").orderBy(*order)) - 1
     return salted.withColumn("_nth", nth).join(ahead, [key, "_salt"]).withColumn(name, (F.col("_nth") + F.col("_ahead")).cast("long")).drop("_nth", "_ahead", "_salt")
+
+
+def spread_join(rows: DataFrame, side: DataFrame, key: list[str], size: str, how: str = "inner", least: int = 256) -> DataFrame:
+    """``rows`` joined with ``side``, which has one row per key and, as ``size``, how many ``rows`` have it.
+
+    A key with more than 1/4096 of all rows (and more than ``least``) is dealt over so many salts that none has
+    more; only these keys, fewer than 4096, are broadcast.  ``side`` is read three times, so it should be stored.
+    """
+    total = side.agg(F.sum(size)).first()[0] or 0
+    most = max(least, total >> 12)
+    salts, salt = free_name(rows, "_salts"), free_name(rows, "_salt")
+    hot = side.filter(F.col(size) > most).select(*key, F.expr(f"cast({size} div {most} + 1 AS int)").alias(salts))
+    spread = rows.join(F.broadcast(hot), key, "left")
+    nth = F.pmod(F.xxhash64(*[c for c, kind in rows.dtypes if c not in key and kind in _PLAIN]) + F.spark_partition_id(), F.col(salts)).cast("int")
+    spread = spread.withColumn(salt, F.when(F.col(salts).isNull(), 0).otherwise(nth)).drop(salts)
+    copies = side.withColumn(salt, F.explode(F.when(F.col(size) > most, F.expr(f"sequence(0, cast({size} div {most} AS int))")).otherwise(F.array(F.lit(0)))))
+    return spread.join(copies, [*key, salt], how).drop(salt)
+
+
+_PLAIN = ("bigint", "int", "binary", "boolean", "tinyint", "smallint")

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_open: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; one is set only where none is (tests on one machine)."""
+    """``spark.checkpoint.dir`` of the session; one is set only where none is and all runs on one machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="wrenfold-checkpoints-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -23,15 +30,33 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if _open:
+        _open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def input_bytes(df: DataFrame, text: str = "text") -> int:
-    """Catalyst's estimate of the size of ``df``, or where it has none half of the bytes of ``text``; it only sizes partitions, never results."""
-    found = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if found < 1 << 56:
-        return found
-    return int(df.agg(F.coalesce(F.sum(F.octet_length(text) + 16), F.lit(0))).first()[0]) // 2
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextlib.contextmanager
+def spent(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables stored inside are deleted at the end, but for those that the caller takes off the list: their readers have run by then."""
+    mine: list[str] = []
+    _open.append(mine)
+    try:
+        yield mine
+    finally:
+        _open.pop()
+        discard(spark, mine)
+
+
+def text_bytes(df: DataFrame, text: str = "text") -> int:
+    """The UTF-8 bytes of all texts; it only sizes shards, never results."""
+    return int(df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0])
 
 
 def free_name(df: DataFrame, base: str) -> str:

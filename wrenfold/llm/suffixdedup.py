@@ -8,14 +8,15 @@ is removed; all such strings are judged on the input.
    least hash of its ``GRAM``-byte substrings.  Equal strings have equal minimisers, so a minimiser that has
    one place in the whole corpus rules out all starts under it.  Shards learn through the key exchange which
    of theirs are shared.  Nothing else is ruled out, and no start is sampled.
-3. Stretches of text under shared minimisers, equal ones of a shard once, go to bins by minimiser.  A bin lays
-   its distinct stretches into shards of at most 2**21 bytes, builds the suffix array of each (Larsson-Sadakane
-   refinement), its common prefixes (Kasai), and merges the sorted strings of shards that split a minimiser by
-   binary search.  A minimiser with more than ``HOT`` places is first split by the hash of each string, so
-   no bin gathers it.
+3. Stretches of text under shared minimisers go to bins by minimiser; one that a shard or bin holds more than
+   twice is laid out twice.  A bin lays its stretches into shards of at most ``ARRAY`` bytes, builds the suffix
+   array of each (Larsson-Sadakane refinement) and its common prefixes (Kasai), and merges the sorted strings of
+   shards that split a minimiser by binary search: these alone say which strings repeat.  A minimiser with
+   more than ``HOT`` places is first split by the hash of each string, so no bin gathers it.
 4. The repeated starts return to the shards that hold them, which cut the texts.
 
-The text is shuffled once; the three passes over it read the same exchange.
+The text is shuffled once; the three passes over it read the same exchange.  A shard's arrays take about 30
+bytes for each byte of its text, so a single text of many MB needs as much; all else is bounded.
 
 Cases: a null text is empty and nothing is removed; texts shorter than ``width`` keep all bytes; repeated
 rows count as other places; null ids are carried along; extra columns are ignored; an empty table gives an
@@ -34,26 +35,31 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wrenfold.llm import exchange, suffixarray, textops
-from wrenfold.llm.storage import free_name, input_bytes
+from wrenfold.llm.ranks import spread_join
+from wrenfold.llm.storage import free_name, stored, text_bytes
+from wrenfold.llm.textops import ranges as _gather
 
 GRAM = 32
 HOT = 4096
 CHUNK = 1 << 18
+#: Bytes of one suffix array.
+ARRAY = 1 << 20
+#: Bytes of text that are cut at a time.
+BLOCK = 1 << 19
 _U = np.uint64
 
-TEXTS = "shard int, grp binary, text string, copies long"
-PIECES = "bin int, shard int, payload binary"
-MARKS = "shard int, payload binary"
+PIECES = "bin int, shard long, payload binary"
+MARKS = "shard long, payload binary"
 CUTS = T.StructType([
-    T.StructField("grp", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()),
+    T.StructField("grp", T.BinaryType()), T.StructField("copies", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()),
     T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.StringType()),
 ])
 
 
-def minimisers(data: np.ndarray, left: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def minimisers(data: np.ndarray, fits: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of starts with one minimiser at one place: first start, end, the minimiser's hash (40 bits), its place.
 
-    Starts whose string would leave its text have none.  Among equal hashes the leftmost place counts, which
+    ``fits``: the starts whose string ends in their text; the others have none.  Among equal hashes the leftmost place counts, which
     depends on the string alone.
     """
     n, grams = len(data), width - GRAM + 1
@@ -75,7 +81,7 @@ def minimisers(data: np.ndarray, left: np.ndarray, width: int) -> tuple[np.ndarr
             have *= 2
         if have < grams:
             key = np.minimum(key[: len(key) - (grams - have)], key[grams - have :])
-        ok = left[base : base + m] >= width
+        ok = fits[base : base + m]
         change = np.ones(m, bool)
         change[1:] = (key[1:] != key[:-1]) | (ok[1:] != ok[:-1])
         at = np.flatnonzero(change)
@@ -88,23 +94,12 @@ def minimisers(data: np.ndarray, left: np.ndarray, width: int) -> tuple[np.ndarr
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))  # a run may be in two parts at a chunk's end
 
 
-def _texts(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
-    """The distinct texts of a shard in the order of their digests, and their numbers of copies."""
-    groups = table["grp"].to_pylist()
-    copies: dict[bytes, int] = {}
-    row: dict[bytes, int] = {}
-    present = table["text"].is_valid().to_pylist()
-    for i, (g, c, has) in enumerate(zip(groups, table["copies"].to_pylist(), present, strict=True)):
-        copies[g] = copies.get(g, 0) + c
-        if has:
-            row.setdefault(g, i)
-    order = sorted(row)
-    return table.take(pa.array([row[g] for g in order], pa.int64())), np.array([copies[g] for g in order], np.int64)
-
-
-def _flat(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    data, offsets = textops.buffers(table["text"])
-    return data, offsets, np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(data))
+def _fits(offsets: np.ndarray, width: int) -> np.ndarray:
+    """Which positions begin a ``width``-byte string that ends in their text."""
+    edge = np.zeros(int(offsets[-1]) + 1, np.int32)
+    np.add.at(edge, offsets[:-1], 1)
+    np.add.at(edge, np.maximum(offsets[1:] - width + 1, offsets[:-1]), -1)
+    return np.cumsum(edge[:-1], dtype=np.int32) > 0
 
 
 def _key(fp: np.ndarray) -> np.ndarray:
@@ -124,18 +119,19 @@ def _load(blob: bytes, *kinds: type) -> list[np.ndarray]:
     return out
 
 
-def _gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Positions start, start + 1, ... of all stretches, one after the other."""
-    ends = np.cumsum(sizes)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
-
-
 def _stretch_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """64-bit hashes of stretches that may overlap."""
-    sums = np.empty(len(data) + 1, _U)
-    sums[0] = 0
-    np.cumsum(textops.BYTE_VALUES[data] * textops.powers(textops.BYTE_BASE, len(data)), out=sums[1:])
-    return textops.mix((sums[starts + sizes] - sums[starts]) * textops.powers(textops._INV_BYTE_BASE, len(data) + 1)[starts] + sizes.astype(_U))
+    """64-bit hashes of stretches, given by start, that may overlap."""
+    out, lo = np.empty(len(starts), _U), 0
+    while lo < len(starts):
+        base = int(starts[lo])
+        hi = max(lo + 1, int(np.searchsorted(starts, base + CHUNK, "right")))
+        s, n = starts[lo:hi] - base, sizes[lo:hi]
+        part = data[base : base + int((s + n).max())]
+        sums = np.zeros(len(part) + 1, _U)
+        np.cumsum(textops.BYTE_VALUES[part] * textops.powers(textops.BYTE_BASE, len(part)), out=sums[1:])
+        out[lo:hi] = textops.mix((sums[s + n] - sums[s]) * textops.powers(textops._INV_BYTE_BASE, len(part) + 1)[s] + n.astype(_U))
+        lo = hi
+    return out
 
 
 def _distinct(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,8 +143,9 @@ def _distinct(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[
     first = np.empty(len(h), np.int64)
     first[order] = order[np.maximum.accumulate(np.where(lead, np.arange(len(h)), 0))]
     other = np.flatnonzero(first != np.arange(len(h)))
-    for lo in range(0, len(other), 4096):
-        part = other[lo : lo + 4096]
+    ends = np.cumsum(np.concatenate(([0], sizes[other])))
+    for lo, hi in textops.blocks(ends, BLOCK):
+        part = other[lo:hi]
         same_size = sizes[part] == sizes[first[part]]
         bad = part[~same_size]
         part = part[same_size]
@@ -158,38 +155,16 @@ def _distinct(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[
     return np.flatnonzero(first == np.arange(len(h))), first
 
 
-def repeated_bytes(docs: DataFrame, width: int = 200, shard_bytes: int = 4 << 20, bin_bytes: int = 3 << 20, with_text: bool = False) -> DataFrame:
-    """One row per distinct text: grp (its MD5), n_bytes, n_removed, n_spans, kept_sha256 and, ``with_text``, kept."""
-    total = input_bytes(docs)
-    wide = exchange.growth(total)
-    shards = max(1, -(-total // int(shard_bytes * wide)))
-    bits = exchange.part_bits(shards, wide, 12 * wide)
+def repeated_bytes(docs: DataFrame, width: int = 200, shard_bytes: int = 4 << 20, bin_bytes: int = 3 << 20, changed_text: bool = False) -> DataFrame:
+    """One row per distinct text: grp (its digest), copies, n_bytes, n_removed, n_spans, kept_sha256; with ``changed_text`` only texts that lose bytes, and kept."""
+    total = text_bytes(docs)
+    shards = exchange.shards_for(total, shard_bytes)
+    bits = exchange.bits_for(0.2 * total)  # a minimiser in some 80 bytes, as two 64-bit numbers
     bins = 1 << max(0, math.ceil(math.log2(max(1, total / bin_bytes))))
 
-    def deal(batches):  # noqa: ANN001, ANN202
-        copies: dict[bytes, int] = {}  # of texts seen in this task
-        for batch in batches:
-            texts = batch.column("text").fill_null("")
-            data, offsets = textops.buffers(texts)
-            raw = memoryview(data)
-            groups = [hashlib.md5(raw[a:b]).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            fresh = []
-            for i, g in enumerate(groups):
-                if g not in copies:
-                    fresh.append(i)
-                copies[g] = copies.get(g, 0) + 1
-            for lo in range(0, len(fresh), 500):
-                part = fresh[lo : lo + 500]
-                own = [groups[i] for i in part]
-                yield pa.RecordBatch.from_pydict({"shard": pa.array([int.from_bytes(g[:8], "little") % shards for g in own], pa.int32()), "grp": pa.array(own, pa.binary()), "text": texts.take(pa.array(part)), "copies": pa.array([1] * len(own), pa.int64())})
-        more = [(g, n - 1) for g, n in copies.items() if n > 1]
-        if more:
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([int.from_bytes(g[:8], "little") % shards for g, _ in more], pa.int32()), "grp": pa.array([g for g, _ in more], pa.binary()), "text": pa.array([None] * len(more), pa.string()), "copies": pa.array([n for _, n in more], pa.int64())})
-
     def send(table: pa.Table) -> pa.Table:
-        texts, _ = _texts(table)
-        data, _, left = _flat(texts)
-        _, _, fp, place = minimisers(data, left, width)
+        data, offsets = textops.buffers(exchange.ordered(table)["text"])
+        _, _, fp, place = minimisers(data, _fits(offsets, width), width)
         order = np.lexsort((place, fp))
         fp, place = fp[order], place[order]
         once = np.ones(len(fp), bool)
@@ -200,19 +175,17 @@ def repeated_bytes(docs: DataFrame, width: int = 200, shard_bytes: int = 4 << 20
         count = np.diff(np.append(np.flatnonzero(lead), len(fp)))
         keys = _key(fp[lead])
         order = np.argsort(keys)
-        return exchange.sent(table["shard"][0].as_py(), keys[order], np.minimum(count[order], 255).astype(np.uint8), bits)
+        return exchange.sent(table["shard"][0].as_py(), keys[order], count[order], bits)
 
-    def shared(group: np.ndarray, lead: np.ndarray, vals: np.ndarray) -> np.ndarray:
-        places = np.bincount(group, vals.astype(np.int64))
-        return (places > 1).astype(np.uint8)[group] + (places > HOT).astype(np.uint8)[group]
+    def shared(places: np.ndarray) -> np.ndarray:
+        return (places > 1).astype(np.uint8) + (places > HOT)
 
     def stretches(table: pa.Table, answer: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _none(PIECES)
         shard = table["shard"][0].as_py()
-        texts, _ = _texts(table)
-        data, offsets, left = _flat(texts)
-        start, end, fp, _ = minimisers(data, left, width)
+        data, offsets = textops.buffers(exchange.ordered(table)["text"])
+        start, end, fp, _ = minimisers(data, _fits(offsets, width), width)
         # a stretch: adjoining runs with one hash
         join = np.zeros(len(fp), bool)
         join[1:] = (fp[1:] == fp[:-1]) & (start[1:] == end[:-1])
@@ -232,6 +205,8 @@ def repeated_bytes(docs: DataFrame, width: int = 200, shard_bytes: int = 4 << 20
             own = _stretch_hashes(data, alone, np.full(len(alone), width))
             start, end, key = np.concatenate((start[~hot], alone)), np.concatenate((end[~hot], alone + 1)), np.concatenate((key[~hot], textops.mix(own)))
             multi = np.concatenate((multi[~hot], np.zeros(len(alone), bool)))
+            order = np.argsort(start, kind="stable")
+            start, end, key, multi = start[order], end[order], key[order], multi[order]
         if not len(start):
             return _none(PIECES)
         where = (key >> _U(40)).astype(np.int64) % bins
@@ -251,7 +226,7 @@ def repeated_bytes(docs: DataFrame, width: int = 200, shard_bytes: int = 4 << 20
                 key=key[distinct], multi=multi[distinct].astype(np.uint8), size=sizes[distinct].astype(np.int32), data=data[_gather(start[distinct], sizes[distinct])], which=local[same[mine]].astype(np.int32),
                 text=text_of[mine].astype(np.int32), at=(start[mine] - offsets[text_of[mine]]).astype(np.int64),
             ))
-        return pa.table({"bin": pa.array(rows["bin"], pa.int32()), "shard": pa.array([shard] * len(rows["bin"]), pa.int32()), "payload": pa.array(rows["payload"], pa.binary())})
+        return pa.table({"bin": pa.array(rows["bin"], pa.int32()), "shard": pa.array([shard] * len(rows["bin"]), pa.int64()), "payload": pa.array(rows["payload"], pa.binary())})
 
     def judge(table: pa.Table) -> pa.Table:
         parts = [(s, *_load(p, np.uint64, np.uint8, np.int32, np.uint8, np.int32, np.int32, np.int64)) for s, p in sorted(zip(table["shard"].to_pylist(), table["payload"].to_pylist(), strict=True))]
@@ -264,52 +239,59 @@ def repeated_bytes(docs: DataFrame, width: int = 200, shard_bytes: int = 4 << 20
         begins = np.cumsum(sizes) - sizes
         distinct, same = _distinct(data, begins, sizes)
         uses = np.bincount(same[which], minlength=len(key))
-        # runs of repeated starts of each distinct stretch
-        flags = np.zeros(len(data), bool)
-        many = distinct[uses[distinct] > 1]
-        flags[_gather(begins[many], sizes[many] - width + 1)] = True
-        _mark(data, begins, sizes, key, multi, distinct, flags, width)
+        flags = np.zeros(len(data), bool)  # starts of strings that repeat
+        _mark(data, begins, sizes, key, multi, np.concatenate((distinct, distinct[uses[distinct] > 1])), flags, width)
         return _returned(parts, same[which], begins, sizes, flags)
 
     def cut(table: pa.Table, marks: pa.Table) -> pa.Table:
         if not table.num_rows:
             return CUTS_EMPTY
-        texts, copies = _texts(table)
-        data, offsets, left = _flat(texts)
-        again = np.zeros(len(data) + 1, np.int32)
-        for payload in marks["payload"].to_pylist():
-            text, at, length = _load(payload, np.int32, np.int64, np.int32)
-            np.add.at(again, offsets[text] + at, 1)
-            np.add.at(again, offsets[text] + at + length + width - 1, -1)
-        whole = np.flatnonzero((copies > 1) & (np.diff(offsets) >= width))
-        np.add.at(again, offsets[whole], 1)
-        np.add.at(again, offsets[whole + 1], -1)
-        gone = np.cumsum(again[:-1]) > 0
-        edge = gone.copy()
-        edge[1:] &= ~gone[:-1]
-        full = offsets[:-1][np.diff(offsets) > 0]
-        edge[full] = gone[full]
-        kept = data[~gone].tobytes()
-        ahead = np.zeros(len(data) + 1, np.int64)
-        np.cumsum(~gone, out=ahead[1:])
-        cuts = ahead[offsets]
-        parts = [kept[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-        return pa.table({
-            "grp": texts["grp"], "n_bytes": np.diff(offsets), "n_removed": textops.per_row(gone, offsets), "n_spans": textops.per_row(edge, offsets),
-            "kept_sha256": [hashlib.sha256(p).hexdigest() for p in parts], "kept": pa.array([p.decode(errors="ignore") if with_text else None for p in parts], pa.string()),
-        })
-
-    texts = docs.select("text").mapInArrow(deal, TEXTS).repartition(shards, "shard")
-    answers = texts.groupBy("shard").applyInArrow(send, exchange.SENT).groupBy("part").applyInArrow(exchange.merged(shared), exchange.ANSWER)
+        table = exchange.ordered(table)
+        data, offsets = textops.buffers(table["text"])
+        copies = table["copies"].to_numpy()
+        found = [np.concatenate(x) for x in zip(*(_load(p, np.int32, np.int64, np.int32) for p in marks["payload"].to_pylist()), strict=True)] or [np.zeros(0, np.int64)] * 3
+        text, at, length = (x[np.argsort(found[0], kind="stable")].astype(np.int64) for x in found)
+        whole = (copies > 1) & (np.diff(offsets) >= width)
+        out = []
+        for lo, hi in textops.blocks(offsets, BLOCK):
+            base, own = offsets[lo], slice(*np.searchsorted(text, (lo, hi)))
+            ends = offsets[lo : hi + 1] - base
+            edge = np.zeros(int(ends[-1]) + 1, np.int32)
+            begins = ends[text[own] - lo] + at[own]
+            np.add.at(edge, np.concatenate((begins, ends[:-1][whole[lo:hi]])), 1)
+            np.add.at(edge, np.concatenate((begins + length[own] + width - 1, ends[1:][whole[lo:hi]])), -1)
+            gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
+            out.append(_kept(table.slice(lo, hi - lo), data[base : offsets[hi]], ends, gone, changed_text))
+        return pa.concat_tables(out)
+
+    texts = exchange.dealt(docs, shards)
+    answers = exchange.ask(texts.groupBy("shard").applyInArrow(send, exchange.SENT), exchange.of_sum(shared), bits, shards)
     pieces = texts.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(stretches, PIECES)
     marks = pieces.groupBy("bin").applyInArrow(judge, MARKS)
     out = texts.groupBy("shard").cogroup(marks.groupBy("shard")).applyInArrow(cut, CUTS)
-    return out if with_text else out.drop("kept")
-
-
-def _mark(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray, key: np.ndarray, multi: np.ndarray, distinct: np.ndarray, flags: np.ndarray, width: int) -> None:
-    """Set ``flags`` where a string starts that starts elsewhere too, in this or another distinct stretch of its minimiser."""
-    order = distinct[np.argsort(key[distinct], kind="stable")]
+    return out if changed_text else out.drop("kept")
+
+
+def _kept(table: pa.Table, data: np.ndarray, offsets: np.ndarray, gone: np.ndarray, changed_text: bool) -> pa.Table:
+    """What is left of a block of texts; with ``changed_text`` of those that lose bytes."""
+    edge = gone.copy()
+    edge[1:] &= ~gone[:-1]
+    full = offsets[:-1][np.diff(offsets) > 0]
+    edge[full] = gone[full]
+    removed, spans = textops.per_row(gone, offsets), textops.per_row(edge, offsets)
+    rows = np.flatnonzero(removed > 0) if changed_text else np.arange(len(removed))
+    kept = memoryview(data[~gone])
+    ends = np.cumsum(np.concatenate(([0], np.diff(offsets) - removed)))
+    parts = [kept[a:b] for a, b in zip(ends[rows].tolist(), ends[rows + 1].tolist(), strict=True)]
+    return pa.table({
+        "grp": table["grp"].take(pa.array(rows)), "copies": table["copies"].take(pa.array(rows)), "n_bytes": np.diff(offsets)[rows], "n_removed": removed[rows], "n_spans": spans[rows],
+        "kept_sha256": [hashlib.sha256(p).hexdigest() for p in parts], "kept": pa.array([bytes(p).decode(errors="ignore") if changed_text else None for p in parts], pa.string()),
+    })
+
+
+def _mark(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray, key: np.ndarray, multi: np.ndarray, laid: np.ndarray, flags: np.ndarray, width: int) -> None:
+    """Set ``flags`` where a string starts that starts elsewhere too, in this or another stretch of its minimiser; ``laid``: the stretches, one that has equals twice."""
+    order = laid[np.argsort(key[laid], kind="stable")]
     lone = np.ones(len(order), bool)
     lone[1:] &= key[order[1:]] != key[order[:-1]]
     lone[:-1] &= key[order[1:]] != key[order[:-1]]
@@ -318,41 +300,41 @@ def _mark(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray, key: np.ndarr
         return
     heads = np.append(np.flatnonzero(np.diff(key[order].view(np.int64), prepend=key[order[0]].view(np.int64) ^ 1)), len(order))
     shard: list[np.ndarray] = []
-    room = suffixarray.MOST
+    room = most = min(ARRAY, suffixarray.MOST)
     for a, b in zip(heads[:-1], heads[1:], strict=True):
         mine = order[a:b]
         need = int(sizes[mine].sum())
-        if need > suffixarray.MOST:
+        if need > most:
             _across(data, begins, sizes, mine, flags, width)
             continue
         if need > room:
             _local(data, begins, sizes, np.concatenate(shard), flags, width)
-            shard, room = [], suffixarray.MOST
+            shard, room = [], most
         shard.append(mine)
         room -= need
     if shard:
         _local(data, begins, sizes, np.concatenate(shard), flags, width)
 
 
-def _local(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray, mine: np.ndarray, flags: np.ndarray, width: int) -> np.ndarray:
-    """One shard: flags its repeated starts and returns the places of its distinct strings in order."""
+def _local(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray, mine: np.ndarray, flags: np.ndarray, width: int) -> None:
+    """One shard: flags its repeated starts."""
     at = _gather(begins[mine], sizes[mine])
     left = np.repeat(np.cumsum(sizes[mine]), sizes[mine]) - np.arange(len(at))
-    again, heads = suffixarray.repeated_starts(data[at], left, width)
+    again, _ = suffixarray.repeated_starts(data[at], left, width)
     flags[at[again]] = True
-    return at[heads]
 
 
 def _across(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray, mine: np.ndarray, flags: np.ndarray, width: int) -> None:
     """One minimiser in several shards: each by itself, then strings of several shards by binary search."""
-    step = suffixarray.MOST - width
+    most = min(ARRAY, suffixarray.MOST)
+    step = most - width
     spans: list[tuple[int, int]] = []  # long stretches are cut with an overlap, so that each string is whole in one part
     for i in mine.tolist():
         n = int(sizes[i]) - width + 1
         spans += [(int(begins[i]) + lo, min(step, n - lo) + width - 1) for lo in range(0, n, step)]
     lists, equal, group, used = [], [], [], 0
     for span in [*spans, None]:
-        if span is None or used + span[1] > suffixarray.MOST:
+        if span is None or used + span[1] > most:
             s = np.array(group, np.int64)
             at = _gather(s[:, 0], s[:, 1])
             left = np.repeat(np.cumsum(s[:, 1]), s[:, 1]) - np.arange(len(at))
@@ -391,26 +373,25 @@ def _returned(parts: list, stand: np.ndarray, begins: np.ndarray, sizes: np.ndar
             use = np.repeat(np.arange(len(w)), n)
             shards.append(s)
             payloads.append(_dump(text=text[use], at=at[use] + run[mine] - begins[owner[mine]], length=(stop[mine] - run[mine]).astype(np.int32)))
-    return pa.table({"shard": pa.array(shards, pa.int32()), "payload": pa.array(payloads, pa.binary())})
+    return pa.table({"shard": pa.array(shards, pa.int64()), "payload": pa.array(payloads, pa.binary())})
 
 
 def _none(schema: str) -> pa.Table:
-    kinds = {"int": pa.int32(), "binary": pa.binary()}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
     return pa.table({n: pa.array([], kinds[k]) for n, k in (f.split() for f in schema.split(", "))})
 
 
-CUTS_EMPTY = pa.table({"grp": pa.array([], pa.binary()), "n_bytes": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "n_spans": pa.array([], pa.int64()), "kept_sha256": pa.array([], pa.string()), "kept": pa.array([], pa.string())})
+CUTS_EMPTY = pa.table({"grp": pa.array([], pa.binary()), "copies": pa.array([], pa.int64()), "n_bytes": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "n_spans": pa.array([], pa.int64()), "kept_sha256": pa.array([], pa.string()), "kept": pa.array([], pa.string())})
 
 
-def dedup_substrings(docs: DataFrame, width: int = 200) -> DataFrame:
+def dedup_substrings(docs: DataFrame, width: int = 200, shard_bytes: int = 4 << 20, bin_bytes: int = 3 << 20) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    ids = docs.select(F.col("doc_id").cast("long"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("grp"))
-    return ids.join(repeated_bytes(docs, width), "grp").drop("grp")
+    ids = docs.select(F.col("doc_id").cast("long"), exchange.digest().alias("grp"))
+    return spread_join(ids, stored(repeated_bytes(docs, width, shard_bytes, bin_bytes), "cuts"), ["grp"], "copies").drop("grp", "copies")
 
 
 def cut_documents(docs: DataFrame, width: int = 200) -> DataFrame:
     """``docs`` with what repeats cut out of ``text``; a text that loses nothing stays as it is."""
-    grp, kept = free_name(docs, "_grp"), free_name(docs, "_kept")
-    cuts = repeated_bytes(docs, width, with_text=True).filter("n_removed > 0").select(F.col("grp").alias(grp), F.col("kept").alias(kept))
-    keyed = docs.withColumn(grp, F.unhex(F.md5(F.coalesce("text", F.lit("")))))
-    return keyed.join(cuts, grp, "left").withColumn("text", F.coalesce(kept, "text")).select(docs.columns)
+    grp, kept, copies = (free_name(docs, c) for c in ("_grp", "_kept", "_copies"))
+    cuts = stored(repeated_bytes(docs, width, changed_text=True).select(F.col("grp").alias(grp), F.col("kept").alias(kept), F.col("copies").alias(copies)), "cuts")
+    return spread_join(docs.withColumn(grp, exchange.digest()), cuts, [grp], copies, "left").withColumn("text", F.coalesce(kept, "text")).select(docs.columns)

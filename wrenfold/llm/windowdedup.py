@@ -4,15 +4,16 @@ Rabin-Karp hashes of every window of ``width`` words are counted across the corp
 window whose sequence also starts earlier is removed, so repeated windows merge into maximal removal
 intervals.  "Earlier" is a smaller ``doc_id``, or an earlier start in the same document.
 
-Plan: documents are dealt into ranges of ``doc_id`` (one shuffle of the text, read by both passes); a
-range sends its distinct window hashes through the key exchange and learns which of them a lower range
-holds too.  Volume: about 7 bytes a distinct window and range.  Windows compare by 64-bit hashes: for n
-windows a false match has a chance of n / 2**64 per window.
+Plan: distinct texts are dealt into shards by digest (one shuffle of the text, read by both passes); a shard
+sends its distinct window hashes, each with the least id that has it there, through the key exchange and
+learns which of them start earlier elsewhere.  Of equal texts the one of the least id is judged; the others
+lose every word, if they have a window.  Volume: about ten bytes a distinct window and shard.  Windows compare
+by 64-bit hashes of mixed word hashes: for n windows a false match has a chance of n / 2**64 per window.
 
 Cases: a null or empty text has no words and hashes as the empty string; a text of fewer words than
-``width`` has no window; null ids come first and form one range; rows that repeat an id count as
-separate documents, ordered by their text; extra columns are ignored; an empty table gives an empty
-result; very long texts are worked in one piece, their memory about 60 bytes per word.
+``width`` has no window; null ids come first; rows that repeat an id (or have none) are documents of their own,
+ordered by the digests of their texts, and one of several equal rows comes first; extra columns are ignored; an
+empty table gives an empty result; a very long text is worked in one piece, its memory about 60 bytes per word.
 """
 
 from __future__ import annotations
@@ -26,12 +27,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wrenfold.llm import exchange, textops
-from wrenfold.llm.storage import input_bytes
+from wrenfold.llm.ranks import spread_join
+from wrenfold.llm.storage import stored, text_bytes
 
 RESULT = T.StructType([
-    T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
+    T.StructField("grp", T.BinaryType()), T.StructField("copies", T.LongType()), T.StructField("least", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
     T.StructField("kept_sha256", T.StringType()), T.StructField("n_intervals", T.LongType()), T.StructField("kept", T.StringType()),
 ])
+#: The order of a row without an id.
+BEFORE_ALL = -(1 << 63)
 
 
 def _windows(table: pa.Table, width: int) -> tuple:
@@ -42,13 +46,9 @@ def _windows(table: pa.Table, width: int) -> tuple:
 
 
 def _in_order(table: pa.Table) -> pa.Table:
-    return table.sort_by([("doc_id", "ascending"), ("text", "ascending")]) if table.num_rows > 1 else table
-
-
-def _nulls_first(table: pa.Table) -> pa.Table:
-    """Rows by id and text, rows without an id first."""
-    null = table["doc_id"].is_null()
-    return pa.concat_tables([_in_order(table.filter(null)), _in_order(table.filter(pa.compute.invert(null)))])
+    """Distinct texts by the place of the first row of each: without an id, then by id, then by digest."""
+    least = np.where(table["nulls"].to_numpy() > 0, BEFORE_ALL, table["least"].fill_null(BEFORE_ALL).to_numpy())
+    return exchange.ordered(table.set_column(table.column_names.index("least"), "least", pa.array(least)), "least")
 
 
 def kept_texts(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,42 +70,53 @@ def kept_texts(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends:
 
 def dedup_windows(docs: DataFrame, width: int = 20, shard_bytes: int = 4 << 20, with_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256, n_intervals (maximal removed runs) and, ``with_text``, the kept words."""
-    total = input_bytes(docs)
-    wide = exchange.growth(total)
-    cut, shards = exchange.shards_of(docs.select(F.col("doc_id").cast("long"), "text"), int(shard_bytes * wide), total)
-    cut = cut.repartition(shards, "shard")
-    bits = exchange.part_bits(shards, 8 * wide, 12 * wide)
+    total = text_bytes(docs)
+    shards = exchange.shards_for(total, shard_bytes)
+    bits = exchange.bits_for(1.3 * total)  # a window in some six bytes
+    texts = exchange.dealt(docs, shards)
+
+    def firsts(table: pa.Table) -> tuple[tuple, np.ndarray, np.ndarray, np.ndarray]:
+        """What ``_windows`` gives, its windows in the order of their hashes, which of these is the first of its hash, and the hashes."""
+        found = _windows(table, width)
+        at = np.flatnonzero(found[-1])
+        order = at[np.argsort(found[-2][at], kind="stable")]
+        ranked = found[-2][order]
+        return found, order, np.concatenate(([True], ranked[1:] != ranked[:-1])) if len(at) else np.zeros(0, bool), ranked
 
     def send(table: pa.Table) -> pa.Table:
-        *_, hashes, inside = _windows(table, width)
-        return exchange.sent(table["shard"][0].as_py(), textops.sorted_unique(hashes[inside]), None, bits)
-
-    def earlier(group: np.ndarray, lead: np.ndarray, vals: np.ndarray) -> np.ndarray:
-        return (~lead).astype(np.uint8)
+        table = _in_order(table)
+        found, order, lead, ranked = firsts(table)
+        row = np.searchsorted(found[4], order[lead], "right") - 1
+        return exchange.sent(table["shard"][0].as_py(), ranked[lead], table["least"].to_numpy()[row], bits)
 
     def remove(table: pa.Table, answer: pa.Table) -> pa.Table:
-        table = _nulls_first(table)
-        data, offsets, starts, ends, first, hashes, inside = _windows(table, width)
-        at = np.flatnonzero(inside)
-        order = np.argsort(hashes[at], kind="stable")
-        ranked = hashes[at][order]
-        lead = np.concatenate(([True], ranked[1:] != ranked[:-1])) if len(at) else np.zeros(0, bool)
+        if not table.num_rows:
+            return RESULT_EMPTY
+        table = _in_order(table)
+        (data, offsets, starts, ends, first, *_), order, lead, _ = firsts(table)
         again = ~lead
         again[lead] = exchange.received(answer).astype(bool)
-        gone = textops.cover(np.sort(at[order[again]]), width, len(starts))
+        gone = textops.cover(np.sort(order[again]), width, len(starts))
         kept, cuts = kept_texts(data, offsets, starts, ends, first, ~gone)
         edge = gone & ~np.concatenate(([False], gone[:-1]))
         begins = first[:-1][np.diff(first) > 0]
         edge[begins] = gone[begins]
-        raw = kept.tobytes()
-        parts = [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        raw = memoryview(kept)
+        parts = [raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
         return pa.table({
-            "doc_id": table["doc_id"].cast(pa.int64()), "n_words": np.diff(first).astype(np.int64), "n_removed": textops.per_row(gone, first),
+            "grp": table["grp"], "copies": table["copies"], "least": table["least"], "n_words": np.diff(first).astype(np.int64), "n_removed": textops.per_row(gone, first),
             "kept_sha256": [hashlib.sha256(p).hexdigest() for p in parts], "n_intervals": textops.per_row(edge, first),
-            "kept": pa.array([p.decode() for p in parts] if with_text else [None] * len(parts), pa.string()),
+            "kept": pa.array([bytes(p).decode() for p in parts] if with_text else [None] * len(parts), pa.string()),
         })
 
-    keys = cut.groupBy("shard").applyInArrow(send, exchange.SENT)
-    answers = keys.groupBy("part").applyInArrow(exchange.merged(earlier), exchange.ANSWER)
-    out = cut.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(remove, RESULT)
-    return out if with_text else out.drop("kept")
+    keys = texts.groupBy("shard").applyInArrow(send, exchange.SENT)
+    answers = exchange.ask(keys, exchange.of_first(), bits, shards)
+    judged = stored(texts.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(remove, RESULT), "windows")
+    rows = docs.select(F.col("doc_id").cast("long"), exchange.digest().alias("grp")).groupBy("doc_id", "grp").agg(F.count(F.lit(1)).alias("same"))
+    both = spread_join(rows, judged, ["grp"], "copies").withColumn("nth", F.explode(F.expr("sequence(1L, same)")))
+    stays = ((F.col("nth") == 1) & (F.coalesce("doc_id", F.lit(BEFORE_ALL)) == F.col("least"))) | (F.col("n_words") < width)
+    nothing = {"n_removed": F.col("n_words"), "kept_sha256": F.lit(hashlib.sha256(b"").hexdigest()), "n_intervals": F.lit(1).cast("long"), "kept": F.lit("" if with_text else None)}
+    return both.select("doc_id", "n_words", *[F.when(stays, F.col(c)).otherwise(x).alias(c) for c, x in nothing.items() if c != "kept" or with_text])
+
+
+RESULT_EMPTY = pa.table({f.name: pa.array([], pa.int64() if f.dataType == T.LongType() else pa.binary() if f.dataType == T.BinaryType() else pa.string()) for f in RESULT.fields})
