@@ -285,7 +285,7 @@ def _kept(table: pa.Table, data: np.ndarray, offsets: np.ndarray, gone: np.ndarr
     parts = [kept[a:b] for a, b in zip(ends[rows].tolist(), ends[rows + 1].tolist(), strict=True)]
     return pa.table({
         "grp": table["grp"].take(pa.array(rows)), "copies": table["copies"].take(pa.array(rows)), "n_bytes": np.diff(offsets)[rows], "n_removed": removed[rows], "n_spans": spans[rows],
-        "kept_sha256": [hashlib.sha256(p).hexdigest() for p in parts], "kept": pa.array([bytes(p).decode(errors="ignore") if changed_text else None for p in parts], pa.string()),
+        "kept_sha256": pa.array([hashlib.sha256(p).hexdigest() for p in parts], pa.string()), "kept": pa.array([bytes(p).decode(errors="ignore") if changed_text else None for p in parts], pa.string()),
     })
 
 

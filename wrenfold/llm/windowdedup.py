@@ -105,7 +105,7 @@ def dedup_windows(docs: DataFrame, width: int = 20, shard_bytes: int = 4 << 20,
         parts = [raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
         return pa.table({
             "grp": table["grp"], "copies": table["copies"], "least": table["least"], "n_words": np.diff(first).astype(np.int64), "n_removed": textops.per_row(gone, first),
-            "kept_sha256": [hashlib.sha256(p).hexdigest() for p in parts], "n_intervals": textops.per_row(edge, first),
+            "kept_sha256": pa.array([hashlib.sha256(p).hexdigest() for p in parts], pa.string()), "n_intervals": textops.per_row(edge, first),
             "kept": pa.array([bytes(p).decode() for p in parts] if with_text else [None] * len(parts), pa.string()),
         })
 
