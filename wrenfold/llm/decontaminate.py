@@ -6,13 +6,15 @@ scanned against it, hits are verified word by word, and spans or documents are r
 A word is a run of digits, a-z and bytes of non-ASCII characters after lower-casing A-Z.  A window is
 ``width`` consecutive words of an item; an item of fewer words, but not none, is one window.
 
-The benchmark is a set of tests, not a corpus: its size is checked before it is broadcast.  Beyond
-``broadcast_bytes`` of text the documents' windows are joined with the benchmark's by hash instead
-(``scan_by_join``), with the same result.
+The set lies in arrays: the windows' hashes in order, where their words begin and end in one byte buffer, and
+their items; about ten bytes for each byte of the benchmark.  A benchmark of more than ``part_bytes`` of text is
+dealt into parts of about that size; each part is broadcast by itself, its scan of the documents is written
+as the hit words of each row, and the parts' hits are united by row.  So neither the driver nor a worker holds
+more than one part, whatever the benchmark's size, and every hit is verified.  A single item isn't split.
 
 Cases: null, empty or word-less texts have no words and are never contaminated; a word-less item has no
-window; repeated item ids count once; null item ids are named "null"; a repeated or null doc_id is
-judged row by row; extra columns are ignored; empty tables give no rows, or no hits.
+window; repeated item ids count once; items without an id count as one, which has no place in the digest; a
+repeated or null doc_id is judged row by row; extra columns are ignored; empty tables give no rows, or no hits.
 """
 
 from __future__ import annotations
@@ -33,74 +35,85 @@ FIELDS = [
     T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType()),
 ]
 BLOCK = 2 << 20
+#: Leading bits of the hashes by which most windows of documents are told apart from all of the set.
+SEEN_BITS = 22
 
 
 class Windows:
-    """The distinct windows of a benchmark: for each length the sorted hashes, the words to verify a hit with, and the items that hold it."""
-
-    def __init__(self, items: list[tuple[str, bytes]], width: int) -> None:
-        self.width = width
-        self.by_length: dict[int, tuple[np.ndarray, list[tuple[bytes, tuple[str, ...]]]]] = {}
-        found: dict[int, dict[bytes, set[str]]] = {}
-        for item, text in items:
-            words = split(text)
-            n = min(width, len(words))
-            for i in range(len(words) - n + 1 if n else 0):
-                found.setdefault(n, {}).setdefault(b" ".join(words[i : i + n]), set()).add(item)
-        for n, windows in found.items():
-            keys = list(windows)
-            joined = np.frombuffer(b"\n".join(keys) + b"\n", np.uint8)
-            starts, ends, _ = textops.find_words(joined, np.array([0, len(joined)]), textops.ALNUM_OR_HIGH)
-            hashes = textops.window_hashes(textops.word_hashes(joined, starts, ends), n)[::n]
-            by: dict[int, list[tuple[bytes, tuple[str, ...]]]] = {}
-            for h, k in zip(hashes.tolist(), keys, strict=True):
-                by.setdefault(h, []).append((k, tuple(sorted(windows[k]))))
-            self.by_length[n] = (np.array(sorted(by), np.uint64), [by[h] for h in sorted(by)])
-
-    def scan(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
-        """For the lower-cased rows: the first word of each row, which words are hit, and the items of each row."""
+    """The windows of a benchmark: for each length the sorted hashes, where their words lie in ``data``, and their items."""
+
+    def __init__(self, items: list[tuple[str | None, bytes]], width: int) -> None:
+        self.names = sorted({i for i, _ in items}, key=lambda x: (x is not None, x))
+        number = {n: k for k, n in enumerate(self.names)}
+        texts = [textops.LOWER[np.frombuffer(t, np.uint8)].tobytes() for _, t in items]
+        self.data = np.frombuffer(b"".join(texts), np.uint8)
+        offsets = np.cumsum([0, *map(len, texts)])
+        starts, ends, first = textops.find_words(self.data, offsets, textops.ALNUM_OR_HIGH)
+        hashes = textops.word_hashes(self.data, starts, ends)
+        count = np.diff(first)
+        item = np.array([number[i] for i, _ in items], np.int32)
+        self.by_length: dict[int, tuple[np.ndarray, ...]] = {}
+        for n in sorted({*np.minimum(count, width).tolist()} - {0}):
+            own = (count == n) if n < width else (count >= n)
+            row = np.repeat(np.arange(len(items)), count)
+            at = np.flatnonzero(textops.window_mask(first, n, len(starts)) & own[row[: max(0, len(starts) - n + 1)]])
+            h = textops.window_hashes(hashes, n)[at]
+            order = np.lexsort((item[row[at]], h))
+            h, at = h[order], at[order]
+            seen = np.zeros(1 << SEEN_BITS, bool)
+            seen[(h >> np.uint64(64 - SEEN_BITS)).astype(np.int64)] = True
+            self.by_length[n] = h, starts[at], ends[at + n - 1], item[row[at]], np.packbits(seen)
+
+    def scan(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[set[int]]]:
+        """For the lower-cased rows: the first word of each row, which words are hit, and the numbers of each row's items."""
         starts, ends, first = textops.find_words(data, offsets, textops.ALNUM_OR_HIGH)
         hashes = textops.word_hashes(data, starts, ends)
         hit = np.zeros(len(starts), bool)
-        items: list[set[str]] = [set() for _ in range(len(offsets) - 1)]
-        for n, (known, named) in self.by_length.items():
+        items: list[set[int]] = [set() for _ in range(len(offsets) - 1)]
+        for n, (known, begin, end, item, seen) in self.by_length.items():
             windows = textops.window_hashes(hashes, n)
             if not len(windows):
                 continue
-            at = np.minimum(np.searchsorted(known, windows), len(known) - 1) if len(known) < 64 else _probe(known, windows)
-            cand = np.flatnonzero((known[at] == windows) & textops.window_mask(first, n, len(starts)))
-            rows = np.searchsorted(first, cand, "right") - 1
+            lead = (windows >> np.uint64(64 - SEEN_BITS)).astype(np.int64)
+            may = np.flatnonzero((seen[lead >> 3] >> (7 - (lead & 7)).astype(np.uint8)) & 1 & textops.window_mask(first, n, len(starts)))
+            lo, hi = np.searchsorted(known, windows[may]), np.searchsorted(known, windows[may], "right")
+            may, lo, hi = may[hi > lo], lo[hi > lo], hi[hi > lo]
+            rows = np.searchsorted(first, may, "right") - 1
             sure = []
-            for i, row in zip(cand.tolist(), rows.tolist(), strict=True):
-                words = b" ".join(data[starts[j] : ends[j]].tobytes() for j in range(i, i + n))
-                for text, who in named[at[i]]:
-                    if text == words:  # verified
-                        sure.append(i)
-                        items[row].update(who)
+            for i, row, a, b in zip(may.tolist(), rows.tolist(), lo.tolist(), hi.tolist(), strict=True):
+                words = _words(data, starts[i : i + n], ends[i : i + n])
+                same = self._same(words, begin[a:b], end[a:b])  # verified
+                if same.any():
+                    sure.append(i)
+                    items[row].update(item[a:b][same].tolist())
             if sure:
                 hit |= textops.cover(np.array(sorted(sure)), n, len(starts))
         return first, hit, items
 
+    def _same(self, words: list[bytes], begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Which of the windows have these words; windows of equal bytes are compared once."""
+        known: dict[bytes, bool] = {}
+        out = np.zeros(len(begin), bool)
+        for k, (a, b) in enumerate(zip(begin.tolist(), end.tolist(), strict=True)):
+            raw = self.data[a:b].tobytes()
+            if raw not in known:
+                known[raw] = split(raw) == words
+            out[k] = known[raw]
+        return out
 
-def _probe(known: np.ndarray, windows: np.ndarray) -> np.ndarray:
-    """Positions in ``known``: a table of 2**16 leading bits tells most windows apart before any search."""
-    seen = np.zeros(1 << 16, bool)
-    seen[(known >> np.uint64(48)).astype(np.int64)] = True
-    at = np.zeros(len(windows), np.int64)
-    may = np.flatnonzero(seen[(windows >> np.uint64(48)).astype(np.int64)])
-    at[may] = np.minimum(np.searchsorted(known, windows[may]), len(known) - 1)
-    return at
+
+def _words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    return [data[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
 def split(text: bytes) -> list[bytes]:
     data = textops.LOWER[np.frombuffer(text, np.uint8)]
     starts, ends, _ = textops.find_words(data, np.array([0, len(data)]), textops.ALNUM_OR_HIGH)
-    raw = data.tobytes()
-    return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    return _words(data, starts, ends)
 
 
-def _digest(items: set[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+def _digest(items: set[str | None]) -> str:
+    return hashlib.sha256(",".join(sorted(i for i in items if i is not None)).encode()).hexdigest()
 
 
 def _masked(raw: bytes, spans: list[tuple[int, int]]) -> str:
@@ -111,53 +124,51 @@ def _masked(raw: bytes, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, raw[at:]]).decode()
 
 
-def load_windows(benchmark: DataFrame, width: int, broadcast_bytes: int) -> Windows | None:
-    """The windows of the benchmark, or None if its text is beyond ``broadcast_bytes``."""
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
-    if size > broadcast_bytes:
-        return None
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text").collect()
-    return Windows([(r.item, (r.text or "").encode()) for r in rows], width)
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, broadcast_bytes: int = 64 << 20, clean: str | None = None) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, part_bytes: int = 16 << 20, clean: str | None = None) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     ``clean="spans"`` adds ``clean_text``, the text without the hit spans (from a hit word's start to the
     end of the hit run); ``clean="documents"`` instead returns the rows of ``docs`` that aren't contaminated.
     """
-    windows = load_windows(benchmark, width, broadcast_bytes)
-    if windows is None:
-        return scan_by_join(docs, benchmark, width, clean)
-    shared = docs.sparkSession.sparkContext.broadcast(windows)
-    if clean == "documents":
-        schema = docs.schema
-    else:
-        schema = T.StructType(FIELDS + [T.StructField("clean_text", T.StringType())] * (clean == "spans"))
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").filter("text IS NOT NULL")
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(1, -(-size // part_bytes))
+    if parts > 1:
+        return _in_parts(docs, items, width, parts, clean)
+    shared = _broadcast(items, width)
+    schema = docs.schema if clean == "documents" else T.StructType(FIELDS + [T.StructField("clean_text", T.StringType())] * (clean == "spans"))
 
     def work(batches):  # noqa: ANN001, ANN202
+        windows = shared.value
         for batch in batches:
-            yield from _scan(batch, shared.value, clean)
+            for part, first, hit, items in _scan(batch, windows):
+                yield _judged(part, first, hit, [{windows.names[i] for i in x} for x in items], clean)
 
     return (docs if clean == "documents" else docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(work, schema)
 
 
-def _scan(batch: pa.RecordBatch, windows: Windows, clean: str | None):  # noqa: ANN202
+def _broadcast(items: DataFrame, width: int):  # noqa: ANN202
+    """The windows of items of at most about ``part_bytes`` of text."""
+    return items.sparkSession.sparkContext.broadcast(Windows([(r.item, r.text.encode()) for r in items.collect()], width))
+
+
+def _scan(batch: pa.RecordBatch, windows: Windows):  # noqa: ANN202
+    """Blocks of a batch: its rows, the first word of each, which words are hit, and each row's items."""
     data, offsets = textops.buffers(batch.column("text"))
-    data = textops.LOWER[data]
     for lo, hi in textops.blocks(offsets, BLOCK):
-        block, cuts = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-        first, hit, items = windows.scan(block, cuts)
-        n_words, n_hit = np.diff(first).astype(np.int64), textops.per_row(hit, first)
-        bad = (n_hit > 0) & (20 * n_hit >= n_words)
-        part = batch.slice(lo, hi - lo)
-        if clean == "documents":
-            yield part.filter(pa.array(~bad))
-            continue
-        out = {"doc_id": part.column("doc_id"), "n_words": n_words, "n_hit": n_hit, "n_items": pa.array([len(x) for x in items], pa.int64()), "items_sha256": [_digest(x) for x in items], "contaminated": bad}
-        if clean == "spans":
-            out["clean_text"] = pa.array(_cleaned(part.column("text"), hit, first), pa.string())
-        yield pa.RecordBatch.from_pydict(out)
+        block = textops.LOWER[data[offsets[lo] : offsets[hi]]]
+        yield batch.slice(lo, hi - lo), *windows.scan(block, offsets[lo : hi + 1] - offsets[lo])
+
+
+def _judged(part: pa.RecordBatch, first: np.ndarray, hit: np.ndarray, items: list[set[str | None]], clean: str | None) -> pa.RecordBatch:
+    n_words, n_hit = np.diff(first).astype(np.int64), textops.per_row(hit, first)
+    bad = (n_hit > 0) & (20 * n_hit >= n_words)
+    if clean == "documents":
+        return part.filter(pa.array(~bad))
+    out = {"doc_id": part.column("doc_id"), "n_words": n_words, "n_hit": n_hit, "n_items": pa.array([len(x) for x in items], pa.int64()), "items_sha256": pa.array(map(_digest, items), pa.string()), "contaminated": bad}
+    if clean == "spans":
+        out["clean_text"] = pa.array(_cleaned(part.column("text"), hit, first), pa.string())
+    return pa.RecordBatch.from_pydict(out)
 
 
 def _cleaned(texts: pa.Array, hit: np.ndarray, first: np.ndarray) -> list[str | None]:
@@ -175,88 +186,57 @@ def _cleaned(texts: pa.Array, hit: np.ndarray, first: np.ndarray) -> list[str |
     return out
 
 
-def scan_by_join(docs: DataFrame, benchmark: DataFrame, width: int, clean: str | None = None) -> DataFrame:
-    """The same for a benchmark too large to broadcast: windows of both sides meet by hash in a shuffle, and the matches alone return to the documents.
-
-    A match is verified by a second, independent 64-bit hash.  Only the lengths that items have are made for documents.
-    """
-    keep = free_name(docs, "_row")
-    rows = stored(docs.withColumn(keep, F.monotonically_increasing_id()), "decontaminate-docs")
-    short = benchmark.mapInArrow(_lengths(width), "n int").distinct()
-    lengths = sorted(r.n for r in short.collect())  # at most ``width`` values
-    item_side = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text").mapInArrow(_item_windows(width), "item string, n int, h long, g long").distinct()
-    doc_side = rows.select(keep, "text").mapInArrow(_doc_windows(lengths, keep), f"{keep} long, i long, n int, h long, g long")
-    found = doc_side.join(item_side, ["n", "h", "g"])
-    spans = found.groupBy(keep).agg(F.collect_set(F.struct("i", "n")).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
-    joined = rows.select(keep, F.col("doc_id").cast("long").alias("doc_id"), "text").join(spans, keep, "left")
-    schema = T.StructType([T.StructField(keep, T.LongType()), *FIELDS, T.StructField("clean_text", T.StringType())])
-    judged = joined.mapInArrow(_judge(keep), schema)
+def _in_parts(docs: DataFrame, items: DataFrame, width: int, parts: int, clean: str | None) -> DataFrame:
+    """The same for a benchmark of several parts, one scan for each."""
+    row = free_name(docs, "_row")
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminate-docs")
+    items = stored(items.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(parts)).cast("int")), "decontaminate-items")
+    found = None
+    for k in range(parts):
+        shared = _broadcast(items.filter(F.col("part") == k).select("item", "text"), width)
+        hits = stored(rows.select(row, "text").mapInArrow(_hits(shared, row), f"{row} long, begins array<long>, ends array<long>, names array<string>, unnamed boolean"), "decontaminate-hits")
+        shared.unpersist()
+        found = hits if found is None else found.unionByName(hits)
+    union = lambda c: F.flatten(F.collect_list(c)).alias(c)  # noqa: E731  at most one row for each part
+    found = found.groupBy(row).agg(union("begins"), union("ends"), F.array_distinct(F.flatten(F.collect_list("names"))).alias("names"), F.bool_or("unnamed").alias("unnamed"))
     if clean == "documents":
-        return rows.join(judged.filter(~F.col("contaminated")).select(keep), keep, "left_semi").drop(keep).select(docs.columns)
-    return judged.drop(keep) if clean == "spans" else judged.drop(keep, "clean_text")
+        inside = rows.select(F.col(row).alias("doc_id"), "text").join(found.withColumnRenamed(row, "doc_id"), "doc_id")
+        bad = inside.mapInArrow(_united(None), T.StructType(FIELDS)).filter("contaminated").select(F.col("doc_id").alias(row))
+        return rows.join(bad, row, "left_anti").drop(row)
+    schema = T.StructType(FIELDS + [T.StructField("clean_text", T.StringType())] * (clean == "spans"))
+    return rows.select(row, F.col("doc_id").cast("long").alias("doc_id"), "text").join(found, row, "left").mapInArrow(_united(clean), schema)
 
 
-def _lengths(width: int):  # noqa: ANN202
-    def work(batches):  # noqa: ANN001, ANN202
-        for batch in batches:
-            data, offsets = textops.buffers(batch.column("text"))
-            n = np.diff(textops.find_words(textops.LOWER[data], offsets, textops.ALNUM_OR_HIGH)[2])
-            yield pa.RecordBatch.from_pydict({"n": pa.array(sorted({*np.minimum(n, width).tolist()} - {0}), pa.int32())})
-
-    return work
-
+def _hits(shared, row: str):  # noqa: ANN001, ANN202
+    """Rows with hits: the runs of hit words, counted from the row's first, and the items."""
 
-def _two(hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    return textops.window_hashes(hashes, n).view(np.int64), textops.window_hashes(textops.mix(hashes + np.uint64(1)), n, 0xD6E8FEB86659FD93).view(np.int64)
-
-
-def _item_windows(width: int):  # noqa: ANN202
     def work(batches):  # noqa: ANN001, ANN202
+        windows = shared.value
         for batch in batches:
-            for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                data = textops.LOWER[np.frombuffer((text or "").encode(), np.uint8)]
-                starts, ends, _ = textops.find_words(data, np.array([0, len(data)]), textops.ALNUM_OR_HIGH)
-                n = min(width, len(starts))
-                if n:
-                    h, g = _two(textops.word_hashes(data, starts, ends), n)
-                    yield pa.RecordBatch.from_pydict({"item": pa.array([item] * len(h), pa.string()), "n": pa.array([n] * len(h), pa.int32()), "h": h, "g": g})
-
-    return work
-
-
-def _doc_windows(lengths: list[int], keep: str):  # noqa: ANN202
-    def work(batches):  # noqa: ANN001, ANN202
-        for batch in batches:
-            data, offsets = textops.buffers(batch.column("text"))
-            data = textops.LOWER[data]
-            ids = batch.column(keep).to_numpy()
-            for lo, hi in textops.blocks(offsets, BLOCK):
-                block = data[offsets[lo] : offsets[hi]]
-                starts, ends, first = textops.find_words(block, offsets[lo : hi + 1] - offsets[lo], textops.ALNUM_OR_HIGH)
-                hashes = textops.word_hashes(block, starts, ends)
-                row = np.repeat(np.arange(hi - lo), np.diff(first))
-                for n in lengths:
-                    at = np.flatnonzero(textops.window_mask(first, n, len(starts)))
-                    h, g = _two(hashes, n)
-                    yield pa.RecordBatch.from_pydict({keep: ids[lo:hi][row[at]], "i": at - first[:-1][row[at]], "n": pa.array(np.full(len(at), n), pa.int32()), "h": h[at], "g": g[at]})
+            for part, first, hit, items in _scan(batch, windows):
+                out = []
+                for k in np.flatnonzero(textops.per_row(hit, first)).tolist():
+                    edge = np.diff(np.concatenate(([0], hit[first[k] : first[k + 1]].astype(np.int8), [0])))
+                    who = {windows.names[i] for i in items[k]}
+                    out.append((part.column(row)[k].as_py(), np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), sorted(who - {None}), None in who))
+                if out:
+                    ids, begins, ends, names, unnamed = zip(*out, strict=True)
+                    runs = pa.list_(pa.int64())
+                    yield pa.RecordBatch.from_pydict({row: pa.array(ids, pa.int64()), "begins": pa.array(begins, runs), "ends": pa.array(ends, runs), "names": pa.array(names, pa.list_(pa.string())), "unnamed": pa.array(unnamed)})
 
     return work
 
 
-def _judge(keep: str):  # noqa: ANN202
+def _united(clean: str | None):  # noqa: ANN202
     def work(batches):  # noqa: ANN001, ANN202
         for batch in batches:
             data, offsets = textops.buffers(batch.column("text"))
             first = textops.find_words(textops.LOWER[data], offsets, textops.ALNUM_OR_HIGH)[2]
             hit = np.zeros(int(first[-1]), bool)
-            items = [set(x or ()) for x in batch.column("items").to_pylist()]
-            for k, spans in enumerate(batch.column("spans").to_pylist()):
-                for s in spans or ():
-                    hit[first[k] + s["i"] : first[k] + s["i"] + s["n"]] = True
-            n_words, n_hit = np.diff(first).astype(np.int64), textops.per_row(hit, first)
-            yield pa.RecordBatch.from_pydict({
-                keep: batch.column(keep), "doc_id": batch.column("doc_id"), "n_words": n_words, "n_hit": n_hit, "n_items": pa.array([len(x) for x in items], pa.int64()),
-                "items_sha256": [_digest(x) for x in items], "contaminated": (n_hit > 0) & (20 * n_hit >= n_words), "clean_text": pa.array(_cleaned(batch.column("text"), hit, first), pa.string()),
-            })
+            names, unnamed = batch.column("names").to_pylist(), batch.column("unnamed").to_pylist()
+            for k, (begins, ends) in enumerate(zip(batch.column("begins").to_pylist(), batch.column("ends").to_pylist(), strict=True)):
+                for a, b in zip(begins or (), ends or (), strict=True):
+                    hit[first[k] + a : first[k] + b] = True
+            yield _judged(batch, first, hit, [{*(x or ()), *([None] if none else ())} for x, none in zip(names, unnamed, strict=True)], clean)
 
     return work
