@@ -69,6 +69,7 @@ _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 _WORD = r"'[^\x20\x09-\x0D]+'"
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_warc_fixity": merkle.oracle_sql(),
     "op9_license_rules": licenses.oracle_sql(),
     "op1_benchmark_decontamination": f"""
 WITH item AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_ASCII_LOWER}, {_ALNUM}) AS ws FROM benchmark),
