@@ -9,7 +9,8 @@ are at most 4096 classes per doubling and the driver packs a histogram that does
 Groups of one class are interchangeable; one finds its shard by its rank in the class.
 
 A group that is larger than a shard is cut into as few pieces as will fit (there are fewer such groups than
-shards); no other group is split.  Cases: a null text has no bytes and groups with the empty text; repeated
+shards), and ``group_cut`` marks its rows; no other group is split.  A document larger than a fixed capacity
+is an error.  Cases: a null text has no bytes and groups with the empty text; repeated
 rows and null ids are rows like any other; extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -141,27 +142,29 @@ def size_class(size):  # noqa: ANN001, ANN201
 
 
 def shard_documents(docs: DataFrame, shards: int | None = 24, capacity: int | None = None) -> DataFrame:
-    """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard.  Give ``shards``, or a ``capacity`` in bytes to open as few shards of it as best fit needs."""
+    """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard, group_cut.  Give ``shards``, or a ``capacity`` in bytes to open as few shards of it as best fit needs."""
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     rows = stored(docs.select(F.col("doc_id").cast("long"), (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.md5(text)).alias("grp")), "shard-rows")
     total, count, largest = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.max("size"), F.lit(1))).first()
-    room = max(capacity or -(-total // shards), largest)
+    if capacity and largest > capacity:
+        raise ValueError(f"a document of {largest} bytes is larger than a shard of {capacity}")
+    room = capacity or max(-(-total // shards), largest)
     salts = ranks.salts_for(count)
     groups = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"))
     groups = groups.withColumn("per", F.least("n", F.greatest(F.lit(1), F.floor(F.lit(room) / F.col("size")).cast("long"))))
     # a group larger than a shard goes as pieces of ``per`` documents; all others as one
     pieces = groups.select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(n - 1) div per"))).alias("piece"), "n", "per", "size")
-    pieces = pieces.withColumn("bytes", F.least("per", F.expr("n - piece * per")) * F.col("size")).withColumn("cls", size_class(F.col("bytes"))).select("grp", "piece", "cls")
+    pieces = pieces.withColumn("bytes", F.least("per", F.expr("n - piece * per")) * F.col("size")).withColumn("cls", F.least(size_class(F.col("bytes")), F.greatest("bytes", F.lit(room)))).select("grp", "piece", "cls")
     histogram = {r.cls: r.n for r in pieces.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most 4096 rows per doubling of the largest size
-    runs = best_fit_decreasing(histogram, max(room, max(histogram, default=1))) if capacity else plan_for(histogram, shards)[0]
+    runs = best_fit_decreasing(histogram, capacity) if capacity else plan_for(histogram, shards)[0]
     plan = spark.createDataFrame(runs, "cls long, lo long, hi long, shard int").groupBy("cls").agg(F.collect_list(F.struct("lo", "hi", "shard")).alias("runs"))
     placed = ranks.ranked(pieces, "cls", ["grp", "piece"], salts, "rank").join(F.broadcast(plan), "cls")  # bounded as the histogram is
     placed = placed.select("grp", "piece", F.expr("filter(runs, r -> r.lo <= rank AND rank < r.hi)[0].shard").alias("shard"))
     split = groups.filter("per < n").select("grp", "per")  # fewer rows than shards
     inside = rows.join(F.broadcast(split), "grp")
-    cut = ranks.ranked(inside, "grp", ["doc_id", "text_crc32"], salts, "nth").withColumn("piece", F.expr("nth div per")).select(*rows.columns, "piece")
-    whole = rows.join(F.broadcast(split.select("grp")), "grp", "left_anti").withColumn("piece", F.lit(0).cast("long"))
+    cut = ranks.ranked(inside, "grp", ["doc_id", "text_crc32"], salts, "nth").withColumn("piece", F.expr("nth div per")).select(*rows.columns, "piece", F.lit(True).alias("group_cut"))
+    whole = rows.join(F.broadcast(split.select("grp")), "grp", "left_anti").select(*rows.columns, F.lit(0).cast("long").alias("piece"), F.lit(False).alias("group_cut"))
     dealt = whole.unionByName(cut).join(placed, ["grp", "piece"]).drop("piece", "grp")
     out = ranks.ranked(dealt, "shard", ["doc_id", "text_crc32"], salts, "slot")
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "group_cut")
