@@ -194,7 +194,7 @@ def _row(text: bytes, with_media: bool) -> tuple:
 
 
 def read_media(files: DataFrame, content: str = "content") -> DataFrame:
-    """Any Ogg files (``content``: binary) as packets: the file's other columns, serial, packet, data, seconds (null where no page gives the time) and error."""
+    """Any Ogg files (``content``: binary) as packets: the file's other columns, serial, packet, data, seconds (null where no page gives the time) and error; a file without packets, null or empty ones too, has one row with an error."""
     keep = [f for f in files.schema.fields if f.name != content and f.name not in ("serial", "packet", "data", "seconds", "error")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "serial long, packet int, data binary, seconds double, error string"])
 
@@ -204,11 +204,11 @@ def read_media(files: DataFrame, content: str = "content") -> DataFrame:
                 raw = batch.column(content)[i].as_py()
                 try:
                     rows = [(s.serial, k, p, None if e is None else e / RATE, None) for s in read(raw or b"").values() for k, (p, e) in enumerate(zip(s.packets, s.ends, strict=True))]
+                    rows = rows or [(None, None, None, None, "no packets")]
                 except OggError as e:
                     rows = [(None, None, None, None, str(e))]
-                if rows:
-                    cols = list(zip(*rows, strict=True))
-                    own = {f.name: batch.column(f.name).take(pa.array([i] * len(rows))) for f in keep}
-                    yield pa.RecordBatch.from_pydict(own | {n: pa.array(c, k) for n, c, k in zip(("serial", "packet", "data", "seconds", "error"), cols, (pa.int64(), pa.int32(), pa.binary(), pa.float64(), pa.string()), strict=True)})
+                cols = list(zip(*rows, strict=True))
+                own = {f.name: batch.column(f.name).take(pa.array([i] * len(rows))) for f in keep}
+                yield pa.RecordBatch.from_pydict(own | {n: pa.array(c, k) for n, c, k in zip(("serial", "packet", "data", "seconds", "error"), cols, (pa.int64(), pa.int32(), pa.binary(), pa.float64(), pa.string()), strict=True)})
 
     return files.select(*[f.name for f in keep], content).mapInArrow(work, schema)
