@@ -1,11 +1,22 @@
 """A counterfactual-regularised toxicity classifier.
 
-Logistic regression on the presence of words and word beginnings (hashed).  Labelled sentences that mention
-an identity term are copied with the term swapped for others of its kind (all mentions of all sentences; equal
-copies count by their number), and the training loss penalises the squared change of the logit, so that a mention of a group does not itself raise a score.
+Logistic regression on the presence of words and word beginnings (hashed).  Identity terms are swapped in
+labelled sentences, and the loss penalises what that changes:
 
-The model is fitted on the driver, on at most ``sample`` labelled documents (those with the least hash of
-their id), each sent as hashed feature numbers; scoring runs over all documents, whole texts, in one pass.
+* each mention in a labelled sentence is swapped for the other terms of its kind (all mentions of all
+  sentences; equal swaps count by their number);
+* a template adds a neutral mention to each labelled text, once with either term of a pair (drawn by the text's
+  hash); both copies are learnt from with the text's own label, and the change of the logit between them, and
+  between each and the text without it, is penalised.  So the penalty acts on any corpus, and a term that no
+  labelled text mentions can't raise a score either.
+
+``Model.report`` says how many swaps there were and how far template mentions still move scores.
+
+The model is fitted on at most ``sample`` labelled documents (those with the least hash of their id; of several
+texts of an id the least), and has at most ``most_features`` features, those whose presence tells most about the
+label.  Counts of features are made in Spark; the driver gets, for each sampled document, the positions of its
+features among these: at most ``sample`` rows of ``most_features`` numbers, however long the texts are.
+Scoring runs over all documents, whole texts, in one pass.
 
 Cases: null and empty texts get the score of a text without features; labels that are null are ignored and
 of several labels of an id the largest counts; with no labelled rows, or one class only, the score is the
@@ -16,14 +27,17 @@ gives an empty result.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wrenfold.llm import textops
+from wrenfold.llm.storage import stored
 
 FEATURE_BITS = 22
 #: Bytes of a word's beginning that are a feature of their own.
@@ -70,6 +84,9 @@ def _of(text: bytes) -> np.ndarray:
 
 
 _TERM_FEATURES = {t: _of(t) for t in _OTHERS}
+#: Features of identity terms: always part of a model.
+IDENTITY = np.unique(np.concatenate([*_TERM_FEATURES.values()]))
+_PAIRS = [pair for kind in IDENTITY_TERMS for pair in combinations([t.encode() for t in kind], 2)]
 
 
 def counterfactuals(text: bytes) -> Counter[tuple[bytes, bytes]]:
@@ -88,19 +105,25 @@ def counterfactuals(text: bytes) -> Counter[tuple[bytes, bytes]]:
     return out
 
 
+def template(text: bytes, present: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The features that a neutral mention of either term of the text's pair would add to it."""
+    return tuple(np.setdiff1d(_TERM_FEATURES[t], present) for t in _PAIRS[zlib.crc32(text) % len(_PAIRS)])
+
+
+SAMPLED = "y int, present array<int>, first array<int>, second array<int>, gone array<binary>, come array<binary>, times array<bigint>"
+
+
 def _sampled(batches):  # noqa: ANN001, ANN202
     for batch in batches:
-        rows = {"y": [], "present": [], "gone": [], "come": [], "times": []}
         for y, text in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist(), strict=True):
             raw = textops.LOWER[np.frombuffer((text or "").encode(), np.uint8)].tobytes()
-            pairs = counterfactuals(raw)
-            rows["y"].append(y)
-            rows["present"].append(_of(raw).tobytes())
-            rows["gone"].append([a for a, _ in pairs])
-            rows["come"].append([b for _, b in pairs])
-            rows["times"].append([*pairs.values()])
-        kinds = {"y": pa.int32(), "present": pa.binary(), "gone": pa.list_(pa.binary()), "come": pa.list_(pa.binary()), "times": pa.list_(pa.int64())}
-        yield pa.RecordBatch.from_pydict({c: pa.array(rows[c], kind) for c, kind in kinds.items()})
+            pairs, present = counterfactuals(raw), _of(raw)
+            first, second = template(raw, present)
+            ints, blobs = pa.list_(pa.int32()), pa.list_(pa.binary())
+            yield pa.RecordBatch.from_pydict({
+                "y": pa.array([y], pa.int32()), "present": pa.array([present], ints), "first": pa.array([first], ints), "second": pa.array([second], ints),
+                "gone": pa.array([[a for a, _ in pairs]], blobs), "come": pa.array([[b for _, b in pairs]], blobs), "times": pa.array([[*pairs.values()]], pa.list_(pa.int64())),
+            })
 
 
 class Model:
@@ -109,6 +132,7 @@ class Model:
     def __init__(self, known: np.ndarray, weights: np.ndarray, bias: float) -> None:
         self.known, self.weights, self.bias = known, weights, bias
         self.slot = None
+        self.report: dict[str, float] = {}
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Scores of lower-cased rows."""
@@ -124,61 +148,66 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
 
 
-def _gain(a: np.ndarray, count: np.ndarray, toxic: float, total: int) -> np.ndarray:
-    """The likelihood ratio statistic G of presence against label: a toxic documents of ``count`` have the feature."""
-    out = np.zeros(len(count))
-    for seen, row, col in ((a, count, toxic), (count - a, count, total - toxic), (toxic - a, total - count, toxic), (total - toxic - count + a, total - count, total - toxic)):
-        with np.errstate(divide="ignore", invalid="ignore"):
-            out += np.where(seen > 0, 2 * seen * np.log(seen * total / (row * col)), 0)
-    return out
+def _gain(a: Column, count: Column, toxic: int, total: int) -> Column:
+    """The likelihood ratio statistic G of presence against label: ``a`` toxic documents of ``count`` have the feature."""
+    cells = ((a, count, toxic), (count - a, count, total - toxic), (toxic - a, total - count, toxic), (total - toxic - count + a, total - count, total - toxic))
+    return sum((F.when(seen > 0, 2 * seen * F.ln(seen * float(total) / (row * float(col)))).otherwise(0.0) for seen, row, col in cells), F.lit(0.0))
 
 
-def fit(rows: list, counterfactual: float = 1.0, decay: float = 1e-3, least_gain: float = 12.0, steps: int = 150, rate: float = 0.1) -> Model:
-    """Adam on the mean log loss + ``counterfactual`` * the mean squared change of logits under swaps + ``decay`` * the squared weights; features whose presence tells less about the label than a likelihood ratio of ``least_gain`` are left out."""
-    y = np.array([r.y for r in rows], np.float64)
-    base = (y.sum() + 1) / (len(y) + 2)
-    if not len(y) or y.min() == y.max():
-        return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(base / (1 - base))))
-    flat = np.concatenate([np.frombuffer(r.present, np.int32) for r in rows])
-    doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r.present) // 4 for r in rows])
-    count, a = np.bincount(flat, minlength=1 << FEATURE_BITS), np.bincount(flat[y[doc] > 0], minlength=1 << FEATURE_BITS)
-    seen = np.flatnonzero(count)
-    known = seen[_gain(a[seen], count[seen], y.sum(), len(y)) >= least_gain]
-    count = count[known]
-    slot = np.full(1 << FEATURE_BITS, -1, np.int32)
-    slot[known] = np.arange(len(known))
-    keep = slot[flat] >= 0
-    col, doc = slot[flat[keep]], doc[keep]
-    del flat, keep, a, seen
-    distinct: Counter[tuple[bytes, bytes]] = Counter()
-    for r in rows:
-        for gone, come, times in zip(r.gone, r.come, r.times, strict=True):
-            distinct[bytes(gone), bytes(come)] += times
-    swap_col, swap_row, sign, swaps = [], [], [], len(distinct)
-    weight = np.array([*distinct.values()], np.float64)
-    for i, pair in enumerate(distinct):
-        for blob, s in zip(pair, (1.0, -1.0), strict=True):
-            c = slot[np.frombuffer(blob, np.int32)]
-            c = c[c >= 0]
-            swap_col.append(c)
-            swap_row.append(np.full(len(c), i))
-            sign.append(np.full(len(c), s))
-    if swaps:
-        weight /= weight.sum()
-        swap_col, swap_row, sign = np.concatenate(swap_col), np.concatenate(swap_row), np.concatenate(sign)
+def _csr(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of all lists and the list of each."""
+    return np.concatenate([*lists, np.zeros(0, np.int32)]), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def fit(known: np.ndarray, y: np.ndarray, present: list[np.ndarray], pairs: tuple[list[np.ndarray], list[np.ndarray]], swaps: dict[tuple[bytes, bytes], int], counterfactual: float = 1.0, decay: float = 1e-3, steps: int = 150, rate: float = 0.1) -> Model:
+    """Adam on the mean log loss of all texts and their template copies + ``counterfactual`` * (the mean squared change of logits under swaps of mentions + the same of template mentions) + ``decay`` / texts * the squared weights by number of texts.
+
+    ``present`` and ``pairs`` (what either mention adds): positions in the sorted feature numbers ``known``; ``swaps``: feature numbers that go and come, and how often.
+    """
     n, k = len(y), len(known)
-    w, bias, m, v = np.zeros(k + 1), float(np.log(base / (1 - base))), np.zeros(k + 1), np.zeros(k + 1)
-    w[k] = bias
+    base = (y.sum() + 1) / (n + 2)
+    (col, doc), (first, at1), (second, at2) = _csr(present), _csr(pairs[0]), _csr(pairs[1])
+    added, adds = np.concatenate((first, second)), np.concatenate((at1, at2 + n))
+    weight = np.array([*swaps.values()], np.float64) / max(1, sum(swaps.values()))
+    gone, come = ([_positions(known, np.frombuffer(x, np.int32)) for x in side] for side in (zip(*swaps, strict=True) if swaps else ((), ())))
+    (out, out_at), (in_, in_at) = _csr(gone), _csr(come)
+    count = np.bincount(col, minlength=k)
+    w, m, v = np.zeros(k + 1), np.zeros(k + 1), np.zeros(k + 1)
+    w[k] = np.log(base / (1 - base))
+    both = np.concatenate((y, y))
+
+    def forward() -> tuple[np.ndarray, np.ndarray]:
+        return np.bincount(doc, w[col], minlength=n) + w[k], np.bincount(adds, w[added], minlength=2 * n)
+
     for t in range(1, steps + 1):
-        z = np.bincount(doc, w[col], minlength=n) + w[k]
-        err = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / n
-        grad = np.append(np.bincount(col, err[doc], minlength=k) + 2 * decay / n * w[:k] * count, err.sum())
+        z, move = forward()
+        e, e2 = (_sigmoid(z) - y) / (3 * n), (_sigmoid(np.concatenate((z, z)) + move) - both) / (3 * n)
+        # what a mention moves, and what one instead of the other does
+        apart = move[:n] - move[n:]
+        pull = 2 * counterfactual / (3 * n) * (move + np.concatenate((apart, -apart)))
+        grad = np.bincount(col, (e + e2[:n] + e2[n:])[doc], minlength=k) + np.bincount(added, (e2 + pull)[adds], minlength=k) + 2 * decay / n * w[:k] * count
         if swaps:
-            change = np.bincount(swap_row, sign * w[swap_col], minlength=swaps)
-            grad[:k] += 2 * counterfactual * np.bincount(swap_col, sign * (weight * change)[swap_row], minlength=k)
+            change = np.bincount(in_at, w[in_], minlength=len(weight)) - np.bincount(out_at, w[out], minlength=len(weight))
+            push = 2 * counterfactual * weight * change
+            grad += np.bincount(in_, push[in_at], minlength=k) - np.bincount(out, push[out_at], minlength=k)
+        grad = np.append(grad, e.sum() + e2.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return Model(known, w[:k], float(w[k]))
+    model = Model(known, w[:k], float(w[k]))
+    z, move = forward()
+    told = _sigmoid(np.concatenate((z, z)) + move)
+    model.report = {"swaps": float(sum(swaps.values()) + n), "mention_swaps": float(sum(swaps.values())), "mean_change": float(np.abs(told[:n] - told[n:]).mean()), "mean_rise": float(np.abs(told - np.concatenate((_sigmoid(z),) * 2)).mean())}
+    return model
+
+
+def _positions(known: np.ndarray, features: np.ndarray) -> np.ndarray:
+    """Where those of ``features`` that are known stand."""
+    at = np.minimum(np.searchsorted(known, features), len(known) - 1)
+    return at[known[at] == features].astype(np.int32)
 
 
 def held_out(doc_id="doc_id"):  # noqa: ANN001, ANN201
@@ -186,11 +215,29 @@ def held_out(doc_id="doc_id"):  # noqa: ANN001, ANN201
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 8192, **options: float) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 8192, most_features: int = 1 << 14, least_gain: float = 12.0, **options: float) -> Model:
+    """A model of the features whose presence tells at least a likelihood ratio of ``least_gain`` about the label, and those of identity terms."""
     one = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("t")).filter("id IS NOT NULL AND t IS NOT NULL").filter(~held_out("id"))
     one = one.groupBy("id").agg(F.max("t").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(one), F.col("doc_id") == F.col("id"))  # at most ``sample`` rows are broadcast
-    return fit(rows.select("y", "text").mapInArrow(_sampled, "y int, present binary, gone array<binary>, come array<binary>, times array<bigint>").collect(), **options)
+    rows = stored(rows.groupBy("id", "y").agg(F.min("text").alias("text")).select("y", "text").mapInArrow(_sampled, SAMPLED), "labelled")
+    total, toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
+    base = (toxic + 1) / (total + 2)
+    if toxic in (0, total):
+        return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(base / (1 - base))))
+    counts = rows.select("y", F.explode("present").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("a"))
+    best = counts.select("f", _gain(F.col("a"), F.col("n"), toxic, total).alias("g")).filter(F.col("g") >= least_gain).orderBy(F.desc("g"), "f").limit(most_features)
+    known = np.union1d(np.array([r.f for r in best.collect()], np.int32), IDENTITY)
+
+    def positions(batches):  # noqa: ANN001, ANN202
+        for batch in batches:
+            own = {c: [_positions(known, np.array(x, np.int32)).tobytes() for x in batch.column(c).to_pylist()] for c in ("present", "first", "second")}
+            yield pa.RecordBatch.from_pydict({"y": batch.column("y")} | {c: pa.array(x, pa.binary()) for c, x in own.items()})
+
+    found = rows.select("y", "present", "first", "second").mapInArrow(positions, "y int, present binary, first binary, second binary").collect()
+    swaps = rows.select(F.explode(F.arrays_zip("gone", "come", "times")).alias("s")).groupBy("s.gone", "s.come").agg(F.sum("s.times").alias("times")).collect()  # subsets of the features of two terms
+    column = lambda c: [np.frombuffer(r[c], np.int32) for r in found]
+    return fit(known, np.array([r.y for r in found], np.float64), column("present"), (column("first"), column("second")), {(bytes(r.gone), bytes(r.come)): r.times for r in swaps}, **options)
 
 
 def score_documents(docs: DataFrame, model: Model, keep: bool = False, threshold: float = 0.5) -> DataFrame:
