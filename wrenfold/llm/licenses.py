@@ -57,7 +57,7 @@ SENTENCES = {
     "all rights reserved": "Reserved",
 }
 
-# Sentences as the GPL's own notice joins them, by a comma.  ``oracle_sql`` is without them.
+# Sentences as the GPL's own notice joins them, by a comma.
 JOINED_SENTENCES = {
     "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "GPL3termsLater",
     "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "GPL2termsLater",
@@ -106,11 +106,6 @@ def identifiers(text: Column) -> Column:
     return F.filter(named, lambda x: x.isNotNull())
 
 
-def _span() -> tuple[int, int]:
-    """The lengths that ``oracle_sql`` looks at: it leaves out known sentences in long padding."""
-    return min(map(len, SENTENCES)), 4 * max(map(len, SENTENCES))
-
-
 def recognise(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_sentences (known ones), identifiers, licences (sorted, comma-joined), left_over, restricted."""
     ids = docs.select(F.col("doc_id").cast("long"), identifiers(F.col("text")).alias("ids"))
@@ -137,17 +132,17 @@ def _quoted(x: str) -> str:
 
 def oracle_sql() -> str:
     """The same in DuckDB."""
-    lo, hi = _span()
-    table = "map([" + ", ".join(map(_quoted, SENTENCES)) + "], [" + ", ".join(map(_quoted, SENTENCES.values())) + "])"
-    steps = "".join(f",\ns{k + 1} AS (SELECT *, replace(seq{k}, {_quoted(_run(run))}, '|') AS seq{k + 1} FROM s{k})" for k, (_, run) in enumerate(RULES))
-    found = ", ".join(f"CASE WHEN seq{k} <> seq{k + 1} THEN {_quoted(name)} END" for k, (name, _) in enumerate(RULES))
+    known, rules = SENTENCES | JOINED_SENTENCES, JOINED_RULES + RULES
+    table = "map([" + ", ".join(map(_quoted, known)) + "], [" + ", ".join(map(_quoted, known.values())) + "])"
+    steps = "".join(f",\ns{k + 1} AS (SELECT *, replace(seq{k}, {_quoted(_run(run))}, '|') AS seq{k + 1} FROM s{k})" for k, (_, run) in enumerate(rules))
+    found = ", ".join(f"CASE WHEN seq{k} <> seq{k + 1} THEN {_quoted(name)} END" for k, (name, _) in enumerate(rules))
     end = SENTENCE_END.replace("\x1e", r"\x1e")
     mark = "chr(30) || '\\1'"
     return f"""
 WITH cut AS (SELECT doc_id, string_split_regex(regexp_replace(coalesce(text, ''), '{LINE_BEFORE_CAPITAL}', {mark}, 'g'), '{end}') AS parts FROM documents),
-named AS (SELECT doc_id, list_filter(list_transform(parts, lambda s: CASE WHEN length(s) BETWEEN {lo} AND {hi} THEN {table}[trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))] END), lambda x: x IS NOT NULL) AS ids FROM cut),
+named AS (SELECT doc_id, list_filter(list_transform(parts, lambda s: {table}[trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))]), lambda x: x IS NOT NULL) AS ids FROM cut),
 s0 AS (SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, coalesce(array_to_string(ids, ','), '') AS identifiers, ' ' || coalesce(array_to_string(ids, '  '), '') || ' ' AS seq0 FROM named){steps},
-f AS (SELECT *, list_sort(list_distinct(list_filter([{found}], lambda x: x IS NOT NULL))) AS l FROM s{len(RULES)})
-SELECT doc_id, n_sentences, identifiers, coalesce(array_to_string(l, ','), '') AS licences, regexp_replace(trim(replace(seq{len(RULES)}, '|', ' ')), ' +', ',', 'g') AS left_over,
+f AS (SELECT *, list_sort(list_distinct(list_filter([{found}], lambda x: x IS NOT NULL))) AS l FROM s{len(rules)})
+SELECT doc_id, n_sentences, identifiers, coalesce(array_to_string(l, ','), '') AS licences, regexp_replace(trim(replace(seq{len(rules)}, '|', ' ')), ' +', ',', 'g') AS left_over,
        list_has_any(l, [{', '.join(map(_quoted, RESTRICTED))}]) AS restricted
 FROM f"""
