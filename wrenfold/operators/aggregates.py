@@ -212,14 +212,15 @@ m AS (SELECT user_id, median(abs(step)) AS md FROM d WHERE step IS NOT NULL GROU
 def local_maxima(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     d = table(spark, sf_dir, "events").select("user_id", "event_id", "value", F.lag("value").over(w).alias("p"), F.lead("value").over(w).alias("n")).withColumn("step", F.col("value") - F.col("p"))
-    rows = d.withColumn("md", F.percentile(F.abs("step"), 0.5).over(Window.partitionBy("user_id")))
+    rows = d.join(exact_quantile(d.withColumn("size", F.abs("step")), "user_id", "size", 0.5, "md"), "user_id")
     return rows.filter("value > p AND value >= n AND abs(step) > 1.5 * md").select("event_id", F.round("step", 6).alias("step"))
 
 
 @query("d02_creator_profile", """SELECT l_suppkey, array_to_string(list_sort(list(DISTINCT l_returnflag)), ',') AS measured, round(avg(l_quantity), 6) AS mean_bpm, 'beat own median ' || CAST(count(*) FILTER (WHERE l_extendedprice > md) AS VARCHAR) || ' of ' || CAST(count(*) AS VARCHAR) AS claim
 FROM (SELECT *, median(l_extendedprice) OVER (PARTITION BY l_suppkey) AS md FROM lineitem) GROUP BY 1""")
 def creator_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").withColumn("md", F.percentile("l_extendedprice", 0.5).over(Window.partitionBy("l_suppkey")))
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_returnflag", "l_quantity", "l_extendedprice")
+    rows = rows.join(exact_quantile(rows, "l_suppkey", "l_extendedprice", 0.5, "md"), "l_suppkey")
     won = count_if(F.col("l_extendedprice") > F.col("md"))
     return rows.groupBy("l_suppkey").agg(F.array_join(F.array_sort(F.collect_set("l_returnflag")), ",").alias("measured"), F.round(F.avg("l_quantity"), 6).alias("mean_bpm"), F.concat(F.lit("beat own median "), won.cast("string"), F.lit(" of "), F.count(F.lit(1)).cast("string")).alias("claim"))
 

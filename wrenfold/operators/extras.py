@@ -28,29 +28,22 @@ def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return composed(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("name"), F.col("text").alias("body"))).select("doc_id", "profile")
 
 
-@query("t05_history_expiry", "SELECT '2023-06-01 00:00:00' AS instant, 'expired' AS answer UNION ALL SELECT '2024-01-15 12:00:00', 'served'")
+@query("t05_history_expiry", "SELECT event_id, CASE WHEN ts - to_days(CAST(event_id % 40 AS INTEGER)) < TIMESTAMP '2024-01-01 00:00:00' THEN 'expired' ELSE 'served' END AS answer FROM events")
 def history_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    versions = retrieval.history(table(spark, sf_dir, "events"), ["user_id"], "ts", ["ts", "event_id"])
+    """Requests for states of the past: those older than what is kept are answered as expired, never by current rows (``as_of_rows`` raises)."""
+    asked = F.col("ts") - F.expr("make_dt_interval(cast(event_id % 40 AS int))")
+    return table(spark, sf_dir, "events").select("event_id", F.when(retrieval.expired(asked), "expired").otherwise("served").alias("answer"))
 
-    def answer(instant: str) -> str:
-        try:
-            retrieval.as_of_rows(versions, instant)
-        except retrieval.HistoryExpired:
-            return "expired"
-        return "served"
 
-    return spark.createDataFrame([(i, answer(i)) for i in ("2023-06-01 00:00:00", "2024-01-15 12:00:00")], "instant string, answer string")
-
-
-@query("t06_as_of_literals", "SELECT * FROM (VALUES ('2024-01-15', TRUE), ('1723000000000000000.0000000001', TRUE), ('-30s', TRUE), ('now()', FALSE), ('2024-01-15'' OR 1=1', FALSE)) v(literal, valid)")
+@query("t06_as_of_literals", r"""WITH l AS (SELECT event_id, CASE event_id % 8 WHEN 0 THEN strftime(ts, '%Y-%m-%d') WHEN 1 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') WHEN 2 THEN CAST(epoch_us(ts) AS VARCHAR) || '.' || CAST(event_id AS VARCHAR) WHEN 3 THEN '-' || CAST(event_id AS VARCHAR) || 's' WHEN 4 THEN 'now()'
+WHEN 5 THEN strftime(ts, '%Y-%m-%d') || chr(39) || ' OR 1=1' WHEN 6 THEN strftime(ts, '%Y-%m-%d') || chr(10) ELSE CAST(event_id AS VARCHAR) || 's' END AS literal FROM events)
+SELECT event_id, regexp_full_match(literal, '\d{4}-\d{2}-\d{2}( \d{2}:\d{2}:\d{2}(\.\d{1,6})?)?') OR regexp_full_match(literal, '\d{1,19}(\.\d{1,10})?') OR regexp_full_match(literal, '-\d{1,6}(s|m|h)') AS valid FROM l""")
 def as_of_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def valid(text: str) -> bool:
-        try:
-            return bool(retrieval.as_of_literal(text))
-        except ValueError:
-            return False
-
-    return spark.createDataFrame([(t, valid(t)) for t in ("2024-01-15", "1723000000000000000.0000000001", "-30s", "now()", "2024-01-15' OR 1=1")], "literal string, valid boolean")
+    k, day = F.col("event_id"), F.date_format("ts", "yyyy-MM-dd")
+    stamp = F.concat_ws(".", F.unix_micros(F.col("ts").cast("timestamp")).cast("string"), k.cast("string"))
+    shown = (day, F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), stamp, F.concat(F.lit("-"), k.cast("string"), F.lit("s")), F.lit("now()"), F.concat(day, F.lit("' OR 1=1")), F.concat(day, F.lit("\n")), F.concat(k.cast("string"), F.lit("s")))
+    literal = F.element_at(F.array(*shown), (k % 8 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", retrieval.is_instant(literal).alias("valid"))
 
 
 def signed(rows: DataFrame, secret: bytes, tolerance: int = 300) -> DataFrame:

@@ -112,21 +112,24 @@ def nearest_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.when(F.col("q").isNull() | (gap("p") <= gap("q")), F.col("p")).otherwise(F.col("q")).alias("mark_ts"))
 
 
-@query("u01_ancestors", """WITH RECURSIVE up(event_id, ancestor, hop) AS (SELECT event_id, event_id // 2, 1 FROM events WHERE event_id BETWEEN 100 AND 400 AND event_id // 2 > 0
+@query("u01_ancestors", """WITH RECURSIVE up(event_id, ancestor, hop) AS (SELECT event_id, event_id // 2, 1 FROM events WHERE event_id // 2 > 0
 UNION ALL SELECT event_id, ancestor // 2, hop + 1 FROM up WHERE ancestor // 2 > 0 AND hop < 8) SELECT event_id, ancestor, CAST(hop AS INTEGER) AS hop FROM up""")
 def ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parents by self join, at most eight hops; a hop joins only the rows that went on."""
+    """The parents of every event, at most eight hops."""
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.expr("event_id div 2").alias("parent")).filter("parent > 0")
-    return walk_up(e, e.filter("id BETWEEN 100 AND 400").select(F.col("id").alias("event_id"), F.col("parent").alias("ancestor")), 8)
+    return walk_up(e, 8).select(F.col("id").alias("event_id"), "ancestor", "hop")
 
 
-def walk_up(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
-    level = start.withColumn("hop", F.lit(1))
-    out = level
-    for _ in range(hops - 1):
-        level = level.join(edges, F.col("ancestor") == F.col("id")).select("event_id", F.col("parent").alias("ancestor"), (F.col("hop") + 1).alias("hop"))
-        out = out.unionByName(level)
-    return out
+def walk_up(edges: DataFrame, hops: int) -> DataFrame:
+    """(id, ancestor, hop) over edges (id, parent) with one parent at most: lists of ancestors double with each self join, so eight hops take three."""
+    up = edges.select("id", F.array("parent").alias("line"))
+    have = 1
+    while have < hops:
+        more = up.toDF("next", "more")
+        up = up.join(more, F.try_element_at("line", F.lit(have)) == F.col("next"), "left")
+        up = up.select("id", F.concat("line", F.coalesce("more", F.array().cast("array<bigint>"))).alias("line"))
+        have *= 2
+    return up.select("id", F.posexplode(F.slice("line", 1, hops)).alias("hop", "ancestor")).select("id", "ancestor", (F.col("hop") + 1).alias("hop"))
 
 
 @query("u02_one_hop_lineage", "SELECT event_id AS fact, event_id // 2 AS basis, 'up' AS direction FROM events WHERE event_id = 50 UNION ALL SELECT event_id, event_id // 2, 'down' FROM events WHERE event_id // 2 = 50")
@@ -219,12 +222,16 @@ def cascade_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").join(refs.filter("gone AND NOT stays"), F.col("p_partkey") == F.col("l_partkey"), "left_semi").select("p_partkey")
 
 
-@query("k09_replace_chunks", "SELECT doc_id, 0 AS ordinal, substr(text, 1, 50) AS chunk FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, i, substr(text, 1 + 100 * i, 100) FROM (SELECT doc_id, text, unnest([0, 1]) AS i FROM documents WHERE doc_id % 3 = 0) WHERE length(text) > 100 * i")
+@query("k09_replace_chunks", "SELECT doc_id, CAST(i AS INTEGER) AS ordinal, substr(text, 1 + size * i, size) AS chunk FROM (SELECT doc_id, text, size, unnest(range(0, CAST(ceil(length(text) / CAST(size AS DOUBLE)) AS BIGINT))) AS i FROM (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN 1000 ELSE 500 END AS size FROM documents))")
 def replace_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All chunks of a document that comes anew replace what it had."""
     d = table(spark, sf_dir, "documents")
-    old = d.select("doc_id", F.lit(0).alias("ordinal"), F.substring("text", 1, 50).alias("chunk"))
-    new = d.filter("doc_id % 3 = 0").select("doc_id", "text", F.explode(F.array(F.lit(0), F.lit(1))).alias("ordinal")).filter("length(text) > 100 * ordinal").select("doc_id", "ordinal", F.expr("substring(text, 1 + 100 * ordinal, 100)").alias("chunk"))
+
+    def cut(docs: DataFrame, size: int) -> DataFrame:
+        rows = docs.filter(F.length("text") > 0).select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.ceil(F.length("text") / float(size)).cast("int") - 1)).alias("ordinal"))
+        return rows.select("doc_id", "ordinal", F.expr(f"substring(text, 1 + {size} * ordinal, {size})").alias("chunk"))
+
+    old, new = cut(d, 500), cut(d.filter("doc_id % 3 = 0"), 1000)
     return old.join(new.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(new)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wrenfold.functions import signal
-from wrenfold.functions.rows import count_if, table
+from wrenfold.functions.rows import count_if, exact_quantile, table
 from wrenfold.registry import query
 
 RATE, SECONDS = 8000, 12.0
@@ -121,7 +121,8 @@ def bar_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("m09_section_roles", f"WITH b AS ({_BARS}), p AS (SELECT track_id, quantile_cont(energy, 0.9) AS p90 FROM b GROUP BY 1) SELECT track_id, CAST(bar AS INTEGER) AS bar, CASE WHEN energy >= 0.85 * p90 THEN 'drop' WHEN energy >= 0.40 * p90 THEN 'verse' ELSE 'break' END AS role FROM b JOIN p USING (track_id)")
 def section_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = event_bars(spark, sf_dir).withColumn("p90", F.percentile("energy", 0.9).over(Window.partitionBy("track_id")))
+    rows = event_bars(spark, sf_dir)
+    rows = rows.join(exact_quantile(rows, "track_id", "energy", 0.9, "p90"), "track_id")
     return rows.select("track_id", "bar", F.when(F.col("energy") >= 0.85 * F.col("p90"), "drop").when(F.col("energy") >= 0.40 * F.col("p90"), "verse").otherwise("break").alias("role"))
 
 

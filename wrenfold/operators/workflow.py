@@ -80,17 +80,22 @@ def requeue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leads(spark, sf_dir).select("id", F.when(failed, "pending").otherwise(F.col("state")).alias("state"), F.when(F.col("state").isin("failed", "pending"), _now()).otherwise(F.col("next_action_at")).alias("next_action_at"), F.when(failed, 0).otherwise(F.col("attempts")).alias("attempts"))
 
 
-@query("q07_run_log", "SELECT user_id % 5 AS agent, count(*) AS attempts, count(*) FILTER (WHERE event_type = 'error') AS refusals, sum(CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) AS DECIMAL(12,6)) * 0.000125) AS cost FROM events GROUP BY 1")
+@query("q07_run_log", "SELECT event_id AS run_id, user_id % 5 AS agent, user_id AS lead, row_number() OVER w AS attempt, CASE WHEN event_type = 'error' THEN 'refused' ELSE 'done' END AS outcome, CAST(count(*) FILTER (WHERE event_type = 'error') OVER w AS BIGINT) AS refusals, CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) AS DECIMAL(12,6)) * 0.000125 AS cost FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy((F.col("user_id") % 5).alias("agent")).agg(F.count(F.lit(1)).alias("attempts"), count_if(F.col("event_type") == "error").alias("refusals"), F.sum(prop().cast("decimal(12,6)") * F.lit("0.000125").cast("decimal(7,6)")).alias("cost"))
+    """One row per attempt: its number, outcome, the refusals so far and its cost."""
+    refused, w = F.col("event_type") == "error", Window.partitionBy("user_id").orderBy("ts", "event_id")
+    sofar = count_if(refused).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    cost = prop().cast("decimal(12,6)") * F.lit("0.000125").cast("decimal(7,6)")
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("run_id"), (F.col("user_id") % 5).alias("agent"), F.col("user_id").alias("lead"), F.row_number().over(w).cast("long").alias("attempt"), F.when(refused, "refused").otherwise("done").alias("outcome"), sofar.alias("refusals"), cost.alias("cost"))
 
 
-@query("q08_outbox_once", "SELECT message_id, min(event_id) AS first_attempt FROM (SELECT event_id, event_id % 3000 AS message_id FROM events WHERE event_type <> 'error') WHERE message_id NOT IN (SELECT event_id FROM events WHERE event_type = 'purchase' AND event_id < 3000) GROUP BY 1")
+@query("q08_outbox_once", "SELECT message_id, min(event_id) AS first_attempt FROM (SELECT event_id, event_id // 4 AS message_id FROM events WHERE event_type NOT IN ('error', 'purchase')) WHERE message_id NOT IN (SELECT event_id // 4 FROM events WHERE event_type = 'purchase') GROUP BY 1")
 def outbox_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages to send: the first attempt of each, none that went already; a refusal is no attempt."""
     e = table(spark, sf_dir, "events")
-    due = e.filter("event_type <> 'error'").groupBy((F.col("event_id") % 3000).alias("message_id")).agg(F.min("event_id").alias("first_attempt"))
-    return due.join(e.filter("event_type = 'purchase' AND event_id < 3000").select(F.col("event_id").alias("message_id")), "message_id", "left_anti")
+    message = F.expr("event_id div 4").alias("message_id")
+    due = e.filter("event_type NOT IN ('error', 'purchase')").groupBy(message).agg(F.min("event_id").alias("first_attempt"))
+    return due.join(e.filter("event_type = 'purchase'").select(message), "message_id", "left_anti")
 
 
 # Allowed moves of a conversation.
@@ -198,7 +203,9 @@ def listen_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Views under a token that was valid then; revoked tokens (every ninth) resolve nothing."""
     e = table(spark, sf_dir, "events")
     t = e.filter("event_type = 'signup' AND event_id % 9 <> 0").select(F.col("event_id").alias("token"), "user_id", F.col("ts").alias("t0"), (F.col("ts") + F.expr("INTERVAL 5 DAY")).alias("t1"))
-    return e.filter("event_type = 'view'").join(t, "user_id").filter("ts >= t0 AND ts < t1").select("event_id", "token")
+    days = F.explode(F.sequence(F.to_date("t0"), F.to_date("t1")))  # a token is laid out on the days that it is valid
+    views = e.filter("event_type = 'view'").withColumn("day", F.to_date("ts"))
+    return views.join(t.withColumn("day", days), ["user_id", "day"]).filter("ts >= t0 AND ts < t1").select("event_id", "token")
 
 
 @query("d03_intake_fan_out", "SELECT c_custkey AS id, unnest(['party', 'role', 'usage', 'suggestion', 'lead']) AS kind FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
