@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,8 +26,26 @@ def canonical_gtin(c: Column) -> Column:
     return F.when(F.length(digits).isin(8, 12, 13, 14), F.lpad(digits, 14, "0")).otherwise("")
 
 
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """What NFKD without non-ASCII characters makes of Latin letters: characters that become one, and those that become several or none."""
+    one, several = {}, {}
+    for point in (*range(0xA0, 0x250), *range(0x1E00, 0x1F00)):
+        ascii_only = unicodedata.normalize("NFKD", chr(point)).encode("ascii", "ignore").decode()
+        (one if len(ascii_only) == 1 else several)[chr(point)] = ascii_only
+    return "".join(one), "".join(one.values()), {k: v for k, v in several.items() if v}
+
+
+def ascii_folded(c: Column) -> Column:
+    """Accents folded to their letters, all else that isn't ASCII dropped."""
+    letters, plain, several = _folds()
+    out = F.translate(c, letters, plain)
+    for sign, letters in several.items():
+        out = F.replace(out, F.lit(sign), F.lit(letters))
+    return F.regexp_replace(out, r"[^\x00-\x7F]+", "")
+
+
 def slugify(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    return F.regexp_replace(F.regexp_replace(F.lower(ascii_folded(c)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
 def normalise_header(c: Column) -> Column:
@@ -79,4 +99,38 @@ def strip_html(c: Column, cap: int) -> Column:
     bare = F.regexp_replace(F.regexp_replace(c, "<[^>]*>", " "), "&nbsp;", " ")
     for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         bare = F.replace(bare, F.lit(entity), F.lit(sign))
-    return F.substring(F.trim(F.regexp_replace(bare, r"[ \t\r\n]+", " ")), 1, cap)
+    return F.rtrim(F.substring(F.trim(F.regexp_replace(bare, r"[ \t\r\n]+", " ")), 1, cap))
+
+
+def infobox_value(c: Column) -> Column:
+    """A wikitext value as a plain string: without markup, a link by its target, no trailing "(format)", tags or punctuation, in lower case."""
+    bare = F.split_part(F.regexp_replace(c, r"\[\[|\]\]|\{\{|\}\}|'{2,}", ""), F.lit("|"), F.lit(1))
+    bare = F.regexp_replace(bare, r"(?i)\s*\((?:radio\s+)?format\)\s*$", "")
+    bare = F.regexp_replace(F.regexp_replace(bare, "<[^>]+>", ""), r"\s+", " ")
+    return F.lower(F.regexp_replace(bare, "^[ .,;]+|[ .,;]+$", ""))
+
+
+def bar_offset(at: Column, grid: Column, bar: Column) -> Column:
+    """How far a time lies from the nearest bar line."""
+    rest = F.pmod(at - grid, bar)
+    return F.least(rest, bar - rest)
+
+
+def snapped(at: Column, grid: Column, bar: Column) -> Column:
+    """The nearest bar line."""
+    return F.bround(grid + F.bround((at - grid) / bar) * bar).cast("long")
+
+
+# The shortest and longest loop, in milliseconds.
+SHORTEST_LOOP, LONGEST_LOOP = 3000, 10000
+
+
+def suggested_window(start: Column, end: Column, grid: Column, bar: Column, plateau: Column) -> tuple[Column, Column]:
+    """A section's window by the rules, or nulls: from a bar line, as many whole bars as fit into the section, the plateau (null: none) and the longest loop; too short a loop grows to the next multiple of bars if the section has room."""
+    first = F.greatest(F.lit(0), snapped(start, grid, bar))
+    bars = F.floor(F.least(end - first, F.coalesce(plateau.cast("long"), end - first), F.lit(LONGEST_LOOP)) / bar)
+    length = F.bround(bars * bar).cast("long")
+    needed = F.ceil(F.lit(SHORTEST_LOOP) / F.floor(bar))
+    grown = F.when(first + needed * bar <= end, F.bround(needed * bar).cast("long"))
+    found = F.when((bars >= 1) & (length >= SHORTEST_LOOP), length).when(bars >= 1, grown)
+    return F.when(found.isNotNull(), first), first + found

@@ -16,20 +16,30 @@ def tenant_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("s02_positional_feed", """
-WITH line AS (SELECT concat_ws('|', CAST(s_suppkey AS VARCHAR), CASE WHEN s_nationkey % 3 = 0 THEN 'LIC' ELSE 'CP' END, s_name, CASE WHEN s_suppkey % 7 = 0 THEN ' ' ELSE s_name END, CAST(s_nationkey AS VARCHAR)) AS v FROM supplier),
-f AS (SELECT string_split(v, '|') AS p FROM line)
-SELECT CAST(p[1] AS BIGINT) AS facility_id, trim(p[3]) AS call_sign, trim(p[4]) AS licensee FROM f WHERE len(p) >= 5 AND p[2] = 'LIC' AND trim(p[3]) <> '' AND trim(p[4]) <> ''""")
+WITH line AS (SELECT CASE WHEN s_suppkey % 13 = 0 THEN '' ELSE '|' END || concat_ws('|', CASE WHEN s_suppkey % 5 = 0 THEN ' ' ELSE 'W' || CAST(s_suppkey AS VARCHAR) END, '88.' || CAST(s_suppkey % 10 AS VARCHAR) || ' MHz', 'FM', '200', 'ND', '-', '-', 'A', CASE WHEN s_nationkey % 3 = 0 THEN ' LIC' ELSE 'CP' END, 'NEW TOWN', CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE 'GA' END) || repeat('|', 7) || CAST(1000 + s_suppkey AS VARCHAR)
+|| repeat('|', CASE WHEN s_suppkey % 11 = 0 THEN 3 ELSE 9 END) || CASE WHEN s_suppkey % 7 = 0 THEN ' ' ELSE s_name || ' ' END || CASE WHEN s_suppkey % 2 = 0 THEN '|' ELSE '' END AS v FROM supplier),
+f AS (SELECT list_transform(list_slice(string_split(v, '|'), 2, 99), lambda x: trim(x)) AS p FROM line WHERE v LIKE '|%')
+SELECT p[1] AS call_sign, TRY_CAST(regexp_replace(p[2], '[^0-9.]', '', 'g') AS DOUBLE) AS frequency_mhz, 'New Town' AS city, CASE WHEN p[11] = '' THEN 'XX' ELSE p[11] END AS state, p[18] AS facility_id, p[27] AS licensee FROM f WHERE len(p) >= 27 AND p[9] = 'LIC' AND p[1] <> '' AND p[27] <> ''""")
 def positional_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "supplier")
-    line = F.concat_ws("|", F.col("s_suppkey").cast("string"), F.when(F.col("s_nationkey") % 3 == 0, "LIC").otherwise("CP"), "s_name", F.when(F.col("s_suppkey") % 7 == 0, " ").otherwise(F.col("s_name")), F.col("s_nationkey").cast("string"))
-    return licensed(s.select(line.alias("line")), fields=5, status=2, call=3, licensee=4)
+    k, empty = F.col("s_suppkey"), F.lit("")
+    fields = [F.when(k % 5 == 0, " ").otherwise(F.concat(F.lit("W"), k.cast("string"))), F.concat(F.lit("88."), (k % 10).cast("string"), F.lit(" MHz")), *map(F.lit, ("FM", "200", "ND", "-", "-", "A"))]
+    fields += [F.when(F.col("s_nationkey") % 3 == 0, " LIC").otherwise("CP"), F.lit("NEW TOWN"), F.when(k % 4 == 0, "").otherwise("GA"), *[empty] * 6, (1000 + k).cast("string")]
+    owner = F.when(k % 7 == 0, " ").otherwise(F.concat(F.col("s_name"), F.lit(" ")))
+    line = F.concat(F.when(k % 13 == 0, "").otherwise("|"), F.concat_ws("|", *fields), F.repeat(F.lit("|"), F.when(k % 11 == 0, 3).otherwise(9)), owner, F.when(k % 2 == 0, "|").otherwise(""))
+    return licensed(table(spark, sf_dir, "supplier").select(line.alias("line")), "XX")
 
 
-def licensed(lines: DataFrame, fields: int = 27, status: int = 11, call: int = 2, licensee: int = 26) -> DataFrame:
-    """Licensed stations of a pipe-delimited feed without header; short, unlicensed and nameless lines are skipped."""
-    p = lines.select(F.split("line", r"\|").alias("p")).filter(F.size("p") >= fields)
-    at = lambda i: F.trim(F.element_at("p", i))
-    return p.filter((at(status) == "LIC") & (at(call) != "") & (at(licensee) != "")).select(at(1).cast("long").alias("facility_id"), at(call).alias("call_sign"), at(licensee).alias("licensee"))
+# The fields of the feed, counted from the first after the leading bar.
+FEED = {"call_sign": 1, "frequency": 2, "status": 9, "city": 10, "state": 11, "facility_id": 18, "licensee": 27}
+
+
+def licensed(lines: DataFrame, state: str, fields: int = 27) -> DataFrame:
+    """Licensed stations of a feed of bar-delimited positions without header; other lines, short, unlicensed and nameless ones are skipped.  ``state`` stands for one that is left out."""
+    p = lines.filter(F.col("line").startswith("|")).select(F.slice(F.transform(F.split("line", r"\|"), lambda x: F.trim(x)), 2, 1 << 20).alias("p")).filter(F.size("p") >= fields)
+    at = lambda name: F.element_at("p", FEED[name])
+    kept = p.filter((at("status") == "LIC") & (at("call_sign") != "") & (at("licensee") != ""))
+    mhz = F.regexp_replace(at("frequency"), "[^0-9.]", "").try_cast("double")
+    return kept.select(at("call_sign").alias("call_sign"), mhz.alias("frequency_mhz"), F.initcap(at("city")).alias("city"), F.coalesce(F.nullif(at("state"), F.lit("")), F.lit(state)).alias("state"), F.nullif(at("facility_id"), F.lit("")).alias("facility_id"), at("licensee").alias("licensee"))
 
 
 @query("s06_id_blocks", """

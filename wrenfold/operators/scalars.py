@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wrenfold.functions import text as T
@@ -19,9 +19,9 @@ def identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", T.canonical(raw, T.ISRC).alias("isrc"), T.canonical_gtin(F.lpad((k * 7919).cast("string"), 12, "0")).alias("gtin"))
 
 
-@query("x02_slug", "SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name || ' / ' || p_brand), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM part")
+@query("x02_slug", r"SELECT doc_id, regexp_replace(regexp_replace(lower(regexp_replace(strip_accents(text || ' / ' || source), '[^\x00-\x7F]+', '', 'g')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents")
 def slug(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", T.slugify(F.concat(F.col("p_name"), F.lit(" / "), F.col("p_brand"))).alias("slug"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.slugify(F.concat(F.col("text"), F.lit(" / "), F.col("source"))).alias("slug"))
 
 
 @query("x03_header", r"SELECT n_nationkey, trim(regexp_replace(regexp_replace(lower(' ' || n_name || '_(Total):'), '[\(\)\[\]:]', ' ', 'g'), '[\s_\-]+', ' ', 'g')) AS header FROM nation")
@@ -112,22 +112,48 @@ def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.array_join(values, ",").alias("categories"), F.when(F.array_contains(values, "Music"), "music").otherwise("talk").alias("show_kind"))
 
 
-@query("x14_strip_html", r"""SELECT page_id, substr(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&nbsp;', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g')), 1, 400) AS body FROM pages""")
+@query("x14_strip_html", r"""SELECT page_id, rtrim(substr(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&nbsp;', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g')), 1, 400)) AS body FROM pages""")
 def strip_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.strip_html(F.col("html"), 400).alias("body"))
 
 
-# Needles in the order in which they decide.
-NEEDLES = (("news", "news|talk"), ("license", "licen[sc]e"), ("benchmark", "question|answer"), ("english", "(^|[^a-z])the([^a-z]|$)"), ("german", "(^|[^a-z])(der|die)([^a-z]|$)"), ("romance", "(^|[^a-z])(la|el)([^a-z]|$)"))
-
-
-@query("x15_keyword_class", "SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{n}'" for n, p in NEEDLES) + " ELSE 'other' END AS kind FROM documents")
+# Needles of licensees' names, in the order in which the lists decide.
+NETWORKS = (
+    "EDUCATIONAL MEDIA FOUNDATION", "K-LOVE", "KLOVE", "AIR1", "AIR 1", "AMERICAN FAMILY ASSOCIATION", "AMERICAN FAMILY RADIO", "CALVARY CHAPEL", "CSN INTERNATIONAL", "CHRISTIAN SATELLITE",
+    "MOODY BIBLE", "BIBLE BROADCASTING", "FAMILY STATIONS", "FAMILY RADIO", "RADIO TRAINING NETWORK", "HORIZON CHRISTIAN", "RELEVANT RADIO", "IMMACULATE HEART", "EWTN", "THREE ANGELS", "3ABN", "LIFETALK",
+    "VERITAS CATHOLIC", "SALEM MEDIA", "WAY MEDIA", "GOOD NEWS RADIO", "PENFOLD COMMUNICATIONS", "CENTRO CRISTIANO", "WORLD RADIO NETWORK",
+)
+COLLEGE = ("UNIVERSITY", "COLLEGE", "REGENTS", "TRUSTEES", "POLYTECHNIC", "INSTITUTE OF TECHNOLOGY", "STATE BOARD", "BOARD OF EDUCATION OF", "COMMUNITY COLLEGE", "SEMINARY", "STUDENT")
+PUBLIC = (
+    "PUBLIC RADIO", "PUBLIC BROADCASTING", "PUBLIC TELECOMMUNICATIONS", "PUBLIC MEDIA", "EDUCATIONAL TELEVISION", "EDUCATIONAL BROADCASTING",
+    "EDUCATIONAL TELECOMMUNICATIONS", "EDUCATIONAL RADIO", "BROADCASTING COMMISSION", "BROADCASTING AUTHORITY", "EDUCATIONAL COMMUNICATIONS",
+)
+SCHOOL = ("SCHOOL DISTRICT", "HIGH SCHOOL", "UNIFIED SCHOOL", "PUBLIC SCHOOLS", "ACADEMY", "PREPARATORY", "COUNTY SCHOOLS", "INDEPENDENT SCHOOL")
+RELIGIOUS = (
+    "CHRISTIAN", "MINISTRIES", "MINISTRY", "CHURCH", "BAPTIST", "FELLOWSHIP", "FAITH", "WORSHIP", "GOSPEL", "BIBLE", "CATHOLIC", "LUTHERAN", "EVANGEL", "CHAPEL", "MISSIONARY", "JESUS", "CHRIST", "PRAISE",
+    "SALVATION ARMY", "PENTECOSTAL", "METHODIST", "PRESBYTERIAN", "ADVENTIST", "DIOCESE", "TABERNACLE", "SANCTUARY", "REDEEMER", "GRACE ", "CALVARY",
+)
+COMMUNITY = ("FOUNDATION", "COMMUNITY", "FRIENDS OF", "COOPERATIVE", "ASSOCIATION", "SOCIETY", "ALLIANCE", "COUNCIL", "COALITION", "NEIGHBORHOOD", "CULTURAL", "ARTS", "CITIZENS", "VOLUNTEER")
+KINDS = (("network", NETWORKS), ("college", COLLEGE), ("public_radio", PUBLIC), ("school_k12", SCHOOL), ("religious", RELIGIOUS), ("community", COMMUNITY))
+
+_NAMES = ("Regents of ", "Calvary Chapel of ", "Friends of ", "First Baptist Church, ", "Public Media ", "Academy ", "Baptist University ", "Holdings ", "Grace ", "Arts Council ", "Lutheran High School ", "")
+
+
+def licensee_kind(name: Column) -> Column:
+    """The kind of a licensee by the first list that has a needle in its name."""
+    upper, found = F.upper(F.coalesce(name, F.lit(""))), F.when(F.lit(False), "")
+    for kind, needles in KINDS:
+        held = F.lit(False)
+        for n in needles:
+            held = held | F.contains(upper, F.lit(n))
+        found = found.when(held, kind)
+    return found.otherwise("other")
+
+
+@query("x15_keyword_class", "SELECT c_custkey, CASE " + " ".join("WHEN " + " OR ".join(f"contains(n, '{x}')" for x in needles) + f" THEN '{kind}'" for kind, needles in KINDS) + " ELSE 'other' END AS kind FROM (SELECT c_custkey, upper(list_extract([" + ", ".join(f"'{x}'" for x in _NAMES) + f"], c_custkey % {len(_NAMES)} + 1) || c_name || ' ' || c_mktsegment) AS n FROM customer)")
 def keyword_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    low = F.lower("text")
-    first = F.when(F.lit(False), "")
-    for name, pattern in NEEDLES:
-        first = first.when(low.rlike(pattern), name)
-    return table(spark, sf_dir, "documents").select("doc_id", first.otherwise("other").alias("kind"))
+    begin = F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("c_custkey") % len(_NAMES) + 1).cast("int"))
+    return table(spark, sf_dir, "customer").select("c_custkey", licensee_kind(F.concat(begin, F.col("c_name"), F.lit(" "), F.col("c_mktsegment"))).alias("kind"))
 
 
 @query("x16_facility_dedupe", """SELECT s_suppkey, key FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'f' || CAST(s_nationkey AS VARCHAR) ELSE 'k' || CAST(s_suppkey % 10 AS VARCHAR) || ':' || CAST(s_nationkey AS VARCHAR) END AS key, row_number() OVER (PARTITION BY CASE WHEN s_suppkey % 2 = 0 THEN 'f' || CAST(s_nationkey AS VARCHAR) ELSE 'k' || CAST(s_suppkey % 10 AS VARCHAR) || ':' || CAST(s_nationkey AS VARCHAR) END ORDER BY s_suppkey) AS rn FROM supplier) WHERE rn = 1""")
@@ -137,16 +163,13 @@ def facility_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").groupBy(F.coalesce(facility, fallback).alias("key")).agg(F.min("s_suppkey").alias("s_suppkey"))
 
 
-@query("x18_wikitext", r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace('[[' || lang || '|' || source || ']] {{small|x}} <ref>' || lang || '</ref>''''b''''', '<ref>[^<]*</ref>', '', 'g'), '\[\[[^\]|]*\|([^\]]*)\]\]', '\1', 'g'), '\{\{[^}]*\}\}|''''+', '', 'g')) AS value FROM documents""")
+@query("x18_wikitext", r"""WITH r AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '[[' || source || ' Rock (radio format)|CHR]] ' WHEN 1 THEN chr(39) || chr(39) || lang || ' Jazz' || chr(39) || chr(39) || '<ref name="a">' || source || '</ref>; ' WHEN 2 THEN '{{hlist|{{nowrap|' || source || '}}}}' ELSE ' Full   Service (Format) ' END AS raw FROM documents)
+SELECT doc_id, lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(split_part(regexp_replace(raw, '\[\[|\]\]|\{\{|\}\}|''{2,}', '', 'g'), '|', 1), '\s*\((?:radio\s+)?format\)\s*$', '', 'i'), '<[^>]+>', '', 'g'), '\s+', ' ', 'g'), '^[ .,;]+|[ .,;]+$', '', 'g')) AS value FROM r""")
 def wikitext(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.concat(F.lit("[["), F.col("lang"), F.lit("|"), F.col("source"), F.lit("]] {{small|x}} <ref>"), F.col("lang"), F.lit("</ref>''b''"))
-    return table(spark, sf_dir, "documents").select("doc_id", infobox_value(raw).alias("value"))
-
-
-def infobox_value(c):  # noqa: ANN001, ANN201
-    """Wikitext without references, links' targets, templates and emphasis."""
-    bare = F.regexp_replace(F.regexp_replace(c, "<ref>[^<]*</ref>", ""), r"\[\[[^\]|]*\|([^\]]*)\]\]", "$1")
-    return F.trim(F.regexp_replace(bare, r"\{\{[^}]*\}\}|''+", ""))
+    lang, source, k = F.col("lang"), F.col("source"), F.col("doc_id") % 4
+    raw = F.when(k == 0, F.concat(F.lit("[["), source, F.lit(" Rock (radio format)|CHR]] "))).when(k == 1, F.concat(F.lit("''"), lang, F.lit(" Jazz''<ref name=\"a\">"), source, F.lit("</ref>; ")))
+    raw = raw.when(k == 2, F.concat(F.lit("{{hlist|{{nowrap|"), source, F.lit("}}}}"))).otherwise(" Full   Service (Format) ")
+    return table(spark, sf_dir, "documents").select("doc_id", T.infobox_value(raw).alias("value"))
 
 
 @query("x19_labels", """WITH r AS (SELECT vec_id, array_to_string(list_transform(range(0, 6), lambda i: ''), '') AS e, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), k AS (SELECT vec_id, list_max(list_transform(v[1:6], lambda x: abs(x))) AS best, v FROM r)
@@ -178,17 +201,65 @@ def age_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.when(s < 3600, "minutes").when(s < 86400, "hours").when(s < 604800, "days").otherwise("weeks").alias("age"))
 
 
-@query("x23_bar_snap", "SELECT event_id, CAST(floor(value / 4) AS BIGINT) AS bar, round(value - 4 * floor(value / 4), 6) AS bar_offset, least(round(value), 64.0) AS snapped FROM events")
+@query("x23_bar_snap", """WITH e AS (SELECT event_id, CAST(floor(value * 1000) AS BIGINT) AS s, CAST(floor(value * 1000) AS BIGINT) + (event_id * 37) % 13000 AS t, 240000.0::DOUBLE / (70 + event_id % 90) AS bar, 120 AS grid, CASE WHEN event_id % 3 = 0 THEN CAST((60000.0::DOUBLE / (70 + event_id % 90)) * 16 AS BIGINT) END AS plateau FROM events),
+f AS (SELECT *, (s - grid) - bar * floor((s - grid) / bar) AS r, greatest(0, CAST(round_even(grid + round_even((s - grid) / bar, 0) * bar, 0) AS BIGINT)) AS b FROM e),
+g AS (SELECT *, floor(least(t - b, coalesce(plateau, t - b), 10000) / bar) AS bars, ceil(3000 / floor(bar)) AS needed FROM f),
+h AS (SELECT *, CASE WHEN bars >= 1 AND CAST(round_even(bars * bar, 0) AS BIGINT) >= 3000 THEN CAST(round_even(bars * bar, 0) AS BIGINT) WHEN bars >= 1 AND b + needed * bar <= t THEN CAST(round_even(needed * bar, 0) AS BIGINT) END AS n FROM g)
+SELECT event_id, abs(round(least(r, bar - r), 6)) AS bar_offset, CASE WHEN n IS NOT NULL THEN b END AS window_start, b + n AS window_end FROM h""")
 def bar_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.col("value")
-    return table(spark, sf_dir, "events").select("event_id", F.floor(v / 4).alias("bar"), F.round(v - 4 * F.floor(v / 4), 6).alias("bar_offset"), F.least(F.round(v), F.lit(64.0)).alias("snapped"))
-
-
-@query("x24_hook_score", r"""SELECT conv_id, turn, CAST(CASE WHEN regexp_matches(lower(text), '\b(how|why|what|never|secret)\b') THEN 3 ELSE 0 END + CASE WHEN text LIKE '%?%' THEN 2 ELSE 0 END + CASE WHEN length(text) BETWEEN 20 AND 90 THEN 1 ELSE 0 END AS INTEGER) AS score FROM conversations""")
+    """How far sections lie from the bar lines of their song, and the window that each should be cut to."""
+    k, start = F.col("event_id"), F.floor(F.col("value") * 1000)
+    bar, grid = F.lit(240000.0) / (70 + k % 90), F.lit(120)
+    plateau = F.when(k % 3 == 0, F.round(F.lit(60000.0) / (70 + k % 90) * 16).cast("long"))
+    first, last = T.suggested_window(start, start + (k * 37) % 13000, grid, bar, plateau)
+    return table(spark, sf_dir, "events").select("event_id", F.abs(F.round(T.bar_offset(start, grid, bar), 6)).alias("bar_offset"), first.alias("window_start"), last.alias("window_end"))
+
+
+# Openings that promise something and their weights, lines about the video itself, and words that fill.
+PROMISES = (
+    (r"\bhave you ever\b", 3.0), (r"\bdid you know\b", 2.2), (r"\bwhat if\b", 2.2), (r"\bi'?m (going|gonna|about) to\b", 3.0), (r"\bi'?ve never\b", 2.4), (r"\bi (never|always)\b", 1.8),
+    (r"\bnobody (tells|talks|knows)\b", 2.6), (r"\bhere'?s the thing\b", 2.4), (r"\blet me tell you\b", 2.2), (r"\bthe (worst|best|craziest|weirdest|strangest)\b", 2.0),
+    (r"\byou know what\b", 1.8), (r"\bi have to tell you\b", 2.8), (r"\bso basically\b", 1.4), (r"\bturns out\b", 1.8),
+)
+JUNK = r"\b(subscribe|patreon|sponsor|promo code|link in (the )?(bio|description)|comment below|like and|smash that|channel|merch|giveaway|discount|click the|check out my|follow me on)\b"
+FILLER = r"^(um|uh|so|and|but|like|yeah|okay|ok|right|well)\W*$"
+ASKS = r"^(what|why|how|when|where|who|do|does|did|have|has|are|is|can|could|would)\b"
+#: The gap before a first and after a last line: not measured, so hardly rewarded.
+UNMEASURED = 0.6
+
+
+def line_score(text: Column, start: Column, end: Column, before: Column, after: Column) -> Column:
+    """How much a line behaves like a promise that a cut can follow; null where it can't be one."""
+    t = F.trim(text)
+    low, n = F.lower(t), F.size(F.filter(F.split(t, r"\s+"), lambda w: w != ""))
+    promise = F.when(F.lit(False), 0.0)
+    for pattern, weight in PROMISES:
+        promise = promise.when(low.rlike(pattern), weight)
+    asks = F.when(t.endswith("?") | low.rlike(ASKS), 2.0).otherwise(0.0)
+    score = promise.otherwise(0.0) + asks + 2.2 * F.least(after, F.lit(1.6)) + 0.8 * F.least(before, F.lit(1.0)) - 0.9 * F.abs((end - start) - 2.2)
+    return F.when(n.between(3, 16) & (F.length(t) >= 12) & ~low.rlike(JUNK) & ~low.rlike(FILLER), score)
+
+
+_OPENINGS = ("", "Have you ever ", "Subscribe to ", "What if ", "I never ", "Turns out ", "so basically ", "Nobody knows ")
+
+
+def _re2(p: str) -> str:
+    return p.replace("'", "''")
+
+
+@query("x24_hook_score", f"""WITH l AS (SELECT conv_id, turn, list_extract([{", ".join(f"'{x}'" for x in _OPENINGS)}], (conv_id + turn) % {len(_OPENINGS)} + 1) || array_to_string(list_slice(regexp_split_to_array(text, '\\s+'), 1, CAST(2 + (conv_id * 7 + turn) % 18 AS BIGINT)), ' ') || CASE WHEN turn % 3 = 0 THEN '?' ELSE '' END AS t,
+turn * 5.0::DOUBLE AS s FROM conversations), m AS (SELECT *, s + length(t) / 20.0::DOUBLE AS e FROM l), g AS (SELECT *, coalesce(s - lag(e) OVER w, 0.6) AS gb, coalesce(lead(s) OVER w - e, 0.6) AS ga, lower(t) AS low, len(list_filter(regexp_split_to_array(t, '\\s+'), lambda x: x <> '')) AS n FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, turn, round(CASE WHEN n BETWEEN 3 AND 16 AND length(t) >= 12 AND NOT regexp_matches(low, '{JUNK}') AND NOT regexp_matches(low, '{FILLER}') THEN CASE {" ".join(f"WHEN regexp_matches(low, '{_re2(p)}') THEN {w}" for p, w in PROMISES)} ELSE 0.0 END
++ CASE WHEN t LIKE '%?' OR regexp_matches(low, '{ASKS}') THEN 2.0 ELSE 0.0 END + 2.2 * least(ga, 1.6) + 0.8 * least(gb, 1.0) - 0.9 * abs((e - s) - 2.2) END, 6) AS score FROM g""")
 def hook_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    score = F.when(F.lower(t).rlike(r"\b(how|why|what|never|secret)\b"), 3).otherwise(0) + F.when(t.contains("?"), 2).otherwise(0) + F.when(F.length(t).between(20, 90), 1).otherwise(0)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", score.alias("score"))
+    """Turns as spoken lines, five seconds apart, with the gaps to their neighbours."""
+    k = F.col("conv_id") + F.col("turn")
+    words = F.slice(F.split("text", r"\s+"), F.lit(1), (2 + (F.col("conv_id") * 7 + F.col("turn")) % 18).cast("int"))
+    line = F.concat(F.element_at(F.array(*map(F.lit, _OPENINGS)), (k % len(_OPENINGS) + 1).cast("int")), F.array_join(words, " "), F.when(F.col("turn") % 3 == 0, "?").otherwise(""))
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", line.alias("t"), (F.col("turn") * 5.0).alias("s")).withColumn("e", F.col("s") + F.length("t") / 20.0)
+    rows = rows.withColumn("gb", F.coalesce(F.col("s") - F.lag("e").over(w), F.lit(UNMEASURED))).withColumn("ga", F.coalesce(F.lead("s").over(w) - F.col("e"), F.lit(UNMEASURED)))
+    return rows.select("conv_id", "turn", F.round(line_score(F.col("t"), F.col("s"), F.col("e"), F.col("gb"), F.col("ga")), 6).alias("score"))
 
 
 @query("x25_outcome_lesson", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 1.0::DOUBLE WHEN 'P' THEN 0.3 ELSE -0.5 END AS valence, CASE o_orderstatus WHEN 'F' THEN 0.9::DOUBLE WHEN 'P' THEN 0.6 ELSE 0.4 END AS confidence, 'order ' || CAST(o_orderkey AS VARCHAR) || ' ' || CASE o_orderstatus WHEN 'F' THEN 'landed' WHEN 'P' THEN 'moved' ELSE 'stalled' END AS lesson FROM orders")
@@ -198,9 +269,47 @@ def outcome_lesson(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", pick(0, -0.5).alias("valence"), pick(1, 0.4).alias("confidence"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string"), F.lit(" "), pick(2, "stalled")).alias("lesson"))
 
 
-@query("x26_line_confidence", "SELECT user_id, round(exp(avg(ln((value + 1) / 1000))), 6) AS confidence, count(*) AS n FROM events WHERE value >= 0 GROUP BY 1")
+# Signs that close a line.
+CLOSERS = r"[.!?,;:…]$"
+
+
+def grouped_lines(words: Column, gap_ms: int = 700, most_chars: int = 42) -> Column:
+    """Lines (text, start_ms, end_ms, logp, n) of timed words (kind, text, start_ms, end_ms, logp), in order.
+
+    A word begins a line behind a closing sign, behind a pause longer than ``gap_ms``, and where the line would grow beyond
+    ``most_chars``; what isn't a word (spacing, punctuation) goes to the open line and never begins one.
+    """
+    blank = "cast(null AS struct<text:string,start_ms:bigint,end_ms:bigint,logp:double,n:bigint,closed:boolean>)"
+    word = "named_struct('text', w.text, 'start_ms', w.start_ms, 'end_ms', greatest(w.end_ms, w.start_ms), 'logp', coalesce(w.logp, 0D), 'n', if(w.logp IS NULL, 0L, 1L), 'closed', rlike(trim(w.text), '{c}'))"
+    more = "named_struct('text', concat(a.open.text, if(w.kind <> 'word' OR endswith(a.open.text, ' ') OR startswith(w.text, ' '), '', ' '), w.text), 'start_ms', a.open.start_ms, 'end_ms', if(w.kind = 'word', greatest(w.end_ms, w.start_ms), a.open.end_ms), 'logp', a.open.logp + if(w.kind = 'word', coalesce(w.logp, 0D), 0D), 'n', a.open.n + if(w.kind = 'word' AND w.logp IS NOT NULL, 1L, 0L), 'closed', a.open.closed OR rlike(trim(w.text), '{c}'))"
+    breaks = f"(a.open.closed OR w.start_ms - a.open.end_ms > {gap_ms} OR length(trim(a.open.text)) + 1 + length(w.text) > {most_chars})"
+    step = f"""CASE WHEN w.kind <> 'word' AND a.open IS NULL THEN a
+        WHEN w.kind = 'word' AND a.open IS NULL THEN named_struct('done', a.done, 'open', {word})
+        WHEN w.kind = 'word' AND {breaks} THEN named_struct('done', concat(a.done, array(a.open)), 'open', {word})
+        ELSE named_struct('done', a.done, 'open', {more}) END""".replace("{c}", CLOSERS)
+    kind = "cast(array() AS array<struct<text:string,start_ms:bigint,end_ms:bigint,logp:double,n:bigint,closed:boolean>>)"
+    lines = F.expr(f"aggregate({{words}}, named_struct('done', {kind}, 'open', {blank}), (a, w) -> {step}, a -> if(a.open IS NULL, a.done, concat(a.done, array(a.open))))".replace("{words}", "words"))
+    return F.transform(lines, lambda x: F.struct(F.trim(x["text"]).alias("text"), x["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms"), F.when(x["n"] > 0, F.least(F.lit(1.0), F.exp(x["logp"] / x["n"]))).alias("confidence")))
+
+
+def timed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as transcripts: a word every 400 ms with a pause behind every ninth, and spacing between words."""
+    words = F.transform(F.filter(F.split("text", r"\s+"), lambda x: x != ""), lambda x, i: F.struct(F.lit("word").alias("kind"), x.alias("text"), (i * 400 + F.floor(i / 9) * 900).cast("long").alias("start_ms"), (i * 400 + F.floor(i / 9) * 900 + 300).cast("long").alias("end_ms"), F.when(i % 5 != 0, -(i % 7) / 10.0).alias("logp")))
+    gaps = F.flatten(F.transform(words, lambda x: F.array(x, F.struct(F.lit("spacing").alias("kind"), F.lit(" ").alias("text"), x["end_ms"].alias("start_ms"), x["end_ms"].alias("end_ms"), F.lit(None).cast("double").alias("logp")))))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", gaps.alias("words"))
+
+
+@query("x26_line_confidence")
 def line_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").filter("value >= 0").groupBy("user_id").agg(F.round(F.exp(F.avg(F.ln((F.col("value") + 1) / 1000))), 6).alias("confidence"), F.count(F.lit(1)).alias("n"))
+    """Lines of every turn with the geometric mean of their words' probabilities."""
+    rows = timed_turns(spark, sf_dir).select("conv_id", "turn", F.posexplode(grouped_lines(F.col("words"))).alias("line", "x"))
+    return rows.select("conv_id", "turn", "line", "x.text", "x.start_ms", "x.end_ms", F.round("x.confidence", 6).alias("confidence"))
+
+
+@query("x26_word_confidence", "SELECT user_id, round(least(1.0, exp(avg(ln((value + 1) / 1000)))), 6) AS confidence, count(*) AS n FROM events WHERE value >= 0 GROUP BY 1")
+def word_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mean = F.least(F.lit(1.0), F.exp(F.avg(F.ln((F.col("value") + 1) / 1000))))
+    return table(spark, sf_dir, "events").filter("value >= 0").groupBy("user_id").agg(F.round(mean, 6).alias("confidence"), F.count(F.lit(1)).alias("n"))
 
 
 @query("x27_json_path", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
