@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -152,18 +154,83 @@ def hashed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return norm.select("doc_id", cells.alias("embedding"))
 
 
-@query("v09_chunks", """WITH p AS (SELECT doc_id, unnest(generate_series(0, greatest(0, CAST(ceil((length(text) - 200) / 1400.0) AS INTEGER) - 1))) AS ordinal, text FROM documents WHERE length(text) > 0)
-SELECT doc_id, CAST(ordinal AS INTEGER) AS ordinal, md5(substr(text, 1 + 1400 * ordinal, 1600)) AS chunk_hash FROM p""")
+@query("v09_chunks", """WITH RECURSIVE p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '\\n', chr(10) || ' ' || chr(10), 'g'), '\\n\\s*\\n'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '') AS ps FROM documents),
+w(doc_id, ps, i, cur, outs) AS (SELECT doc_id, ps, 1, '', CAST([] AS VARCHAR[]) FROM p UNION ALL
+SELECT doc_id, ps, i + 1, CASE WHEN length(ps[i]) > 1600 THEN '' WHEN cur <> '' AND length(cur) + length(ps[i]) + 2 > 1600 THEN right(cur, 200) || chr(10) || chr(10) || ps[i] WHEN cur <> '' THEN cur || chr(10) || chr(10) || ps[i] ELSE ps[i] END,
+CASE WHEN length(ps[i]) > 1600 THEN list_concat(CASE WHEN cur <> '' THEN [cur] ELSE CAST([] AS VARCHAR[]) END, list_transform(range(0, length(ps[i]), 1400), lambda k: substr(ps[i], CAST(k + 1 AS BIGINT), 1600))) WHEN cur <> '' AND length(cur) + length(ps[i]) + 2 > 1600 THEN [cur] ELSE CAST([] AS VARCHAR[]) END FROM w WHERE i <= len(ps)),
+c AS (SELECT doc_id, i, unnest(outs) AS chunk, generate_subscripts(outs, 1) AS k FROM w UNION ALL SELECT doc_id, i + 1, cur, 1 FROM w WHERE i > len(ps) AND cur <> '')
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1 AS INTEGER) AS ordinal, md5(chunk) AS chunk_hash FROM c""")
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows of 1600 characters that overlap by 200, for text without paragraphs."""
-    rows = chunked(table(spark, sf_dir, "documents").select("doc_id", "text"), 1600, 200)
-    return rows.select("doc_id", "ordinal", F.md5("chunk").alias("chunk_hash"))
+    """Chunks of documents whose lines are paragraphs."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "\n", "\n \n").alias("text"))
+    return chunked(docs, 1600, 200).select("doc_id", "ordinal", F.md5("chunk").alias("chunk_hash"))
 
 
 def chunked(docs: DataFrame, size: int, overlap: int) -> DataFrame:
-    step = size - overlap
-    last = F.greatest(F.lit(0), F.ceil((F.length("text") - overlap) / float(step)).cast("int") - 1)
-    return docs.filter(F.length("text") > 0).select("doc_id", "text", F.explode(F.sequence(F.lit(0), last)).alias("ordinal")).withColumn("chunk", F.expr(f"substring(text, 1 + {step} * ordinal, {size})"))
+    """(doc_id, ordinal, chunk): paragraphs packed up to ``size`` characters; a chunk begins with the last ``overlap`` characters of the one before.  Only a paragraph longer than ``size`` is cut, into overlapping windows, and stands by itself."""
+    trimmed = F.transform(F.split("text", r"\n\s*\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
+    paragraphs = F.filter(trimmed, lambda p: p != "")
+    empty = F.array().cast("array<string>")
+    open_ = lambda a: F.when(a["open"] == "", empty).otherwise(F.array(a["open"]))
+    state = lambda done, current: F.struct(done.alias("done"), current.alias("open"))
+
+    def step(a: Column, p: Column) -> Column:
+        windows = F.transform(F.sequence(F.lit(0), F.length(p) - 1, F.lit(size - overlap)), lambda k: F.substring(p, k + 1, F.lit(size)))
+        full = (a["open"] != "") & (F.length(a["open"]) + F.length(p) + 2 > size)
+        tail = F.concat(F.substring(a["open"], -overlap, overlap), F.lit("\n\n"), p) if overlap else p
+        return (
+            F.when(F.length(p) > size, state(F.concat(a["done"], open_(a), windows), F.lit("")))
+            .when(full, state(F.concat(a["done"], F.array(a["open"])), tail))
+            .otherwise(state(a["done"], F.when(a["open"] == "", p).otherwise(F.concat(a["open"], F.lit("\n\n"), p))))
+        )
+
+    packed = F.aggregate(paragraphs, state(empty, F.lit("")), step, lambda a: F.concat(a["done"], open_(a)))
+    return docs.select("doc_id", F.posexplode(packed).alias("ordinal", "chunk"))
+
+
+def embedded(texts: DataFrame, embed: Callable[[list[str]], list[list[float]]], width: int, size: int = 16) -> DataFrame:
+    """(id, embedding) of (id, text) by a provider that takes ``size`` texts a call; another number of vectors, or another width, raises."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for lo in range(0, len(pdf), size):
+                part = pdf.iloc[lo : lo + size]
+                found = embed(part["text"].tolist())
+                if len(found) != len(part) or any(len(v) != width for v in found):
+                    raise ValueError(f"not {len(part)} vectors of {width}")
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "embedding": found})
+
+    return texts.select("id", "text").mapInPandas(run, "id long, embedding array<float>")
+
+
+def batch_results(inputs: DataFrame, lines: DataFrame, width: int) -> DataFrame:
+    """(id, embedding, problem): the lines of a batch job's output, in whatever order, by the record ids of ``inputs`` (id).
+
+    ``problem`` is null, "missing", "failed", "width" or "twice"; ``all_or_nothing`` refuses a job with any.
+    """
+    shape = "recordId string, error string, modelOutput struct<embedding: array<float>>"
+    read = lines.select(F.from_json("line", shape).alias("x")).select(F.regexp_extract("x.recordId", "^rec([0-9]+)$", 1).try_cast("long").alias("id"), "x.error", "x.modelOutput.embedding").filter("id IS NOT NULL")
+    one = read.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("error").alias("error"), F.first("embedding", ignorenulls=True).alias("embedding"))
+    problem = F.when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "twice").when(F.col("error").isNotNull() | F.col("embedding").isNull(), "failed").when(F.size("embedding") != width, "width")
+    both = inputs.select("id").join(one, "id", "left").withColumn("problem", problem)
+    return both.select("id", F.when(F.col("problem").isNull(), F.col("embedding")).alias("embedding"), "problem")
+
+
+def all_or_nothing(results: DataFrame) -> DataFrame:
+    """Raises, when a row with a problem is read."""
+    told = F.concat(F.lit("record "), F.col("id").cast("string"), F.lit(": "), F.col("problem"))
+    return results.filter(F.assert_true(F.col("problem").isNull(), told).isNull()).drop("problem")
+
+
+@query("v08_batch_results", "SELECT vec_id AS id, CASE WHEN vec_id % 11 = 0 THEN 'missing' WHEN vec_id % 13 = 0 THEN 'twice' WHEN vec_id % 17 = 0 THEN 'failed' WHEN vec_id % 19 = 0 THEN 'width' END AS problem, CASE WHEN vec_id % 11 <> 0 AND vec_id % 13 <> 0 AND vec_id % 17 <> 0 AND vec_id % 19 <> 0 THEN round(CAST(embedding[2] AS DOUBLE), 4) END AS second FROM embeddings")
+def batch_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch job's output with lost, doubled, failed and short records."""
+    e, k = table(spark, sf_dir, "embeddings"), F.col("vec_id")
+    record = F.concat(F.lit("rec"), k.cast("string")).alias("recordId")
+    vector = F.when(k % 19 == 0, F.slice("embedding", 1, 3)).otherwise(F.col("embedding"))
+    line = F.when(k % 17 == 0, F.to_json(F.struct(record, F.lit("throttled").alias("error")))).otherwise(F.to_json(F.struct(record, F.struct(vector.alias("embedding")).alias("modelOutput"))))
+    lines = e.filter(k % 11 != 0).select(F.explode(F.when(k % 13 == 0, F.array(line, line)).otherwise(F.array(line))).alias("line")).orderBy("line")
+    return batch_results(e.select(k.alias("id")), lines, DIM).select("id", "problem", F.round(F.element_at("embedding", 2).cast("double"), 4).alias("second"))
 
 
 @query("v10_backfill_selection", "SELECT doc_id FROM documents WHERE source IN ('src1', 'src2') AND length(trim(text)) > 0")
