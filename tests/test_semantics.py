@@ -116,14 +116,15 @@ def test_tempo_and_wav():  # noqa: ANN201
     y, rate = signal.decode_wav(signal.encode_wav(x, 8000))
     assert rate == 8000
     assert np.abs(x - y).max() < 1e-3
-    found, confidence, _ = signal.tempo(y, rate)
+    heard = signal.tempo(y, rate)
+    found, confidence = heard.bpm, heard.confidence
     assert abs(found - 100) < 1.5
-    assert confidence > signal.tempo(np.random.default_rng(1).normal(0, 0.1, 96000).astype(np.float32), 8000)[1]
-    assert signal.tempo(np.zeros(96000, np.float32), 8000) == (0.0, 0.0, 0.0)
+    assert confidence > 2 * signal.tempo(np.random.default_rng(1).normal(0, 0.1, 96000).astype(np.float32), 8000).confidence
+    assert signal.tempo(np.zeros(96000, np.float32), 8000) == signal.Tempo()
 
 
 def test_segments_and_edges():  # noqa: ANN201
-    assert signal.segment_types(np.array([[0.0], [0.1], [5.0], [5.1], [0.05]])) == [0, 0, 1, 1, 0]
+    assert signal.segment_types(np.array([[0.0], [0.1], [5.0], [5.1], [0.05]]), [(k, k + 1) for k in range(5)]) == [0, 0, 1, 1, 0]
     assert signal.merge_edges([5, 1, 2, 9, 8]) == [1, 5, 8]
 
 

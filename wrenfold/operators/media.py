@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wrenfold.functions import signal
+from wrenfold.functions import text as T
 from wrenfold.functions.rows import count_if, exact_quantile, table
 from wrenfold.registry import query
 
@@ -39,6 +40,20 @@ def per_track(rows: DataFrame, schema: str, work: Callable[[int, float, np.ndarr
     return rows.mapInPandas(run, schema)
 
 
+@query("s17_probe", "SELECT n_nationkey AS track_id, ['wav', 'flac', 'ogg', 'mp3', NULL][n_nationkey % 5 + 1] AS container, ['pcm', 'flac', 'opus', 'mp3', NULL][n_nationkey % 5 + 1] AS codec, CASE n_nationkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 END AS channels, CASE n_nationkey % 5 WHEN 0 THEN 8000 WHEN 1 THEN 44100 END AS rate, CASE n_nationkey % 5 WHEN 0 THEN 12.0 WHEN 1 THEN 3.0 END::DOUBLE AS seconds FROM nation")
+def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the heads of media files tell."""
+    flac = b"fLaC" + bytes(14) + (44100 << 44 | 1 << 41 | 15 << 36 | 3 * 44100).to_bytes(8, "big") + bytes(16)
+    heads = {1: flac, 2: b"OggS" + bytes(24) + b"OpusHead" + bytes(11), 3: b"ID3" + bytes(40), 4: b"what is this"}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [signal.probe(heads.get(t % 5, w)) for t, w in zip(pdf["track_id"], pdf["wav"], strict=True)]
+            yield pd.DataFrame({"track_id": pdf["track_id"]} | {c: pd.array([f[c] for f in found], dtype=kind) for c, kind in (("container", "object"), ("codec", "object"), ("channels", "Int32"), ("rate", "Int32"), ("seconds", "Float64"))})
+
+    return tracks(spark, sf_dir).mapInPandas(run, "track_id int, container string, codec string, channels int, rate int, seconds double")
+
+
 @query("s17_wav_decode")
 def wav_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_track(tracks(spark, sf_dir), "track_id int, rate int, samples long, peak double", lambda t, b, x, r: [(t, r, len(x), round(float(np.abs(x).max()), 4))])
@@ -51,11 +66,13 @@ def onset_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("m02_tempo")
 def tempo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tempos with their confidence and the tempos that can't be told from them; a tempo with rivals is ambiguous."""
+
     def work(t: int, b: float, x: np.ndarray, r: int) -> list[tuple]:
-        found, confidence, phase = signal.tempo(x, r)
-        return [(t, b, round(found, 2), round(confidence, 3), round(phase, 4))]
+        found = signal.tempo(x, r)
+        return [(t, b, round(found.bpm, 2), round(found.confidence, 3), round(found.phase, 4), ",".join(f"{v:.2f}" for v in found.rivals), bool(found.rivals))]
 
-    return per_track(tracks(spark, sf_dir), "track_id int, true_bpm double, bpm double, confidence double, phase_s double", work)
+    return per_track(tracks(spark, sf_dir), "track_id int, true_bpm double, bpm double, confidence double, phase_s double, rivals string, ambiguous boolean", work)
 
 
 @query("m03_comb_scores")
@@ -104,13 +121,29 @@ def novelty_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("m07_segment_types")
 def segment_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of two bars and the material of each, in letters by first use."""
+
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        x = pdf[["rms_db", "low", "mid", "presence", "air", "onsets"]].to_numpy()
+        x = pdf.sort_values("idx")[["rms_db", "low", "mid", "presence", "air", "onsets"]].to_numpy()
         spread = x.std(axis=0)
-        return pdf[["track_id", "idx"]].assign(kind=signal.segment_types((x - x.mean(axis=0)) / np.where(spread > 1e-9, spread, 1)))
+        spans = [(k, min(k + 2, len(x))) for k in range(0, len(x), 2)]
+        kinds = signal.segment_types((x - x.mean(axis=0)) / np.where(spread > 1e-9, spread, 1), spans)
+        return pd.DataFrame({"track_id": pdf["track_id"].iloc[0], "bar_start": [a for a, _ in spans], "bar_end": [b for _, b in spans], "kind": [chr(65 + k) if k < 26 else "?" for k in kinds]})
+
+    return bars(spark, sf_dir).groupBy("track_id").applyInPandas(work, "track_id int, bar_start int, bar_end int, kind string")  # a track has some hundred bars
 
-    return bars(spark, sf_dir).groupBy("track_id").applyInPandas(work, "track_id int, idx int, kind int")  # a track has some hundred bars
+
+@query("m08_drop_shape")
+def drop_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drop, bar phase, plateau and riser of beats, of which a user's events are those of a track."""
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        low = pdf.sort_values("bar")["energy"].to_numpy()
+        drop, sure = signal.find_drop(low)
+        phase, agree = signal.bar_phase(low, low, drop)
+        return pd.DataFrame([(pdf["track_id"].iloc[0], drop, sure, phase, agree, signal.plateau_beats(low, drop), signal.riser_beats(low, drop))], columns=["track_id", "drop_beat", "confident", "phase", "agreement", "plateau", "riser"])
+
+    return event_bars(spark, sf_dir).groupBy("track_id").applyInPandas(work, "track_id long, drop_beat int, confident boolean, phase int, agreement double, plateau int, riser int")  # a track has some thousand beats
 
 
 @query("m08_bar_phase", f"WITH b AS ({_BARS}), v AS (SELECT track_id, bar % 4 AS phase, avg(energy) AS e FROM b GROUP BY 1, 2) SELECT track_id, arg_max(phase, (e, -phase)) AS phase FROM v GROUP BY 1")
@@ -126,10 +159,45 @@ def section_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("track_id", "bar", F.when(F.col("energy") >= 0.85 * F.col("p90"), "drop").when(F.col("energy") >= 0.40 * F.col("p90"), "verse").otherwise("break").alias("role"))
 
 
-@query("m10_genre_floors", "SELECT vec_id, CASE WHEN p < 0.10 THEN 'none' WHEN p < 0.30 THEN 'parent' ELSE 'style' END AS answer FROM (SELECT vec_id, abs(CAST(embedding[1] AS DOUBLE)) AS p FROM embeddings)")
+@query("m09_sections", f"""WITH b AS ({_BARS}), p AS (SELECT track_id, quantile_cont(energy, 0.9) AS p90, count(*) AS bars FROM b GROUP BY 1), s AS (SELECT track_id, (bar - 1) // 8 AS section, avg(energy) AS e FROM b GROUP BY 1, 2),
+d AS (SELECT *, e - lag(e) OVER (PARTITION BY track_id ORDER BY section) AS rise FROM s), r AS (SELECT d.*, CASE WHEN p90 > 0 THEN least(e / p90, 1.0) ELSE 0 END AS ratio, section = max(section) OVER (PARTITION BY track_id) AS is_last, coalesce(section = arg_max(section, (rise, -section)) FILTER (WHERE rise IS NOT NULL) OVER (PARTITION BY track_id) AND rise > 0, FALSE) AS is_drop FROM d JOIN p USING (track_id)),
+n AS (SELECT *, CASE WHEN is_drop AND ratio >= 0.40 THEN 'drop' WHEN ratio >= 0.85 THEN 'chorus' WHEN ratio >= 0.40 THEN 'verse' WHEN section = 0 THEN 'intro' WHEN is_last THEN 'outro' ELSE 'breakdown' END AS role FROM r)
+SELECT track_id, section, role, CAST(row_number() OVER (PARTITION BY track_id, role ORDER BY section) AS INTEGER) AS nth, round(ratio, 6) AS ratio FROM n""")
+def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of eight bars by energy tiers against the track's 90th percentile bar; the largest rise is the drop, quiet ends are intro and outro; numbered within their role."""
+    rows = event_bars(spark, sf_dir)
+    s = rows.groupBy("track_id", F.floor((F.col("bar") - 1) / 8).alias("section")).agg(F.avg("energy").alias("e")).join(exact_quantile(rows, "track_id", "energy", 0.9, "p90"), "track_id")
+    w = Window.partitionBy("track_id")
+    s = s.withColumn("rise", F.col("e") - F.lag("e").over(w.orderBy("section"))).withColumn("ratio", F.when(F.col("p90") > 0, F.least(F.col("e") / F.col("p90"), F.lit(1.0))).otherwise(0.0))
+    top = F.max(F.when(F.col("rise").isNotNull(), F.struct("rise", -F.col("section")))).over(w)
+    s = s.withColumn("is_drop", F.coalesce((F.col("rise") > 0) & (-top["col2"] == F.col("section")), F.lit(False))).withColumn("is_last", F.col("section") == F.max("section").over(w))
+    ratio = F.col("ratio")
+    role = F.when(F.col("is_drop") & (ratio >= 0.40), "drop").when(ratio >= 0.85, "chorus").when(ratio >= 0.40, "verse").when(F.col("section") == 0, "intro").when(F.col("is_last"), "outro").otherwise("breakdown")
+    named = s.withColumn("role", role)
+    return named.select("track_id", "section", "role", F.row_number().over(Window.partitionBy("track_id", "role").orderBy("section")).alias("nth"), F.round("ratio", 6).alias("ratio"))
+
+
+# The least probability for any answer, and for a style within its genre.
+GENRE_FLOOR, STYLE_FLOOR = 0.10, 0.30
+
+
+def genre_answer(ranked: DataFrame) -> DataFrame:
+    """``ranked``: best (label ``Parent---Style``) and p; adds confident (none, parent or style), parent and style."""
+    sure = F.when(F.col("p") < GENRE_FLOOR, "none").when(F.col("p") < STYLE_FLOOR, "parent").otherwise("style")
+    rows = ranked.withColumn("confident", sure)
+    return rows.withColumn("parent", F.when(F.col("confident") != "none", F.split_part("best", F.lit("---"), F.lit(1))).otherwise("")).withColumn("style", F.when(F.col("confident") == "style", F.col("best")).otherwise(""))
+
+
+@query("m10_genre_floors", """WITH v AS (SELECT vec_id, unnest(range(1, 65)) AS i, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings), t AS (SELECT vec_id, 'G' || CAST(i % 8 AS VARCHAR) || '---S' || CAST(i AS VARCHAR) AS label, round(abs(x), 4) AS p, row_number() OVER (PARTITION BY vec_id ORDER BY round(abs(x), 4) DESC, i) AS rn FROM v QUALIFY rn <= 5),
+b AS (SELECT vec_id, max(CASE WHEN rn = 1 THEN label END) AS best, max(CASE WHEN rn = 1 THEN p END) AS p, string_agg(label, ',' ORDER BY rn) AS styles FROM t GROUP BY 1)
+SELECT vec_id, styles, p, CASE WHEN p < 0.10 THEN 'none' WHEN p < 0.30 THEN 'parent' ELSE 'style' END AS confident, CASE WHEN p >= 0.10 THEN split_part(best, '---', 1) ELSE '' END AS parent, CASE WHEN p >= 0.30 THEN best ELSE '' END AS style FROM b""")
 def genre_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = F.abs(F.element_at("embedding", 1).cast("double"))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.when(p < 0.10, "none").when(p < 0.30, "parent").otherwise("style").alias("answer"))
+    """The five likeliest labels of each vector, whose cells stand for class probabilities, and the answer that the floors allow."""
+    cells = F.expr("transform(embedding, (x, i) -> struct(-round(abs(cast(x AS double)), 4) AS p, i + 1 AS i))")
+    top = table(spark, sf_dir, "embeddings").select("vec_id", F.slice(F.array_sort(cells), 1, 5).alias("t"))
+    label = lambda c: F.concat(F.lit("G"), (c["i"] % 8).cast("string"), F.lit("---S"), c["i"].cast("string"))
+    ranked = top.select("vec_id", F.transform("t", label).alias("labels"), (-F.col("t")[0]["p"]).alias("p")).withColumn("best", F.col("labels")[0])
+    return genre_answer(ranked).select("vec_id", F.array_join("labels", ",").alias("styles"), "p", "confident", "parent", "style")
 
 
 @query("m11_rhythm_train", """WITH g AS (SELECT user_id, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) / 1000000.0 AS gap FROM events)
@@ -147,21 +215,51 @@ def shot_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_bars(spark, sf_dir).withColumn("cut", F.avg("energy").over(w) + 1.5 * F.stddev_pop("energy").over(w)).filter("energy > cut").select("track_id", "bar")
 
 
-@query("m13_overlay_screen")
-def overlay_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
+def clip_frames(k: int, frames: int = 48, height: int = 36, width: int = 64) -> np.ndarray:
+    """A synthetic clip: noise that moves in a band of columns, a cut in the middle, a caption in every third clip, and none of that in every fifth, which stands still."""
+    rng = np.random.default_rng(int(k))
+    if k % 5 == 4:
+        return np.full((frames, height, width), 90, np.uint8)
+    f = np.full((frames, height, width), 60 + k, np.float64)
+    f[frames // 2 :] += 60
+    at = 8 + (7 * k) % 40
+    f[:, :, at : at + 12] += rng.integers(-60, 60, (frames, height, 12))
+    if k % 3 == 1:
+        f[:, 26:34, 4:60] = 20.0
+        f[:, 28:32, 8:56:4] = 250.0
+    return np.clip(f, 0, 255).astype(np.uint8)
+
+
+def per_clip(spark: SparkSession, sf_dir: str, schema: str, work: Callable[[int, np.ndarray], list[tuple]]) -> DataFrame:
+    names = [c.split()[0] for c in schema.split(", ")]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for k in pdf["clip"]:
-                rng = np.random.default_rng(int(k))
-                f = rng.integers(0, 255, (8, 48, 64)).astype(np.float64) if k % 3 else np.full((8, 48, 64), 90.0)
-                if k % 3 == 1:
-                    f[:, 34:44, 8:56] = 20.0
-                    f[:, 36:42, 12:52:4] = 250.0
-                out.append((k, signal.screen_overlay(f)))
-            yield pd.DataFrame(out, columns=["clip", "verdict"])
+            yield pd.DataFrame([r for k in pdf["clip"] for r in work(int(k), clip_frames(int(k)))], columns=names)
+
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("clip")).mapInPandas(run, schema)
+
+
+@query("m12_clip_windows")
+def clip_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The window that each clip is cut to, its crop, features and poles."""
 
-    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("clip")).mapInPandas(run, "clip int, verdict string")
+    def work(k: int, f: np.ndarray) -> list[tuple]:
+        curve = signal.motion_curve(f)
+        start, length = signal.pick_window(f, curve, 2.0, 1.0, 3.0)
+        found = signal.clip_features(f, np.repeat(f[..., None], 3, axis=-1), start, length, curve)
+        return [(k, len(signal.shot_bounds(curve)), start, length, signal.crop_left(f, start, length, 1280, 720), *found.values(), "/".join(signal.poles(found).values()))]
+
+    return per_clip(spark, sf_dir, "clip int, shots int, start_s double, length_s double, crop_left int, energy double, luma double, contrast double, warmth double, saturation double, detail double, intensity double, poles string", work)
+
+
+@query("m13_overlay_screen")
+def overlay_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def work(k: int, f: np.ndarray) -> list[tuple]:
+        verdict, share, aligned = signal.screen_overlay(f)
+        return [(k, verdict, round(share, 5), round(aligned, 3))]
+
+    return per_clip(spark, sf_dir, "clip int, verdict string, share double, aligned double", work)
 
 
 @query("m14_sequence_order")
@@ -195,7 +293,8 @@ def local_pulse(spark: SparkSession, sf_dir: str) -> DataFrame:
     def work(t: int, b: float, x: np.ndarray, r: int) -> list[tuple]:
         out = []
         for k, part in enumerate(np.array_split(x, 3)):
-            found, _, phase = signal.tempo(part, r)
+            tempo = signal.tempo(part, r)
+            found, phase = tempo.bpm, tempo.phase
             env = signal.onset_envelope(part)
             at = float(env.argmax()) * signal.HOP / r
             beat = 60.0 / found if found else 0.0
@@ -205,11 +304,36 @@ def local_pulse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_track(tracks(spark, sf_dir), "track_id int, part int, bpm double, snapped_s double", work)
 
 
-@query("m17_hook_candidates", "SELECT event_id, value BETWEEN 3 AND 10 AS loop_length_ok, abs(value - round(value / 2) * 2) <= 0.25 AS on_bar_line, value BETWEEN 3 AND 10 AND abs(value - round(value / 2) * 2) <= 0.25 AS accepted FROM events")
+# How far a start may lie from a bar line, in milliseconds.
+BAR_TOLERANCE = 25
+
+
+def candidate_rules(rows: DataFrame) -> DataFrame:
+    """Checks of sections (start, end, beat, bar, grid, drop, plateau; milliseconds and beats, null where nothing was measured): true, false, or null where a rule can't be judged; their balance ranks them."""
+    start, length, bar = F.col("start"), F.col("end") - F.col("start"), F.col("bar")
+    whole = F.abs(length / bar - F.bround(length / bar)) * bar <= BAR_TOLERANCE
+    plateau = F.when(F.abs(start - F.col("drop")) <= BAR_TOLERANCE, length <= F.col("plateau") * F.col("beat") + BAR_TOLERANCE)
+    rules = {"loop_ok": length.between(T.SHORTEST_LOOP, T.LONGEST_LOOP), "on_bar_line": T.bar_offset(start, F.col("grid"), bar) <= BAR_TOLERANCE, "whole_bars": whole, "in_plateau": plateau}
+    out = rows.withColumns(rules)
+    signs = [F.coalesce(F.when(F.col(c), 1).otherwise(F.when(~F.col(c), -1)), F.lit(0)) for c in rules]
+    return out.withColumn("balance", sum(signs[1:], signs[0]))
+
+
+@query("m17_hook_candidates", """WITH s AS (SELECT event_id, user_id, value, CAST(floor(value * 400) AS BIGINT) AS s, 1500 + (event_id * 53) % 11000 AS n, CASE WHEN user_id % 4 <> 0 THEN 60000.0::DOUBLE / (90 + user_id % 60) END AS beat, CASE WHEN user_id % 5 <> 0 THEN 40 END AS grid, CASE WHEN user_id % 3 = 0 THEN CAST(floor(user_id % 7 * 1000) AS BIGINT) END AS d FROM events),
+r AS (SELECT *, 4 * beat AS bar, (s - grid) - 4 * beat * floor((s - grid) / (4 * beat)) AS o FROM s),
+c AS (SELECT *, n BETWEEN 3000 AND 10000 AS loop_ok, least(o, bar - o) <= 25 AS on_bar_line, abs(n / bar - round_even(n / bar, 0)) * bar <= 25 AS whole_bars, CASE WHEN abs(s - d) <= 25 THEN n <= 16 * beat + 25 END AS in_plateau FROM r),
+b AS (SELECT *, coalesce(CASE WHEN loop_ok THEN 1 ELSE -1 END, 0) + coalesce(CASE WHEN on_bar_line THEN 1 WHEN NOT on_bar_line THEN -1 END, 0) + coalesce(CASE WHEN whole_bars THEN 1 WHEN NOT whole_bars THEN -1 END, 0) + coalesce(CASE WHEN in_plateau THEN 1 WHEN NOT in_plateau THEN -1 END, 0) AS balance FROM c)
+SELECT event_id, loop_ok, on_bar_line, whole_bars, in_plateau, CAST(balance AS INTEGER) AS balance, CAST(row_number() OVER (PARTITION BY user_id ORDER BY balance DESC, coalesce(CASE WHEN event_id % 6 <> 0 THEN value END, -1.0) DESC, n DESC, event_id) AS INTEGER) AS rank FROM b""")
 def hook_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    length = F.col("value").between(3, 10)
-    line = F.abs(F.col("value") - F.round(F.col("value") / 2) * 2) <= 0.25
-    return table(spark, sf_dir, "events").select("event_id", length.alias("loop_length_ok"), line.alias("on_bar_line"), (length & line).alias("accepted"))
+    """Sections of songs, ranked by rules passed less rules failed, then measured energy (what wasn't measured last), then length."""
+    u, k = F.col("user_id"), F.col("event_id")
+    beat = F.when(u % 4 != 0, F.lit(60000.0) / (90 + u % 60))
+    rows = table(spark, sf_dir, "events").select(
+        "event_id", "user_id", F.when(k % 6 != 0, F.col("value")).alias("energy"), F.floor(F.col("value") * 400).alias("start"), beat.alias("beat"), (4 * beat).alias("bar"), F.when(u % 5 != 0, F.lit(40)).alias("grid"),
+        F.when(u % 3 == 0, u % 7 * 1000).alias("drop"), F.lit(16).alias("plateau"), (F.floor(F.col("value") * 400) + 1500 + (k * 53) % 11000).alias("end"),
+    )
+    order = Window.partitionBy("user_id").orderBy(F.desc("balance"), F.coalesce("energy", F.lit(-1.0)).desc(), (F.col("end") - F.col("start")).desc(), "event_id")
+    return candidate_rules(rows).select("event_id", "loop_ok", "on_bar_line", "whole_bars", "in_plateau", "balance", F.row_number().over(order).alias("rank"))
 
 
 @query("u04_edge_union")
