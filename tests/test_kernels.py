@@ -33,7 +33,7 @@ def test_tempo_rivals_and_silence():  # noqa: ANN201
     assert signal.tempo(signal.click_train(170, 20, RATE, 0.05), RATE).rivals == (85.0,)  # half of it scores as well
     assert signal.tempo(signal.click_train(100, 20, RATE, 0.05), RATE).rivals == ()
     assert signal.tempo(np.zeros(20 * RATE, np.float32), RATE) == signal.Tempo()
-    assert signal.tempo(signal.click_train(100, 3, RATE), RATE) == signal.Tempo()  # fewer than eight beats
+    assert signal.tempo(signal.click_train(100, 2.5, RATE), RATE) == signal.Tempo()  # fewer than eight beats
 
 
 def test_fold():  # noqa: ANN201

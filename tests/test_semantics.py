@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import numpy as np
 import pytest
@@ -53,16 +54,35 @@ def test_identifiers_and_contacts(spark):  # noqa: ANN001, ANN201
 ])
 def test_scope_proof(spark, sql, ok):  # noqa: ANN001, ANN201
     if ok:
-        assert guards.prove_scoped(spark, sql)
+        assert guards.prove_scoped(spark, sql, tenant=1)
     else:
         with pytest.raises(guards.Unscoped):
-            guards.prove_scoped(spark, sql)
+            guards.prove_scoped(spark, sql, tenant=1)
+
+
+@pytest.mark.parametrize("key", sorted(guards.QUESTIONS))
+def test_every_question_is_scoped(spark, key):  # noqa: ANN001, ANN201
+    """Each statement of the library that reads tenants' tables proves itself, and doesn't without any one of its conditions on the tenant."""
+    sql = guards.QUESTIONS[key].sql
+    assert set(guards.prove_scoped(spark, sql)) <= set(guards.tenant_views(spark, DATA))
+    conditions = re.findall(r"\w+\.tenant_id = (?:\w+\.tenant_id|:tenant)", sql)
+    assert conditions
+    for c in conditions:
+        with pytest.raises(guards.Unscoped):
+            guards.prove_scoped(spark, sql.replace(c, "1 = 1", 1))
+    with pytest.raises(guards.Unscoped):
+        guards.prove_scoped(spark, sql.replace(":tenant", "8"), tenant=7)
 
 
 def test_question_slots(spark):  # noqa: ANN001, ANN201
     with pytest.raises(ValueError, match="takes"):
-        guards.ask(spark, DATA, "orders_by_status")
-    assert guards.ask(spark, DATA, "newest_orders", tenant="7", least=0).columns == ["o_orderkey", "o_orderdate"]
+        guards.ask(spark, DATA, "status_spread", tenant=7)
+    with pytest.raises(ValueError, match="invalid literal"):
+        guards.ask(spark, DATA, "status_spread", tenant=7, limit="5; DROP")
+    assert guards.ask(spark, DATA, "parties_with_status", tenant=7, term="' OR 1=1", limit=5).count() == 0
+    assert guards.nearest_question("how much work is pending") == "work_queue"
+    assert guards.nearest_question("what kind of customers are there?") == "parties_by_segment"
+    assert guards.nearest_question("xyzzy") is None
 
 
 def test_history_expires(spark):  # noqa: ANN001, ANN201

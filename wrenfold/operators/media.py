@@ -277,15 +277,6 @@ def sequence_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.groupBy("p_brand", "edit").applyInPandas(work, "p_brand string, edit int, position int, p_partkey long, cost double")
 
 
-@query("m15_rule_checks", """SELECT l_orderkey, 'gap' AS rule, count(*) AS violations FROM (SELECT l_orderkey, l_linenumber - lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS d FROM lineitem) WHERE d > 1 GROUP BY 1
-UNION ALL SELECT l_orderkey, 'too long', count(*) FROM lineitem WHERE l_quantity > 49 GROUP BY 1""")
-def rule_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    d = F.col("l_linenumber") - F.lag("l_linenumber").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber"))
-    rules = li.withColumn("d", d).groupBy("l_orderkey").agg(count_if(F.col("d") > 1).alias("gap"), count_if(F.col("l_quantity") > 49).alias("too long"))
-    return rules.unpivot("l_orderkey", ["gap", "too long"], "rule", "violations").filter("violations > 0")
-
-
 @query("m16_local_pulse")
 def local_pulse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tempo of each third of a track, and where its loudest transient snaps to the beat."""

@@ -248,12 +248,30 @@ def window_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_custkey", F.coalesce("best", F.lit("default")).alias("chosen"), F.greatest(F.lit(3), F.least(F.lit(10), F.coalesce("n", F.lit(4)))).cast("long").alias("loop_length"))
 
 
-@query("d07_shot_plan", "SELECT n_nationkey AS song, CAST(i AS INTEGER) AS shot, ([ 'wide', 'close', 'detail' ])[CAST((i + n_nationkey) % 3 + 1 AS INTEGER)] AS framing, i = 2 AND n_nationkey % 5 = 0 AS overridden FROM nation, range(0, 6) r(i) WHERE i < least(6, n_regionkey + 2)")
+def overridden(shots: DataFrame, edits: DataFrame, least: float = 3.0, most: float = 10.0) -> DataFrame:
+    """Planned shots (song, shot, framing, prompt, seconds) with a person's edits (song, shot, framing, prompt, seconds) by position.
+
+    An edit that names another framing was made for another plan and is dropped, as one of a position that is gone; a
+    blank prompt is none; lengths are clamped.  ``verbatim``: the prompt is what the person typed.
+    """
+    e = edits.select("song", "shot", F.col("framing").alias("_for"), F.nullif(F.trim("prompt"), F.lit("")).alias("_prompt"), F.when(F.col("seconds").isNotNull(), F.greatest(F.lit(least), F.least(F.lit(most), F.col("seconds")))).alias("_seconds"))
+    both = shots.join(e, ["song", "shot"], "left").withColumn("_meant", F.coalesce(F.col("_for") == F.col("framing"), F.lit(True)))
+    kept = lambda c: F.when(F.col("_meant"), F.col(c))
+    return both.select("song", "shot", "framing", F.coalesce(kept("_prompt"), "prompt").alias("prompt"), F.coalesce(kept("_seconds"), "seconds").alias("seconds"), kept("_prompt").isNotNull().alias("verbatim"))
+
+
+@query("d07_shot_plan", """WITH p AS (SELECT n_nationkey AS song, CAST(i AS INTEGER) AS shot, (['wide', 'close', 'detail'])[CAST((i + n_nationkey) % 3 + 1 AS INTEGER)] AS framing FROM nation, range(0, 6) r(i) WHERE i < least(6, n_regionkey + 2)),
+e AS (SELECT s_nationkey AS song, CAST(s_suppkey % 7 AS INTEGER) AS shot, max(s_suppkey) AS k FROM supplier GROUP BY 1, 2), x AS (SELECT song, shot, CASE k % 3 WHEN 0 THEN 'wide' WHEN 1 THEN NULL ELSE 'close' END AS f, CASE WHEN k % 4 <> 0 THEN 'by hand ' || CAST(k AS VARCHAR) END AS prompt, CASE WHEN k % 5 <> 0 THEN greatest(3.0::DOUBLE, least(10.0, (k % 14)::DOUBLE)) END AS seconds FROM e)
+SELECT p.song, p.shot, framing, coalesce(CASE WHEN coalesce(f = framing, TRUE) THEN x.prompt END, framing || ' shot of ' || CAST(p.song AS VARCHAR)) AS prompt, coalesce(CASE WHEN coalesce(f = framing, TRUE) THEN x.seconds END, 4.0) AS seconds, coalesce(f = framing, TRUE) AND x.prompt IS NOT NULL AS verbatim FROM p LEFT JOIN x ON p.song = x.song AND p.shot = x.shot""")
 def shot_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections times variants, round robin, capped; overrides by position."""
+    """Sections times variants, round robin, capped; with edits by position."""
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("song"), F.explode(F.sequence(F.lit(0), F.least(F.lit(6), F.col("n_regionkey") + 2) - 1)).alias("shot"))
     framing = F.element_at(F.array(*map(F.lit, ("wide", "close", "detail"))), F.pmod(F.col("shot") + F.col("song"), F.lit(3)) + 1)
-    return n.select("song", "shot", framing.alias("framing"), ((F.col("shot") == 2) & (F.col("song") % 5 == 0)).alias("overridden"))
+    plan = n.withColumn("framing", framing).select("song", "shot", "framing", F.concat("framing", F.lit(" shot of "), F.col("song").cast("string")).alias("prompt"), F.lit(4.0).alias("seconds"))
+    last = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("song"), (F.col("s_suppkey") % 7).cast("int").alias("shot")).agg(F.max("s_suppkey").alias("k"))
+    k = F.col("k")
+    edits = last.select("song", "shot", F.when(k % 3 == 0, "wide").when(k % 3 == 2, "close").alias("framing"), F.when(k % 4 == 0, "  ").otherwise(F.concat(F.lit(" by hand "), k.cast("string"))).alias("prompt"), F.when(k % 5 != 0, (k % 14).cast("double")).alias("seconds"))
+    return overridden(plan, edits)
 
 
 @query("d09_one_time_codes", """WITH f AS (SELECT user_id, event_id, ts, first_value(ts) OVER w AS issued, row_number() OVER w AS nth, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS used FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
@@ -278,6 +296,43 @@ def poll_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", seen.alias("last_seen")).orderBy(F.asc_nulls_first("last_seen"), "c_custkey").limit(100)
 
 
+def polled(accounts: DataFrame, messages: DataFrame, batch: int = 50) -> DataFrame:
+    """One poll of mailboxes: account, delivered (uids, oldest first), cursor, state.
+
+    ``accounts``: account, cursor ("generation:uid"), generation (the server's now); ``messages``: account, uid.  Without a
+    readable cursor, or where the server has renumbered, the position is set to the newest message and nothing is
+    delivered; else up to ``batch`` messages above the cursor are, and it moves to the last of them.
+    """
+    known = F.split_part("cursor", F.lit(":"), F.lit(1))
+    uid = F.coalesce(F.regexp_extract("cursor", "^[^:]*:([0-9]+)$", 1).try_cast("long"), F.lit(0))
+    a = accounts.withColumn("_uid", uid).withColumn("_set", (F.coalesce("cursor", F.lit("")) == "") | (known != F.col("generation").cast("string")))
+    inbox = messages.groupBy("account").agg(F.max("uid").alias("_newest"))
+    nth = F.row_number().over(Window.partitionBy("account").orderBy("uid"))
+    new = messages.join(a.filter(~F.col("_set")).select("account", "_uid"), "account").filter("uid > _uid").withColumn("_nth", nth).filter(F.col("_nth") <= batch)
+    got = new.groupBy("account").agg(F.array_sort(F.collect_list("uid")).alias("delivered"))  # at most ``batch``
+    both = a.join(inbox, "account", "left").join(got, "account", "left")
+    at = F.when(F.col("_set"), F.coalesce("_newest", F.lit(0))).otherwise(F.coalesce(F.element_at("delivered", -1), F.col("_uid")))
+    moved = F.col("_set") | F.col("delivered").isNotNull()
+    return both.select(
+        "account", F.coalesce("delivered", F.array().cast("array<bigint>")).alias("delivered"), F.when(moved, F.concat_ws(":", F.col("generation").cast("string"), at.cast("string"))).otherwise(F.col("cursor")).alias("cursor"),
+        F.when(F.col("_set"), "position set").when(F.col("delivered").isNull(), "nothing new").otherwise("delivered").alias("state"),
+    )
+
+
+@query("d11_mail_cursor", """WITH a AS (SELECT c_custkey AS account, c_custkey % 3 AS generation, CASE c_custkey % 6 WHEN 0 THEN '' WHEN 1 THEN '9:10' WHEN 2 THEN CAST(c_custkey % 3 AS VARCHAR) || ':x' ELSE CAST(c_custkey % 3 AS VARCHAR) || ':' || CAST(c_custkey * 10 AS VARCHAR) END AS cursor FROM customer),
+s AS (SELECT *, cursor = '' OR split_part(cursor, ':', 1) <> CAST(generation AS VARCHAR) AS reset, coalesce(TRY_CAST(split_part(cursor, ':', 2) AS BIGINT), 0) AS uid FROM a),
+m AS (SELECT s.account, o_orderkey, row_number() OVER (PARTITION BY s.account ORDER BY o_orderkey) AS nth FROM s JOIN orders ON o_custkey = s.account AND NOT reset AND o_orderkey > uid), g AS (SELECT account, count(*) AS n, min(o_orderkey) AS first_uid, max(o_orderkey) AS last_uid FROM m WHERE nth <= 4 GROUP BY 1),
+i AS (SELECT o_custkey AS account, max(o_orderkey) AS newest FROM orders GROUP BY 1)
+SELECT s.account, coalesce(n, 0) AS n, first_uid, CASE WHEN reset THEN CAST(generation AS VARCHAR) || ':' || CAST(coalesce(newest, 0) AS VARCHAR) WHEN n IS NULL THEN cursor ELSE CAST(generation AS VARCHAR) || ':' || CAST(last_uid AS VARCHAR) END AS cursor, CASE WHEN reset THEN 'position set' WHEN n IS NULL THEN 'nothing new' ELSE 'delivered' END AS state
+FROM s LEFT JOIN g ON s.account = g.account LEFT JOIN i ON s.account = i.account""")
+def mail_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, g = F.col("c_custkey"), (F.col("c_custkey") % 3).cast("string")
+    cursor = F.when(k % 6 == 0, "").when(k % 6 == 1, "9:10").when(k % 6 == 2, F.concat(g, F.lit(":x"))).otherwise(F.concat(g, F.lit(":"), (k * 10).cast("string")))
+    accounts = table(spark, sf_dir, "customer").select(k.alias("account"), cursor.alias("cursor"), (k % 3).alias("generation"))
+    got = polled(accounts, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("account"), F.col("o_orderkey").alias("uid")), 4)
+    return got.select("account", F.size("delivered").cast("long").alias("n"), F.try_element_at("delivered", F.lit(1)).alias("first_uid"), "cursor", "state")
+
+
 @query("d12_mint_once", "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN md5('new' || CAST(s_suppkey AS VARCHAR)) ELSE 'old' || CAST(s_suppkey AS VARCHAR) END AS token FROM supplier")
 def mint_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey").cast("string")

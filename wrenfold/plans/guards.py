@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wrenfold.functions import sql as F_SQL
 from wrenfold.functions.rows import count_if, table
 from wrenfold.registry import query
 
@@ -32,119 +34,240 @@ def _conjuncts(e) -> Iterator:  # noqa: ANN001
         yield e
 
 
-def prove_scoped(spark: SparkSession, sql: str, tenant: str = "tenant_id") -> list[str]:
-    """The tables of a single SELECT, each of which has an equality on its own ``tenant`` column in its own clause; else raises."""
-    if "--" in sql or "/*" in sql or ";" in sql.strip().rstrip(";"):
+_UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+
+
+def prove_scoped(spark: SparkSession, sql: str, column: str = "tenant_id", tenant: object = None) -> list[str]:
+    """The tables of a single SELECT, each pinned to the one tenant in its own clause; else raises.
+
+    A table is pinned by an equality of its own ``column`` with the tenant: the literal ``tenant``, or a parameter of
+    that name where ``tenant`` is None.  The equality must hold for every row of the table: it stands in the WHERE,
+    in the ON of an inner join, or, for the inner side of an outer join alone, in its ON.  It carries over to
+    another table by an equality of both their columns, under the same rule.  No other tenant may be named.
+    """
+    if "--" in sql or "/*" in sql or ";" in sql:
         raise Unscoped("comments and several statements aren't allowed")
+    if not re.match(r"\s*SELECT\b", sql, re.IGNORECASE):
+        raise Unscoped("not a bare SELECT")
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     found: list[str] = []
-    _block(plan, tenant, found)
+    _block(plan, column.lower(), tenant, found)
     if not found:
         raise Unscoped("no table")
     return found
 
 
-def _block(plan, tenant: str, found: list[str]) -> None:  # noqa: ANN001
-    """One query block: relations down to the next block, and the conditions that every row meets."""
-    relations: list[str] = []
-    conditions: list = []
+def _block(plan, column: str, tenant: object, found: list[str]) -> None:  # noqa: ANN001
+    """One query block: relations down to the next block, and the conditions with the relations that each binds."""
+    bound: list[tuple] = []  # (condition, relations that have only rows which meet it)
+    names: list[str] = []
 
-    def down(node, alias: str | None) -> None:  # noqa: ANN001
+    def down(node, alias: str | None) -> set[str]:  # noqa: ANN001
+        """The relations below a node that give rows to it."""
         kind = _kind(node)
-        if kind in ("Union", "Intersect", "Except", "UnresolvedWith", "InsertIntoStatement", "SetOperation"):
+        if kind in ("Union", "Intersect", "Except", "UnresolvedWith", "InsertIntoStatement", "SetOperation", "LateralJoin", "UnresolvedTableValuedFunction"):
             raise Unscoped(f"{kind} isn't allowed")
         if kind == "UnresolvedRelation":
             name = ".".join(_seq(node.multipartIdentifier()))
-            relations.append((alias or name.rpartition(".")[2]).lower())
+            own = (alias or name.rpartition(".")[2]).lower()
+            if own in names:
+                raise Unscoped(f"{own} is named twice")
+            names.append(own)
             found.append(name)
-            return
+            return {own}
         for e in _seq(node.expressions()):
-            subqueries(e)
-        if kind == "Filter":
-            conditions.extend(_conjuncts(node.condition()))
-        elif kind == "Join":
-            if node.condition().isDefined() and node.joinType().toString() in ("Inner", "Cross"):
-                conditions.extend(_conjuncts(node.condition().get()))
-            elif node.condition().isDefined():  # an outer join's condition binds its inner side alone
-                outer.extend(_conjuncts(node.condition().get()))
+            inside(e)
         inner = node.alias() if kind == "SubqueryAlias" else None
+        below = []
         for child in _seq(node.children()):
             if inner and _kind(child) != "UnresolvedRelation":
-                _block(child, tenant, found)  # a derived table proves itself
+                _block(child, column, tenant, found)  # a derived table proves itself
+                below.append(set())
             else:
-                down(child, inner)
-
-    def subqueries(e) -> None:  # noqa: ANN001
+                below.append(down(child, inner))
+        if kind == "Filter":
+            bound.extend((c, below[0]) for c in _conjuncts(node.condition()))
+        elif kind == "Join" and node.condition().isDefined():
+            left, right = below
+            sides = {"Inner": left | right, "Cross": left | right, "LeftSemi": left | right, "LeftOuter": right, "RightOuter": left, "LeftAnti": right}.get(node.joinType().toString(), set())
+            bound.extend((c, sides) for c in _conjuncts(node.condition().get()))
+        return set().union(*below)
+
+    def inside(e) -> None:  # noqa: ANN001
+        """Subqueries prove themselves; a text shaped like another tenant's id is refused."""
         if _kind(e) in ("Exists", "ScalarSubquery", "ListQuery"):
-            _block(e.plan(), tenant, found)
+            _block(e.plan(), column, tenant, found)
+        if _kind(e) == "Literal" and _UUID.fullmatch(e.toString()) and e.toString().lower() != str(tenant).lower():
+            raise Unscoped("another id is named")
         for c in _seq(e.children()):
-            subqueries(c)
+            inside(c)
 
-    outer: list = []
     down(plan, None)
     pinned: set[str] = set()
-    links: list[tuple[str, str]] = []
-    for e in conditions + outer:
+    links: list[tuple[str, str]] = []  # the first pins the second
+    for e, sides in bound:
         if _kind(e) != "EqualTo":
             continue
-        sides = [_column(c) for c in _seq(e.children())]
-        names = [s if s is None or "." in s else f"{relations[0]}.{s}" if len(relations) == 1 else s for s in sides]
-        is_tenant = [bool(n and n.endswith(f".{tenant}")) for n in names]
-        if all(is_tenant):
-            links.append((names[0].rpartition(".")[0], names[1].rpartition(".")[0]))
-        elif any(is_tenant) and None in sides:
-            pinned.add(names[is_tenant.index(True)].rpartition(".")[0])
+        both = list(_seq(e.children()))
+        owners = [_owner(c, column, names) for c in both]
+        if all(owners):
+            links += [(x, y) for x, y in (owners, owners[::-1]) if y in sides]
+        elif any(owners):
+            own, other = (owners[0], both[1]) if owners[0] else (owners[1], both[0])
+            if not _is_tenant(other, tenant):
+                if _kind(other) in ("Literal", "NamedParameter"):
+                    raise Unscoped(f"{own} is pinned to another tenant")
+            elif own in sides:
+                pinned.add(own)
     for _ in links:
-        for a, b in links:
-            if a in pinned or b in pinned:
-                pinned |= {a, b}
-    open_ = [r for r in relations if r not in pinned]
+        pinned |= {y for x, y in links if x in pinned}
+    open_ = [r for r in names if r not in pinned]
     if open_:
         raise Unscoped(f"not pinned: {', '.join(open_)}")
 
 
+def _owner(e, column: str, names: list[str]) -> str | None:  # noqa: ANN001
+    """The relation whose tenant column this is; a bare column has one only if there is no other relation."""
+    name = _column(e)
+    if name == column:
+        return names[0] if len(names) == 1 else None
+    owner, _, last = (name or "").rpartition(".")
+    return owner if last == column and owner in names else None
+
+
+def _is_tenant(e, tenant: object) -> bool:  # noqa: ANN001
+    if _kind(e) == "Literal":
+        return tenant is not None and e.toString() == str(tenant)
+    return tenant is None and _kind(e) == "NamedParameter" and e.name() == "tenant"
+
+
 def _column(e) -> str | None:  # noqa: ANN001
     return ".".join(_seq(e.nameParts())).lower() if _kind(e) == "UnresolvedAttribute" else None
 
 
-# A question: its SQL over the views, with typed slots.
+@dataclass(frozen=True)
+class Question:
+    """One thing that can be asked: how a person would say it, the statement that answers it, and its typed slots."""
+
+    asks: str
+    sql: str
+    slots: dict[str, type]
+
+
+_LIMIT = {"limit": int}
 QUESTIONS = {
-    "orders_by_status": ("SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_custkey = :tenant GROUP BY o_orderstatus", {"tenant": int}),
-    "newest_orders": ("SELECT o_orderkey, o_orderdate FROM orders WHERE o_custkey = :tenant AND o_totalprice > :least ORDER BY o_orderdate DESC, o_orderkey LIMIT 10", {"tenant": int, "least": float}),
+    "parties_by_segment": Question("How many customers do we know, and of what kind are they?", "SELECT p.segment, count(*) AS how_many FROM party p WHERE p.tenant_id = :tenant GROUP BY p.segment ORDER BY how_many DESC, p.segment LIMIT 25", {}),
+    "status_spread": Question("Which states are our orders in?", "SELECT f.status, count(*) AS orders, max(f.price) AS largest FROM fact f WHERE f.tenant_id = :tenant GROUP BY f.status ORDER BY orders DESC, f.status LIMIT :limit", _LIMIT),
+    "parties_with_status": Question("Which customers have orders in a particular state?", "SELECT p.name, f.id AS order_id FROM fact f JOIN party p ON p.tenant_id = f.tenant_id AND p.id = f.party_id WHERE f.tenant_id = :tenant AND f.status ILIKE concat('%', :term, '%') ORDER BY p.name, f.id LIMIT :limit", {"term": str, **_LIMIT}),
+    "work_queue": Question("What is the queue doing, how much work is pending or failed?", "SELECT l.kind, count(*) AS leads, count_if(l.failed) AS failed FROM lead l WHERE l.tenant_id = :tenant GROUP BY l.kind ORDER BY leads DESC, l.kind LIMIT :limit", _LIMIT),
+    "newest_facts": Question("What did we learn most recently?", "SELECT f.id, f.created_at, f.status FROM fact f WHERE f.tenant_id = :tenant ORDER BY f.created_at DESC, f.id LIMIT :limit", _LIMIT),
+    "facts_without_builder": Question("Which orders come from no builder?", "SELECT f.id FROM fact f LEFT JOIN party p ON p.id = f.party_id AND p.tenant_id = :tenant AND p.segment = 'BUILDING' WHERE f.tenant_id = :tenant AND p.id IS NULL ORDER BY f.id LIMIT :limit", _LIMIT),
 }
 
 
-def ask(spark: SparkSession, sf_dir: str, key: str, **slots: object) -> DataFrame:
-    """A question of the catalogue with its slots; slots are typed and bound, never pasted."""
-    sql, kinds = QUESTIONS[key]
-    if slots.keys() != kinds.keys():
-        raise ValueError(f"{key} takes {sorted(kinds)}")
-    prove_scoped(spark, sql, "o_custkey")
-    name = re.search(r"FROM (\w+)", sql)[1]
-    return spark.sql(sql.replace(f"FROM {name}", "FROM {source}"), args={k: kinds[k](v) for k, v in slots.items()}, source=table(spark, sf_dir, name))
+def tenant_views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The tables that questions read, each with its tenant."""
+    tenant = lambda c: (F.col(c) % 25).cast("long").alias("tenant_id")
+    return {
+        "party": table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), tenant("c_custkey"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment")),
+        "fact": table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), tenant("o_custkey"), F.col("o_custkey").alias("party_id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), F.col("o_orderdate").alias("created_at")),
+        "lead": table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), tenant("user_id"), F.col("event_type").alias("kind"), (F.col("value") > 90).alias("failed")),
+    }
+
+
+def ask(spark: SparkSession, sf_dir: str, key: str, tenant: int, **slots: object) -> DataFrame:
+    """A question of the catalogue for one tenant; it is proved before it runs, and slots are typed and bound, never pasted."""
+    q = QUESTIONS[key]
+    if slots.keys() != q.slots.keys():
+        raise ValueError(f"{key} takes {sorted(q.slots)}")
+    prove_scoped(spark, q.sql)
+    views = tenant_views(spark, sf_dir)
+    named = re.sub(r"\b(FROM|JOIN) (\w+)", r"\1 {\2}", q.sql)
+    used = {n: views[n] for n in re.findall(r"\b(?:FROM|JOIN) (\w+)", q.sql)}
+    return spark.sql(named, args={"tenant": int(tenant)} | {k: q.slots[k](v) for k, v in slots.items()}, **used)
+
+
+def nearest_question(text: str) -> str | None:
+    """The question that shares most words with a text, by share of its own words; None if it shares none but common ones."""
+    common = set("a an and are by do does for have how in is it many most much no of or our that the they to we what which with who".split())
+    words = lambda t: set(re.findall("[a-z]+", t.lower())) - common
+    asked = words(text)
+    best = max(QUESTIONS, key=lambda k: (len(asked & words(QUESTIONS[k].asks)) / len(words(QUESTIONS[k].asks)), k))
+    return best if asked & words(QUESTIONS[best].asks) else None
+
+
+# Statements and whether each is scoped to tenant 7.
+TRIES = (
+    ("SELECT * FROM fact WHERE tenant_id = 7", True),
+    ("SELECT * FROM fact", False),
+    ("SELECT * FROM fact WHERE tenant_id = 8", False),
+    ("SELECT * FROM fact WHERE tenant_id = coalesce(tenant_id, 7)", False),
+    ("SELECT * FROM fact WHERE tenant_id IS NOT NULL", False),
+    ("SELECT * FROM fact f JOIN party p ON f.party_id = p.id AND f.tenant_id = p.tenant_id WHERE f.tenant_id = 7", True),
+    ("SELECT * FROM fact f JOIN party p ON f.party_id = p.id WHERE f.tenant_id = 7", False),
+    ("SELECT * FROM fact f, party p WHERE f.tenant_id = 7 AND p.tenant_id = f.tenant_id", True),
+    ("SELECT * FROM fact f, party p WHERE f.tenant_id = 7", False),
+    ("SELECT * FROM fact f LEFT JOIN party p ON f.party_id = p.id AND f.tenant_id = 7 AND p.tenant_id = 7", False),
+    ("SELECT * FROM fact f LEFT JOIN party p ON f.party_id = p.id AND p.tenant_id = 7 WHERE f.tenant_id = 7", True),
+    ("SELECT * FROM fact f LEFT JOIN party p ON f.party_id = p.id AND p.tenant_id = f.tenant_id WHERE f.tenant_id = 7", True),
+    ("SELECT * FROM fact f RIGHT JOIN party p ON f.party_id = p.id AND f.tenant_id = p.tenant_id WHERE p.tenant_id = 7", True),
+    ("SELECT * FROM fact f RIGHT JOIN party p ON f.party_id = p.id AND p.tenant_id = 7 WHERE f.tenant_id = 7", False),
+    ("SELECT * FROM fact f FULL JOIN party p ON f.tenant_id = 7 AND p.tenant_id = 7", False),
+    ("SELECT * FROM fact f LEFT ANTI JOIN party p ON f.tenant_id = 7 AND p.tenant_id = 7", False),
+    ("SELECT * FROM fact WHERE tenant_id = 7 OR 1 = 1", False),
+    ("SELECT * FROM fact WHERE NOT tenant_id = 7", False),
+    ("SELECT * FROM fact f WHERE f.tenant_id = 7 AND EXISTS (SELECT 1 FROM party p WHERE p.id = f.party_id)", False),
+    ("SELECT * FROM fact f WHERE f.tenant_id = 7 AND EXISTS (SELECT 1 FROM party p WHERE p.id = f.party_id AND p.tenant_id = 7)", True),
+    ("SELECT * FROM (SELECT * FROM fact WHERE tenant_id = 7) x", True),
+    ("SELECT * FROM (SELECT * FROM fact) x WHERE x.tenant_id = 7", False),
+    ("SELECT 1 FROM fact WHERE tenant_id = 7 UNION ALL SELECT 2 FROM fact", False),
+    ("WITH x AS (SELECT * FROM fact) SELECT * FROM x WHERE tenant_id = 7", False),
+    ("SELECT * FROM fact WHERE tenant_id = 7 -- AND", False),
+    ("SELECT * FROM fact WHERE tenant_id = 7 AND id = '6f9619ff-8b86-d011-b42d-00c04fc964ff'", False),
+    ("DELETE FROM fact WHERE tenant_id = 7", False),
+)
+
+
+@query("g01_scope_proofs", "SELECT unnest([" + ", ".join("'" + t.replace("'", "''") + "'" for t, _ in TRIES) + "]) AS statement, unnest([" + ", ".join(str(ok).upper() for _, ok in TRIES) + "]) AS scoped")
+def scope_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def scoped(sql: str) -> bool:
+        try:
+            prove_scoped(spark, sql, tenant=7)
+        except Unscoped:
+            return False
+        return True
 
+    return spark.createDataFrame([(s, scoped(s)) for s, _ in TRIES], "statement string, scoped boolean")
 
-@query("g01_scope_proofs")
-def scope_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tries = [
-        "SELECT * FROM fact WHERE tenant_id = 'a'", "SELECT * FROM fact", "SELECT * FROM fact f JOIN party p ON f.party_id = p.id AND f.tenant_id = p.tenant_id WHERE f.tenant_id = 'a'",
-        "SELECT * FROM fact WHERE tenant_id = 'a' OR 1 = 1", "SELECT * FROM fact f WHERE f.tenant_id = 'a' AND EXISTS (SELECT 1 FROM party p WHERE p.id = f.party_id)",
-        "SELECT 1 FROM fact WHERE tenant_id = 'a' UNION ALL SELECT 2 FROM fact",
-    ]
 
-    def verdict(sql: str) -> str:
-        try:
-            prove_scoped(spark, sql)
-        except Unscoped as e:
-            return f"refused: {e}"
-        return "scoped"
+_VIEWS = "WITH party AS (SELECT c_custkey AS id, c_custkey % 25 AS tenant_id, c_name AS name, c_mktsegment AS segment FROM customer), fact AS (SELECT o_orderkey AS id, o_custkey % 25 AS tenant_id, o_custkey AS party_id, o_orderstatus AS status, o_totalprice AS price, o_orderdate AS created_at FROM orders), lead AS (SELECT event_id AS id, user_id % 25 AS tenant_id, event_type AS kind, value > 90 AS failed FROM events) "
+
+
+def _as_sql(key: str, tenant: int, **slots: object) -> str:
+    sql = QUESTIONS[key].sql
+    for k, v in {"tenant": tenant, **slots}.items():
+        sql = sql.replace(f":{k}", f"'{v}'" if isinstance(v, str) else str(v))
+    return _VIEWS + sql
+
+
+for _key, _slots in (("parties_by_segment", {}), ("status_spread", {"limit": 5}), ("parties_with_status", {"term": "p", "limit": 40}), ("work_queue", {"limit": 9}), ("newest_facts", {"limit": 30}), ("facts_without_builder", {"limit": 30})):
+    query(f"g03_{_key}", _as_sql(_key, 7, **_slots))(lambda spark, sf_dir, key=_key, slots=_slots: ask(spark, sf_dir, key, tenant=7, **slots))
+
 
-    return spark.createDataFrame([(s, verdict(s)) for s in tries], "statement string, verdict string")
+@query("g05_table_functions", """WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages), t AS (SELECT page_id, href, lower(href || ' ' || substr(href, 2)) AS w FROM a)
+SELECT page_id, count(*) AS links, min(href) AS first_link, CAST(count(*) FILTER (WHERE regexp_matches(w, 'contact|get-in-touch|getintouch|reach-us|submi(ssion|t)|staff|(music|program)-?director|about|people|team|music|programming|dj|connect|info')) AS BIGINT) AS contactish FROM t GROUP BY 1""")
+def table_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registered table and scalar functions in a SQL statement."""
+    F_SQL.register(spark)
+    sql = "SELECT p.page_id, count(*) AS links, min(a.href) AS first_link, count(contact_tier(a.href, a.text)) AS contactish FROM {pages} p, LATERAL anchors(p.html) a GROUP BY p.page_id"
+    return spark.sql(sql, pages=table(spark, sf_dir, "pages"))
 
 
-@query("g03_question", "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_custkey = 7 GROUP BY 1")
-def question(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ask(spark, sf_dir, "orders_by_status", tenant=7)
+@query("g05_aggregate_function", "SELECT user_id, round(least(1.0, exp(avg(ln((value + 1) / 200)))), 6) AS confidence FROM events GROUP BY 1")
+def aggregate_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registered aggregate in a SQL statement."""
+    F_SQL.register(spark)
+    return spark.sql("SELECT user_id, round(geometric_confidence(ln((value + 1) / 200)), 6) AS confidence FROM {events} GROUP BY user_id", events=table(spark, sf_dir, "events"))
 
 
 @query("g04_public_projection", "SELECT c_custkey AS id, c_name AS name, n_name AS country, coalesce(k, 0) AS contacts FROM customer JOIN nation ON n_nationkey = c_nationkey LEFT JOIN (SELECT o_custkey, count(*) AS k FROM orders GROUP BY 1) ON o_custkey = c_custkey")
