@@ -14,6 +14,7 @@ from wrenfold.functions import html, signal
 from wrenfold.functions import text as T
 from wrenfold.operators import contacts, retrieval, scalars
 from wrenfold.operators.media import candidate_rules, clip_frames
+from wrenfold.sources import files
 
 RATE = 8000
 
@@ -236,3 +237,31 @@ def test_kinds_in_order(spark):  # noqa: ANN001, ANN201
     names = ["Calvary Chapel University", "Baptist College", "Regents of Radio Ministries", "Lutheran High School", "Bible Church", "Friends of Radio", "Acme", None]
     got = [r[0] for r in spark.createDataFrame(pd.DataFrame({"k": range(len(names)), "n": names}), "k long, n string").orderBy("k").select(scalars.licensee_kind(F.col("n"))).collect()]
     assert got == ["network", "college", "college", "school_k12", "religious", "community", "other", "other"]
+
+
+def test_rolling_captions():  # noqa: ANN201
+    vtt = """WEBVTT
+
+00:00:01.000 --> 00:00:04.560 align:start position:0%
+ 
+So, I<00:00:01.500><c> uh</c><00:00:02.000><c> see</c>
+
+00:00:04.560 --> 00:00:04.570
+So, I uh see
+ 
+
+00:00:04.570 --> 00:00:07.190
+So, I uh see
+&gt;&gt; come<00:00:04.720><c> in</c><00:00:04.960><c> here</c>
+
+00:09.000 --> 00:10.000
+<b>plain</b> words
+at last
+
+00:10.000 --> 00:11.000
+at last
+once more
+"""
+    assert files.timed_words(vtt) == [
+        (1.0, "So,"), (1.0, "I"), (1.5, "uh"), (2.0, "see"), (4.57, ">>"), (4.57, "come"), (4.72, "in"), (4.96, "here"), (9.0, "plain"), (9.0, "words"), (9.0, "at"), (9.0, "last"), (10.0, "once"), (10.0, "more"),
+    ]

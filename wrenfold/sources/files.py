@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from html import unescape
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -166,20 +168,50 @@ def clip_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return yaml_documents(_yaml_files(spark, sf_dir)).select("path", F.col("fields")["source_meta.duration_ms"].cast("long").alias("duration_ms"), "error")
 
 
+_CUE = re.compile(r"(?:(\d+):)?(\d{1,2}):(\d{2}[.,]\d{3})\s*-->\s*(?:(\d+):)?(\d{1,2}):(\d{2}[.,]\d{3})[^\n]*")
+_STAMP = re.compile(r"<(?:(\d+):)?(\d{1,2}):(\d{2}\.\d{3})>")
+_TAG = re.compile(r"<[^>]*>")
+#: Characters of captions in which a line is looked for that only rolls on.
+ROLL = 400
+
+
+def _seconds(h: str | None, m: str, s: str) -> float:
+    return int(h or 0) * 3600 + int(m) * 60 + float(s.replace(",", "."))
+
+
 def timed_words(text: str) -> list[tuple[float, str]]:
-    """Words of a caption file with their times; a line that only rolls on from the cue before is left out."""
+    """Words of a caption file with their times.
+
+    Captions roll: a cue shows again what the one before said.  Where a cue has words with times of their own, only
+    those lines are new (a line's head has the cue's time); else a line counts if it wasn't shown just before.  Cues of
+    less than 50 ms only space others.
+    """
     out: list[tuple[float, str]] = []
-    at, before = 0.0, ""
-    for line in text.splitlines():
-        line = line.strip()
-        if "-->" in line:
-            h, m, s = line.split("-->")[0].strip().split(":")
-            at = int(h) * 3600 + int(m) * 60 + float(s)
-        elif line and not line.startswith(("WEBVTT", "NOTE")) and not line.isdigit():
-            if line != before:
-                out += [(at, w) for w in line.split()]
-            before = line
-    return out
+    shown = " "
+
+    def say(at: float, words: list[str]) -> None:
+        nonlocal shown
+        out.extend((at, w) for w in words)
+        said = " ".join(words)
+        shown = (shown + said + " ")[-max(ROLL, len(said) + 2) :] if words else shown
+
+    for block in unescape(text.replace("\r\n", "\n").replace("\r", "\n")).split("\n\n"):
+        cue = _CUE.search(block)
+        if not cue:
+            continue
+        begin, end = _seconds(*cue.groups()[:3]), _seconds(*cue.groups()[3:])
+        lines = block[cue.end() :].splitlines()
+        timed = [line for line in lines if _STAMP.search(line)]
+        for line in timed:
+            head, *rest = _STAMP.split(line)
+            say(begin, _TAG.sub(" ", head).split())
+            for k in range(0, len(rest), 4):
+                say(_seconds(*rest[k : k + 3]), _TAG.sub(" ", rest[k + 3]).split())
+        for line in lines if not timed and end - begin >= 0.05 else ():
+            words = _TAG.sub(" ", line).split()
+            if words and f" {' '.join(words)} " not in shown:
+                say(begin, words)
+    return sorted(out, key=lambda x: x[0])
 
 
 @query("s16_captions")
