@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 
 from wrenfold.functions import html, signal
 from wrenfold.functions import text as T
-from wrenfold.operators import contacts, retrieval, scalars
-from wrenfold.operators.media import candidate_rules, clip_frames
+from wrenfold.operators import contacts, extras, retrieval, scalars
+from wrenfold.operators.media import alignment, candidate_rules, clip_frames
 from wrenfold.sources import files
 
 RATE = 8000
@@ -265,3 +266,63 @@ once more
     assert files.timed_words(vtt) == [
         (1.0, "So,"), (1.0, "I"), (1.5, "uh"), (2.0, "see"), (4.57, ">>"), (4.57, "come"), (4.72, "in"), (4.96, "here"), (9.0, "plain"), (9.0, "words"), (9.0, "at"), (9.0, "last"), (10.0, "once"), (10.0, "more"),
     ]
+
+
+def test_spectral_kernels():  # noqa: ANN201
+    t = np.arange(4 * RATE) / RATE
+    low, high = np.sin(2 * np.pi * 200 * t).astype(np.float32), np.sin(2 * np.pi * 3000 * t).astype(np.float32)
+    assert abs(signal.centroid(low, RATE) - 200) < 30
+    assert abs(signal.centroid(high, RATE) - 3000) < 30
+    assert signal.centroid(np.zeros(RATE, np.float32), RATE) == 0.0
+    bars = signal.bar_features(0.5 * high, RATE, 120, 0.0)
+    assert len(bars) == 2
+    assert all(abs(b["rms_db"] - 20 * math.log10(0.5 / math.sqrt(2))) < 0.1 for b in bars)
+    assert all(b["air"] + b["presence"] > 0.99 > 0.01 > b["low"] for b in bars)
+
+
+def test_onsets_and_comb():  # noqa: ANN201
+    x = signal.click_train(120, 10, RATE, 0.256)
+    env = signal.onset_envelope(x)
+    peaks = {round(k * 0.5 + 0.256, 1) for k in range(19)}
+    top = np.argsort(env)[-15:] * signal.HOP / RATE
+    assert all(min(abs(t + 0.128 - p) for p in peaks) < 0.13 for t in top)  # a frame of 0.128 s ends behind its click
+    assert abs(env.mean()) < 1e-6
+    grid = np.array([90.0, 100.0, 110.0, 120.0, 130.0])
+    score, phase = signal.comb(env, RATE, grid)
+    assert grid[score.argmax()] == 120.0
+    assert min(abs(phase[3] % 0.5 - 0.256 + d) for d in (-0.5, 0.0, 0.5)) < 0.13
+    assert (signal.onset_envelope(np.zeros(RATE, np.float32)) == 0).all()
+
+
+def test_sequences_never_cost_more():  # noqa: ANN201
+    levels, target = np.array([5.0, 1.0, 3.0, 3.0, 2.0, 4.0]), np.linspace(1, 5, 6)
+    order, cost = signal.order_sequence(levels, target)
+    assert sorted(order) == list(range(6))
+    best = min((((levels[list(o)] - target) ** 2).sum() + 0.5 * (np.diff(levels[list(o)]) == 0).sum() for o in itertools.permutations(range(6))))
+    assert abs(cost - best) < 1e-9
+
+
+def test_settings_merge():  # noqa: ANN201
+    base = {"a": {"x": 1, "y": [1, 2]}, "b": 2, "c": {"k": 1}}
+    assert extras.merged_settings(base, {"a": {"y": [3], "z": 0}, "c": 5, "d": None}) == {"a": {"x": 1, "y": [3], "z": 0}, "b": 2, "c": 5, "d": None}
+    assert base["a"]["y"] == [1, 2]
+
+
+def test_alignment_blocks(spark, tmp_path):  # noqa: ANN001, ANN201
+    rows = [(1, 0, "a b c d"), (1, 1, "x b c y d"), (1, 2, None), (2, 0, "z")]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert sorted(tuple(r) for r in alignment(spark, str(tmp_path)).collect()) == [(1, 1, 1, 1, 2), (1, 1, 3, 4, 1)]
+
+
+def test_profiles(spark):  # noqa: ANN001, ANN201
+    rows = [(1, "KX", "KX plays jazz.  Every day! " + "y" * 500 + ". Ask KX?"), (2, "n", None), (3, "q", "One. Two.")]
+    got = {r.k: r.profile for r in extras.composed(spark.createDataFrame(rows, "k int, name string, body string")).collect()}
+    assert got == {1: "plays jazz. Every day! Ask ?", 2: None, 3: "One. Two."}
+
+
+def test_hashed_embeddings_are_unit_vectors(spark, tmp_path):  # noqa: ANN001, ANN201
+    spark.createDataFrame([(1, "one two three"), (2, "one two three"), (3, "Other words")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: np.array(r.embedding) for r in retrieval.hashed_embeddings(spark, str(tmp_path)).collect()}
+    assert (got[1] == got[2]).all()
+    assert all(abs(np.linalg.norm(v) - 1) < 1e-6 and len(v) == 64 for v in got.values())
+    assert not (got[1] == got[3]).all()

@@ -73,7 +73,7 @@ def scout_paste(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scout_lines(table(spark, sf_dir, "events").select(F.when(k % 7 == 0, F.concat(F.lit("# "), line)).otherwise(line).alias("line")))[0]
 
 
-@query("s12_mail")
+@query("s12_mail", r"""SELECT '<' || CAST(conv_id AS VARCHAR) || '.' || CAST(turn AS VARCHAR) || '>' AS message_id, 'a@x.example' AS sender, 're' AS subject, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS body FROM conversations""")
 def mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages of the conversations, written as mail and read back."""
     c = table(spark, sf_dir, "conversations").select(F.concat(F.lit("From: a@x.example\r\nMessage-ID: <"), F.col("conv_id").cast("string"), F.lit("."), F.col("turn").cast("string"), F.lit(">\r\nSubject: re\r\nContent-Type: text/plain; charset=utf-8\r\n\r\n"), F.coalesce("text", F.lit(""))).cast("binary").alias("content"))
@@ -158,14 +158,14 @@ def _yaml_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.concat(F.lit("tenants/t/clip/"), F.col("p_partkey").cast("string"), F.lit(".yaml")).alias("path"), F.when(F.col("p_partkey") % 50 == 0, "no key here").otherwise(body).alias("value"))
 
 
-@query("s14_document_listing")
+@query("s14_document_listing", "SELECT 'tenants/t/clip/' || CAST(p_partkey AS VARCHAR) || '.yaml' AS path, CAST(p_partkey AS VARCHAR) AS id FROM part WHERE p_partkey % 50 <> 0")
 def document_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return yaml_documents(_yaml_files(spark, sf_dir)).filter("error IS NULL").select("path", F.col("fields")["id"].alias("id"))
 
 
-@query("s15_clip_descriptors")
+@query("s15_clip_descriptors", "SELECT 'tenants/t/clip/' || CAST(p_partkey AS VARCHAR) || '.yaml' AS path, CASE WHEN p_partkey % 50 <> 0 THEN CAST(p_size AS BIGINT) * 1000 END AS duration_ms, CASE WHEN p_partkey % 50 <> 0 THEN p_brand END AS rights, p_partkey % 50 = 0 AS unreadable FROM part")
 def clip_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return yaml_documents(_yaml_files(spark, sf_dir)).select("path", F.col("fields")["source_meta.duration_ms"].cast("long").alias("duration_ms"), "error")
+    return yaml_documents(_yaml_files(spark, sf_dir)).select("path", F.col("fields")["source_meta.duration_ms"].cast("long").alias("duration_ms"), F.col("fields")["rights.source"].alias("rights"), F.col("error").isNotNull().alias("unreadable"))
 
 
 _CUE = re.compile(r"(?:(\d+):)?(\d{1,2}):(\d{2}[.,]\d{3})\s*-->\s*(?:(\d+):)?(\d{1,2}):(\d{2}[.,]\d{3})[^\n]*")

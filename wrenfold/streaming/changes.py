@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wrenfold.functions.rows import table
-from wrenfold.operators.workflow import parsed_changes, raw_changes, wakes
+from wrenfold.operators.workflow import _CH, _WAKE, parsed_changes, raw_changes, wakes
 from wrenfold.registry import query
 
 
@@ -45,7 +45,7 @@ def once_only(sent_path: str, send: Callable[[DataFrame], None], key: str = "eve
     return handle
 
 
-def wake_counts(changes: DataFrame, window: str = "1 day", late: str = "2 hours") -> DataFrame:
+def wake_counts(changes: DataFrame, window: str = "5 minutes", late: str = "2 hours") -> DataFrame:
     """Wakes per window of event time; later rows than the watermark allows are dropped by it."""
     rows = wakes(parsed_changes(changes)).withColumn("at", F.timestamp_micros(F.col("updated").cast("long"))).withWatermark("at", late)
     return rows.groupBy(F.window("at", window), "wake").agg(F.count(F.lit(1)).alias("n"))
@@ -61,8 +61,9 @@ def stream_wakes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(name)
 
 
-@query("e04_heartbeat_windows")
+@query("e04_heartbeat_windows", f"SELECT epoch_us(ts) // 300000000 * 300 AS began_s, {_WAKE} AS wake, count(*) AS n FROM ({_CH}) WHERE verdict = 'event' AND {_WAKE} IS NOT NULL GROUP BY 1, 2")
 def heartbeat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wakes in windows of five minutes, the interval of heartbeats."""
     name = f"beats_{uuid.uuid4().hex}"
     wake_counts(change_stream(spark, sf_dir)).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(F.col("window.start").alias("began"), "wake", "n")
+    return spark.table(name).select(F.unix_seconds("window.start").alias("began_s"), "wake", "n")
