@@ -42,7 +42,7 @@ ROWS = corpus()
 @pytest.fixture(scope="module")
 def docs(spark):  # noqa: ANN001, ANN201
     """With columns whose names the operators use inside."""
-    names = ["shard", "grp", "salt", "part", "copies", "_id", "_grp", "rank", "_row", "length", "held_out", "score"]
+    names = ["shard", "grp", "salt", "part", "copies", "_id", "_grp", "rank", "_row", "length", "held_out", "score", "bin", "payload", "kept", "gram", "rid", "root", "y", "id", "t", "least", "_copies", "_stays", "_salt", "stays", "n_words", "size"]
     return spark.createDataFrame([(*r, *["q"] * len(names)) for r in ROWS], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
 
 
@@ -172,11 +172,26 @@ def test_substring_dedup(docs, empty, monkeypatch, shard_bytes, hot):  # noqa: A
     assert rows_of(suffixdedup.dedup_substrings(empty)) == []
 
 
-def test_cut_documents(docs):  # noqa: ANN001, ANN201
+def brute_cut(rows, width):  # noqa: ANN001, ANN201
+    """What is left of each text; of a character that a cut splits nothing is."""
+    count = collections.Counter(b[k : k + width] for _, t in rows for b in [(t or "").encode()] for k in range(len(b) - width + 1))
+    out = []
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for k in range(len(b) - width + 1):
+            if count[b[k : k + width]] > 1:
+                gone[k : k + width] = b"\1" * width
+        out.append((i, bytes(x for x, g in zip(b, gone, strict=True) if not g).decode(errors="ignore") if any(gone) else t))
+    return sorted(out, key=repr)
+
+
+def test_cut_documents(docs, empty):  # noqa: ANN001, ANN201
     out = suffixdedup.cut_documents(docs)
     assert out.columns == docs.columns
-    assert out.count() == len(ROWS)
-    assert {r.doc_id: r.text for r in out.collect()}[503] == "a b"
+    assert rows_of(out.select("doc_id", "text")) == brute_cut(ROWS, 200)
+    assert {tuple(r)[2:] for r in out.collect()} == {tuple(r)[2:] for r in docs.collect()}
+    assert suffixdedup.cut_documents(empty).count() == 0
 
 
 def test_suffix_array_and_merge():  # noqa: ANN201
@@ -466,6 +481,21 @@ def test_added_tokens(spark):  # noqa: ANN001, ANN201
     assert got[0] == [64, 220, 50256, 275, 1]
 
 
+def demuxed(raw: bytes) -> dict[int, bytes]:
+    """The payloads of each logical stream, page by page, with nothing checked; the header packet of a stream is left out."""
+    packets: dict[int, list[bytes]] = collections.defaultdict(lambda: [b""])
+    at = 0
+    while at < len(raw):
+        serial, n = int.from_bytes(raw[at + 14 : at + 18], "little"), raw[at + 26]
+        lacing, at = raw[at + 27 : at + 27 + n], at + 27 + n
+        for size in lacing:
+            packets[serial][-1] += raw[at : at + size]
+            at += size
+            if size < 255:
+                packets[serial].append(b"")
+    return {s: b"".join(p[1:]) for s, p in packets.items()}
+
+
 def test_ogg(spark, docs, empty):  # noqa: ANN001, ANN201
     def slow(data: bytes) -> int:
         c = 0
@@ -495,6 +525,18 @@ def test_ogg(spark, docs, empty):  # noqa: ANN001, ANN201
     rows = {r.doc_id: r for r in ogg.media_columns(docs, with_media=True).collect()}
     assert (rows[500].payload_bytes, rows[500].n_bytes, rows[500].media_sha256) == (64, 0, rows[501].media_sha256)
     assert rows[505].payload_sha256 == hashlib.sha256(b"x" * 3000 + bytes(8)).hexdigest()
+    for i, t in ROWS:
+        raw = (t or "").encode()
+        payload = raw + bytes((-len(raw) % 64) or (0 if raw else 64))
+        r = rows[i] if i is not None and [x for x, _ in ROWS].count(i) == 1 else None
+        if r:
+            media = bytes(r.media)
+            assert demuxed(media)[ogg.SAMPLES] == payload
+            assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+            assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+            told = dict(x.split("=") for x in r.feature.split(";"))
+            assert int(told["samples"]) == len(payload)
+            assert int(told["mean_milli"]) == sum(payload) * 1000 // len(payload)
     assert ogg.media_columns(empty).count() == 0
     files = spark.createDataFrame([("a", bytearray(rows[505].media)), ("b", bytearray(b"junk")), ("c", None), ("d", bytearray())], "path string, content binary")
     read = ogg.read_media(files).collect()
@@ -528,7 +570,7 @@ def test_toxicity(spark, docs, empty):  # noqa: ANN001, ANN201
     assert 0 <= scores[500] == scores[501] <= 1
     assert toxicity.classify(empty, lab).count() == 0
     none = toxicity.classify(docs, lab.limit(0)).collect()
-    assert {r.score for r in none} == {0.5}
+    assert {(r.score, r.predicted) for r in none} == {(0.25, 0)}  # nothing was learnt, so nothing is toxic
     kept = toxicity.score_documents(docs, toxicity.train(d, lab), keep=True)
     assert kept.columns == docs.columns
 

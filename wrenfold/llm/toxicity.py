@@ -19,8 +19,8 @@ features among these: at most ``sample`` rows of ``most_features`` numbers, howe
 Scoring runs over all documents, whole texts, in one pass.
 
 Cases: null and empty texts get the score of a text without features; labels that are null are ignored and
-of several labels of an id the largest counts; with no labelled rows, or one class only, the score is the
-smoothed share of toxic rows; repeated documents score alike; extra columns are ignored; an empty table
+of several labels of an id the largest counts; with one class only, the score is the smoothed share of toxic
+rows, and with no labelled rows 0.25, so nothing is called toxic; repeated documents score alike; extra columns are ignored; an empty table
 gives an empty result.
 """
 
@@ -169,7 +169,7 @@ def fit(known: np.ndarray, y: np.ndarray, present: list[np.ndarray], pairs: tupl
     ``present`` and ``pairs`` (what either mention adds): positions in the sorted feature numbers ``known``; ``swaps``: feature numbers that go and come, and how often.
     """
     n, k = len(y), len(known)
-    base = (y.sum() + 1) / (n + 2)
+    base = (y.sum() + 0.5) / (n + 2)
     (col, doc), (first, at1), (second, at2) = _csr(present), _csr(pairs[0]), _csr(pairs[1])
     added, adds = np.concatenate((first, second)), np.concatenate((at1, at2 + n))
     weight = np.array([*swaps.values()], np.float64) / max(1, sum(swaps.values()))
@@ -222,7 +222,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8192, most_features:
     rows = docs.select("doc_id", "text").join(F.broadcast(one), F.col("doc_id") == F.col("id"))  # at most ``sample`` rows are broadcast
     rows = stored(rows.groupBy("id", "y").agg(F.min("text").alias("text")).select("y", "text").mapInArrow(_sampled, SAMPLED), "labelled")
     total, toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
-    base = (toxic + 1) / (total + 2)
+    base = (toxic + 0.5) / (total + 2)
     if toxic in (0, total):
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(base / (1 - base))))
     counts = rows.select("y", F.explode("present").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("a"))
