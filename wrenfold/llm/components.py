@@ -2,6 +2,8 @@
 
 Each step is a group-by and a join on nodes; tables between steps lie in the shared folder, and only a
 count and a checksum reach the driver.
+
+Cases: links to oneself and repeated or reversed links count once; a null end makes no link; no links, no rows.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from wrenfold.llm.storage import spent, stored
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label) for every node of the undirected links (two long columns): the least node of its component.  No links give no rows."""
-    edges = links.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).filter("hi <> lo").distinct()
+    edges = links.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).filter("hi <> lo").distinct()  # drops null ends
     edges, state, path = _kept(edges)
     while state[0]:
         # large star: larger neighbours of a node point to the least one around it

@@ -10,6 +10,10 @@ one byte per key.  At most ``1 << FAN_BITS`` ranges are told apart at a time.  W
 lists of neighbouring shards first meet at a carrier of a coarse range, which sends on each key once; so a
 shard sends a bounded number of rows on each level, and rows grow as the input does.  A hot key costs its
 owner one entry per shard, or per carrier.
+
+Cases: a null text is the empty text; copies of a text are counted whatever their ids, and rows without an id by
+themselves; a text of many MB is a shard of its own (a text isn't split); an empty table has no shards and no
+questions; columns other than doc_id and text are left behind.
 """
 
 from __future__ import annotations
