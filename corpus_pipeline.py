@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; between stages the
 documents are written as Parquet and read again.  All but the last return the columns of ``documents``.
+
+Cases: a null or empty text passes every filter as it is and is packed as its closing id; of equal rows that link one
+stays, also where they repeat an id or have none; without labelled rows nothing is toxic; without a benchmark nothing
+is contaminated; other columns of whatever name are carried along up to packing; an empty table gives no rows.
 """
 
 from __future__ import annotations
