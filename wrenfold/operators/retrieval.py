@@ -20,13 +20,11 @@ def dot(a: str, b: str) -> str:
     return f"aggregate(zip_with({a}, {b}, (x, y) -> cast(x AS double) * cast(y AS double)), cast(0 AS double), (s, v) -> s + v)"
 
 
-def cosine_distance(a: str, b: str) -> Column:
-    return F.expr(f"1 - {dot(a, b)} / (sqrt({dot(a, a)}) * sqrt({dot(b, b)}))")
-
-
 def distances(vectors: DataFrame, target: DataFrame) -> DataFrame:
     """``vectors`` with their distance from the one row of ``target``."""
-    return vectors.crossJoin(F.broadcast(target.select(F.col("embedding").alias("q")))).withColumn("d", F.round(cosine_distance("embedding", "q"), 6)).drop("q")  # one row is broadcast
+    one = target.select(F.col("embedding").alias("q"), F.expr(f"sqrt({dot('embedding', 'embedding')})").alias("_norm"))  # one row is broadcast, with its norm
+    distance = F.expr(f"1 - {dot('embedding', 'q')} / (sqrt({dot('embedding', 'embedding')}) * _norm)")
+    return vectors.crossJoin(F.broadcast(one)).withColumn("d", F.round(distance, 6)).drop("q", "_norm")
 
 
 def shortlist(vectors: DataFrame, target: DataFrame, k: int, prefix: Column | None = None) -> DataFrame:
