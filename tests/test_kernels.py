@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from wrenfold.functions import html, signal
 from wrenfold.functions import text as T
-from wrenfold.operators import contacts, extras, retrieval, scalars
+from wrenfold.operators import contacts, extras, filters, retrieval, scalars
 from wrenfold.operators.media import alignment, candidate_rules, clip_frames
 from wrenfold.sources import files
 
@@ -326,3 +326,20 @@ def test_hashed_embeddings_are_unit_vectors(spark, tmp_path):  # noqa: ANN001, A
     assert (got[1] == got[2]).all()
     assert all(abs(np.linalg.norm(v) - 1) < 1e-6 and len(v) == 64 for v in got.values())
     assert not (got[1] == got[3]).all()
+
+
+def test_landing_zone(spark, tmp_path):  # noqa: ANN001, ANN201
+    for state, band, line in (("GA", "FM", "|W1"), ("GA", "AM", "|W2"), ("TX", "FM", "|K1")):
+        folder = tmp_path / f"state={state}" / f"band={band}"
+        folder.mkdir(parents=True)
+        (folder / "feed.txt").write_text(f"{line}\nx|y")
+    found = filters.landed_feed(spark, str(tmp_path), "GA", "FM")
+    assert sorted(r.line for r in found.collect()) == ["x|y", "|W1"]
+    assert len(found.inputFiles()) == 3
+    assert "PartitionFilters: [isnotnull" in found._jdf.queryExecution().toString()
+
+
+def test_feed_heads(spark):  # noqa: ANN001, ANN201
+    xml = "<rss><title>\n Größe </title><itunes:owner>\n<itunes:name>n</itunes:name><itunes:email> a@b.example </itunes:email></itunes:owner>" + "ü" * 50
+    rows = spark.createDataFrame([("a", bytearray(xml.encode())), ("b", bytearray()), ("c", None)], "url string, content binary")
+    assert sorted(map(tuple, filters.feed_heads(rows, len(xml.encode()) - 1).collect()), key=repr) == [("a", "Größe", "a@b.example", True), ("b", "", "", False), ("c", None, None, None)]

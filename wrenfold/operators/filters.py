@@ -67,6 +67,33 @@ def alias_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.coalesce("p0", "p1", "p2").alias("found_id"), F.coalesce("l0", "l1", "l2").alias("lang"))
 
 
+def landed_feed(spark: SparkSession, root: str, state: str, band: str) -> DataFrame:
+    """The lines of one jurisdiction and band of a landing zone (``root/state=XX/band=YY/``); other folders aren't read."""
+    rows = spark.read.schema("value string, state string, band string").text(root)
+    return rows.filter((F.col("state") == state) & (F.col("band") == band)).select(F.col("value").alias("line"))
+
+
+#: What a feed tells of itself stands in its first bytes; a feed of every episode ever isn't read to its end.
+FEED_BYTES = 2_000_000
+
+
+def feed_heads(files: DataFrame, cap: int = FEED_BYTES) -> DataFrame:
+    """(url, title, owner_email, cut) from the first ``cap`` bytes of landed feeds (url, content)."""
+    head = F.substring("content", 1, cap).cast("string")
+    owner = F.regexp_extract(head, r"(?s)<itunes:owner>(.*?)</itunes:owner>", 1)
+    found = lambda c, tag: F.trim(F.regexp_extract(c, rf"(?s)<{tag}>\s*([^<]*)", 1))
+    return files.select("url", found(head, "title").alias("title"), found(owner, "itunes:email").alias("owner_email"), (F.octet_length("content") > cap).alias("cut"))
+
+
+@query("s08_feed_heads", r"""WITH x AS (SELECT doc_id, '<rss><channel>' || chr(10) || '<title> Show ' || CAST(doc_id AS VARCHAR) || '</title><description>' || replace(text, '<', ' ') || '</description><itunes:owner><itunes:email>o' || CAST(doc_id AS VARCHAR) || '@x.example</itunes:email></itunes:owner></channel></rss>' AS xml FROM documents),
+h AS (SELECT doc_id, strlen(xml) > 2000 AS cut, strpos(xml, '<itunes:owner>') AS at, strlen(xml[1:strpos(xml, '</itunes:owner>') - 1]) + 15 AS seen FROM x)
+SELECT 'feed:' || CAST(doc_id AS VARCHAR) AS url, 'Show ' || CAST(doc_id AS VARCHAR) AS title, CASE WHEN seen <= 2000 THEN 'o' || CAST(doc_id AS VARCHAR) || '@x.example' ELSE '' END AS owner_email, cut FROM h""")
+def feed_head_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id").cast("string")
+    xml = F.concat(F.lit("<rss><channel>\n<title> Show "), k, F.lit("</title><description>"), F.replace("text", F.lit("<"), F.lit(" ")), F.lit("</description><itunes:owner><itunes:email>o"), k, F.lit("@x.example</itunes:email></itunes:owner></channel></rss>"))
+    return feed_heads(table(spark, sf_dir, "documents").select(F.concat(F.lit("feed:"), k).alias("url"), xml.cast("binary").alias("content")), 2000)
+
+
 @query("s09_allowed_contact_pages", """
 SELECT page_id, url FROM (SELECT page_id, url, row_number() OVER (PARTITION BY regexp_extract(url, '^[a-z]+://([^/]+)', 1) ORDER BY page_id) AS rn, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host FROM pages)
 WHERE rn <= 3 AND host IN (SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/]+)', 1) FROM pages WHERE page_id % 2 = 0)""")
