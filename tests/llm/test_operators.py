@@ -394,7 +394,6 @@ def test_packing(docs, empty):  # noqa: ANN001, ANN201
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     ids = [(i, [*tok.encode(t or "", add_special_tokens=False).ids, 1]) for i, t in ROWS]
     got = packing.pack(docs, path, capacity=128, keep_ids=True).collect()
     whole = collections.Counter()
@@ -415,6 +414,12 @@ def test_packing(docs, empty):  # noqa: ANN001, ANN201
         copies = sum(1 for j, x in ids if (j, len(x)) == (i, n))
         whole[i] += copies
         assert sum(len(p) for _, p in parts) == 4 * n * copies
+        if copies == 1:
+            at = 0
+            for start, piece in sorted(parts):
+                assert start == at
+                at += len(piece) // 4
+            assert b"".join(p for _, p in sorted(parts)) == next(np.array(x, "<u4").tobytes() for j, x in ids if (j, len(x)) == (i, n))
     assert sum(whole.values()) == len(ROWS)
     assert packing.pack(empty, path).count() == 0
 
