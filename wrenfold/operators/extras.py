@@ -23,7 +23,8 @@ def composed(rows: DataFrame, cap: int = 400) -> DataFrame:
     return rows.withColumn("profile", grown)
 
 
-@query("x17_profile")
+@query("x17_profile", r"""SELECT doc_id, list_reduce(list_prepend('', list_filter(list_transform(string_split(regexp_replace(replace(text, source, ''), '([.!?])\s+', '\1' || chr(31), 'g'), chr(31)), lambda s: trim(regexp_replace(s, '\s+', ' ', 'g'))), lambda s: length(s) BETWEEN 1 AND 400)),
+lambda acc, s: CASE WHEN acc = '' THEN s WHEN length(acc) + length(s) + 1 <= 400 THEN acc || ' ' || s ELSE acc END) AS profile FROM documents""")
 def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return composed(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("name"), F.col("text").alias("body"))).select("doc_id", "profile")
 

@@ -327,7 +327,10 @@ def hook_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidate_rules(rows).select("event_id", "loop_ok", "on_bar_line", "whole_bars", "in_plateau", "balance", F.row_number().over(order).alias("rank"))
 
 
-@query("u04_edge_union")
+@query("u04_edge_union", f"""WITH RECURSIVE b AS ({_BARS}), z AS (SELECT track_id, bar, energy, (energy - avg(energy) OVER (PARTITION BY track_id)) / nullif(stddev_pop(energy) OVER (PARTITION BY track_id), 0) AS z, avg(energy) OVER (PARTITION BY track_id) + 1.5 * stddev_pop(energy) OVER (PARTITION BY track_id) AS cut FROM b),
+e AS (SELECT DISTINCT track_id, bar FROM (SELECT track_id, bar, energy > cut OR coalesce(abs(z - lag(z) OVER (PARTITION BY track_id ORDER BY bar)) > 1.5, FALSE) AS edge FROM z) WHERE edge),
+p AS (SELECT track_id, bar, min(bar) OVER (PARTITION BY track_id ORDER BY bar RANGE BETWEEN 2 FOLLOWING AND UNBOUNDED FOLLOWING) AS following FROM e), r(track_id, bar) AS (SELECT track_id, min(bar) FROM e GROUP BY 1 UNION ALL SELECT p.track_id, p.following FROM r JOIN p ON p.track_id = r.track_id AND p.bar = r.bar WHERE p.following IS NOT NULL)
+SELECT track_id, CAST(bar AS INTEGER) AS bar FROM r""")
 def edge_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"track_id": pdf["track_id"].iloc[0], "bar": signal.merge_edges(pdf["bar"].tolist())})

@@ -299,7 +299,12 @@ def timed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", gaps.alias("words"))
 
 
-@query("x26_line_confidence")
+@query("x26_line_confidence", rf"""WITH RECURSIVE a AS (SELECT conv_id, turn, regexp_extract_all(text, '[^ \t\n\x0b\f\r]+') AS ws FROM conversations),
+w AS (SELECT conv_id, turn, word, k, k * 400 + k // 9 * 900 AS s, CASE WHEN k % 5 <> 0 THEN -(k % 7) / 10.0::DOUBLE END AS p FROM (SELECT conv_id, turn, unnest(ws) AS word, unnest(range(0, len(ws))) AS k FROM a)),
+r(conv_id, turn, k, line, text, s, e, p, n, closed) AS (SELECT conv_id, turn, k, 0, word, s, s + 300, coalesce(p, 0.0), CASE WHEN p IS NULL THEN 0 ELSE 1 END, regexp_matches(word, '{CLOSERS}') FROM w WHERE k = 0
+UNION ALL SELECT conv_id, turn, k, line + CASE WHEN cut THEN 1 ELSE 0 END, CASE WHEN cut THEN word ELSE text || ' ' || word END, CASE WHEN cut THEN s ELSE began END, s + 300, CASE WHEN cut THEN 0.0 ELSE sofar END + coalesce(p, 0.0), CASE WHEN cut THEN 0 ELSE n END + CASE WHEN p IS NULL THEN 0 ELSE 1 END, CASE WHEN cut THEN FALSE ELSE closed END OR regexp_matches(word, '{CLOSERS}')
+FROM (SELECT w.*, r.line, r.text, r.s AS began, r.p AS sofar, r.n, r.closed, r.closed OR w.s - r.e > 700 OR length(r.text) + 1 + length(w.word) > 42 AS cut FROM r JOIN w ON w.conv_id = r.conv_id AND w.turn = r.turn AND w.k = r.k + 1))
+SELECT conv_id, turn, line, text, CAST(s AS BIGINT) AS start_ms, CAST(e AS BIGINT) AS end_ms, CASE WHEN n > 0 THEN round(least(1.0, exp(p / n)), 6) END AS confidence FROM r QUALIFY row_number() OVER (PARTITION BY conv_id, turn, line ORDER BY k DESC) = 1""")
 def line_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every turn with the geometric mean of their words' probabilities."""
     rows = timed_turns(spark, sf_dir).select("conv_id", "turn", F.posexplode(grouped_lines(F.col("words"))).alias("line", "x"))

@@ -214,7 +214,8 @@ def timed_words(text: str) -> list[tuple[float, str]]:
     return sorted(out, key=lambda x: x[0])
 
 
-@query("s16_captions")
+@query("s16_captions", r"""WITH w AS (SELECT conv_id, turn, unnest(ws) AS word, generate_subscripts(ws, 1) AS k FROM (SELECT conv_id, turn, regexp_extract_all(text, '\S+') AS ws FROM conversations))
+SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) - 1 AS INTEGER) AS idx, CAST(turn AS DOUBLE) AS start_s, word FROM w""")
 def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as rolling cues: each line is shown once more in the cue after it."""
     w = Window.partitionBy("conv_id").orderBy("turn")
