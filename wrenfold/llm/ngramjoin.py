@@ -165,12 +165,18 @@ def jaccard_links(sets: DataFrame, percent: int, fragments: int = 8) -> DataFram
     labels = components(found)
     rest = heads.filter("size > 2").join(labels.toDF("rid", "label"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
     mixed = rest.groupBy("gram").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.count(F.lit(1)).alias("members")).filter("l1 <> l2").select("gram", "members")
-    rest = stored(spread_join(rest.select("gram", "rid", "n", "at", "label"), stored(mixed, "mixed"), ["gram"], "members").withColumn("salts", F.expr("cast(members div 256 + 1 AS int)")).drop("members"), "rest")
+    mixed = stored(mixed, "mixed")
+    if mixed.isEmpty():  # no group is left in several components
+        return labels
+    rest = stored(spread_join(rest.select("gram", "rid", "n", "at", "label"), mixed, ["gram"], "members").withColumn("salts", F.expr("cast(members div 256 + 1 AS int)")).drop("members"), "rest")
     x = rest.withColumn("salt", F.expr("cast(pmod(xxhash64(rid), salts) AS int)")).drop("salts").toDF("gram", "a", "na", "ata", "la", "salt")
     y = rest.withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)"))).drop("salts").toDF("gram", "b", "nb", "atb", "lb", "salt")
     meet = x.join(y, ["gram", "salt"]).filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _room(percent, "na", "ata", "nb", "atb"))
     second = stored(meet.select("a", "na", "b", "nb").distinct().join(first, ["a", "b"], "left_anti").select("a", "na", "b", "nb"), "pairs")
-    return components(found.union(links(second)))
+    if second.isEmpty():
+        return labels
+    more = stored(links(second), "links")
+    return labels if more.isEmpty() else components(found.union(more))
 
 
 def _texts(docs: DataFrame, width: int, percent: int, shard_bytes: int) -> DataFrame:

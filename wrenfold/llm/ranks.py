@@ -29,10 +29,13 @@ def spread_join(rows: DataFrame, side: DataFrame, key: list[str], size: str, how
     """``rows`` joined with ``side``, which has one row per key and, as ``size``, how many ``rows`` have it.
 
     A key with more than 1/4096 of all rows (and more than ``least``) is dealt over so many salts that none has
-    more; only these keys, fewer than 4096, are broadcast.  ``side`` is read three times, so it should be stored.
+    more; only these keys, fewer than 4096, are broadcast.  ``side`` is read three times, so it should be stored;
+    without such keys a plain join gives the same rows.
     """
-    total = side.agg(F.sum(size)).first()[0] or 0
-    most = max(least, total >> 12)
+    total, top = side.agg(F.sum(size), F.max(size)).first()
+    most = max(least, (total or 0) >> 12)
+    if (top or 0) <= most:
+        return rows.join(side, key, how)
     salts, salt = free_name(rows, "_salts"), free_name(rows, "_salt")
     hot = side.filter(F.col(size) > most).select(*key, F.expr(f"cast({size} div {most} + 1 AS int)").alias(salts))
     spread = rows.join(F.broadcast(hot), key, "left")
