@@ -260,6 +260,20 @@ def test_ngram_join(docs, shard_bytes):  # noqa: ANN001, ANN201
     assert rows_of(ngramjoin.near_duplicates(docs, shard_bytes=shard_bytes)) == brute_links(ROWS, 5, 80)
 
 
+def test_hot_ngrams_and_many_copies(spark):  # noqa: ANN001, ANN201
+    """A passage that many unlinked texts share, texts of little else, and one text with thousands of copies."""
+    shared = "all of these words stand in every text of this kind and say nothing"
+    rows = [(k, f"{shared} " + " ".join(f"own{k}x{j}" for j in range(40))) for k in range(300)]
+    rows += [(1000 + k, f"{shared} a{k}") for k in range(40)]  # each links with most of the others
+    copies = spark.range(5000).selectExpr("id + 10000 AS doc_id", "'one text that is here again and again and again for thousands of rows' AS text")
+    got = {r.doc_id: r.component_id for r in ngramjoin.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").union(copies), 4, 85, 20_000).collect()}
+    want = {i: c for i, _, c in brute_links(rows)}
+    assert {i: c for i, c in got.items() if i < 10000} == want
+    assert len({want[k] for k in range(300)}) == 300
+    assert {c for i, c in got.items() if i >= 10000} == {10000}
+    assert len(got) == len(rows) + 5000
+
+
 def test_ngram_join_empty_and_keep_one(docs, empty):  # noqa: ANN001, ANN201
     assert rows_of(ngramjoin.near_duplicates(empty)) == []
     kept = ngramjoin.keep_one(docs)
