@@ -99,5 +99,5 @@ def test_all_packed(stages):  # noqa: ANN001, ANN201
 def test_registered():  # noqa: ANN201
     names = __spark_entry__.queries()
     assert "pipeline" in names
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 14)}
     assert zlib.crc32(b"0") % 5 in range(5)

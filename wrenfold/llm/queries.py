@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wrenfold.llm import decontaminate, licenses, merkle, ngramjoin, ogg, packing, prefixtrie, sharding, suffixdedup, toxicity, windowdedup
+from wrenfold.llm import crossparse, decontaminate, kdclusters, licenses, merkle, ngramjoin, ogg, packing, prefixtrie, sharding, suffixdedup, toxicity, windowdedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,11 +60,19 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtrie.trie(_table(spark, sf_dir, "conversations"))
 
 
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdclusters.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crossparse.predict_languages(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_benchmark_decontamination, op2_warc_fixity, op3_best_fit_sharding, op4_best_fit_packing, op5_suffix_array_dedup,
-        op6_ogg_media, op7_ngram_jaccard_join, op8_toxicity, op9_license_rules, op10_window_dedup, op11_conversation_trie,
+        op6_ogg_media, op7_ngram_jaccard_join, op8_toxicity, op9_license_rules, op10_window_dedup, op11_conversation_trie, op12_centroid_clusters, op13_language_id,
     )
 }
 
@@ -76,6 +84,7 @@ ORACLE_SQL: dict[str, str] = {
     "op2_warc_fixity": merkle.oracle_sql(),
     "op9_license_rules": licenses.oracle_sql(),
     "op11_conversation_trie": prefixtrie.oracle_sql(),
+    "op12_centroid_clusters": kdclusters.oracle_sql(),
     "op1_benchmark_decontamination": f"""
 WITH item AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_ASCII_LOWER}, {_ALNUM}) AS ws FROM benchmark),
 win AS (SELECT DISTINCT item, least(len(ws), 13) AS n, array_to_string(ws[i:i + least(len(ws), 13) - 1], ' ') AS w

@@ -72,6 +72,15 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return raw, offsets - offsets[0]
 
 
+def as_text(column: pa.Array) -> pa.Array:
+    """A string column with UTF-8 only: what isn't is read as U+FFFD.  Parquet and casts can bring other bytes into a string."""
+    try:
+        column.validate(full=True)
+    except pa.ArrowInvalid:
+        return pa.array([x if x is None else x.decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()], pa.string())
+    return column
+
+
 def blocks(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``limit`` bytes each; a longer row is a range of its own."""
     lo, n = 0, len(offsets) - 1
