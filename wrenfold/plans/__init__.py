@@ -1,6 +1,6 @@
 """Importing this package registers all queries."""
 
-from wrenfold.operators import aggregates, contacts, costs, extras, filters, formats, joins, media, retrieval, scalars, workflow  # noqa: F401
+from wrenfold.operators import aggregates, contacts, costs, extras, filters, formats, joins, media, retrieval, scalars, vectorindex, workflow  # noqa: F401
 from wrenfold.plans import guards, quality  # noqa: F401
 from wrenfold.sources import files  # noqa: F401
 from wrenfold.streaming import changes  # noqa: F401
