@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import re
 from collections.abc import Callable, Iterator
 
@@ -9,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wrenfold.functions.rows import count_if, newest, table
+from wrenfold.functions.rows import AS_OF, count_if, newest, table
 from wrenfold.operators.joins import supersession_heads, walk_up
 from wrenfold.registry import query
 
@@ -270,10 +271,30 @@ def history(changes: DataFrame, keys: list[str], at: str, order: list[str]) -> D
     return changes.withColumn("valid_from", F.col(at)).withColumn("valid_to", F.lead(at).over(w))
 
 
-def as_of_rows(versions: DataFrame, instant: str, floor: str = RETENTION_FLOOR) -> DataFrame:
-    if as_of_literal(instant) < floor:
+_SECONDS = {"s": 1, "m": 60, "h": 3600}
+
+
+def wall_micros(instant: str, now: str = AS_OF) -> int:
+    """Microseconds since 1970 of a validated instant: a date or timestamp, the wall time (nanoseconds) of a logical clock, or a time before ``now``."""
+    since = lambda text: (datetime.datetime.fromisoformat(text) - datetime.datetime(1970, 1, 1)) // datetime.timedelta(microseconds=1)
+    text = as_of_literal(instant)
+    if text.startswith("-"):
+        return since(now) - int(text[1:-1]) * _SECONDS[text[-1]] * 1_000_000
+    if _HLC.fullmatch(text):
+        return int(text.split(".")[0]) // 1000
+    try:
+        return since(text)
+    except ValueError:
+        raise ValueError(f"not an instant: {instant!r}") from None
+
+
+def as_of_rows(versions: DataFrame, instant: str, floor: str = RETENTION_FLOOR, now: str = AS_OF) -> DataFrame:
+    """The versions valid at an instant of any shape.  Versions begin at whole microseconds with counter 0, so of a logical clock its wall time decides."""
+    micros = wall_micros(instant, now)
+    if micros < wall_micros(floor):
         raise HistoryExpired(instant)
-    at = F.lit(instant).cast("timestamp_ntz")
+    latest = (datetime.datetime.max - datetime.datetime(1970, 1, 1)) // datetime.timedelta(microseconds=1)
+    at = F.lit(str(datetime.datetime(1970, 1, 1) + datetime.timedelta(microseconds=min(micros, latest)))).cast("timestamp_ntz")
     return versions.filter((F.col("valid_from") <= at) & (F.col("valid_to").isNull() | (at < F.col("valid_to"))))
 
 
