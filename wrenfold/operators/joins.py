@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wrenfold.functions.rows import count_if, newest, table
 from wrenfold.registry import query
+from wrenfold.sources.folders import work_folder
 
 
 @query("j01_four_way_chain", """SELECT r_name, n_name, count(*) AS lines, sum(CAST(l_quantity AS DECIMAL(18,2))) AS qty FROM lineitem JOIN orders ON l_orderkey = o_orderkey
@@ -121,12 +122,13 @@ def ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def walk_up(edges: DataFrame, hops: int) -> DataFrame:
-    """(id, ancestor, hop) over edges (id, parent) with one parent at most: lists of ancestors double with each self join, so eight hops take three."""
+    """(id, ancestor, hop) over edges (id, parent) with one parent at most: lists of ancestors double with each self join, so eight hops take three.  Lines that have ended meet on a hash of their own, not on one null key."""
     up = edges.select("id", F.array("parent").alias("line"))
     have = 1
     while have < hops:
         more = up.toDF("next", "more")
-        up = up.join(more, F.try_element_at("line", F.lit(have)) == F.col("next"), "left")
+        top = F.try_element_at("line", F.lit(have))
+        up = up.withColumns({"_open": top.isNotNull(), "_top": F.coalesce(top, F.xxhash64("id"))}).join(more, F.col("_open") & (F.col("_top") == F.col("next")), "left")
         up = up.select("id", F.concat("line", F.coalesce("more", F.array().cast("array<bigint>"))).alias("line"))
         have *= 2
     return up.select("id", F.posexplode(F.slice("line", 1, hops)).alias("hop", "ancestor")).select("id", "ancestor", (F.col("hop") + 1).alias("hop"))
@@ -267,3 +269,68 @@ def enrich_or_create(spark: SparkSession, sf_dir: str) -> DataFrame:
 def country_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     live = newest(table(spark, sf_dir, "orders").filter("o_orderstatus = 'O'"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")]).select("o_custkey", F.col("o_orderpriority").alias("p"))
     return table(spark, sf_dir, "customer").join(live, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.when(F.col("c_acctbal") > 8000, "US").otherwise(F.col("p")).alias("country"))
+
+
+def walk_basis(claims: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
+    """(claim, basis, hop, weight): all that ``claims`` (claim) rest on over edges (claim, basis, weight) of any shape, at most ``hops`` away.
+
+    ``hop`` is the shortest way and ``weight`` the best product of weights over any way of at most ``hops``.  A round
+    follows the edges of the pairs that the round before found or bettered; a pair that brings nothing better ends, so
+    cycles end (weights lie between 0 and 1; a null one counts as 1), and rows stay one per pair however many ways lead
+    there.  A claim is no basis of itself; edges with a null end lead nowhere.  Rounds are written to the shared folder.
+    """
+    spark = edges.sparkSession
+    e = edges.dropna(subset=["claim", "basis"]).groupBy("claim", "basis").agg(F.max(F.coalesce("weight", F.lit(1.0))).alias("weight")).filter("claim <> basis")
+    onward = e.toDF("_at", "basis", "_more")
+    near = claims.select("claim").dropna().distinct().join(e, "claim").select("claim", "basis", F.lit(1).alias("hop"), "weight", F.lit(True).alias("fresh"))
+    found = _written(spark, near)
+    for hop in range(2, hops + 1):
+        front = found.filter("fresh").select("claim", F.col("basis").alias("_at"), "weight")
+        step = front.join(onward, "_at").select("claim", "basis", (F.col("weight") * F.col("_more")).alias("weight")).filter("claim <> basis")
+        step = step.groupBy("claim", "basis").agg(F.max("weight").alias("_new")).select("claim", "basis", F.lit(hop).alias("hop"), F.lit(None).cast("double").alias("_old"), "_new")
+        both = found.select("claim", "basis", "hop", F.col("weight").alias("_old"), F.lit(None).cast("double").alias("_new")).union(step)
+        best = both.groupBy("claim", "basis").agg(F.min("hop").alias("hop"), F.max("_old").alias("_old"), F.max("_new").alias("_new"))
+        found = _written(spark, best.select("claim", "basis", "hop", F.greatest("_old", "_new").alias("weight"), F.coalesce(F.col("_new") > F.coalesce("_old", F.lit(-1.0)), F.lit(False)).alias("fresh")))
+        if found.filter("fresh").isEmpty():
+            break
+    return found.drop("fresh")
+
+
+def _written(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    path = work_folder(spark, "walk")
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+#: Events rest on two earlier ones, with weights; a few early ones also on a later one, which closes cycles.
+_RESTS = """(SELECT event_id AS claim, event_id // 2 AS basis, 1 - (event_id % 9) / 10.0 AS weight FROM events WHERE event_id // 2 > 0 UNION ALL SELECT event_id, event_id // 3, 0.5 + (event_id % 5) / 10.0 FROM events WHERE event_id // 3 > 0
+UNION ALL SELECT event_id, event_id * 6, 0.9 FROM events WHERE event_id BETWEEN 1 AND 9)"""
+
+
+def _rests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id")
+    e = table(spark, sf_dir, "events")
+    halves = e.select(k.alias("claim"), F.expr("event_id div 2").alias("basis"), (1 - (k % 9) / F.lit(10.0)).alias("weight")).filter("basis > 0")
+    thirds = e.select(k.alias("claim"), F.expr("event_id div 3").alias("basis"), (0.5 + (k % 5) / F.lit(10.0)).alias("weight")).filter("basis > 0")
+    return halves.union(thirds).union(e.filter(k.between(1, 9)).select(k, k * 6, F.lit(0.9)))
+
+
+def _graph_sql(claims: str, edges: str, hops: int) -> str:
+    return f"""WITH RECURSIVE g AS (SELECT claim, basis, max(CAST(weight AS DOUBLE)) AS weight FROM {edges} GROUP BY 1, 2),
+w(claim, basis, hop, weight) AS (SELECT claim, basis, 1, weight FROM g WHERE claim IN ({claims}) UNION SELECT w.claim, g.basis, w.hop + 1, w.weight * g.weight FROM w JOIN g ON g.claim = w.basis WHERE w.hop < {hops})
+SELECT claim, basis, CAST(min(hop) AS INTEGER) AS hop, round(max(weight), 9) AS weight FROM w WHERE claim <> basis GROUP BY 1, 2"""
+
+
+@query("p03_basis_graph", _graph_sql("SELECT event_id FROM events WHERE event_type = 'purchase'", _RESTS, 8))
+def basis_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that each purchase rests on, over several bases an event, with cycles."""
+    claims = table(spark, sf_dir, "events").filter("event_type = 'purchase'").select(F.col("event_id").alias("claim"))
+    return walk_basis(claims, _rests(spark, sf_dir), 8).withColumn("weight", F.round("weight", 9))
+
+
+@query("p03_dependents_graph", _graph_sql("SELECT event_id FROM events WHERE event_type = 'signup'", f"(SELECT basis AS claim, claim AS basis, weight FROM {_RESTS})", 3).replace("SELECT claim, basis, CAST", "SELECT claim AS fact, basis AS dependent, CAST"))
+def dependents_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What rests on each signup, three steps down: what a change of it would make stale."""
+    facts = table(spark, sf_dir, "events").filter("event_type = 'signup'").select(F.col("event_id").alias("claim"))
+    down = _rests(spark, sf_dir).select(F.col("basis").alias("claim"), F.col("claim").alias("basis"), "weight")
+    return walk_basis(facts, down, 3).select(F.col("claim").alias("fact"), F.col("basis").alias("dependent"), "hop", F.round("weight", 9).alias("weight"))
