@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,8 @@ from pyspark.sql import functions as F
 from wrenfold.functions.rows import table
 from wrenfold.operators.workflow import _CH, _WAKE, parsed_changes, raw_changes, wakes
 from wrenfold.registry import query
+from wrenfold.sources.folders import work_folder
+from wrenfold.streaming.stateful import drained
 
 
 def change_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
@@ -54,16 +55,17 @@ def wake_counts(changes: DataFrame, window: str = "5 minutes", late: str = "2 ho
 @query("e05_stream_wakes", """SELECT wake, count(*) AS n FROM (SELECT CASE WHEN topic = 'thread' AND state = 'terminal' THEN 'learn' WHEN topic = 'outbox' AND state = 'pending' THEN 'send' WHEN topic = 'lead' AND state = 'pending' THEN 'work' END AS wake FROM
 (SELECT event_id, CASE event_type WHEN 'view' THEN 'lead' WHEN 'click' THEN 'thread' WHEN 'purchase' THEN 'outbox' END AS topic, CASE WHEN value > 50 THEN 'terminal' ELSE 'pending' END AS state FROM events WHERE event_id % 11 <> 0 AND event_id % 13 <> 0)) WHERE wake IS NOT NULL GROUP BY 1""")
 def stream_wakes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stream drained once into memory, counted by kind of wake."""
-    name = f"wakes_{uuid.uuid4().hex}"
-    counts = wakes(parsed_changes(change_stream(spark, sf_dir))).groupBy("wake").agg(F.count(F.lit(1)).alias("n"))
-    counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    """The stream drained once: its wakes land by micro-batch and are counted by kind."""
+    found = wakes(parsed_changes(change_stream(spark, sf_dir)))
+    out = work_folder(spark, "wakes")
+    drained(found, out, work_folder(spark, "wakes-state"), "append")
+    return spark.read.schema(found.schema).parquet(out).groupBy("wake").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("e04_heartbeat_windows", f"SELECT epoch_us(ts) // 300000000 * 300 AS began_s, {_WAKE} AS wake, count(*) AS n FROM ({_CH}) WHERE verdict = 'event' AND {_WAKE} IS NOT NULL GROUP BY 1, 2")
 def heartbeat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wakes in windows of five minutes, the interval of heartbeats."""
-    name = f"beats_{uuid.uuid4().hex}"
-    wake_counts(change_stream(spark, sf_dir)).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(F.unix_seconds("window.start").alias("began_s"), "wake", "n")
+    """Wakes in windows of five minutes, the interval of heartbeats.  Each micro-batch lands the windows that it changed; of a window the last, and highest, count holds, and the watermark ends its state."""
+    found = wake_counts(change_stream(spark, sf_dir)).select(F.unix_seconds("window.start").alias("began_s"), "wake", "n")
+    out = work_folder(spark, "beats")
+    drained(found, out, work_folder(spark, "beats-state"))
+    return spark.read.schema(found.schema).parquet(out).groupBy("began_s", "wake").agg(F.max("n").alias("n"))
