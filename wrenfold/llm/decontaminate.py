@@ -14,7 +14,7 @@ more than one part, whatever the benchmark's size, and every hit is verified.  A
 
 Cases: null, empty or word-less texts have no words and are never contaminated; a word-less item has no
 window; repeated item ids count once; items without an id count as one, which has no place in the digest; a
-repeated or null doc_id is judged row by row; extra columns are ignored; empty tables give no rows, or no hits.
+repeated or null doc_id is judged row by row; bytes that are not UTF-8 are parts of words (U+FFFD in a cut text); other columns, of whatever name, are ignored or carried; empty tables give no rows, or no hits.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wrenfold.llm import textops
-from wrenfold.llm.storage import free_name, stored
+from wrenfold.llm.storage import carried, free_name, stored
 
 FIELDS = [
     T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()),
@@ -121,7 +121,7 @@ def _masked(raw: bytes, spans: list[tuple[int, int]]) -> str:
     for a, b in spans:
         out.append(raw[at:a])
         at = b
-    return b"".join([*out, raw[at:]]).decode()
+    return b"".join([*out, raw[at:]]).decode("utf-8", "replace")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, part_bytes: int = 16 << 20, clean: str | None = None) -> DataFrame:
@@ -134,9 +134,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, part_b
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-size // part_bytes))
     if parts > 1:
+        if clean == "documents":
+            return carried(docs, lambda rows: _in_parts(rows, items, width, parts, clean))
         return _in_parts(docs, items, width, parts, clean)
     shared = _broadcast(items, width)
-    schema = docs.schema if clean == "documents" else T.StructType(FIELDS + [T.StructField("clean_text", T.StringType())] * (clean == "spans"))
 
     def work(batches):  # noqa: ANN001, ANN202
         windows = shared.value
@@ -144,7 +145,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, part_b
             for part, first, hit, items in _scan(batch, windows):
                 yield _judged(part, first, hit, [{windows.names[i] for i in x} for x in items], clean)
 
-    return (docs if clean == "documents" else docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(work, schema)
+    if clean == "documents":
+        return carried(docs, lambda rows: rows.mapInArrow(work, rows.schema))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, T.StructType(FIELDS + [T.StructField("clean_text", T.StringType())] * (clean == "spans")))
 
 
 def _broadcast(items: DataFrame, width: int):  # noqa: ANN202
@@ -172,13 +175,13 @@ def _judged(part: pa.RecordBatch, first: np.ndarray, hit: np.ndarray, items: lis
 
 
 def _cleaned(texts: pa.Array, hit: np.ndarray, first: np.ndarray) -> list[str | None]:
-    out = []
-    for i, text in enumerate(texts.to_pylist()):
-        flags = hit[first[i] : first[i + 1]]
-        if text is None or not flags.any():
-            out.append(text)
+    out, known = [], texts.is_valid().to_pylist()
+    data, offsets = textops.buffers(texts)
+    for i, there in enumerate(known):
+        flags, raw = hit[first[i] : first[i + 1]], data[offsets[i] : offsets[i + 1]].tobytes()
+        if not there or not flags.any():
+            out.append(raw.decode("utf-8", "replace") if there else None)
             continue
-        raw = text.encode()
         low = textops.LOWER[np.frombuffer(raw, np.uint8)]
         starts, ends, _ = textops.find_words(low, np.array([0, len(low)]), textops.ALNUM_OR_HIGH)
         edge = np.diff(np.concatenate(([0], flags.astype(np.int8), [0])))

@@ -22,7 +22,7 @@ A key that many rows share (an n-gram, a pivot, a component, a text) is dealt ov
 
 Cases: null and empty texts have n_shingles 0 and stand alone; rows that repeat a document (or an id) are
 documents of their own, linked by their texts; a null id never becomes a component's id unless no other is
-there; extra columns are ignored; an empty table gives an empty result.
+there; bytes that are not UTF-8 are parts of words; other columns, of whatever name, are ignored or carried; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from wrenfold.llm import exchange, textops
 from wrenfold.llm.components import components
 from wrenfold.llm.ranks import spread_join
-from wrenfold.llm.storage import free_name, stored, text_bytes
+from wrenfold.llm.storage import carried, free_name, stored, text_bytes
 
 SETS = "tid long, grp binary, copies long, least long, n_shingles long, s1 long, s2 long, alone int, grams array<long>"
 SET = ["n_shingles", "s1", "s2"]
@@ -207,6 +207,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, shard_by
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, shard_bytes: int = 4 << 20) -> DataFrame:
     """``docs`` with one document of each component: the one of least ``doc_id`` (of several rows with it, one); documents without words stay."""
+    return carried(docs, lambda rows: _one_of_each(rows, width, percent, shard_bytes))
+
+
+def _one_of_each(docs: DataFrame, width: int, percent: int, shard_bytes: int) -> DataFrame:
     texts = _texts(docs, width, percent, shard_bytes).filter("n_shingles > 0 AND (copies > 1 OR texts > 1)")
     grp, copies, stays, least = (free_name(docs, c) for c in ("_grp", "_copies", "_stays", "_least"))
     marks = texts.select(F.col("grp").alias(grp), F.col("copies").alias(copies), F.col("first").alias(stays), F.col("least").alias(least))

@@ -6,7 +6,7 @@ one stream; a second stream, interleaved with it, marks the seconds.
 
 Reading verifies the checksum of every page, page order and continuation flags, and raises ``OggError`` on
 damage; ``read_media`` turns that into a row with an error.  Cases: a null or empty text is 64 zero bytes;
-equal texts give equal media; null ids and repeated rows are carried along; extra columns are ignored; very
+equal texts give equal media; null ids and repeated rows are carried along; bytes that are not UTF-8 are stored as they are; extra columns are ignored; very
 long texts take as many pages as they need; an empty table gives an empty result.
 """
 
@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wrenfold.llm import textops
+
 RATE = 8000
 PACKET = 4000
 PACKETS_A_PAGE = 8
@@ -175,9 +177,10 @@ def media_columns(docs: DataFrame, with_media: bool = False) -> DataFrame:
 
     def work(batches):  # noqa: ANN001, ANN202
         for batch in batches:
+            data, offsets = textops.buffers(batch.column("text"))
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                rows = [_row((t or "").encode(), with_media) for t in part.column("text").to_pylist()]
+                rows = [_row(data[offsets[k] : offsets[k + 1]].tobytes(), with_media) for k in range(lo, lo + part.num_rows)]
                 cols = list(zip(*rows, strict=True))
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
                 names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media"]

@@ -10,7 +10,7 @@ piece finds its window by its rank among the pieces of its length.  Ranks come f
 salt), so a length that a third of all documents share is spread over many tasks.
 
 Cases: a null or empty text has only the closing id; repeated rows are packed each; null ids are packed as
-any other; extra columns are ignored; an empty table gives no pieces.
+any other; bytes that are not UTF-8 are tokenized as U+FFFD; extra columns are ignored; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -119,7 +119,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int,
 
         encoder = PieceEncoder(tokenizer_path)
         for batch in batches:
-            data, offsets = textops.buffers(batch.column("text"))
+            data, offsets = textops.buffers(textops.as_text(batch.column("text")))
             ids_ = batch.column("doc_id")
             for lo, hi in textops.blocks(offsets, BLOCK):
                 block = data[offsets[lo] : offsets[hi]]

@@ -11,7 +11,7 @@ Groups of one class are interchangeable; one finds its shard by its rank in the
 A group that is larger than a shard is cut into as few pieces as will fit (there are fewer such groups than
 shards), and ``group_cut`` marks its rows; no other group is split.  A document larger than a fixed capacity
 is an error.  Cases: a null text has no bytes and groups with the empty text; repeated
-rows and null ids are rows like any other; extra columns are ignored; an empty table gives an empty result.
+rows and null ids are rows like any other; bytes that are not UTF-8 count as they are; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +59,15 @@ def text_bytes(df: DataFrame, text: str = "text") -> int:
     return int(df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0])
 
 
+def carried(docs: DataFrame, work: Callable[[DataFrame], DataFrame], own: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """``work(docs)``, which returns the columns of ``docs``, with all columns but ``own`` under plain names of their place meanwhile: theirs may hold dots or any other signs."""
+    names, taken = docs.columns, {}
+    for name in own:  # as it is spelt, else in another case
+        found = [k for k, c in enumerate(names) if c == name] or [k for k, c in enumerate(names) if c.lower() == name]
+        taken |= {k: name for k in found[:1]}
+    return work(docs.toDF(*[taken.get(k, f"carried_{k}") for k in range(len(names))])).toDF(*names)
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """``base``, with underscores before it until no column of ``df`` is called that."""
     taken = {c.lower() for c in df.columns}

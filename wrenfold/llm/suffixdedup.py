@@ -19,7 +19,7 @@ The text is shuffled once; the three passes over it read the same exchange.  A s
 bytes for each byte of its text, so a single text of many MB needs as much; all else is bounded.
 
 Cases: a null text is empty and nothing is removed; texts shorter than ``width`` keep all bytes; repeated
-rows count as other places; null ids are carried along; extra columns are ignored; an empty table gives an
+rows count as other places; null ids are carried along; bytes that are not UTF-8 count as they are; other columns, of whatever name, are ignored or carried; an empty table gives an
 empty result.  Where a cut splits a character, ``kept`` as text drops its other bytes too.
 """
 
@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from wrenfold.llm import exchange, suffixarray, textops
 from wrenfold.llm.ranks import spread_join
-from wrenfold.llm.storage import free_name, stored, text_bytes
+from wrenfold.llm.storage import carried, free_name, stored, text_bytes
 from wrenfold.llm.textops import ranges as _gather
 
 GRAM = 32
@@ -392,6 +392,10 @@ def dedup_substrings(docs: DataFrame, width: int = 200, shard_bytes: int = 4 <<
 
 def cut_documents(docs: DataFrame, width: int = 200) -> DataFrame:
     """``docs`` with what repeats cut out of ``text``; a text that loses nothing stays as it is."""
+    return carried(docs, lambda rows: _cut(rows, width))
+
+
+def _cut(docs: DataFrame, width: int) -> DataFrame:
     grp, kept, copies = (free_name(docs, c) for c in ("_grp", "_kept", "_copies"))
     cuts = stored(repeated_bytes(docs, width, changed_text=True).select(F.col("grp").alias(grp), F.col("kept").alias(kept), F.col("copies").alias(copies)), "cuts")
     return spread_join(docs.withColumn(grp, exchange.digest()), cuts, [grp], copies, "left").withColumn("text", F.coalesce(kept, "text")).select(docs.columns)

@@ -13,14 +13,14 @@ labelled sentences, and the loss penalises what that changes:
 ``Model.report`` says how many swaps there were and how far template mentions still move scores.
 
 The model is fitted on at most ``sample`` labelled documents (those with the least hash of their id; of several
-texts of an id the least), and has at most ``most_features`` features, those whose presence tells most about the
-label.  Counts of features are made in Spark; the driver gets, for each sampled document, the positions of its
-features among these: at most ``sample`` rows of ``most_features`` numbers, however long the texts are.
+texts of an id the least); its features are all those whose presence tells at least ``least_gain`` about the label,
+2**FEATURE_BITS at the very most.  Counts of features are made in Spark; the driver gets, for each sampled document,
+the positions of its features among these: at most ``sample`` rows, however long the texts are.
 Scoring runs over all documents, whole texts, in one pass.
 
 Cases: null and empty texts get the score of a text without features; labels that are null are ignored and
 of several labels of an id the largest counts; with one class only, the score is the smoothed share of toxic
-rows, and with no labelled rows 0.25, so nothing is called toxic; repeated documents score alike; extra columns are ignored; an empty table
+rows, and with no labelled rows 0.25, so nothing is called toxic; repeated documents score alike; bytes that are not UTF-8 are parts of words; extra columns are ignored; an empty table
 gives an empty result.
 """
 
@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wrenfold.llm import textops
-from wrenfold.llm.storage import stored
+from wrenfold.llm.storage import carried, stored
 
 FEATURE_BITS = 22
 #: Bytes of a word's beginning that are a feature of their own.
@@ -115,8 +115,9 @@ SAMPLED = "y int, present array<int>, first array<int>, second array<int>, gone
 
 def _sampled(batches):  # noqa: ANN001, ANN202
     for batch in batches:
-        for y, text in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            raw = textops.LOWER[np.frombuffer((text or "").encode(), np.uint8)].tobytes()
+        data, offsets = textops.buffers(batch.column("text"))
+        for y, lo, hi in zip(batch.column("y").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            raw = textops.LOWER[data[lo:hi]].tobytes()
             pairs, present = counterfactuals(raw), _of(raw)
             first, second = template(raw, present)
             ints, blobs = pa.list_(pa.int32()), pa.list_(pa.binary())
@@ -215,7 +216,7 @@ def held_out(doc_id="doc_id"):  # noqa: ANN001, ANN201
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 8192, most_features: int = 1 << 14, least_gain: float = 12.0, **options: float) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 8192, least_gain: float = 12.0, **options: float) -> Model:
     """A model of the features whose presence tells at least a likelihood ratio of ``least_gain`` about the label, and those of identity terms."""
     one = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("t")).filter("id IS NOT NULL AND t IS NOT NULL").filter(~held_out("id"))
     one = one.groupBy("id").agg(F.max("t").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
@@ -226,7 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8192, most_features:
     if toxic in (0, total):
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(base / (1 - base))))
     counts = rows.select("y", F.explode("present").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("a"))
-    best = counts.select("f", _gain(F.col("a"), F.col("n"), toxic, total).alias("g")).filter(F.col("g") >= least_gain).orderBy(F.desc("g"), "f").limit(most_features)
+    best = counts.select("f", _gain(F.col("a"), F.col("n"), toxic, total).alias("g")).filter(F.col("g") >= least_gain)
     known = np.union1d(np.array([r.f for r in best.collect()], np.int32), IDENTITY)
 
     def positions(batches):  # noqa: ANN001, ANN202
@@ -258,7 +259,7 @@ def score_documents(docs: DataFrame, model: Model, keep: bool = False, threshold
                     yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "score": score, "predicted": pa.array((score >= threshold).astype(np.int32))})
 
     if keep:
-        return docs.mapInArrow(work, docs.schema)
+        return carried(docs, lambda rows: rows.mapInArrow(work, rows.schema))
     rows = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text")
     return rows.mapInArrow(work, "doc_id long, held_out boolean, score double, predicted int")
 

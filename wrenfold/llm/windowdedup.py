@@ -12,7 +12,8 @@ by 64-bit hashes of mixed word hashes: for n windows a false match has a chance
 
 Cases: a null or empty text has no words and hashes as the empty string; a text of fewer words than
 ``width`` has no window; null ids come first; rows that repeat an id (or have none) are documents of their own,
-ordered by the digests of their texts, and one of several equal rows comes first; extra columns are ignored; an
+ordered by the digests of their texts, and one of several equal rows comes first; bytes that are not UTF-8 are parts of
+words (U+FFFD where kept words are returned as text); extra columns are ignored; an
 empty table gives an empty result; a very long text is worked in one piece, its memory about 60 bytes per word.
 """
 
@@ -106,7 +107,7 @@ def dedup_windows(docs: DataFrame, width: int = 20, shard_bytes: int = 4 << 20,
         return pa.table({
             "grp": table["grp"], "copies": table["copies"], "least": table["least"], "n_words": np.diff(first).astype(np.int64), "n_removed": textops.per_row(gone, first),
             "kept_sha256": pa.array([hashlib.sha256(p).hexdigest() for p in parts], pa.string()), "n_intervals": textops.per_row(edge, first),
-            "kept": pa.array([bytes(p).decode() for p in parts] if with_text else [None] * len(parts), pa.string()),
+            "kept": pa.array([bytes(p).decode("utf-8", "replace") for p in parts] if with_text else [None] * len(parts), pa.string()),
         })
 
     keys = texts.groupBy("shard").applyInArrow(send, exchange.SENT)
