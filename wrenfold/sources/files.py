@@ -7,12 +7,13 @@ from collections.abc import Iterator
 from html import unescape
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wrenfold.functions import text as X
 from wrenfold.functions.rows import table
 from wrenfold.registry import query
+from wrenfold.sources.folders import work_folder
 
 # Headers that tell a statement's format.
 FORMATS = {"monthly": {"sale month", "isrc", "quantity", "earnings"}, "daily": {"sale date", "isrc", "streams", "revenue"}}
@@ -54,6 +55,69 @@ def statement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statement_lines(shown)
 
 
+def _headers(names: Column) -> Column:
+    return F.transform(names, lambda c: F.trim(F.regexp_replace(F.lower(F.translate(c, '_"', " ")), r"\s+", " ")))
+
+
+def read_statements(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(lines, quarantine) of all statement files below ``path``, whatever their formats, in one scan of their text.
+
+    A file's first line says its separator (tab, semicolon or comma, whichever cuts it most) and its format; lines have
+    one schema: file, format, isrc, territory, period_start, period_end, quantity, earnings.  Files that fit no format, or
+    several, go to quarantine whole (a row a file), single lines with an unreadable period or amount a row each: file, line, reason.
+    """
+    m = F.col("_metadata")
+    text = spark.read.option("recursiveFileLookup", True).text(path).select(m["file_path"].alias("file"), m["file_block_start"].alias("start"), F.monotonically_increasing_id().alias("nth"), F.regexp_replace("value", "^\ufeff|\r$", "").alias("line"))
+    first = text.filter("start = 0 AND trim(line) <> ''").groupBy("file").agg(F.min_by("line", "nth").alias("head"), F.min("nth").alias("head_nth"))  # a row per file
+    cells = lambda c, by: F.split(c, by)
+    by = F.element_at(F.array_sort(F.transform(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(s).alias("s")) for k, s in enumerate("\t;,")]), lambda x: F.struct((-F.size(F.split("head", x["s"]))).alias("n"), x["k"].alias("k"), x["s"].alias("s")))), 1)["s"]
+    first = first.withColumn("by", by).withColumn("names", _headers(cells(F.col("head"), F.col("by"))))
+    fits = F.filter(F.array(*[F.when(F.size(F.array_except(F.array(*map(F.lit, sorted(need))), "names")) == 0, F.lit(name)) for name, need in FORMATS.items()]), lambda x: x.isNotNull())
+    first = first.withColumn("fits", fits)
+    lost = first.filter("size(fits) <> 1").select("file", F.col("head").alias("line"), F.when(F.size("fits") == 0, "no format has these columns").otherwise(F.concat(F.lit("several formats have these columns: "), F.array_join("fits", ", "))).alias("reason"))
+    good = first.filter("size(fits) = 1").select("file", "head_nth", "by", "names", F.col("fits")[0].alias("format"))
+    rows = text.filter("trim(line) <> ''").join(good, "file").filter("nth <> head_nth")
+    # a separator inside quotes doesn't cut
+    parts = F.transform(F.split("line", F.concat(F.col("by"), F.lit('(?=(?:[^"]*"[^"]*")*[^"]*$)'))), lambda c: F.replace(F.regexp_replace(F.trim(c), '^"|"$', ""), F.lit('""'), F.lit('"')))
+    rows = rows.withColumn("at", F.map_from_arrays("names", F.slice(F.concat(parts, F.array_repeat(F.lit(None).cast("string"), F.size("names"))), F.lit(1), F.size("names"))))
+    of = lambda *names: F.coalesce(*[F.try_element_at("at", F.lit(n)) for n in names])
+    month, day = F.try_to_timestamp(of("sale month"), F.lit("yyyy-MM")).cast("date"), F.try_to_timestamp(of("sale date"), F.lit("yyyy-MM-dd")).cast("date")
+    monthly = F.col("format") == "monthly"
+    read = rows.select(
+        "file", "format", "line", X.canonical(of("isrc"), X.ISRC).alias("isrc"), X.territory(of("country", "territory")).alias("territory"), F.when(monthly, month).otherwise(day).alias("period_start"), F.when(monthly, F.last_day(month)).otherwise(day).alias("period_end"),
+        X.parse_count(of("quantity", "streams")).alias("quantity"), X.parse_amount(of("earnings", "revenue")).alias("earnings"),
+    )
+    read = read.withColumn("reason", F.when(F.col("period_start").isNull(), "unreadable period").when(F.col("earnings").isNull(), "unreadable amount"))
+    return read.filter("reason IS NULL").drop("line", "reason"), lost.unionByName(read.filter("reason IS NOT NULL").select("file", "line", "reason"))
+
+
+def _mixed_statements(spark: SparkSession, sf_dir: str) -> str:
+    """Lines as a folder of monthly files (tabs), daily files (commas, quoted), and files of no format and of both."""
+    path, k = work_folder(spark, "statements"), F.col("l_linenumber")
+    row = table(spark, sf_dir, "lineitem")
+    isrc, money = F.concat(F.lit("us-abc-"), F.lpad(F.col("l_partkey").cast("string"), 7, "0")).alias("ISRC"), F.concat(F.lit("$"), F.format_number("l_extendedprice", 2))
+    month, day, n = F.date_format("l_shipdate", "yyyy-MM"), F.date_format("l_shipdate", "yyyy-MM-dd"), F.format_number("l_quantity", 0)
+    broken = F.when(F.col("l_orderkey") % 97 == 0, "n/a").otherwise(money)
+    row.filter(k <= 3).select(month.alias("Sale Month"), isrc, F.lit("us").alias("Country"), n.alias("Quantity"), broken.alias("Earnings")).write.option("sep", "\t").option("header", True).csv(f"{path}/monthly")
+    row.filter(k.between(4, 5)).select(isrc, F.lit(" GB").alias("territory"), day.alias("sale_date"), n.alias("Streams"), money.alias("Revenue")).write.option("header", True).option("quoteAll", True).csv(f"{path}/daily")
+    row.filter(k == 6).select(isrc, money.alias("net")).write.option("header", True).csv(f"{path}/other")
+    row.filter(k == 7).select(isrc, month.alias("Sale Month"), day.alias("Sale Date"), n.alias("Quantity"), n.alias("Streams"), money.alias("Earnings"), money.alias("Revenue")).write.option("header", True).option("sep", ";").csv(f"{path}/both")
+    return path
+
+
+@query("s10_statement_folder", """SELECT CASE WHEN l_linenumber <= 3 THEN 'monthly' ELSE 'daily' END AS format, 'USABC' || lpad(CAST(l_partkey AS VARCHAR), 7, '0') AS isrc, CASE WHEN l_linenumber <= 3 THEN 'US' ELSE 'GB' END AS territory, CAST(CASE WHEN l_linenumber <= 3 THEN date_trunc('month', l_shipdate) ELSE l_shipdate END AS DATE) AS period_start,
+CAST(CASE WHEN l_linenumber <= 3 THEN last_day(l_shipdate) ELSE l_shipdate END AS DATE) AS period_end, CAST(l_quantity AS BIGINT) AS quantity, CAST(round(l_extendedprice, 2) AS DECIMAL(18,6)) AS earnings FROM lineitem WHERE l_linenumber <= 5 AND NOT (l_linenumber <= 3 AND l_orderkey % 97 = 0)""")
+def statement_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All readable lines of a folder of mixed formats."""
+    return read_statements(spark, _mixed_statements(spark, sf_dir))[0].drop("file")
+
+
+@query("s10_statement_quarantine", """SELECT 'unreadable amount' AS reason, count(*) AS n FROM lineitem WHERE l_linenumber <= 3 AND l_orderkey % 97 = 0 HAVING count(*) > 0""")
+def statement_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What can't be read, line by line; whole files are listed once each and depend on how many there are."""
+    return read_statements(spark, _mixed_statements(spark, sf_dir))[1].filter("reason LIKE 'unreadable%'").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 def scout_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good, quarantine) from ``handle|platform|sound|views|median|genre``; an empty count is unknown, not zero."""
     p = lines.filter((F.trim("line") != "") & ~F.trim("line").startswith("#")).withColumn("p", F.split("line", r"\|"))
@@ -77,24 +141,33 @@ def scout_paste(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages of the conversations, written as mail and read back."""
     c = table(spark, sf_dir, "conversations").select(F.concat(F.lit("From: a@x.example\r\nMessage-ID: <"), F.col("conv_id").cast("string"), F.lit("."), F.col("turn").cast("string"), F.lit(">\r\nSubject: re\r\nContent-Type: text/plain; charset=utf-8\r\n\r\n"), F.coalesce("text", F.lit(""))).cast("binary").alias("content"))
-    return parse_mail(c)
+    return parse_mail(c).drop("error")
 
 
 def parse_mail(files: DataFrame) -> DataFrame:
-    """message_id, sender, subject, body (text/plain preferred, else text of HTML) of RFC 822 files."""
+    """message_id, sender, subject, body (text/plain preferred, else text of HTML) of RFC 822 files, and ``error``: why a message, or its body, can't be read."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from email import message_from_bytes, policy
-
         for pdf in batches:
-            out = []
-            for raw in pdf["content"]:
-                m = message_from_bytes(raw, policy=policy.default)
-                body = m.get_body(("plain", "html"))
-                out.append((m["message-id"], m["from"], m["subject"], body.get_content().strip() if body else None))
-            yield pd.DataFrame(out, columns=["message_id", "sender", "subject", "body"])
+            yield pd.DataFrame([_message(raw) for raw in pdf["content"]], columns=["message_id", "sender", "subject", "body", "error"])
 
-    return files.mapInPandas(run, "message_id string, sender string, subject string, body string")
+    return files.select("content").mapInPandas(run, "message_id string, sender string, subject string, body string, error string")
+
+
+def _message(raw: bytes | None) -> tuple:
+    from email import message_from_bytes, policy
+
+    if raw is None or not bytes(raw).strip():
+        return None, None, None, None, "no message"
+    head: list[str | None] = [None, None, None]
+    try:
+        m = message_from_bytes(bytes(raw), policy=policy.default)
+        for k, name in enumerate(("message-id", "from", "subject")):
+            head[k] = None if m[name] is None else str(m[name])
+        body = m.get_body(("plain", "html"))
+        return *head, body.get_content().strip() if body else None, None
+    except Exception as e:  # noqa: BLE001  whatever a broken message raises is its own row's error
+        return *head, None, f"{type(e).__name__}: {e}".split("\n")[0]
 
 
 @query("s13_documents_by_hash", "SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
@@ -103,37 +176,24 @@ def documents_by_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flat_yaml(text: str) -> dict[str, str]:
-    """``key: value`` lines; nested keys are joined by dots. PyYAML takes over where it is there."""
-    try:
-        import yaml
-    except ImportError:
-        yaml = None
-    if yaml is not None:
-        out: dict[str, str] = {}
-
-        def down(prefix: str, value: object) -> None:
-            if isinstance(value, dict):
-                for k, v in value.items():
-                    down(f"{prefix}.{k}" if prefix else str(k), v)
-            else:
-                out[prefix] = "" if value is None else str(value)
-
-        loaded = yaml.safe_load(text)
-        if not isinstance(loaded, dict):
-            raise ValueError("not a mapping")
-        down("", loaded)
-        return out
-    out, path = {}, []
+    """``key: value`` lines, nested by two spaces; nested keys are joined by dots, an empty value is an empty text.  Lists, anchors and texts over several lines are no part of these descriptors and raise."""
+    out: dict[str, str] = {}
+    path: list[str] = []
     for line in text.splitlines():
-        if not line.strip() or line.lstrip().startswith("#"):
+        bare = line.strip()
+        if not bare or bare.startswith("#") or bare == "---":
             continue
-        if ":" not in line:
+        depth, odd = divmod(len(line) - len(line.lstrip(" ")), 2)
+        key, colon, value = bare.partition(":")
+        if odd or not colon or depth > len(path) or bare.startswith(("- ", "&", "*")) or (value and value[0] != " "):
             raise ValueError(f"no key: {line!r}")
-        depth = (len(line) - len(line.lstrip())) // 2
-        key, _, value = line.strip().partition(":")
-        path = [*path[:depth], key]
-        if value.strip():
-            out[".".join(path)] = value.strip().strip("\"'")
+        path = [*path[:depth], key.strip("\"'")]
+        value = value.strip()
+        if value in ("|", ">") or value.startswith(("[", "{", "&", "*")):
+            raise ValueError(f"no plain value: {line!r}")
+        out[".".join(path)] = value[1:-1] if len(value) > 1 and value[0] == value[-1] and value[0] in "\"'" else value
+        if depth:
+            out.pop(".".join(path[:-1]), None)  # its parent is a mapping
     return out
 
 

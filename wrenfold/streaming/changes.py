@@ -11,6 +11,7 @@ from wrenfold.functions.rows import table
 from wrenfold.operators.workflow import _CH, _WAKE, parsed_changes, raw_changes, wakes
 from wrenfold.registry import query
 from wrenfold.sources.folders import work_folder
+from wrenfold.sources.manifest import ManifestTable, read_table
 from wrenfold.streaming.stateful import drained
 
 
@@ -69,3 +70,16 @@ def heartbeat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = work_folder(spark, "beats")
     drained(found, out, work_folder(spark, "beats-state"))
     return spark.read.schema(found.schema).parquet(out).groupBy("began_s", "wake").agg(F.max("n").alias("n"))
+
+
+@query("q08_outbox_sink", "SELECT event_id // 4 AS message_id, event_id FROM events WHERE event_type NOT IN ('error', 'purchase')")
+def outbox_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outbox streamed into a manifest table, and once more after its checkpoint was lost: micro-batches that are there add nothing."""
+    out = work_folder(spark, "outbox")
+    spark.dataSource.register(ManifestTable)
+    schema = table(spark, sf_dir, "events").schema
+    for _ in range(2):
+        rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).filter("event_type NOT IN ('error', 'purchase')").select(F.expr("event_id div 4").alias("message_id"), "event_id")
+        sink = rows.writeStream.format("manifest_table").option("path", out).option("stream", "outbox").option("checkpointLocation", work_folder(spark, "outbox-state"))
+        sink.trigger(availableNow=True).start().awaitTermination()
+    return read_table(spark, out)
