@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from wrenfold.functions import html, signal
+from wrenfold.functions import signal, webpage
 from wrenfold.functions import text as T
 from wrenfold.operators import contacts, extras, filters, retrieval, scalars
 from wrenfold.operators.media import alignment, candidate_rules, clip_frames
@@ -114,20 +114,47 @@ def test_probe():  # noqa: ANN201
     assert signal.probe(b"\0\0\0\x18ftypisom")["container"] == "mp4"
 
 
-def test_links():  # noqa: ANN201
+def test_anchors():  # noqa: ANN201
     page = """<A HREF='/a b'>One <i>two</i>\n three</A><a class="x>y" href=/c>c<a href="&#109;ailto:x@y.z">M&amp;D</a><!-- <a href="/no">n</a> --><script>'<a href="/no">'</script><a data-href="/no">none</a><a href="/open">left open"""
-    assert html.links(page) == [("/a b", "One two three"), ("/c", "c"), ("mailto:x@y.z", "M&D"), ("", "none"), ("/open", "left open")]
-    assert html.absolute("/a b?q=%20#f", "https://s.example/x") == "https://s.example/a%20b?q=%20"
-    assert html.absolute("tel:1", "https://s.example/") == html.absolute("ftp://x/y", "https://s.example/") == ""
-    assert html.same_site("https://music.wrek.example", "https://www.wrek.example/")
-    assert not html.same_site("https://notwrek.example", "https://wrek.example/")
-    assert [html.rank(u, t) for u, t in (("https://x/Contact", ""), ("https://x/y", "Our team"), ("https://x/y", "news"))] == [0, 1, None]
-    assert html.address("mailto:A.b@X.EXAMPLE,c@d.example?subject=q") == ("email", "A.b@x.example")
-    assert html.address("mailto:nobody") is html.address("tel:12-34") is html.address("/x") is None
-    assert html.published("md@kexp.example", "write to &#109;d@KEXP.example")
-    assert html.declared("https://s.example/", "email", "a@s.example", "https://s.example/")
-    assert not html.declared("https://s.example/about", "email", "a@gmail.example", "https://s.example/")
-    assert html.declared("https://s.example/staff", "phone", "5550100200", "https://s.example/")
+    assert webpage.Page(page).anchors == [("/a b", "One two three"), ("/c", "c"), ("mailto:x@y.z", "M&D"), ("", "none"), ("/open", "left open")]
+    anchors = lambda t: [tuple(a) for a in webpage.Page(t).anchors]
+    assert anchors("<a href='/q>z") == [("/q", "z")]
+    assert anchors("<a href='/q>z</a>") == [("/q", "z")]
+    assert anchors("a < b <a href=x>1 < 2</a>") == [("x", "1 < 2")]
+    assert anchors("<!-- never closed <a href=x>y</a>") == anchors("<script> <a href=x>y</a>") == anchors(None) == []
+    assert anchors("<style>a{}</STYLE ><a href=x>y</a><!DOCTYPE html><?php ?></>") == [("x", "y")]
+    assert anchors("<a href=1 href=2 / title>t</a><abbr href=no>") == [("1", "t")]
+    assert webpage.Page("<p><TextArea rows=2>").has_box
+    assert not webpage.Page("<!-- <textarea> --><script><textarea></script></textarea>").has_box
+    assert len(webpage.Page("<a href=x>" * 20000).anchors) == 20000
+
+
+@pytest.mark.parametrize(("reference", "want"), [
+    ("/a b?q=%20#f", "https://s.example/a%20b?q=%20"), ("b/../c/./d", "https://s.example/x/c/d"), ("../../../up", "https://s.example/up"), ("?n=1", "https://s.example/x/y?n=1"), ("//o.example/é", "https://o.example/%C3%A9"), ("HTTP://O.example", "http://O.example"),
+    ("z/", "https://s.example/x/z/"), ("..", "https://s.example/"), (".", "https://s.example/x/"), ("a\nb", "https://s.example/x/ab"), ("tel:1", None), ("ftp://x/y", None), ("#top", None), ("", None), ("https:///p", None), ("javascript:alert(1)", None), ("mailto:a@b.c", None),
+])
+def test_references(reference, want):  # noqa: ANN001, ANN201
+    found = webpage.link(reference, webpage.link("https://s.example/x/y"))
+    assert (found and str(found)) == want
+
+
+def test_sites():  # noqa: ANN201
+    covers = lambda site, url: webpage.Site(site).covers(webpage.link(url))
+    assert covers("https://www.wrek.example/", "https://music.wrek.example")
+    assert covers("https://wrek.example/", "http://user@WREK.example:8080/x")
+    assert not covers("https://wrek.example", "https://notwrek.example")
+    assert not covers("https://music.wrek.example", "https://wrek.example")
+    assert not covers("", "https://wrek.example")
+    assert [webpage.tier_of(u, t) for u, t in (("https://x/Contact", ""), ("https://x/y", "Our team"), ("https://x/y", "news"), ("https://contact.example/y", ""))] == [0, 1, None, None]
+    assert webpage.contact("mailto:A.b@X.EXAMPLE,c@d.example?subject=q") == ("email", "A.b@x.example")
+    assert webpage.contact("mailto:nobody") is webpage.contact("tel:12-34") is webpage.contact("/x") is None
+    assert webpage.Page("write to &#109;d@KEXP.example").shows("md@kexp.example")
+    site = webpage.Site("https://s.example/")
+    assert site.owns("https://s.example/", "email", "a@s.example")
+    assert not site.owns("https://s.example/about", "email", "a@gmail.example")
+    assert site.owns("https://s.example/staff", "phone", "5550100200")
+    page = webpage.Page("<a href=/about>x</a><a href='/about#f'>y</a><a href=https://t.example/contact>z</a><a href=/>home</a><a href=/n>contact</a>")
+    assert list(site.contact_links(page)) == [("https://s.example/about", 1, 0), ("https://s.example/n", 0, 4)]
 
 
 def test_routes_that_no_page_has(spark):  # noqa: ANN001, ANN201

@@ -10,13 +10,13 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wrenfold.functions import html
+from wrenfold.functions import webpage
 
 
 @F.pandas_udf(T.IntegerType())
 def contact_tier(url: pd.Series, text: pd.Series) -> pd.Series:
     """0 for a contact page, 1 for a page that may hold a contact, else null."""
-    return pd.Series([html.rank(u or "", t or "") for u, t in zip(url, text, strict=True)], dtype="Int32")
+    return pd.Series([webpage.tier_of(u or "", t or "") for u, t in zip(url, text, strict=True)], dtype="Int32")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -31,7 +31,7 @@ class Anchors:
     """The links of a page, in their order."""
 
     def eval(self, page: str) -> Iterator[tuple[int, str, str]]:
-        for k, (href, text) in enumerate(html.links(page or "")):
+        for k, (href, text) in enumerate(webpage.Page(page).anchors):
             yield k, href, text
 
 

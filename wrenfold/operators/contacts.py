@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wrenfold.functions import html as H
 from wrenfold.functions.rows import table
+from wrenfold.functions.webpage import Page, Site, contact, tier_of
 from wrenfold.registry import query
 
 
@@ -24,13 +24,7 @@ def contact_pages(pages: DataFrame) -> DataFrame:
         for pdf in batches:
             out = []
             for url, page in zip(pdf["url"], pdf["html"], strict=True):
-                seen: dict[str, tuple[int, int]] = {}
-                for k, (href, text) in enumerate(H.links(page or "")):
-                    to = H.absolute(href, url or "")
-                    tier = H.rank(to, text) if to and H.same_site(to, url) and to.rstrip("/") != url.rstrip("/") else None
-                    if tier is not None:
-                        seen.setdefault(to, (tier, k))
-                out += [(url, to, *at) for to, at in seen.items()]
+                out += [(url, *found) for found in Site(url).contact_links(Page(page))]
             yield pd.DataFrame(out, columns=["url", "link", "tier", "position"])
 
     return pages.select("url", "html").mapInPandas(run, "url string, link string, tier int, position int")
@@ -45,15 +39,16 @@ def routes(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for site, step, url, page in zip(pdf["site"], pdf["step"], pdf["url"], pdf["html"], strict=True):
-                for k, (href, text) in enumerate(H.links(page or "")):
-                    found = H.address(href)
-                    if found is None or not H.declared(url, *found, site):
+            for site, step, url, html in zip(pdf["site"], pdf["step"], pdf["url"], pdf["html"], strict=True):
+                own, page = Site(site), Page(html)
+                for k, anchor in enumerate(page.anchors):
+                    found = contact(anchor.href)
+                    if found is None or not own.owns(url or "", *found):
                         continue
-                    if not H.published(found[1], page):
+                    if not page.shows(found[1]):
                         raise NotPublished(f"{found[1]!r} isn't on {url}")
-                    out.append((site, *found, text, url, step, k))
-                if H.rank(url or "") == 0 and H.has_box(page or ""):
+                    out.append((site, *found, anchor.text, url, step, k))
+                if page.has_box and tier_of(url or "") == 0:
                     out.append((site, "form", url, "", url, step, 1 << 30))
             yield pd.DataFrame(out, columns=["site", "channel", "value", "addressee", "url", "step", "position"])
 
