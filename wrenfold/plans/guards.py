@@ -175,16 +175,24 @@ def tenant_views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
+#: The tenant of each table behind these views.
+TENANTS = {"customer": "c_custkey % 25", "orders": "o_custkey % 25", "events": "user_id % 25"}
+
+
 def ask(spark: SparkSession, sf_dir: str, key: str, tenant: int, **slots: object) -> DataFrame:
-    """A question of the catalogue for one tenant; it is proved before it runs, and slots are typed and bound, never pasted."""
+    """A question of the catalogue for one tenant; it is proved before it runs, its statement and the plan that comes of it, and slots are typed and bound, never pasted."""
     q = QUESTIONS[key]
     if slots.keys() != q.slots.keys():
         raise ValueError(f"{key} takes {sorted(q.slots)}")
+    from wrenfold.plans import scope
+
     prove_scoped(spark, q.sql)
     views = tenant_views(spark, sf_dir)
     named = re.sub(r"\b(FROM|JOIN) (\w+)", r"\1 {\2}", q.sql)
     used = {n: views[n] for n in re.findall(r"\b(?:FROM|JOIN) (\w+)", q.sql)}
-    return spark.sql(named, args={"tenant": int(tenant)} | {k: q.slots[k](v) for k, v in slots.items()}, **used)
+    found = spark.sql(named, args={"tenant": int(tenant)} | {k: q.slots[k](v) for k, v in slots.items()}, **used)
+    scope.prove_plan(found, int(tenant), TENANTS)
+    return found
 
 
 def nearest_question(text: str) -> str | None:
@@ -250,10 +258,23 @@ def _as_sql(key: str, tenant: int, **slots: object) -> str:
     return _VIEWS + sql
 
 
-for _key, _slots in (("parties_by_segment", {}), ("status_spread", {"limit": 5}), ("parties_with_status", {"term": "p", "limit": 40}), ("work_queue", {"limit": 9}), ("newest_facts", {"limit": 30}), ("facts_without_builder", {"limit": 30})):
+_ASKED = (("parties_by_segment", {}), ("status_spread", {"limit": 5}), ("parties_with_status", {"term": "p", "limit": 40}), ("work_queue", {"limit": 9}), ("newest_facts", {"limit": 30}), ("facts_without_builder", {"limit": 30}))
+for _key, _slots in _ASKED:
     query(f"g03_{_key}", _as_sql(_key, 7, **_slots))(lambda spark, sf_dir, key=_key, slots=_slots: ask(spark, sf_dir, key, tenant=7, **slots))
 
 
+
+@query("g02_plan_proofs", _VIEWS + " UNION ALL ".join(f"SELECT '{key}' AS question, tenant_id, (SELECT count(*) FROM ({_as_sql(key, 0, **slots).removeprefix(_VIEWS)})) AS n FROM (SELECT 0 AS tenant_id)" for key, slots in _ASKED) + " UNION ALL " + " UNION ALL ".join(f"SELECT '{key}', tenant_id, (SELECT count(*) FROM ({_as_sql(key, 7, **slots).removeprefix(_VIEWS)})) FROM (SELECT 7 AS tenant_id)" for key, slots in _ASKED))
+def plan_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows each question gives to two tenants; the plan of each is proved to read that tenant's rows only, or this raises."""
+    out = None
+    for tenant in (0, 7):
+        for key, slots in _ASKED:
+            rows = ask(spark, sf_dir, key, tenant, **slots).agg(F.count(F.lit(1)).alias("n")).select(F.lit(key).alias("question"), F.lit(tenant).alias("tenant_id"), "n")
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query("g05_table_functions", """WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages), t AS (SELECT page_id, href, lower(href || ' ' || substr(href, 2)) AS w FROM a)
 SELECT page_id, count(*) AS links, min(href) AS first_link, CAST(count(*) FILTER (WHERE regexp_matches(w, 'contact|get-in-touch|getintouch|reach-us|submi(ssion|t)|staff|(music|program)-?director|about|people|team|music|programming|dj|connect|info')) AS BIGINT) AS contactish FROM t GROUP BY 1""")
 def table_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
