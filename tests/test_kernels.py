@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from wrenfold.functions import signal, webpage
 from wrenfold.functions import text as T
 from wrenfold.operators import contacts, extras, filters, retrieval, scalars
-from wrenfold.operators.media import alignment, candidate_rules, clip_frames
+from wrenfold.operators.media import alignment, byte_frames, candidate_rules, short_spectra
 from wrenfold.sources import files
 
 RATE = 8000
@@ -102,7 +102,8 @@ def test_overlays():  # noqa: ANN201
     assert share > signal.SHARE  # locked and edged, but round
     assert (verdict, aligned < signal.ON_AXIS) == ("clean", True)
     assert signal.screen_overlay(np.full((8, 20, 20), 90.0))[0] == "abstain"
-    assert {signal.screen_overlay(clip_frames(k))[0] for k in range(25)} >= {"clean", "abstain"}
+    assert signal.screen_overlay(byte_frames(b""))[0] == "abstain"
+    assert signal.screen_overlay(byte_frames(np.random.default_rng(1).integers(0, 256, 5000).astype(np.uint8).tobytes()))[0] == "clean"
 
 
 def test_probe():  # noqa: ANN201
@@ -370,3 +371,35 @@ def test_feed_heads(spark):  # noqa: ANN001, ANN201
     xml = "<rss><title>\n Größe </title><itunes:owner>\n<itunes:name>n</itunes:name><itunes:email> a@b.example </itunes:email></itunes:owner>" + "ü" * 50
     rows = spark.createDataFrame([("a", bytearray(xml.encode())), ("b", bytearray()), ("c", None)], "url string, content binary")
     assert sorted(map(tuple, filters.feed_heads(rows, len(xml.encode()) - 1).collect()), key=repr) == [("a", "Größe", "a@b.example", True), ("b", "", "", False), ("c", None, None, None)]
+
+
+def test_byte_frames():  # noqa: ANN201
+    f = byte_frames(bytes(range(200)) * 5)
+    assert f.shape == (6, 12, 16)
+    assert f.ravel()[:1000].tobytes() == bytes(range(200)) * 5
+    assert not f.ravel()[1000:].any()
+    assert byte_frames(b"").shape == (3, 12, 16)
+
+
+def test_clicks():  # noqa: ANN201
+    x = signal.clicks(np.array([0, 5, 99]), np.array([1.0, 4.0, 2.0]), 1.0, 8000, 0.01)
+    assert len(x) == 8000
+    assert [round(float(x[k]), 3) for k in (0, 400, 7920)] == [0.225, 0.9, 0.45]
+    assert not signal.clicks(np.array([]), np.array([]), 1.0, 8000, 0.01).any()
+    wav, rate = signal.decode_wav(signal.encode_wav(x, 8000))
+    assert np.abs(wav - x).max() < 1e-3
+
+
+def test_short_spectra(spark):  # noqa: ANN001, ANN201
+    """The sums are those of a windowed transform of each whole frame, over any partitions."""
+    rng = np.random.default_rng(2)
+    tracks = {1: rng.normal(size=100), 2: rng.normal(size=16), 3: rng.normal(size=15), 4: rng.normal(size=24)}
+    rows = [(t, n, float(v), len(x)) for t, x in tracks.items() for n, v in enumerate(x)]
+    got = {(r.track_id, r.frame, r.bin): r.mag for r in short_spectra(spark.createDataFrame(rows, "track_id long, n long, x double, total long").repartition(5)).collect()}
+    want = {}
+    for t, x in tracks.items():
+        for k in range(max(0, (len(x) - 16) // 8 + 1)):
+            for b, v in enumerate(np.abs(np.fft.rfft(x[8 * k : 8 * k + 16] * np.hanning(16)))):
+                want[t, k, b] = float(v)
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)

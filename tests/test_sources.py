@@ -143,7 +143,7 @@ def test_pages(spark):  # noqa: ANN001, ANN201
     options = {"template": f"file://{path}/{{key}}-{{offset}}.json", "counts": f"file://{manifest.local(path)}/counts.json", "key": "key", "limit": "8"}
     pages = {}
     for name, pushed in (("all", []), ("one", [EqualTo(("key",), "b")]), ("two", [In(("key",), ("a", "c"))]), ("none", [EqualTo(("key",), "b"), In(("key",), ("a",))]), ("other", [EqualTo(("id",), 3)])):
-        reader = paged.PageReader(options, ["id"])
+        reader = paged.KeyedPageReader(options, ["id"])
         assert list(reader.pushFilters(pushed)) == pushed
         pages[name] = len(reader.partitions())
     assert pages["one"] + pages["two"] == pages["all"] == pages["other"]

@@ -23,6 +23,16 @@ def click_train(bpm: float, seconds: float, rate: int, offset: float = 0.0, acce
     return x
 
 
+def clicks(cells: np.ndarray, gains: np.ndarray, seconds: float, rate: int, cell: float) -> np.ndarray:
+    """Decaying clicks at the starts of cells of ``cell`` seconds, the loudest at 0.9; later ones sound over what is left of earlier ones."""
+    x = np.zeros(int(seconds * rate), np.float32)
+    burst = (np.exp(-np.arange(256) / 24.0) * np.cos(np.arange(256) * 0.9)).astype(np.float32)
+    for at, gain in zip((np.asarray(cells) * cell * rate).astype(int).tolist(), (np.asarray(gains) / max(float(np.max(gains, initial=0)), 1e-9) * 0.9).tolist(), strict=True):
+        room = min(256, len(x) - at)
+        x[at : at + room] = gain * burst[:room]
+    return x
+
+
 def spectrogram(x: np.ndarray) -> np.ndarray:
     if len(x) < FRAME:
         x = np.pad(x, (0, FRAME - len(x)))
@@ -39,16 +49,17 @@ def onset_envelope(x: np.ndarray) -> np.ndarray:
 
 def comb(env: np.ndarray, rate: int, bpm: np.ndarray, phases: int = 16) -> tuple[np.ndarray, np.ndarray]:
     """For each tempo the best mean of the envelope on a beat grid, and the phase (seconds) of that grid."""
-    fps = rate / HOP
     best, phase = np.full(len(bpm), -np.inf), np.zeros(len(bpm))
-    for i, b in enumerate(bpm):
-        step = 60.0 / b * fps
-        for p in range(phases):
-            at = np.round(np.arange(p * step / phases, len(env), step)).astype(int)
-            at = at[at < len(env)]
-            score = env[at].mean() if len(at) else -np.inf
-            if score > best[i]:
-                best[i], phase[i] = score, p * step / phases / fps
+    if not len(env):
+        return best, phase
+    part = np.arange(phases)[:, None] / phases
+    for i, step in enumerate(60.0 / np.asarray(bpm, float) * rate / HOP):  # all phases of a grid at once
+        at = np.rint((part + np.arange(int(len(env) / step) + 2)) * step).astype(int)
+        inside = at < len(env)
+        means = np.where(inside, env[np.minimum(at, len(env) - 1)], 0.0).sum(axis=1) / np.maximum(inside.sum(axis=1), 1)
+        means[~inside.any(axis=1)] = -np.inf
+        k = int(means.argmax())
+        best[i], phase[i] = means[k], k * step / phases * HOP / rate
     return best, phase
 
 

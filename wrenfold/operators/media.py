@@ -17,15 +17,25 @@ from wrenfold.registry import query
 RATE, SECONDS = 8000, 12.0
 
 
+#: Seconds of a cell: events of a track that fall into one cell sound as one click.
+CELL = 0.01
+
+
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A click train per nation: (track_id, bpm, wav)."""
-    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("track_id"), (F.lit(72.0) + 4 * F.col("n_nationkey")).alias("bpm"))
+    """Each user's events as sound: (track_id, bpm, wav).  Their times are spread over the track's length in cells of ten milliseconds and their values are gains, so a track is at most 1200 cells whatever its events; ``bpm`` is a nominal tempo, from their number."""
+    e = table(spark, sf_dir, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "value")
+    span = e.groupBy("user_id").agg(F.min("us").alias("lo"), F.max("us").alias("hi"), F.count(F.lit(1)).alias("n"))
+    cell = F.floor((F.col("us") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1)) * (SECONDS / CELL - 1)).cast("int")
+    cells = e.join(span, "user_id").groupBy("user_id", "n", cell.alias("cell")).agg(F.sum("value").alias("gain"))
+    rows = cells.groupBy(F.col("user_id").alias("track_id"), (60.0 + F.col("n") % 120).alias("bpm")).agg(F.array_sort(F.collect_list(F.struct("cell", "gain"))).alias("cells"))
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "track_id")  # cells are few bytes and their sound is dear: tracks aren't put together
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.assign(wav=[signal.encode_wav(signal.click_train(b, SECONDS, RATE, 0.05, 4), RATE) for b in pdf["bpm"]])
+            sound = lambda cells: signal.clicks(np.array([c["cell"] for c in cells]), np.array([c["gain"] for c in cells]), SECONDS, RATE, CELL)
+            yield pdf[["track_id", "bpm"]].assign(wav=[signal.encode_wav(sound(c), RATE) for c in pdf["cells"]])
 
-    return n.mapInPandas(make, "track_id int, bpm double, wav binary")
+    return rows.mapInPandas(make, "track_id long, bpm double, wav binary")
 
 
 def per_track(rows: DataFrame, schema: str, work: Callable[[int, float, np.ndarray, int], list[tuple]]) -> DataFrame:
@@ -40,9 +50,9 @@ def per_track(rows: DataFrame, schema: str, work: Callable[[int, float, np.ndarr
     return rows.mapInPandas(run, schema)
 
 
-@query("s17_probe", "SELECT n_nationkey AS track_id, ['wav', 'flac', 'ogg', 'mp3', NULL][n_nationkey % 5 + 1] AS container, ['pcm', 'flac', 'opus', 'mp3', NULL][n_nationkey % 5 + 1] AS codec, CASE n_nationkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 END AS channels, CASE n_nationkey % 5 WHEN 0 THEN 8000 WHEN 1 THEN 44100 END AS rate, CASE n_nationkey % 5 WHEN 0 THEN 12.0 WHEN 1 THEN 3.0 END::DOUBLE AS seconds FROM nation")
+@query("s17_probe", "SELECT DISTINCT user_id AS track_id, ['wav', 'flac', 'ogg', 'mp3', NULL][user_id % 5 + 1] AS container, ['pcm', 'flac', 'opus', 'mp3', NULL][user_id % 5 + 1] AS codec, CAST(CASE user_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 END AS INTEGER) AS channels, CAST(CASE user_id % 5 WHEN 0 THEN 8000 WHEN 1 THEN 44100 END AS INTEGER) AS rate, CASE user_id % 5 WHEN 0 THEN 12.0 WHEN 1 THEN 3.0 END::DOUBLE AS seconds FROM events")
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the heads of media files tell."""
+    """What the heads of media files tell: the users' tracks, four of five with the head of another container."""
     flac = b"fLaC" + bytes(14) + (44100 << 44 | 1 << 41 | 15 << 36 | 3 * 44100).to_bytes(8, "big") + bytes(16)
     heads = {1: flac, 2: b"OggS" + bytes(24) + b"OpusHead" + bytes(11), 3: b"ID3" + bytes(40), 4: b"what is this"}
 
@@ -51,17 +61,17 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
             found = [signal.probe(heads.get(t % 5, w)) for t, w in zip(pdf["track_id"], pdf["wav"], strict=True)]
             yield pd.DataFrame({"track_id": pdf["track_id"]} | {c: pd.array([f[c] for f in found], dtype=kind) for c, kind in (("container", "object"), ("codec", "object"), ("channels", "Int32"), ("rate", "Int32"), ("seconds", "Float64"))})
 
-    return tracks(spark, sf_dir).mapInPandas(run, "track_id int, container string, codec string, channels int, rate int, seconds double")
+    return tracks(spark, sf_dir).mapInPandas(run, "track_id long, container string, codec string, channels int, rate int, seconds double")
 
 
-@query("s17_wav_decode")
+@query("s17_wav_decode", "SELECT DISTINCT user_id AS track_id, 8000 AS rate, CAST(96000 AS BIGINT) AS samples, 0.9::DOUBLE AS peak FROM events")
 def wav_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return per_track(tracks(spark, sf_dir), "track_id int, rate int, samples long, peak double", lambda t, b, x, r: [(t, r, len(x), round(float(np.abs(x).max()), 4))])
+    return per_track(tracks(spark, sf_dir), "track_id long, rate int, samples long, peak double", lambda t, b, x, r: [(t, r, len(x), round(float(np.abs(x).max()), 3))])
 
 
 @query("m01_onset_envelope")
 def onset_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return per_track(tracks(spark, sf_dir), "track_id int, frame int, onset double", lambda t, b, x, r: [(t, i, float(v)) for i, v in enumerate(signal.onset_envelope(x))])
+    return per_track(tracks(spark, sf_dir), "track_id long, frame int, onset double", lambda t, b, x, r: [(t, i, float(v)) for i, v in enumerate(signal.onset_envelope(x))])
 
 
 @query("m02_tempo")
@@ -72,7 +82,7 @@ def tempo(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = signal.tempo(x, r)
         return [(t, b, round(found.bpm, 2), round(found.confidence, 3), round(found.phase, 4), ",".join(f"{v:.2f}" for v in found.rivals), bool(found.rivals))]
 
-    return per_track(tracks(spark, sf_dir), "track_id int, true_bpm double, bpm double, confidence double, phase_s double, rivals string, ambiguous boolean", work)
+    return per_track(tracks(spark, sf_dir), "track_id long, true_bpm double, bpm double, confidence double, phase_s double, rivals string, ambiguous boolean", work)
 
 
 @query("m03_comb_scores")
@@ -82,15 +92,15 @@ def comb_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         s, p = signal.comb(signal.onset_envelope(x), r, grid)
         return [(t, float(g), float(a), float(q)) for g, a, q in zip(grid, s, p, strict=True)]
 
-    return per_track(tracks(spark, sf_dir), "track_id int, bpm double, score double, phase_s double", work)
+    return per_track(tracks(spark, sf_dir), "track_id long, bpm double, score double, phase_s double", work)
 
 
 @query("m04_centroid")
 def spectral_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return per_track(tracks(spark, sf_dir), "track_id int, centroid_hz double", lambda t, b, x, r: [(t, signal.centroid(x, r))])
+    return per_track(tracks(spark, sf_dir), "track_id long, centroid_hz double", lambda t, b, x, r: [(t, signal.centroid(x, r))])
 
 
-_BAR = "track_id int, idx int, rms_db double, low double, mid double, presence double, air double, centroid_hz double, onsets double"
+_BAR = "track_id long, idx int, rms_db double, low double, mid double, presence double, air double, centroid_hz double, onsets double"
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,6 +129,67 @@ def novelty_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter("novelty > 1.5").select("track_id", "bar", F.round("novelty", 5).alias("novelty"))
 
 
+#: Samples of a frame of the short transforms below, and from one frame to the next.
+WINDOW, STEP = 16, 8
+_SHORT = f"""s AS (SELECT user_id AS track_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n, value AS x, count(*) OVER (PARTITION BY user_id) AS total FROM events),
+f AS (SELECT track_id, frame, n - frame * {STEP} AS pos, x FROM (SELECT *, unnest([n // {STEP}, n // {STEP} - 1]) AS frame FROM s) WHERE frame >= 0 AND frame * {STEP} + {WINDOW} <= total),
+d AS (SELECT track_id, frame, bin, sqrt(pow(sum(x * h * cos(2 * pi() * bin * pos / {WINDOW})), 2) + pow(sum(x * h * sin(2 * pi() * bin * pos / {WINDOW})), 2)) AS mag
+      FROM (SELECT *, 0.5 - 0.5 * cos(2 * pi() * pos / {WINDOW - 1}) AS h, unnest(range(0, {WINDOW // 2 + 1})) AS bin FROM f) GROUP BY 1, 2, 3),
+e AS (SELECT track_id, frame, sum(greatest(0, mag - before)) AS flux FROM (SELECT *, lag(mag) OVER (PARTITION BY track_id, bin ORDER BY frame) AS before FROM d) WHERE before IS NOT NULL GROUP BY 1, 2)"""
+
+
+def short_spectra(samples: DataFrame) -> DataFrame:
+    """(track_id, frame, bin, mag) of samples (track_id, n, x, total): short windowed transforms as sums.
+
+    A sample goes to the two frames that it lies in and meets a table of ``WINDOW * (WINDOW / 2 + 1)`` weights; partial sums
+    are made where the samples are, so a frame may lie over any number of partitions and a track may be of any length.
+    """
+    k, bins = F.col("id"), WINDOW // 2 + 1
+    pos, bin_ = (k / bins).cast("int"), (k % bins).cast("int")
+    hann, turn = 0.5 - 0.5 * F.cos(2 * F.pi() * pos / (WINDOW - 1)), 2 * F.pi() * bin_ * pos / WINDOW
+    weights = samples.sparkSession.range(WINDOW * bins).select(pos.alias("pos"), bin_.alias("bin"), (hann * F.cos(turn)).alias("c"), (hann * F.sin(turn)).alias("s"))
+    frames = samples.withColumn("frame", F.explode(F.array(F.expr(f"n div {STEP}"), F.expr(f"n div {STEP} - 1")))).filter(f"frame >= 0 AND frame * {STEP} + {WINDOW} <= total")
+    rows = frames.withColumn("pos", (F.col("n") - F.col("frame") * STEP).cast("int")).join(F.broadcast(weights), "pos")  # 144 weights
+    sums = rows.groupBy("track_id", "frame", "bin").agg(F.sum(F.col("x") * F.col("c")).alias("re"), F.sum(F.col("x") * F.col("s")).alias("im"))
+    return sums.select("track_id", "frame", "bin", F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("mag"))
+
+
+def event_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    w = Window.partitionBy("user_id")
+    return e.select(F.col("user_id").alias("track_id"), (F.row_number().over(w.orderBy("ts", "event_id")) - 1).cast("long").alias("n"), F.col("value").alias("x"), F.count(F.lit(1)).over(w).alias("total"))
+
+
+def frame_flux(spectra: DataFrame) -> DataFrame:
+    """(track_id, frame, flux): how much the spectrum rises into each frame but the first."""
+    before = F.lag("mag").over(Window.partitionBy("track_id", "bin").orderBy("frame"))
+    return spectra.withColumn("before", before).filter("before IS NOT NULL").groupBy("track_id", "frame").agg(F.sum(F.greatest(F.lit(0.0), F.col("mag") - F.col("before"))).alias("flux"))
+
+
+@query("m01_frame_flux", f"WITH {_SHORT} SELECT track_id, frame, round(flux, 5) AS flux FROM e")
+def frame_onsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Onsets of the sequences of users' values."""
+    return frame_flux(short_spectra(event_samples(spark, sf_dir))).select("track_id", "frame", F.round("flux", 5).alias("flux"))
+
+
+@query("m03_frame_comb", f"""WITH {_SHORT}, p AS (SELECT track_id, period, frame % period AS phase, avg(flux) AS a FROM (SELECT *, unnest(range(2, 9)) AS period FROM e) GROUP BY 1, 2, 3)
+SELECT track_id, period, max(phase) FILTER (WHERE rn = 1) AS phase, round(max(a), 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY track_id, period ORDER BY round(a, 6) DESC, phase) AS rn FROM p) GROUP BY 1, 2""")
+def frame_comb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each period of frames the grid on which onsets are strongest."""
+    grid = F.explode(F.sequence(F.lit(2).cast("long"), F.lit(8).cast("long"))).alias("period")
+    rows = frame_flux(short_spectra(event_samples(spark, sf_dir))).select("track_id", "frame", "flux", grid)
+    phases = rows.groupBy("track_id", "period", (F.col("frame") % F.col("period")).alias("phase")).agg(F.avg("flux").alias("a"))
+    best = phases.groupBy("track_id", "period").agg(F.max(F.struct(F.round("a", 6).alias("a"), (-F.col("phase")).alias("p"))).alias("top"), F.max("a").alias("score"))
+    return best.select("track_id", "period", (-F.col("top.p")).alias("phase"), F.round("score", 5).alias("score"))
+
+
+@query("m04_frame_centroid", f"WITH {_SHORT} SELECT track_id, round(sum(bin * mag) / sum(mag) / {WINDOW}, 6) AS centroid FROM d GROUP BY 1")
+def frame_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spectral centroid of each sequence, in cycles a sample."""
+    d = short_spectra(event_samples(spark, sf_dir))
+    return d.groupBy("track_id").agg(F.round(F.sum(F.col("bin") * F.col("mag")) / F.sum("mag") / WINDOW, 6).alias("centroid"))
+
+
 @query("m07_segment_types")
 def segment_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of two bars and the material of each, in letters by first use."""
@@ -130,7 +201,7 @@ def segment_types(spark: SparkSession, sf_dir: str) -> DataFrame:
         kinds = signal.segment_types((x - x.mean(axis=0)) / np.where(spread > 1e-9, spread, 1), spans)
         return pd.DataFrame({"track_id": pdf["track_id"].iloc[0], "bar_start": [a for a, _ in spans], "bar_end": [b for _, b in spans], "kind": [chr(65 + k) if k < 26 else "?" for k in kinds]})
 
-    return bars(spark, sf_dir).groupBy("track_id").applyInPandas(work, "track_id int, bar_start int, bar_end int, kind string")  # a track has some hundred bars
+    return bars(spark, sf_dir).groupBy("track_id").applyInPandas(work, "track_id long, bar_start int, bar_end int, kind string")  # a track has some hundred bars
 
 
 @query("m08_drop_shape")
@@ -215,29 +286,25 @@ def shot_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_bars(spark, sf_dir).withColumn("cut", F.avg("energy").over(w) + 1.5 * F.stddev_pop("energy").over(w)).filter("energy > cut").select("track_id", "bar")
 
 
-def clip_frames(k: int, frames: int = 48, height: int = 36, width: int = 64) -> np.ndarray:
-    """A synthetic clip: noise that moves in a band of columns, a cut in the middle, a caption in every third clip, and none of that in every fifth, which stands still."""
-    rng = np.random.default_rng(int(k))
-    if k % 5 == 4:
-        return np.full((frames, height, width), 90, np.uint8)
-    f = np.full((frames, height, width), 60 + k, np.float64)
-    f[frames // 2 :] += 60
-    at = 8 + (7 * k) % 40
-    f[:, :, at : at + 12] += rng.integers(-60, 60, (frames, height, 12))
-    if k % 3 == 1:
-        f[:, 26:34, 4:60] = 20.0
-        f[:, 28:32, 8:56:4] = 250.0
-    return np.clip(f, 0, 255).astype(np.uint8)
+#: Rows and columns of the frames that a document's bytes are shown as.
+HEIGHT, WIDTH = 12, 16
+
+
+def byte_frames(text: bytes) -> np.ndarray:
+    """Bytes as frames of grey pixels, three at least; the last is filled with zeros."""
+    frames = max(3, -(-len(text) // (HEIGHT * WIDTH)))
+    return np.frombuffer(text.ljust(frames * HEIGHT * WIDTH, b"\0"), np.uint8).reshape(frames, HEIGHT, WIDTH)
 
 
 def per_clip(spark: SparkSession, sf_dir: str, schema: str, work: Callable[[int, np.ndarray], list[tuple]]) -> DataFrame:
+    """Rows from the frames of each document, whole texts."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame([r for k in pdf["clip"] for r in work(int(k), clip_frames(int(k)))], columns=names)
+            yield pd.DataFrame([r for k, raw in zip(pdf["clip"], pdf["raw"], strict=True) for r in work(int(k), byte_frames(bytes(raw)))], columns=names)
 
-    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("clip")).mapInPandas(run, schema)
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("clip"), F.coalesce("text", F.lit("")).cast("binary").alias("raw")).mapInPandas(run, schema)
 
 
 @query("m12_clip_windows")
@@ -250,7 +317,7 @@ def clip_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = signal.clip_features(f, np.repeat(f[..., None], 3, axis=-1), start, length, curve)
         return [(k, len(signal.shot_bounds(curve)), start, length, signal.crop_left(f, start, length, 1280, 720), *found.values(), "/".join(signal.poles(found).values()))]
 
-    return per_clip(spark, sf_dir, "clip int, shots int, start_s double, length_s double, crop_left int, energy double, luma double, contrast double, warmth double, saturation double, detail double, intensity double, poles string", work)
+    return per_clip(spark, sf_dir, "clip long, shots int, start_s double, length_s double, crop_left int, energy double, luma double, contrast double, warmth double, saturation double, detail double, intensity double, poles string", work)
 
 
 @query("m13_overlay_screen")
@@ -259,7 +326,7 @@ def overlay_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
         verdict, share, aligned = signal.screen_overlay(f)
         return [(k, verdict, round(share, 5), round(aligned, 3))]
 
-    return per_clip(spark, sf_dir, "clip int, verdict string, share double, aligned double", work)
+    return per_clip(spark, sf_dir, "clip long, verdict string, share double, aligned double", work)
 
 
 @query("m14_sequence_order")
@@ -292,7 +359,7 @@ def local_pulse(spark: SparkSession, sf_dir: str) -> DataFrame:
             out.append((t, k, round(found, 2), round(phase + round((at - phase) / beat) * beat, 4) if beat else 0.0))
         return out
 
-    return per_track(tracks(spark, sf_dir), "track_id int, part int, bpm double, snapped_s double", work)
+    return per_track(tracks(spark, sf_dir), "track_id long, part int, bpm double, snapped_s double", work)
 
 
 # How far a start may lie from a bar line, in milliseconds.

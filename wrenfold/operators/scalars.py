@@ -172,11 +172,11 @@ def wikitext(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.infobox_value(raw).alias("value"))
 
 
-@query("x19_labels", """WITH r AS (SELECT vec_id, array_to_string(list_transform(range(0, 6), lambda i: ''), '') AS e, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), k AS (SELECT vec_id, list_max(list_transform(v[1:6], lambda x: abs(x))) AS best, v FROM r)
-SELECT vec_id, array_to_string(list_slice(list_filter(list_transform(range(1, 7), lambda i: CASE WHEN abs(v[i]) >= greatest(0.15, 0.6 * best) THEN 'Style' || CAST(i AS VARCHAR) END), lambda x: x IS NOT NULL), 1, 4), ',') AS styles FROM k""")
+@query("x19_labels", """WITH r AS (SELECT vec_id, array_to_string(list_transform(range(0, 6), lambda i: ''), '') AS e, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), k AS (SELECT vec_id, list_max(list_transform(v, lambda x: abs(x))) AS best, v FROM r)
+SELECT vec_id, array_to_string(list_slice(list_filter(list_transform(range(1, len(v) + 1), lambda i: CASE WHEN abs(v[i]) >= greatest(0.15, 0.6 * best) THEN 'Style' || CAST(i AS VARCHAR) END), lambda x: x IS NOT NULL), 1, 4), ',') AS styles FROM k""")
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Styles of ``Parent---Style`` labels that reach the cut-off, at most four."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.expr("transform(slice(embedding, 1, 6), (x, i) -> struct(abs(cast(x AS double)) AS p, concat('Parent---Style', i + 1) AS label))").alias("s"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.expr("transform(embedding, (x, i) -> struct(abs(cast(x AS double)) AS p, concat('Parent---Style', i + 1) AS label))").alias("s"))
     best = F.greatest(F.lit(0.15), 0.6 * F.array_max(F.transform("s", lambda x: x["p"])))
     kept = F.slice(F.filter("s", lambda x: x["p"] >= F.col("cut")), 1, 4)
     return e.withColumn("cut", best).select("vec_id", F.array_join(F.transform(kept, lambda x: F.split_part(x["label"], F.lit("---"), F.lit(2))), ",").alias("styles"))
@@ -247,19 +247,22 @@ def _re2(p: str) -> str:
     return p.replace("'", "''")
 
 
-@query("x24_hook_score", f"""WITH l AS (SELECT conv_id, turn, list_extract([{", ".join(f"'{x}'" for x in _OPENINGS)}], (conv_id + turn) % {len(_OPENINGS)} + 1) || array_to_string(list_slice(regexp_split_to_array(text, '\\s+'), 1, CAST(2 + (conv_id * 7 + turn) % 18 AS BIGINT)), ' ') || CASE WHEN turn % 3 = 0 THEN '?' ELSE '' END AS t,
-turn * 5.0::DOUBLE AS s FROM conversations), m AS (SELECT *, s + length(t) / 20.0::DOUBLE AS e FROM l), g AS (SELECT *, coalesce(s - lag(e) OVER w, 0.6) AS gb, coalesce(lead(s) OVER w - e, 0.6) AS ga, lower(t) AS low, len(list_filter(regexp_split_to_array(t, '\\s+'), lambda x: x <> '')) AS n FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
-SELECT conv_id, turn, round(CASE WHEN n BETWEEN 3 AND 16 AND length(t) >= 12 AND NOT regexp_matches(low, '{JUNK}') AND NOT regexp_matches(low, '{FILLER}') THEN CASE {" ".join(f"WHEN regexp_matches(low, '{_re2(p)}') THEN {w}" for p, w in PROMISES)} ELSE 0.0 END
+@query("x24_hook_score", f"""WITH c AS (SELECT conv_id, turn, regexp_split_to_array(text, '\\s+') AS ws, 2 + (conv_id * 7 + turn) % 18 AS k FROM conversations), i AS (SELECT *, unnest(range(0, (len(ws) + k - 1) // k)) AS line FROM c),
+l AS (SELECT conv_id, turn, line, list_extract([{", ".join(f"'{x}'" for x in _OPENINGS)}], (conv_id + turn + line) % {len(_OPENINGS)} + 1) || array_to_string(list_slice(ws, line * k + 1, line * k + k), ' ') || CASE WHEN (turn + line) % 3 = 0 THEN '?' ELSE '' END AS t,
+turn * 100000.0::DOUBLE + line * 5.0 AS s FROM i), m AS (SELECT *, s + length(t) / 20.0::DOUBLE AS e FROM l), g AS (SELECT *, coalesce(s - lag(e) OVER w, 0.6) AS gb, coalesce(lead(s) OVER w - e, 0.6) AS ga, lower(t) AS low, len(list_filter(regexp_split_to_array(t, '\\s+'), lambda x: x <> '')) AS n FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY turn, line))
+SELECT conv_id, turn, CAST(line AS INTEGER) AS line, round(CASE WHEN n BETWEEN 3 AND 16 AND length(t) >= 12 AND NOT regexp_matches(low, '{JUNK}') AND NOT regexp_matches(low, '{FILLER}') THEN CASE {" ".join(f"WHEN regexp_matches(low, '{_re2(p)}') THEN {w}" for p, w in PROMISES)} ELSE 0.0 END
 + CASE WHEN t LIKE '%?' OR regexp_matches(low, '{ASKS}') THEN 2.0 ELSE 0.0 END + 2.2 * least(ga, 1.6) + 0.8 * least(gb, 1.0) - 0.9 * abs((e - s) - 2.2) END, 6) AS score FROM g""")
 def hook_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns as spoken lines, five seconds apart, with the gaps to their neighbours."""
-    k = F.col("conv_id") + F.col("turn")
-    words = F.slice(F.split("text", r"\s+"), F.lit(1), (2 + (F.col("conv_id") * 7 + F.col("turn")) % 18).cast("int"))
-    line = F.concat(F.element_at(F.array(*map(F.lit, _OPENINGS)), (k % len(_OPENINGS) + 1).cast("int")), F.array_join(words, " "), F.when(F.col("turn") % 3 == 0, "?").otherwise(""))
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", line.alias("t"), (F.col("turn") * 5.0).alias("s")).withColumn("e", F.col("s") + F.length("t") / 20.0)
+    """All words of each turn as spoken lines, five seconds apart, with the gaps to their neighbours."""
+    k, at = (2 + (F.col("conv_id") * 7 + F.col("turn")) % 18).cast("int"), F.col("line")
+    lines = table(spark, sf_dir, "conversations").withColumn("words", F.split("text", r"\s+")).withColumn("k", k).filter("text IS NOT NULL")
+    lines = lines.withColumn("line", F.explode(F.sequence(F.lit(0), F.expr("(size(words) + k - 1) div k").cast("int") - 1)))
+    opening = F.element_at(F.array(*map(F.lit, _OPENINGS)), ((F.col("conv_id") + F.col("turn") + at) % len(_OPENINGS) + 1).cast("int"))
+    line = F.concat(opening, F.array_join(F.slice("words", at * F.col("k") + 1, F.col("k")), " "), F.when((F.col("turn") + at) % 3 == 0, "?").otherwise(""))
+    w = Window.partitionBy("conv_id").orderBy("turn", "line")
+    rows = lines.select("conv_id", "turn", "line", line.alias("t"), (F.col("turn") * 100000.0 + at * 5.0).alias("s")).withColumn("e", F.col("s") + F.length("t") / 20.0)
     rows = rows.withColumn("gb", F.coalesce(F.col("s") - F.lag("e").over(w), F.lit(UNMEASURED))).withColumn("ga", F.coalesce(F.lead("s").over(w) - F.col("e"), F.lit(UNMEASURED)))
-    return rows.select("conv_id", "turn", F.round(line_score(F.col("t"), F.col("s"), F.col("e"), F.col("gb"), F.col("ga")), 6).alias("score"))
+    return rows.select("conv_id", "turn", "line", F.round(line_score(F.col("t"), F.col("s"), F.col("e"), F.col("gb"), F.col("ga")), 6).alias("score"))
 
 
 @query("x25_outcome_lesson", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 1.0::DOUBLE WHEN 'P' THEN 0.3 ELSE -0.5 END AS valence, CASE o_orderstatus WHEN 'F' THEN 0.9::DOUBLE WHEN 'P' THEN 0.6 ELSE 0.4 END AS confidence, 'order ' || CAST(o_orderkey AS VARCHAR) || ' ' || CASE o_orderstatus WHEN 'F' THEN 'landed' WHEN 'P' THEN 'moved' ELSE 'stalled' END AS lesson FROM orders")

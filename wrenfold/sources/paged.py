@@ -42,7 +42,7 @@ class PagedJson(DataSource):
         return "value string"
 
     def reader(self, schema) -> PageReader:  # noqa: ANN001
-        return PageReader(dict(self.options), [f.name for f in schema.fields])
+        return (KeyedPageReader if "key" in self.options else PageReader)(dict(self.options), [f.name for f in schema.fields])
 
 
 def _json(url: str) -> list | dict:
@@ -56,14 +56,6 @@ class PageReader(DataSourceReader):
         self.template, self.limit, self.key = options["template"], int(options.get("limit", 500)), options.get("key")
         self.wanted: set[str] | None = None
 
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802
-        """Keys that a filter asks for; all filters are left to Spark, too."""
-        for f in filters:
-            if self.key and isinstance(f, (EqualTo, In)) and f.attribute == (self.key,):
-                asked = {str(v) for v in (f.value if isinstance(f, In) else [f.value])}
-                self.wanted = asked if self.wanted is None else self.wanted & asked
-            yield f
-
     def partitions(self) -> list[Page]:
         if "counts" not in self.options:
             return [Page(None, o) for o in range(0, int(self.options["total"]), self.limit)]
@@ -76,6 +68,18 @@ class PageReader(DataSourceReader):
             yield (json.dumps(item),) if self.names == ["value"] else tuple(item.get(n) for n in self.names)
 
 
+class KeyedPageReader(PageReader):
+    """Takes filters, which Spark offers only if ``spark.sql.python.filterPushdown.enabled`` is set (``register`` does)."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802
+        """Keys that a filter asks for; all filters are left to Spark, too."""
+        for f in filters:
+            if isinstance(f, (EqualTo, In)) and f.attribute == (self.key,):
+                asked = {str(v) for v in (f.value if isinstance(f, In) else [f.value])}
+                self.wanted = asked if self.wanted is None else self.wanted & asked
+            yield f
+
+
 def register(spark: SparkSession) -> None:
     """The source, with filters that reach it."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
