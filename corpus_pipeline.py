@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wrenfold.llm import decontaminate, ngramjoin, packing, suffixdedup, toxicity
-from wrenfold.llm.storage import stored
+from wrenfold.llm.storage import spent, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -67,9 +67,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs, f"pipeline-{k}-{name}")
-    return docs
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        with spent(spark) as tables:  # what a stage stores on its way, and what it has read, goes once its own table is written
+            docs = stored(stage(spark, docs, sf_dir), f"pipeline-{k}-{name}")
+            kept = tables.pop()
+            tables += before
+        before = [kept]
+    return STAGES[-1][1](spark, docs, sf_dir)

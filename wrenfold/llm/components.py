@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wrenfold.llm.storage import spent, stored
+from wrenfold.llm.storage import spend_later, spent, stored
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -30,6 +30,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if now == state:
             break
         state = now
+    spend_later(path)
     return edges.select(F.col("hi").alias("node"), F.col("lo").alias("label")).union(edges.select("lo", "lo").distinct())
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from wrenfold.llm import exchange, textops
 from wrenfold.llm.components import components
 from wrenfold.llm.ranks import spread_join
-from wrenfold.llm.storage import carried, free_name, stored, text_bytes
+from wrenfold.llm.storage import carried, free_name, spent, stored, text_bytes
 
 SETS = "tid long, grp binary, copies long, least long, n_shingles long, s1 long, s2 long, alone int, grams array<long>"
 SET = ["n_shingles", "s1", "s2"]
@@ -181,6 +181,13 @@ def jaccard_links(sets: DataFrame, percent: int, fragments: int = 8) -> DataFram
 
 def _texts(docs: DataFrame, width: int, percent: int, shard_bytes: int) -> DataFrame:
     """Each distinct text: grp, copies, least, n_shingles, component_id (the least id of its component), texts (distinct ones of the component) and first (whether the component's first row has this text)."""
+    with spent(docs.sparkSession) as tables:  # all that is stored on the way goes, once the last table is written
+        texts = _joined_texts(docs, width, percent, shard_bytes)
+        tables.pop()
+    return texts
+
+
+def _joined_texts(docs: DataFrame, width: int, percent: int, shard_bytes: int) -> DataFrame:
     rows = stored(candidate_sets(docs, width, percent, shard_bytes), "sets")
     may = rows.filter(F.col("grams").isNotNull())
     order = F.struct(F.col("least").isNull().alias("none"), "least", "tid")

@@ -21,7 +21,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from wrenfold.llm.ranks import ranked, running, salts_for, spread_join
@@ -54,9 +54,12 @@ def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def named(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     """``rows`` (stored) with the dense name, from 0, of their ``keys`` in place of these; keys that many rows share are salted."""
-    distinct = stored(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).withColumn("_all", F.lit(0)), "trie-keys")
-    names = ranked(distinct, "_all", keys, salts_for(distinct.count()), name).drop("_all")
-    return stored(spread_join(rows, names, keys, "_size", counts=distinct).drop(*keys, "_size"), "trie-named")
+    seen = Observation()
+    distinct = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).withColumn("_all", F.lit(0))
+    distinct = stored(distinct.observe(seen, F.count(F.lit(1)).alias("keys"), F.coalesce(F.sum("_size"), F.lit(0)).alias("rows"), F.coalesce(F.max("_size"), F.lit(0)).alias("most")), "trie-keys")
+    told = seen.get  # counted while the keys were written
+    names = ranked(distinct, "_all", keys, salts_for(told["keys"]), name).drop("_all")
+    return stored(spread_join(rows, names, keys, "_size", known=(told["rows"], told["most"])).drop(*keys, "_size"), "trie-named")
 
 
 def prefixes(rows: DataFrame) -> DataFrame:

@@ -28,14 +28,14 @@ def ranked(df: DataFrame, key: str, order: list[str], salts: int, name: str) ->
     return salted.withColumn("_nth", nth).join(ahead, [key, "_salt"]).withColumn(name, (F.col("_nth") + F.col("_ahead")).cast("long")).drop("_nth", "_ahead", "_salt")
 
 
-def spread_join(rows: DataFrame, side: DataFrame, key: list[str], size: str, how: str = "inner", least: int = 256, counts: DataFrame | None = None) -> DataFrame:
+def spread_join(rows: DataFrame, side: DataFrame, key: list[str], size: str, how: str = "inner", least: int = 256, known: tuple[int, int] | None = None) -> DataFrame:
     """``rows`` joined with ``side``, which has one row per key and, as ``size``, how many ``rows`` have it.
 
     A key with more than 1/4096 of all rows (and more than ``least``) is dealt over so many salts that none has
     more; only these keys, fewer than 4096, are broadcast.  ``side`` is read three times, so it should be stored;
-    without such keys a plain join gives the same rows, and ``side`` is read once if ``counts`` has the numbers, too.
+    without such keys a plain join gives the same rows, and ``side`` is read once if ``known`` says how many rows there are and how many the commonest key has.
     """
-    total, top = (side if counts is None else counts).agg(F.sum(size), F.max(size)).first()
+    total, top = known or side.agg(F.sum(size), F.max(size)).first()
     most = max(least, (total or 0) >> 12)
     if (top or 0) <= most:
         return rows.join(side, key, how)

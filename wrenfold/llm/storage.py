@@ -54,6 +54,12 @@ def spent(spark: SparkSession) -> Iterator[list[str]]:
         discard(spark, mine)
 
 
+def spend_later(path: str) -> None:
+    """A table that is spent with all others of the innermost ``spent`` block, if there is one."""
+    if _open:
+        _open[-1].append(path)
+
+
 def text_bytes(df: DataFrame, text: str = "text") -> int:
     """The UTF-8 bytes of all texts; it only sizes shards, never results."""
     return int(df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0])
