@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wrenfold.functions.rows import AS_OF, count_if, newest, table
-from wrenfold.operators.joins import supersession_heads, walk_up
+from wrenfold.operators.joins import walk_up
 from wrenfold.registry import query
 
 LESSON_WEIGHT, GEO_WEIGHT = 0.05, 0.08
@@ -102,8 +102,8 @@ def lessons_for(spark: SparkSession, sf_dir: str) -> DataFrame:
     """General lessons by similarity, named ones by id, then the heads of both."""
     e, q = _near(spark, sf_dir)
     both = shortlist(e, q, 10, F.col("label") < 5).select("vec_id", "d").unionByName(distances(e.filter("label >= 5 AND vec_id IN (11, 22, 33, 44)"), q).select("vec_id", "d")).distinct()
-    heads = supersession_heads(both.withColumn("supersedes", F.when(F.col("vec_id") % 2 == 0, F.col("vec_id") - 11)), "vec_id", "supersedes")
-    return both.join(heads, "vec_id", "left_semi")
+    gone = F.collect_set(F.when(F.col("vec_id") % 2 == 0, F.col("vec_id") - 11)).over(Window.partitionBy(F.lit(0)))  # over ten rows and the named ones
+    return both.withColumn("gone", gone).filter(~F.array_contains("gone", F.col("vec_id"))).drop("gone")
 
 
 @query("v05_lesson_rerank", f"SELECT vec_id, d, coalesce(lessons, 0) AS lessons, round(greatest(0.0, d - coalesce(v, 0) * 0.05), 6) AS adjusted FROM ({_NEAR}) LEFT JOIN (SELECT id, sum(valence * confidence) AS v, count(*) AS lessons FROM ({_LESSONS}) GROUP BY 1) ON id = vec_id")
