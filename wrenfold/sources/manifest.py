@@ -6,7 +6,7 @@
 
 Tasks write Parquet files under a folder of their write and report them; the driver's commit publishes the next
 manifest (all files of the table, or only the new ones for an overwrite) under a name that can be taken only once.  A
-failed write leaves the old manifest and takes its files away; a batch that is already in the table adds nothing; an
+failed write leaves the old manifest and takes its files away (what a killed task leaves goes with the next commit); a batch that is already in the table adds nothing; an
 append that loses a race is built on the winner's manifest, an overwrite with ``base`` (the version it has read)
 is refused.  The same sink takes streams: the batch is then the stream's name (``stream``) and the micro-batch.
 
@@ -118,6 +118,13 @@ def publish(path: str, batch: str, files: list[str], rows: int, schema: str, ove
         return True
 
 
+def sweep(path: str) -> None:
+    """What tasks left behind that were killed after their write was given up; each commit does this."""
+    folder = os.path.join(local(path), "given-up")
+    for write_id in os.listdir(folder) if os.path.isdir(folder) else ():
+        shutil.rmtree(os.path.join(local(path), "data", write_id), ignore_errors=True)
+
+
 class _Writer:
     def __init__(self, options: dict, schema: StructType, overwrite: bool) -> None:
         self.path, self.overwrite, self.schema = options["path"], overwrite, schema.json()
@@ -126,6 +133,10 @@ class _Writer:
     def _folder(self) -> str:
         return os.path.join("data", self.write_id)
 
+    def _ended(self) -> str:
+        """The mark of a write that was given up: tasks that go on after it take their files away."""
+        return os.path.join(local(self.path), "given-up", self.write_id)
+
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         writer, rows = None, 0
         task = TaskContext.get()
@@ -141,6 +152,8 @@ class _Writer:
         finally:
             if writer is not None:
                 writer.close()
+                if os.path.exists(self._ended()):
+                    os.unlink(place)
         return Written(name if writer is not None else None, rows)
 
     def _commit(self, messages: list[Written | None], batch: str) -> None:
@@ -153,6 +166,7 @@ class _Writer:
         if not done:
             self._drop()
             return
+        sweep(self.path)
         kept = {os.path.basename(m.file) for m in told}
         folder = os.path.join(local(self.path), self._folder())
         for name in os.listdir(folder) if os.path.isdir(folder) else ():  # of attempts that were repeated
@@ -160,6 +174,7 @@ class _Writer:
                 os.unlink(os.path.join(folder, name))
 
     def _drop(self) -> None:
+        _touch(self._ended())
         shutil.rmtree(os.path.join(local(self.path), self._folder()), ignore_errors=True)
 
 
