@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from wrenfold.functions import signal, webpage
 from wrenfold.functions import text as T
 from wrenfold.operators import contacts, extras, filters, retrieval, scalars
-from wrenfold.operators.media import alignment, byte_frames, candidate_rules, short_spectra
+from wrenfold.operators.media import alignment, byte_frames, candidate_rules, matching_blocks, short_spectra
 from wrenfold.sources import files
 
 RATE = 8000
@@ -403,3 +403,15 @@ def test_short_spectra(spark):  # noqa: ANN001, ANN201
                 want[t, k, b] = float(v)
     assert got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_matching_blocks():  # noqa: ANN201
+    """Against the standard library's matcher."""
+    from difflib import SequenceMatcher
+
+    rng = np.random.default_rng(4)
+    for letters, n in (("ab", 30), ("abcdefgh", 60), ("a", 9)):
+        for _ in range(40):
+            x, y = (list(rng.choice(list(letters), rng.integers(0, n))) for _ in range(2))
+            want = [tuple(m) for m in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks() if m.size]
+            assert matching_blocks(x, y) == want

@@ -406,18 +406,44 @@ def edge_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("track_id").applyInPandas(work, "track_id long, bar int")
 
 
+def matching_blocks(x: list[str], y: list[str]) -> list[tuple[int, int, int]]:
+    """(place in x, place in y, length): the longest stretch that both have, the first of equals, then the same before and behind it.
+
+    Runs of equal words are counted along diagonals, a row of ``y`` at a time, so memory grows with ``y`` alone.
+    """
+    names = {w: k for k, w in enumerate(dict.fromkeys([*x, *y]))}
+    a, b = (np.array([names[w] for w in words], np.int64) for words in (x, y))
+    found, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        lo, hi, left, right = todo.pop()
+        best, run = (0, 0, 0), np.zeros(right - left + 1, np.int64)
+        for i in range(lo, hi):
+            run[1:] = np.where(b[left:right] == a[i], run[:-1] + 1, 0)
+            top = int(run.max())
+            if top > best[2]:
+                best = i - top + 1, left + int(run.argmax()) - top, top
+        at, to, n = best
+        if n:
+            found.append(best)
+            todo += [(lo, at, left, to), (at + n, hi, to + n, right)]
+    out: list[tuple[int, int, int]] = []
+    for at, to, n in sorted(found):  # blocks that touch on both sides are one
+        if out and out[-1][0] + out[-1][2] == at and out[-1][1] + out[-1][2] == to:
+            out[-1] = (*out[-1][:2], out[-1][2] + n)
+        else:
+            out.append((at, to, n))
+    return out
+
+
 @query("j14_alignment")
 def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Longest matching blocks between the words of neighbouring turns."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from difflib import SequenceMatcher
-
         for pdf in batches:
             out = []
             for c, t, a, b in zip(pdf["conv_id"], pdf["turn"], pdf["prev"], pdf["text"], strict=True):
-                x, y = (a or "").split(), (b or "").split()
-                out += [(c, t, m.a, m.b, m.size) for m in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks() if m.size]
+                out += [(c, t, *block) for block in matching_blocks((a or "").split(), (b or "").split())]
             yield pd.DataFrame(out, columns=["conv_id", "turn", "a", "b", "size"])
 
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")).alias("prev"), "text").filter("prev IS NOT NULL")
