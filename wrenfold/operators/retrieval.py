@@ -143,11 +143,14 @@ def check_width(vectors: DataFrame, width: int = DIM) -> DataFrame:
     return vectors.filter(ok.isNull())
 
 
-@query("v08_hashed_embeddings")
+@query("v08_hashed_embeddings", f"""WITH w AS (SELECT doc_id, md5(w) AS h FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\pL\\pN]+')) AS w FROM documents) WHERE w <> ''),
+v AS (SELECT doc_id, CAST('0x' || substr(h, 1, 7) AS BIGINT) % {DIM} AS k, sum(CASE WHEN CAST('0x' || substr(h, 8, 7) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END) AS v FROM w GROUP BY 1, 2), n AS (SELECT doc_id, sqrt(sum(v * v)) AS n FROM v GROUP BY 1),
+c AS (SELECT doc_id, n, unnest(range(0, {DIM})) AS k FROM n) SELECT doc_id, list(CAST(coalesce(v, 0) / greatest(n, 1e-9) AS FLOAT) ORDER BY k) AS embedding FROM c LEFT JOIN v USING (doc_id, k) GROUP BY 1""")
 def hashed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An offline, deterministic embedder: words hashed to signed buckets, normalised; no model, no Python."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("w")).filter("w <> ''")
-    h = d.groupBy("doc_id", F.pmod(F.xxhash64("w"), F.lit(DIM)).alias("k")).agg(F.sum(F.when(F.pmod(F.xxhash64("w", F.lit(1)), F.lit(2)) == 0, 1).otherwise(-1)).alias("v"))
+    part = lambda at: F.conv(F.substring(F.md5("w"), at, 7), 16, 10).cast("long")
+    h = d.groupBy("doc_id", (part(1) % DIM).alias("k")).agg(F.sum(F.when(part(8) % 2 == 0, 1).otherwise(-1)).alias("v"))
     norm = h.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("n"), F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))  # at most DIM entries
     cells = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(DIM - 1).cast("long")), lambda i: (F.coalesce(F.element_at("m", i), F.lit(0)) / F.greatest("n", F.lit(1e-9))).cast("float"))
     return norm.select("doc_id", cells.alias("embedding"))
