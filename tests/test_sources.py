@@ -11,6 +11,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, In
 
+from tests.conftest import DATA
 from wrenfold.sources import files, mailbox, manifest, paged
 from wrenfold.sources.folders import work_folder
 from wrenfold.sources.manifest import commit_table, read_table
@@ -188,3 +189,10 @@ def test_descriptors():  # noqa: ANN201
     for bad in ("no key here", "a: [1]", "- x", "a: |\n  text", "   odd: 1", "a:b"):
         with pytest.raises(ValueError, match="no "):
             files.flat_yaml(bad)
+
+
+def test_words_and_mail_leave_by_few(spark):  # noqa: ANN001, ANN201
+    """Neither a batch's words nor its messages are gathered in pandas."""
+    for made in (files.captions, files.mail):
+        plan = made(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "MapInPandas" not in plan

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wrenfold.functions import text as X
-from wrenfold.functions.rows import table
+from wrenfold.functions.rows import table, through_python
 from wrenfold.registry import query
 from wrenfold.sources.folders import work_folder
 
@@ -146,12 +146,7 @@ def mail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parse_mail(files: DataFrame) -> DataFrame:
     """message_id, sender, subject, body (text/plain preferred, else text of HTML) of RFC 822 files, and ``error``: why a message, or its body, can't be read."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame([_message(raw) for raw in pdf["content"]], columns=["message_id", "sender", "subject", "body", "error"])
-
-    return files.select("content").mapInPandas(run, "message_id string, sender string, subject string, body string, error string")
+    return through_python(files.select("content"), "message_id string, sender string, subject string, body string, error string", lambda raw: [_message(raw)])
 
 
 def _message(raw: bytes | None) -> tuple:
@@ -286,11 +281,10 @@ def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", cue.alias("cue"))
     vtt = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "cue"))).alias("cues")).select("conv_id", F.concat(F.lit("WEBVTT\n\n"), F.array_join(F.transform("cues", lambda c: c["cue"]), "\n\n")).alias("vtt"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame([(c, i, t, w) for c, v in zip(pdf["conv_id"], pdf["vtt"], strict=True) for i, (t, w) in enumerate(timed_words(v))], columns=["conv_id", "idx", "start_s", "word"])
+    def work(conv: int, text: str) -> Iterator[tuple]:
+        return ((conv, i, t, w) for i, (t, w) in enumerate(timed_words(text)))
 
-    return vtt.mapInPandas(run, "conv_id long, idx int, start_s double, word string")
+    return through_python(vtt, "conv_id long, idx int, start_s double, word string", work)
 
 
 @query("s19_harvest_bundle", """SELECT c_custkey AS party, 'identifier' AS entity, c_name AS value FROM customer UNION ALL SELECT c_custkey, 'fact', c_mktsegment FROM customer UNION ALL SELECT c_custkey, 'metric', CAST(CAST(round(c_acctbal) AS BIGINT) AS VARCHAR) FROM customer""")
