@@ -144,3 +144,18 @@ def test_landed_in_order(spark):  # noqa: ANN001, ANN201
     path = stateful.landed(rows, "at", 4)
     assert spark.read.parquet(path).count() == 1000
     assert len(spark.read.parquet(path).inputFiles()) == 4
+
+
+def test_landed_makes_its_rows_once(spark):  # noqa: ANN001, ANN201
+    """However many files there are, the rows behind them are made for one write (and its sample), not once a file."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):  # noqa: ANN001, ANN202
+        for pdf in batches:
+            made.add(len(pdf))
+            yield pdf
+
+    rows = spark.range(200).selectExpr("id AS seq", "timestamp_seconds(id) AS at").mapInPandas(count, "seq long, at timestamp")
+    path = stateful.landed(rows, "at", most=20)
+    assert made.value <= 400
+    assert sorted(r.seq for r in spark.read.parquet(path).collect()) == list(range(200))
