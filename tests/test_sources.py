@@ -196,3 +196,17 @@ def test_words_and_mail_leave_by_few(spark):  # noqa: ANN001, ANN201
     for made in (files.captions, files.mail):
         plan = made(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
         assert "MapInArrow" in plan and "MapInPandas" not in plan
+
+
+def test_statement_lines_stay_where_they_are(spark, tmp_path):  # noqa: ANN001, ANN201
+    """However many lines a file has, they aren't brought to one task."""
+    (tmp_path / "a.txt").write_text("Sale Month\tISRC\tQuantity\tEarnings\n2024-01\tusabc0000001\t1\t$2.00\n2024-02\tusabc0000002\t3\t\"4.00\"\n")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = files.read_statements(spark, str(tmp_path))[0]
+        plan = lines._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert sorted((r.isrc, float(r.earnings)) for r in lines.collect()) == [("USABC0000001", 2.0), ("USABC0000002", 4.0)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)

@@ -76,9 +76,10 @@ def read_statements(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     first = first.withColumn("fits", fits)
     lost = first.filter("size(fits) <> 1").select("file", F.col("head").alias("line"), F.when(F.size("fits") == 0, "no format has these columns").otherwise(F.concat(F.lit("several formats have these columns: "), F.array_join("fits", ", "))).alias("reason"))
     good = first.filter("size(fits) = 1").select("file", "head_nth", "by", "names", F.col("fits")[0].alias("format"))
-    rows = text.filter("trim(line) <> ''").join(good, "file").filter("nth <> head_nth")
+    rows = text.filter("trim(line) <> ''").join(F.broadcast(good), "file").filter("nth <> head_nth")  # a row per file, all of which the driver lists to read them; lines stay where they are read
     # a separator inside quotes doesn't cut
-    parts = F.transform(F.split("line", F.concat(F.col("by"), F.lit('(?=(?:[^"]*"[^"]*")*[^"]*$)'))), lambda c: F.replace(F.regexp_replace(F.trim(c), '^"|"$', ""), F.lit('""'), F.lit('"')))
+    quoted = F.split("line", F.concat(F.col("by"), F.lit('(?=(?:[^"]*"[^"]*")*[^"]*$)')))
+    parts = F.transform(F.when(F.contains("line", F.lit('"')), quoted).otherwise(F.split("line", F.col("by"))), lambda c: F.replace(F.regexp_replace(F.trim(c), '^"|"$', ""), F.lit('""'), F.lit('"')))
     rows = rows.withColumn("at", F.map_from_arrays("names", F.slice(F.concat(parts, F.array_repeat(F.lit(None).cast("string"), F.size("names"))), F.lit(1), F.size("names"))))
     of = lambda *names: F.coalesce(*[F.try_element_at("at", F.lit(n)) for n in names])
     month, day = F.try_to_timestamp(of("sale month"), F.lit("yyyy-MM")).cast("date"), F.try_to_timestamp(of("sale date"), F.lit("yyyy-MM-dd")).cast("date")
