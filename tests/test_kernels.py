@@ -472,3 +472,19 @@ def test_quantiles_to_the_last_bit(spark):  # noqa: ANN001, ANN201
     for q in (0.5, 0.9, 0.95):
         got = {r.k: r.p for r in exact_quantile(df, "k", "v", q, "p").collect()}
         assert got == dict(duck.execute(f"SELECT k, quantile_cont(v, {q}) FROM t GROUP BY k").fetchall())
+
+
+def test_beat_grids_are_shared_by_tracks_of_one_length():  # noqa: ANN201
+    """A comb's scores and phases are those of each tempo alone, and its grids are made once for a length."""
+    rng, grid = np.random.default_rng(5), np.array([0.5, 70.0, 70.25, 121.3, 179.75, 3000.0])
+    for n in (1, 30, 186):
+        for _ in range(3):
+            env = rng.normal(size=n)
+            score, phase = signal.comb(env, 8000, grid, 16)
+            for i, step in enumerate(60.0 / grid * 8000 / signal.HOP):
+                means = []
+                for p in range(16):
+                    at = np.rint((p / 16 + np.arange(int(n / step) + 2)) * step).astype(int)
+                    means.append(env[at[at < n]].mean() if (at < n).any() else -np.inf)
+                assert score[i] == pytest.approx(max(means)) and phase[i] == pytest.approx(int(np.argmax(means)) * step / 16 * signal.HOP / 8000)
+    assert signal._grids.cache_info().hits >= 6  # noqa: SLF001
