@@ -6,6 +6,7 @@ import random
 
 import pytest
 
+from wrenfold.operators import joins
 from wrenfold.operators.joins import walk_basis, walk_up
 
 
@@ -57,6 +58,19 @@ def test_random_graph(spark):  # noqa: ANN001, ANN201
         assert got(spark, list(range(0, 30, 3)), edges, hops) == brute(list(range(0, 30, 3)), edges, hops)
 
 
+def test_rounds_write_each_pair_once(spark, monkeypatch):  # noqa: ANN001, ANN201
+    """What a walk writes grows with its pairs, not with pairs times rounds; cycles end though only some rounds look back."""
+    sizes, write = [], joins._written  # noqa: SLF001
+    monkeypatch.setattr(joins, "_written", lambda spark, rows: (out := write(spark, rows), sizes.append(out.count()))[0])
+    line = [(k, k + 1, 0.5) for k in range(12)]
+    assert got(spark, list(range(13)), line, 6) == brute(list(range(13)), line, 6)
+    assert sum(sizes) == len(line) + sum(12 - hop + 1 for hop in range(1, 7))
+    sizes.clear()
+    monkeypatch.setattr(joins, "LOOK_BACK", 3, raising=False)
+    assert got(spark, [1, 2], CYCLE, 30) == brute([1, 2], CYCLE, 30)
+    assert len(sizes) <= 8
+
+
 def test_lines(spark):  # noqa: ANN001, ANN201
     edges = [(k, k // 2) for k in range(2, 200)] + [(500, 600), (600, 500)]
     parent = dict(edges)
