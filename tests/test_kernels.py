@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from wrenfold.functions import signal, webpage
+from wrenfold.functions import rows, signal, webpage
 from wrenfold.functions import text as T
 from wrenfold.operators import contacts, extras, filters, retrieval, scalars
 from tests.conftest import DATA
@@ -488,3 +488,10 @@ def test_beat_grids_are_shared_by_tracks_of_one_length():  # noqa: ANN201
                     means.append(env[at[at < n]].mean() if (at < n).any() else -np.inf)
                 assert score[i] == pytest.approx(max(means)) and phase[i] == pytest.approx(int(np.argmax(means)) * step / 16 * signal.HOP / 8000)
     assert signal._grids.cache_info().hits >= 6  # noqa: SLF001
+
+
+def test_quantile_counts_are_few(spark):  # noqa: ANN001, ANN201
+    """A key's buckets are as many as the root of its values, so its counts are few beside them."""
+    v = spark.range(40000).select((F.col("id") % 4).alias("k"), F.xxhash64("id").cast("double").alias("_v"))
+    assert 4 * 90 <= rows.in_buckets(v, "k", 4096).select("k", "_b").distinct().count() <= 4 * 100
+    assert rows.in_buckets(v, "k", 16).filter("_b < 0 OR _b > 15 OR _n <> 10000").isEmpty()
