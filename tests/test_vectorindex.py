@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import tracemalloc
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from wrenfold.operators.vectorindex import CellIndex, recall
 from wrenfold.sources.folders import work_folder
@@ -88,3 +93,23 @@ def test_empty(spark):  # noqa: ANN001, ANN201
     assert index.search(none, 3).count() == 0
     assert index.probe([1.0] * 64, 3, 2, kind="a", state=0).count() == 0
     assert index.search(spark.createDataFrame([(1, [1.0] * 64, "a", 0)], SCHEMA), 3).count() == 0
+
+
+def test_cells_hold_few_distances():  # noqa: ANN201
+    """What a task holds grows neither with its batch nor with the number of cells."""
+    rng = np.random.default_rng(4)
+    centres, vectors = rng.normal(size=(1000, 8)), rng.normal(size=(10000, 8))
+    index = CellIndex(SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x))), "", [], centres, StructType())
+    work = index.cells_of(SimpleNamespace(schema=StructType().add("id", "long").add("embedding", ArrayType(DoubleType())), mapInArrow=lambda f, _: f), 3)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(10000)), pa.array(list(vectors))], ["id", "embedding"])
+    tracemalloc.start()
+    got = [(part.column("id").to_pylist(), part.column("cell").to_pylist(), part.column("nth").to_pylist()) for part in work(iter([batch.slice(0, 200)]))]
+    tracemalloc.clear_traces()
+    tracemalloc.reset_peak()
+    assert sum(part.num_rows for part in work(iter([batch]))) == 30000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
+    unit = vectors[:200] / np.linalg.norm(vectors[:200], axis=1, keepdims=True)
+    assert sum((c for _, c, _ in got), []) == np.argsort(-(unit @ centres.T), axis=1, kind="stable")[:, :3].ravel().tolist()
+    assert sum((n for *_, n in got), []) == [1, 2, 3] * 200

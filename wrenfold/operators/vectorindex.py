@@ -33,6 +33,8 @@ from wrenfold.sources.folders import work_folder
 
 #: Rows that the centres are fitted on, at most; cells, at most; rows and queries of a block.
 SAMPLE, MOST_CELLS, ROWS, ASKED = 16384, 4096, 2048, 512
+#: Distances of rows to centres that a task holds at a time, and rows with a cell each that it sends on at a time.
+NEAR, COPIES = 1 << 19, 8192
 #: Blocks of a cell that meet the queries in one task.
 BLOCKS_A_SALT = 64
 
@@ -82,14 +84,17 @@ class CellIndex:
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                near = _matrix(batch.column("embedding"), width) @ shared.value.T
-                n = min(probes or near.shape[1], near.shape[1])
-                best = near.argmax(1)[:, None] if n == 1 else np.argsort(-near, axis=1, kind="stable")[:, :n]
-                for lo in range(0, batch.num_rows, max(1, 65536 // max(1, n))):
-                    part = batch.slice(lo, max(1, 65536 // max(1, n)))
-                    again = part.take(pa.array(np.repeat(np.arange(part.num_rows), n)))
-                    cell, nth = best[lo : lo + part.num_rows].astype(np.int32).ravel(), np.tile(np.arange(1, n + 1, dtype=np.int32), part.num_rows)
-                    yield pa.RecordBatch.from_arrays([*again.columns, pa.array(cell), pa.array(nth)], [*again.schema.names, "cell", "nth"])
+                size = max(1, NEAR // max(1, len(shared.value)))
+                for at in range(0, batch.num_rows, size):
+                    some = batch.slice(at, size)
+                    near = _matrix(some.column("embedding"), width) @ shared.value.T
+                    n = min(probes or near.shape[1], near.shape[1])
+                    best = near.argmax(1)[:, None] if n == 1 else np.argsort(-near, axis=1, kind="stable")[:, :n]
+                    for lo in range(0, some.num_rows, max(1, COPIES // max(1, n))):
+                        part = some.slice(lo, max(1, COPIES // max(1, n)))
+                        again = part.take(pa.array(np.repeat(np.arange(part.num_rows), n)))
+                        cell, nth = best[lo : lo + part.num_rows].astype(np.int32).ravel(), np.tile(np.arange(1, n + 1, dtype=np.int32), part.num_rows)
+                        yield pa.RecordBatch.from_arrays([*again.columns, pa.array(cell), pa.array(nth)], [*again.schema.names, "cell", "nth"])
 
         return rows.mapInArrow(work, StructType.fromJson(rows.schema.jsonValue()).add("cell", "integer").add("nth", "integer"))
 
