@@ -5,9 +5,11 @@ from __future__ import annotations
 import itertools
 import math
 import re
+import tracemalloc
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark import TaskContext
 from pyspark.sql import functions as F
@@ -17,7 +19,7 @@ from wrenfold.functions import text as T
 from wrenfold.operators import contacts, extras, filters, retrieval, scalars
 from tests.conftest import DATA
 from wrenfold.functions.rows import exact_quantile, through_python
-from wrenfold.operators.media import alignment, byte_frames, candidate_rules, local_pulse, matching_blocks, onset_envelope, probes, segment_types, short_spectra, tracks
+from wrenfold.operators.media import alignment, byte_frames, candidate_rules, comb_scores, local_pulse, matching_blocks, onset_envelope, probes, segment_types, short_spectra, tracks
 from wrenfold.sources import files
 
 RATE = 8000
@@ -441,6 +443,35 @@ def test_tracks_are_dealt_out(spark):  # noqa: ANN001, ANN201
     assert len(set(tasks)) == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@pytest.fixture
+def sound_held(spark, monkeypatch):  # noqa: ANN001, ANN201
+    """Of a query of sound, for 15 and 150 tracks in one Arrow batch: the rows of its Python step and the most bytes that the step held at a time."""
+    taken, frame = [], type(spark.range(0))
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(frame, name, lambda self, run, schema, *a, real=getattr(frame, name), **b: taken.append((self, run)) or real(self, run, schema, *a, **b))
+
+    def of(made):  # noqa: ANN001, ANN202
+        made(spark, DATA)
+        ((cells, run),) = taken  # sound is made and used in one step
+        assert "binary" not in dict(cells.dtypes).values()
+        few, out = cells.limit(15).toArrow(), []
+        for k in (1, 1, 10):  # the first warms up
+            (batch,) = pa.concat_tables([few] * k).combine_chunks().to_batches()
+            tracemalloc.start()
+            rows = sum(b.num_rows for b in run(iter([batch])))
+            out.append((rows, tracemalloc.get_traced_memory()[1]))
+            tracemalloc.stop()
+        return out[1:]
+
+    return of
+
+
+def test_comb_scores_hold_the_sound_of_one_track(sound_held):  # noqa: ANN001, ANN201
+    (few, least), (many, most) = sound_held(comb_scores)
+    assert (few, many) == (15 * 31, 150 * 31)
+    assert most < least + 2_000_000  # the scores that leave together; the sound of 135 tracks is 26 MB
+
+
 @pytest.fixture
 def spectra(monkeypatch):  # noqa: ANN001, ANN201
     """The lengths of the sounds that spectrograms were made of."""
