@@ -19,7 +19,7 @@ from wrenfold.functions import text as T
 from wrenfold.operators import contacts, extras, filters, retrieval, scalars
 from tests.conftest import DATA
 from wrenfold.functions.rows import exact_quantile, through_python
-from wrenfold.operators.media import alignment, byte_frames, candidate_rules, comb_scores, local_pulse, matching_blocks, onset_envelope, probes, segment_types, short_spectra, tracks
+from wrenfold.operators.media import alignment, byte_frames, candidate_rules, comb_scores, local_pulse, matching_blocks, onset_envelope, probes, segment_types, short_spectra, tracks, wav_decode
 from wrenfold.sources import files
 
 RATE = 8000
@@ -472,6 +472,12 @@ def test_comb_scores_hold_the_sound_of_one_track(sound_held):  # noqa: ANN001, A
     assert most < least + 2_000_000  # the scores that leave together; the sound of 135 tracks is 26 MB
 
 
+def test_decoding_holds_the_sound_of_one_track(sound_held):  # noqa: ANN001, ANN201
+    (few, least), (many, most) = sound_held(wav_decode)
+    assert (few, many) == (15, 150)
+    assert most < least + 500_000  # a row a track
+
+
 @pytest.fixture
 def spectra(monkeypatch):  # noqa: ANN001, ANN201
     """The lengths of the sounds that spectrograms were made of."""
