@@ -6,6 +6,7 @@ import random
 
 import pytest
 
+from tests.conftest import DATA
 from wrenfold.operators import joins
 from wrenfold.operators.joins import walk_basis, walk_up
 
@@ -71,6 +72,44 @@ def test_rounds_write_each_pair_once(spark, monkeypatch):  # noqa: ANN001, ANN20
     assert len(sizes) <= 8
 
 
+LONG = [(k, k + 1, 1.0) for k in range(20)] + [(0, 20, 0.1), (20, 21, 0.5)]
+
+
+@pytest.mark.parametrize(("claims", "edges"), [([0, 5], LONG), ([0, 20], [*LONG, (21, 3, 0.9), (12, 0, 0.9)]), ([1, 2, 3, None], CYCLE), ([1], DIAMOND), ([1], [])])
+def test_walk_to_the_end(spark, claims, edges):  # noqa: ANN001, ANN201
+    """Nothing is cut after any number of hops, also where a long way is better than a short one, and cycles end."""
+    assert got(spark, claims, edges, None) == brute(claims, edges, 60)
+
+
+def test_random_graph_to_the_end(spark, monkeypatch):  # noqa: ANN001, ANN201
+    rng = random.Random(9)
+    edges = [(rng.randrange(40), rng.randrange(40), rng.choice([1.0, 0.9, 0.5, 0.1, None])) for _ in range(70)]
+    want = brute(list(range(0, 40, 3)), edges, 60)
+    assert max(hop for _, _, hop, _ in want) > 8
+    for rounds in (1, 3, 8):
+        monkeypatch.setattr(joins, "LOOK_BACK", rounds)
+        assert got(spark, list(range(0, 40, 3)), edges, None) == want
+
+
+@pytest.mark.parametrize("weight", [1.5, -0.5, float("nan")])
+def test_walk_to_the_end_needs_weights(spark, weight):  # noqa: ANN001, ANN201
+    with pytest.raises(Exception, match="needs weights between 0 and 1"):
+        got(spark, [1], [(1, 2, 0.5), (2, 1, weight)], None)
+
+
+def test_whole_basis(spark):  # noqa: ANN001, ANN201
+    """Each purchase of the table with all it rests on; eight hops leave some of it out."""
+    found = {(r.claim, r.basis): (r.hop, r.weight) for r in joins.whole_basis(spark, DATA).collect()}
+    near = {(r.claim, r.basis) for r in joins.basis_graph(spark, DATA).collect()}
+    edges = [tuple(r) for r in joins._rests(spark, DATA).collect()]  # noqa: SLF001
+    far = sorted({c for c, b in found.keys() - near})[:5]
+    want = brute(far, edges, 40)
+    assert far
+    assert max(hop for _, _, hop, _ in want) > 8
+    assert near < found.keys()
+    assert sorted((c, b, *v) for (c, b), v in found.items() if c in far) == want
+
+
 def test_lines(spark):  # noqa: ANN001, ANN201
     edges = [(k, k // 2) for k in range(2, 200)] + [(500, 600), (600, 500)]
     parent = dict(edges)
